@@ -10,6 +10,7 @@ from .common import table
 from .mixing import mix
 from .quality import score_quality
 from .sharding import shard_documents
+from .simhash import fingerprint_hex, near_duplicates
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +18,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 9).alias("posterior"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = near_duplicates(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = shard_documents(table(spark, sf_dir, "documents"), n_shards=8)
     return s.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -28,6 +34,7 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op5_simhash": op5_simhash,
     "op8_shard": op8_shard,
     "op9_mix": op9_mix,
 }
