@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .ann import nearest
 from .common import table, tokenizer_path
 from .mixing import mix
 from .packing import pack
+from .pii import find_pii
 from .quality import score_quality
 from .records import token_records
 from .sharding import shard_documents
@@ -24,6 +26,14 @@ def op2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"), ["doc_id"]).drop("redacted")
+
+
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = near_duplicates(table(spark, sf_dir, "documents"))
     return d.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -45,6 +55,8 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_records": op2_records,
+    "op3_pii": op3_pii,
+    "op4_ann": op4_ann,
     "op5_simhash": op5_simhash,
     "op8_shard": op8_shard,
     "op9_mix": op9_mix,
