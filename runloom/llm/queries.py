@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .ann import nearest
 from .common import table, tokenizer_path
+from .langid import held_out, identify
 from .mixing import mix
 from .packing import pack
 from .pii import find_pii
@@ -39,6 +40,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = held_out(F.col("doc_id"))
+    found = identify(table(spark, sf_dir, "documents"), ~out, ["doc_id"])
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = shard_documents(table(spark, sf_dir, "documents"), n_shards=8)
     return s.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -58,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op4_ann": op4_ann,
     "op5_simhash": op5_simhash,
+    "op7_langid": op7_langid,
     "op8_shard": op8_shard,
     "op9_mix": op9_mix,
     "op10_pack": op10_pack,
