@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .ann import nearest
 from .common import table, tokenizer_path
+from .html_main import extract_pages
 from .langid import held_out, identify
 from .mixing import mix
 from .packing import pack
@@ -40,6 +41,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = held_out(F.col("doc_id"))
     found = identify(table(spark, sf_dir, "documents"), ~out, ["doc_id"])
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op4_ann": op4_ann,
     "op5_simhash": op5_simhash,
+    "op6_html": op6_html,
     "op7_langid": op7_langid,
     "op8_shard": op8_shard,
     "op9_mix": op9_mix,

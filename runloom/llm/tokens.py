@@ -18,10 +18,10 @@ import numpy as np
 CACHE = 400_000
 LONGEST = 200
 #: Unicode's White_Space, as the tokenizers' patterns have it.
-_WS = "\t-\r \x85\xa0  -     　"
+_WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
 #: Between words, anything but a single space or line feed.
-_ODD = re.compile(f"[\t\x0b-\r\x85\xa0  -     　]")
+_ODD = re.compile("[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 class _Chunks(dict):
