@@ -47,13 +47,6 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def with_columns(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
-    """Add columns; an input column of the same name, in any case, gives way."""
-    new = {c.lower() for c in cols}
-    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in new]
-    return df.select(*kept, *[v.alias(k) for k, v in cols.items()])
-
-
 def tokenizer_path(name: str) -> str:
     """The place of a public tokenizer's file; the files are never copied here."""
     import public_tokenizers

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import checkpoint, n_words
+from .common import checkpoint, n_words, words
 
 CELLS = 4096
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -146,3 +146,39 @@ def mix(docs: DataFrame, seed: int = 17, n_shards: int = 1, keep: list[str] | No
     d = d.withColumn("pieces", F.transform(blocks, piece))
     taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + (p["end"] - p["first"]) * p["times"])
     return d.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), F.filter("pieces", lambda p: p["times"] > 0).alias("pieces"), *keep)
+
+
+def mix_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
+    """The documents that the mix consists of, with their own columns.
+
+    A block that is taken several times gives rows of its own. Runs of a document's blocks that
+    are taken together stay together: a row holds the words of one run, and the
+    whole text, unchanged, if the run covers the document. So with ``times`` 2 for all blocks, the document comes
+    twice. Documents without words have nothing to take and take no part.
+    """
+    packed = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    m = mix(packed, seed, keep=["_row"])
+    # The k-th copy holds the blocks that are taken k times or more; a source's blocks differ by one time at most.
+    copies = F.filter(F.transform(F.sequence(F.lit(1), F.lit(2)), lambda k: F.filter("pieces", lambda p: p["times"] >= k)), lambda ps: F.size(ps) > 0)
+    m = m.select("_row", "size", F.explode(copies).alias("ps"))
+    m = m.select("_row", "size", F.explode(_runs(F.col("ps"))).alias("run"))
+    text = F.col("_row.text").cast("string")
+    whole = (F.col("run.first") == 0) & (F.col("run.end") == F.col("size"))
+    part = F.array_join(F.slice(words(text), (F.col("run.first") + 1).cast("int"), (F.col("run.end") - F.col("run.first")).cast("int")), " ")
+    text = F.when(whole, text).otherwise(part)
+    out = m.select(F.col("_row"), text.alias("_text"))
+    made = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return out.select(*[made[c].alias(c) if c in made else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+
+
+def _runs(pieces: Column) -> Column:
+    """Neighbouring pieces joined: an array of (first, end)."""
+    empty = F.array().cast("array<struct<first:bigint,end:bigint>>")
+
+    def add(runs: Column, p: Column) -> Column:
+        one = F.array(F.struct(p["first"].alias("first"), p["end"].alias("end")))
+        joins = (F.size(runs) > 0) & (F.try_element_at(runs, F.lit(-1))["end"] == p["first"])
+        longer = F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(F.struct(F.try_element_at(runs, F.lit(-1))["first"].alias("first"), p["end"].alias("end"))))
+        return F.when(joins, longer).otherwise(F.concat(runs, one))
+
+    return F.aggregate(pieces, empty, add)

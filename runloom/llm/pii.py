@@ -401,4 +401,5 @@ def redact_documents(docs: DataFrame) -> DataFrame:
     """The documents with their spans replaced in ``text``; a null text stays null."""
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
     out = find_pii(d, ["_row"], with_text=True)
-    return out.select(*[F.col("redacted").alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    made = {"text": F.col("redacted"), "n_chars": F.coalesce(F.length("redacted").cast("long"), F.col("_row.n_chars") if "n_chars" in docs.columns else F.lit(None))}
+    return out.select(*[made[c].alias(c) if c in made else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

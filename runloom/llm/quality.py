@@ -10,8 +10,8 @@ estimation runs over one bounded array, inside a single SQL expression.
 Everything is a DataFrame or SQL function.
 
 Cases: a null or empty text has no words and fails the base rule. Repeated rows
-are judged alike. An empty table gives an empty result. Input columns with the
-names of added columns give way to them.
+are judged alike. An empty table gives an empty result. Other columns are ignored,
+or kept as they are by ``keep_good``.
 
 Three-word windows are compared by 64-bit hashes inside one document.
 """
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import WORD, checkpoint, with_columns, words
+from .common import WORD, checkpoint, scratch, words
 
 ROUNDS = 40
 LEAST_WORDS = 50
@@ -148,8 +148,11 @@ def score_quality(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the model keeps, with their own columns.
 
-    The figures are made twice, once for the model and once for the verdict:
-    neither texts nor verdicts are shuffled or joined by an id.
+    Rows and figures are written once to the shared folder: the model reads the
+    figures, then the verdict filters the rows where they lie. Neither texts nor
+    verdicts are shuffled or joined by an id.
     """
+    path = scratch(docs.sparkSession, "figures")
     packed = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    return judged(figures(packed, ["_row"])).filter("kept").select("_row.*")
+    figures(packed, ["_row"]).write.parquet(path)
+    return judged(docs.sparkSession.read.parquet(path)).filter("kept").select("_row.*")

@@ -2,7 +2,8 @@
 
 A record file is a sequence of frames, each
     length (u64) | masked CRC-32 of the length (u32) | payload | masked CRC-32 of the payload (u32)
-little-endian throughout. A payload is: has-id flag (u8), id (i64), then token ids (u32).
+little-endian throughout. A payload is: bytes of a token id (u8, 2 or 4 by the
+vocabulary's size), has-id flag (u8), id (i64), then token ids.
 Beside each ``part-*.rec`` stands ``part-*.idx``: the u64 offset of each frame, so
 that a reader can fetch records in any order.
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import scratch
-from .tokens import encoder, slices
+from .tokens import encoder, id_type, slices
 
 END = 0
 
@@ -44,8 +45,14 @@ def frame(payload: bytes) -> bytes:
     return b"".join((head, struct.pack("<I", masked(zlib.crc32(head))), payload, struct.pack("<I", masked(zlib.crc32(payload)))))
 
 
-def payload(doc_id: int | None, ids: bytes) -> bytes:
-    return struct.pack("<Bq", doc_id is not None, doc_id or 0) + ids
+def payload(doc_id: int | None, ids: bytes, width: int) -> bytes:
+    return struct.pack("<BBq", width, doc_id is not None, doc_id or 0) + ids
+
+
+def unpacked(body: memoryview) -> tuple[int | None, np.ndarray]:
+    """The id and the token ids (u32) of a payload."""
+    width, has, doc_id = struct.unpack_from("<BBq", body)
+    return doc_id if has else None, np.frombuffer(body, dtype=f"<u{width}", offset=10).astype("<u4")
 
 
 def read_frames(data: memoryview, offsets: np.ndarray | None = None) -> Iterator[memoryview]:
@@ -80,7 +87,9 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end: int = END, pa
     d = d.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     fs_, root = _open(path)
     fs_.create_dir(root, recursive=True)
-    last = struct.pack("<I", end)
+    dtype = id_type(tokenizer)
+    last = np.array([end], dtype=dtype).tobytes()
+    width = len(last)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -89,7 +98,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end: int = END, pa
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
         store, top = _open(path)
         store.create_dir(top, recursive=True)  # a new executor may come before any other
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, dtype)
         count = tokens = at = 0
         offsets = []
         with store.open_output_stream(f"{top}/{name}.rec") as out:
@@ -98,12 +107,12 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end: int = END, pa
                 for s in slices(pa.compute.binary_length(text).to_pylist()):
                     part_ids = ids[s.start : s.stop].to_pylist()
                     for i, e in zip(part_ids, enc.ids(text[s.start : s.stop].to_pylist())):
-                        f = frame(payload(i, e + last))
+                        f = frame(payload(i, e + last, width))
                         offsets.append(at)
                         out.write(f)
                         at += len(f)
                         count += 1
-                        tokens += len(e) // 4 + 1
+                        tokens += len(e) // width + 1
         with store.open_output_stream(f"{top}/{name}.idx") as out:
             out.write(np.array(offsets, dtype="<u8").tobytes())
         if count:
@@ -128,10 +137,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 offsets = np.frombuffer(store.open_input_file(f"{top}/{file}.idx").read(), dtype="<u8")
                 rows = []
                 for body in read_file(store, f"{top}/{file}.rec", offsets):
-                    has, doc_id = struct.unpack_from("<Bq", body)
-                    ids = body[9:]
-                    rows.append((doc_id if has else None, start, len(ids) // 4, zlib.crc32(ids)))
-                    start += len(ids) // 4
+                    doc_id, ids = unpacked(body)
+                    rows.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
+                    start += len(ids)
                     if len(rows) == 20_000:
                         yield _rows(rows)
                         rows = []

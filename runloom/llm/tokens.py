@@ -85,6 +85,14 @@ class Encoder:
         return text.split(" "), True
 
 
+@lru_cache(maxsize=4)
+def id_type(path: str) -> str:
+    """The narrowest type that holds all ids of a vocabulary."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str, dtype: str = "<u4") -> Encoder:
     """One for each Python worker."""
