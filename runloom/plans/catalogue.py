@@ -1,6 +1,415 @@
-"""The registered queries and their oracle SQL."""
+"""The registered queries and their oracle SQL.
+
+Documents stand for pages of one chunk (``chunks``), or of one chunk for each line, three
+to a section (``line_chunks``); benchmark items are queries.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from ..functions import hashing, lexemes, signals, text as T
+from ..operators import chunking, dense, evaluate, filters, fusion, lexical, normalize
+from . import ingest as ingest_plan, search, store
+
+STOP = ", ".join(f"'{w}'" for w in lexemes.STOP_WORDS)
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    t = read(spark, d, "documents")
+    body = F.coalesce("text", F.lit(""))
+    return t.select(
+        "doc_id", F.col("doc_id").cast("string").alias("page_id"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"),
+        F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("url"), F.col("source").alias("space_key"), F.lit(1).alias("version"), F.array("lang").alias("labels"),
+        body.alias("markdown"), T.content_hash(body).alias("content_hash"),
+    )
+
+
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    zero, other = F.lit(0), F.lit("other")
+    return documents(spark, d).select(
+        T.chunk_id(F.col("page_id"), zero, zero).alias("chunk_id"), "page_id", F.col("title").alias("page_title"), F.col("url").alias("page_url"), "space_key",
+        F.col("version").alias("page_version"), "content_hash", F.array("title").alias("section_path"), other.alias("section_kind"), zero.alias("section_index"), zero.alias("chunk_index"),
+        F.col("markdown").alias("body_text"), T.embed_text(F.col("title"), F.col("title"), other, F.col("markdown")).alias("embed_text"),
+        T.token_fallback(F.col("markdown")).alias("token_count"), "labels",
+    )
+
+
+def line_chunks(spark: SparkSession, d: str) -> DataFrame:
+    c = documents(spark, d).select("*", F.posexplode(F.split("markdown", "\n", -1)).alias("i", "line")).filter("line <> ''")
+    section = F.floor(F.col("i") / 3).cast("int")
+    return c.select(
+        T.chunk_id(F.col("page_id"), section, F.col("i")).alias("chunk_id"), "page_id", F.col("title").alias("page_title"), F.col("url").alias("page_url"), F.array("title").alias("section_path"),
+        F.lit("other").alias("section_kind"), section.alias("section_index"), F.col("i").alias("chunk_index"), F.col("line").alias("body_text"),
+    )
+
+
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+DOCS_SQL = """docs AS (SELECT doc_id, doc_id::VARCHAR AS page_id, 'Document ' || doc_id AS title, 'doc://' || doc_id AS url, source AS space_key, lang, coalesce(text, '') AS markdown FROM documents)"""
+CHUNKS_SQL = f"""{DOCS_SQL}, chunks AS (SELECT substr(sha256(page_id || ':0:0'), 1, 24) AS chunk_id, page_id, title AS page_title, url AS page_url, space_key, markdown AS body_text, substr(sha256(markdown), 1, 16) AS content_hash,
+ 'Runbook: ' || title || chr(10) || 'Section: ' || title || chr(10) || 'Type: other' || chr(10) || chr(10) || markdown AS embed_text FROM docs)"""
+LINES_SQL = f"""{DOCS_SQL}, split AS (SELECT page_id, title, url, unnest(string_split(markdown, chr(10))) AS line, generate_subscripts(string_split(markdown, chr(10)), 1) - 1 AS i FROM docs),
+ line_chunks AS (SELECT substr(sha256(page_id || ':' || (i // 3) || ':' || i), 1, 24) AS chunk_id, page_id, title AS page_title, url AS page_url, (i // 3)::INTEGER AS section_index, i::INTEGER AS chunk_index, line AS body_text FROM split WHERE line <> '')"""
+SPACES = r"[\s\x{0085}\x{00a0}\x{2028}\x{2029}]+"
+
+
+def terms_sql(x: str) -> str:
+    low = lambda w: f"trim(lower({w}), './:-_')"
+    forms = lambda w: f"list_concat([{low(w)}], regexp_split_to_array({low(w)}, '[./:_\\-]+'))"
+    camel = r"regexp_replace(regexp_replace(w, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g')"
+    every = f"list_concat({forms('w')}, flatten(list_transform(string_split({camel}, ' '), lambda p: {forms('p')})))"
+    keep = f"lambda t: length(t) > 1 AND t NOT IN ({STOP})"
+    return f"flatten(list_transform(regexp_extract_all({x}, '[A-Za-z0-9_./:\\-]+'), lambda w: list_distinct(list_filter({every}, {keep}))))"
+
+
+POSTINGS_SQL = f"""{CHUNKS_SQL}, toks AS (SELECT chunk_id, {terms_sql("embed_text")} AS ts FROM chunks),
+ lens AS (SELECT chunk_id, len(ts) AS dl FROM toks), stats AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lens),
+ posts AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(ts) AS term FROM toks) GROUP BY ALL),
+ weights AS (SELECT term, count(*) AS df, greatest(1e-9, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5))) AS idf FROM posts, stats GROUP BY term)"""
+
+
+def bm25_sql(asked: str, k: int, match_all: bool = False) -> str:
+    """CTEs qterms, scored, lexical from a query source with (query_id, text)."""
+    need = " HAVING count(*) = any_value(n_terms)" if match_all else ""
+    return f"""qterms AS (SELECT DISTINCT query_id, unnest({terms_sql("text")}) AS term FROM {asked}), qn AS (SELECT query_id, count(*) AS n_terms FROM qterms GROUP BY 1),
+ scored AS (SELECT query_id, chunk_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * greatest(dl, 1) / avgdl))) AS score FROM qterms JOIN posts USING (term) JOIN weights USING (term) JOIN lens USING (chunk_id) JOIN qn USING (query_id), stats GROUP BY ALL{need}),
+ lexical AS (SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) - 1 AS rank FROM scored) WHERE rank < {k})"""
+
+
+ASKED_SQL = "asked AS (SELECT item_id AS query_id, coalesce(text, '') AS text FROM benchmark)"
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+# -- scalars ---------------------------------------------------------------------------
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT page_id, content_hash FROM chunks")
+def content_hash(spark, d):
+    return documents(spark, d).select("page_id", "content_hash")
+
+
+@query(
+    f"WITH {DOCS_SQL}, w AS (SELECT page_id, markdown, len(regexp_extract_all(markdown, '[^\\s\\x{{0085}}\\x{{00a0}}\\x{{2028}}\\x{{2029}}]+')) AS n FROM docs) SELECT page_id, (CASE WHEN markdown = '' THEN 0 ELSE greatest(length(markdown) // 4 + 1, floor(n * 1.3::DOUBLE) + 1) END)::INTEGER AS estimate, greatest(length(markdown) // 4, n)::INTEGER AS fallback FROM w"
+)
+def token_counts(spark, d):
+    m = F.col("markdown")
+    return documents(spark, d).select("page_id", T.token_estimate(m).alias("estimate"), T.token_fallback(m).alias("fallback"))
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT chunk_id, embed_text FROM chunks")
+def embed_envelope(spark, d):
+    return chunks(spark, d).select("chunk_id", "embed_text")
+
+
+@query(f"WITH {LINES_SQL} SELECT chunk_id, page_id, section_index, chunk_index FROM line_chunks")
+def chunk_ids(spark, d):
+    return line_chunks(spark, d).select("chunk_id", "page_id", "section_index", "chunk_index")
+
+
+def _kind_sql(x: str) -> str:
+    return "CASE " + " ".join("WHEN regexp_matches({}, '(?i)\\b({})\\b') THEN '{}'".format(x, p.replace("'", "''"), k) for k, p in T.KIND_PATTERNS) + " ELSE 'other' END"
+
+
+@query(f"WITH t AS (SELECT p_partkey, p_name || ' ' || ['rollback plan', 'how to page', 'Health check', 'Steps', 'root cause', 'alerts', 'SLA', 'access', 'see also', 'Scope', 'none'][(p_partkey % 11 + 1)::INTEGER] AS title FROM part) SELECT p_partkey, {_kind_sql('title')} AS kind FROM t")
+def section_kind_classify(spark, d):
+    names = F.array(*[F.lit(x) for x in ("rollback plan", "how to page", "Health check", "Steps", "root cause", "alerts", "SLA", "access", "see also", "Scope", "none")])
+    title = F.concat("p_name", F.lit(" "), F.element_at(names, (F.col("p_partkey") % 11 + 1).cast("int")))
+    return read(spark, d, "part").select("p_partkey", T.section_kind(title).alias("kind"))
+
+
+@query(f"WITH {DOCS_SQL}, f AS (SELECT page_id, trim(regexp_replace(markdown, '{SPACES}', ' ', 'g')) AS flat FROM docs) SELECT page_id, CASE WHEN length(flat) > 400 THEN substr(flat, 1, 400) || '…' ELSE flat END AS preview FROM f")
+def markdown_preview(spark, d):
+    return documents(spark, d).select("page_id", T.preview(F.col("markdown")).alias("preview"))
+
+
+# -- filters, states, changes ----------------------------------------------------------
+
+
+@query("SELECT c_custkey, c_mktsegment, c_nationkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey IN (1, 3, 5, 7)")
+def filter_dict(spark, d):
+    t = read(spark, d, "customer")
+    return filters.apply(t, {"c_mktsegment": "BUILDING", "c_nationkey": [1, 3, 5, 7], "c_custkey": []}, tuple(t.columns)).select("c_custkey", "c_mktsegment", "c_nationkey")
+
+
+@query(f"WITH {LINES_SQL} SELECT page_id, count(*) AS chunk_count, max(section_index) AS last_section FROM line_chunks GROUP BY 1")
+def page_chunk_counts(spark, d):
+    return line_chunks(spark, d).groupBy("page_id").agg(F.count(F.lit(1)).alias("chunk_count"), F.max("section_index").alias("last_section"))
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT page_id, 1 AS page_version, content_hash, 1::BIGINT AS chunk_count FROM chunks")
+def page_states(spark, d):
+    return store.page_states(chunks(spark, d))
+
+
+@query("SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN 'blank' WHEN doc_id % 3 = 0 THEN 'unchanged' ELSE 'ingest' END AS action FROM documents")
+def incremental_diff(spark, d):
+    docs = documents(spark, d)
+    known = docs.filter("doc_id % 3 <> 2").select("page_id", F.col("version").alias("page_version"), F.when(F.col("doc_id") % 3 == 0, F.col("content_hash")).otherwise("old").alias("content_hash"))
+    return ingest_plan.changes(docs, known).select("doc_id", "action")
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT chunk_id, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS page_version FROM chunks JOIN docs USING (page_id) WHERE doc_id % 5 <> 0 OR doc_id % 2 = 0")
+def upsert_replace(spark, d):
+    c = chunks(spark, d)
+    newer = c.filter("cast(page_id AS bigint) % 2 = 0").withColumn("page_version", F.lit(2))
+    gone = c.filter("cast(page_id AS bigint) % 5 = 0").select("page_id")
+    return store.upsert(store.without_pages(c, gone), newer).select("chunk_id", "page_version")
+
+
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1")
+def last_wins(spark, d):
+    order = Window.partitionBy("user_id").orderBy(F.desc("event_id"))
+    return read(spark, d, "events").withColumn("n", F.row_number().over(order)).filter("n = 1").select("user_id", "event_id", "event_type")
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT chunk_id, (99 - doc_id)::INTEGER AS pos FROM chunks JOIN docs USING (page_id) WHERE doc_id < 100")
+def batch_get_ordered(spark, d):
+    ids = [r[0] for r in spark.range(100).select(T.chunk_id((99 - F.col("id")).cast("string"), F.lit(0), F.lit(0))).collect()]
+    return store.by_ids(chunks(spark, d), [*ids, "unknown"]).select("chunk_id", "pos")
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT chunk_id, page_title AS section_path, lang AS labels FROM chunks JOIN docs USING (page_id)")
+def flat_metadata(spark, d):
+    return store.flat_metadata(store.from_flat(store.flat_metadata(chunks(spark, d)))).select("chunk_id", "section_path", "labels")
+
+
+@query(f"WITH {LINES_SQL} SELECT page_id, count(*) AS chunks FROM line_chunks GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 40")
+def top_pages(spark, d):
+    return store.top_pages(line_chunks(spark, d))
+
+
+# -- lexical ---------------------------------------------------------------------------
+
+
+def _index(spark, d):
+    c = chunks(spark, d)
+    return c, lexical.postings(c), lexical.lengths(c)
+
+
+@query(f"WITH {POSTINGS_SQL} SELECT chunk_id, term, tf FROM posts")
+def tokenize_terms(spark, d):
+    return _index(spark, d)[1]
+
+
+@query(f"WITH {POSTINGS_SQL} SELECT term, df, round(idf, 9) AS idf FROM weights")
+def postings_stats(spark, d):
+    _, p, n = _index(spark, d)
+    return lexical.term_weights(p, lexical.corpus(n)).select("term", "df", F.round("idf", 9).alias("idf"))
+
+
+@query(f"WITH {POSTINGS_SQL} SELECT count(*) AS stored, count(*) AS indexed, true AS in_sync FROM lens")
+def lexical_sync_check(spark, d):
+    c, _, n = _index(spark, d)
+    return store.sync_check(c, n)
+
+
+def _lexical_out(df):
+    return df.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
+@query(f"WITH {POSTINGS_SQL}, {ASKED_SQL}, {bm25_sql('asked', 30)} SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM lexical")
+def bm25_topk(spark, d):
+    _, p, n = _index(spark, d)
+    return _lexical_out(lexical.bm25_topk(questions(spark, d), p, n, 30))
+
+
+@query(f"WITH {POSTINGS_SQL}, {ASKED_SQL}, {bm25_sql('asked', 30, True)} SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM lexical")
+def bm25_all_terms(spark, d):
+    _, p, n = _index(spark, d)
+    return _lexical_out(lexical.bm25_topk(questions(spark, d), p, n, 30, match="all"))
+
+
+@query()
+def query_signals(spark, d):
+    t = read(spark, d, "documents").select("doc_id", signals.signals(F.col("text")).alias("s"))
+    return t.select("doc_id", "s.*", F.array_join(signals.signal_terms(F.col("s")), " ").alias("terms"))
+
+
+@query()
+def query_variants(spark, d):
+    return signals.query_variants(read(spark, d, "documents").select(F.col("doc_id").alias("query_id"), "text"))
+
+
+# -- dense -----------------------------------------------------------------------------
+
+GRAMS_SQL = """gram_list AS (SELECT key, list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || '_' || ws[i + 1])) AS gs FROM (SELECT key, regexp_extract_all(lower(body), '[a-z0-9_]+') AS ws FROM keyed)),
+ gram AS (SELECT key, g, md5(g) AS h, count(*) AS k FROM (SELECT key, unnest(gs) AS g FROM gram_list) GROUP BY ALL),
+ counts AS (SELECT key, ((('0x' || h[7:8] || h[5:6] || h[3:4] || h[1:2])::UBIGINT) % 384)::INTEGER AS idx, sum(CASE WHEN ('0x' || h[9:10])::UBIGINT % 2 = 0 THEN k ELSE -k END)::BIGINT AS n FROM gram GROUP BY ALL HAVING n <> 0)"""
+
+
+@query(f"WITH keyed AS (SELECT item_id AS key, coalesce(text, '') AS body FROM benchmark), {GRAMS_SQL} SELECT key AS item_id, idx, n FROM counts")
+def hashing_embed(spark, d):
+    return hashing.counts(read(spark, d, "benchmark"), "item_id", "text").select("item_id", "idx", F.col("n").cast("long").alias("n"))
+
+
+def _vectors(spark, d):
+    return read(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
+
+
+COS_SQL = "pairs AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, greatest(0, (1 + list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[])) / 2) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0{})"
+RANK_SQL = "SELECT query_id, chunk_id, round(score, 6) AS score, (rn - 1)::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rn FROM {}) WHERE rn <= {}"
+
+
+def _asked_vectors(v):
+    return v.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+
+
+@query(f"WITH {COS_SQL.format('')} {RANK_SQL.format('pairs', 30)}")
+def dense_topk(spark, d):
+    v = _vectors(spark, d)
+    return _lexical_out(dense.dense_topk(_asked_vectors(v), v, 30))
+
+
+@query(f"WITH {COS_SQL.format(' AND v.label IN (1, 4)')} {RANK_SQL.format('pairs', 30)}")
+def dense_topk_filtered(spark, d):
+    v = _vectors(spark, d)
+    return _lexical_out(dense.dense_topk(_asked_vectors(v), filters.apply(v, {"label": [1, 4]}, ("label",)), 30))
+
+
+@query(f"WITH {COS_SQL.format('')}, merged AS (SELECT query_id // 100 AS query_id, chunk_id, max(score) AS score FROM pairs GROUP BY ALL) {RANK_SQL.format('merged', 20)}")
+def dense_multi_variant_merge(spark, d):
+    v = _vectors(spark, d)
+    hits = dense.dense_topk(_asked_vectors(v), v, 200)
+    return _lexical_out(dense.merge_variants(hits.withColumn("query_id", F.floor(F.col("query_id") / 100)), 20))
+
+
+@query()
+def dense_ann_lsh(spark, d):
+    v = _vectors(spark, d)
+    return dense.lsh_topk(_asked_vectors(v), v, 10, bucket=2.0)
+
+
+# -- fusion and search -----------------------------------------------------------------
+
+FUSE_SQL = """fused AS (SELECT query_id, chunk_id, d.rank AS dense_rank, x.rank AS lexical_rank, coalesce(1.0::DOUBLE / (61 + d.rank), 0) + coalesce(1.0::DOUBLE / (61 + x.rank), 0) AS score,
+ CASE WHEN x.rank IS NULL THEN 'dense' WHEN d.rank IS NULL THEN 'lexical' ELSE 'hybrid' END AS source FROM dense d FULL JOIN lexical x USING (query_id, chunk_id)),
+ hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dense_rank NULLS LAST, lexical_rank NULLS LAST, chunk_id) - 1 AS rank FROM fused)"""
+HITS_OUT = "SELECT query_id, chunk_id, dense_rank::INTEGER AS dense_rank, lexical_rank::INTEGER AS lexical_rank, round(score, 9) AS score, source, rank::INTEGER AS rank FROM hits"
+
+
+def _hits_out(df):
+    return df.select("query_id", "chunk_id", F.col("dense_rank").cast("int").alias("dense_rank"), F.col("lexical_rank").cast("int").alias("lexical_rank"), F.round("score", 9).alias("score"), "source", F.col("rank").cast("int").alias("rank"))
+
+
+@query(
+    f"WITH {COS_SQL.format('')}, r AS ({RANK_SQL.format('pairs', 30)}), dense AS (SELECT query_id, chunk_id, rank FROM r), p2 AS (SELECT query_id, chunk_id, score FROM pairs WHERE chunk_id % 3 = 0), r2 AS ({RANK_SQL.format('p2', 30)}), lexical AS (SELECT query_id, chunk_id, rank FROM r2), {FUSE_SQL} {HITS_OUT} WHERE rank < 20"
+)
+def rrf_fusion(spark, d):
+    v = _vectors(spark, d)
+    q = _asked_vectors(v)
+    return _hits_out(fusion.fuse(dense.dense_topk(q, v, 30), dense.dense_topk(q, v.filter("chunk_id % 3 = 0"), 30)))
+
+
+def _hybrid(spark, d, top_k=0):
+    c, p, n = _index(spark, d)
+    return c, search.hybrid(questions(spark, d), c, hashing.embed(c, "chunk_id", "embed_text"), p, n, top_k=top_k)
+
+
+@query()
+def hybrid_search(spark, d):
+    return _hits_out(_hybrid(spark, d)[1])
+
+
+#: A plain form of the same search: queries without identifiers, so one variant each.
+@query(
+    f"""WITH {POSTINGS_SQL}, asked AS (SELECT item_id AS query_id, trim(regexp_replace(lower(coalesce(text, '')), '[^a-z]+', ' ', 'g'))[1:600] AS text FROM benchmark), {bm25_sql('asked', 30)},
+ keyed AS (SELECT 'q' || query_id AS key, text AS body FROM asked UNION ALL SELECT 'd' || chunk_id, embed_text FROM chunks), {GRAMS_SQL}, norms AS (SELECT key, sqrt(sum(n * n)) AS norm FROM counts GROUP BY 1),
+ dots AS (SELECT a.key AS qk, b.key AS dk, sum(a.n * b.n) AS dot FROM counts a JOIN counts b USING (idx) WHERE a.key[1] = 'q' AND b.key[1] = 'd' GROUP BY ALL),
+ alld AS (SELECT query_id, chunk_id, greatest(0, (1 + coalesce(dot, 0) / (x.norm * y.norm)) / 2) AS score FROM asked CROSS JOIN chunks LEFT JOIN dots ON qk = 'q' || query_id AND dk = 'd' || chunk_id JOIN norms x ON x.key = 'q' || query_id JOIN norms y ON y.key = 'd' || chunk_id WHERE text <> ''),
+ dense AS (SELECT query_id, chunk_id, rank FROM ({RANK_SQL.format('alld', 30)})), {FUSE_SQL} {HITS_OUT} WHERE rank < 6"""
+)
+def hybrid_plain(spark, d):
+    c, p, n = _index(spark, d)
+    q = questions(spark, d).withColumn("text", F.substring(F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")), 1, 600))
+    return _hits_out(search.hybrid(q, c, hashing.embed(c, "chunk_id", "embed_text"), p, n))
+
+
+HIT_LINES = "hitl AS (SELECT page_id AS query_id, chunk_id, (row_number() OVER (PARTITION BY page_id ORDER BY chunk_index DESC) - 1) AS rank FROM line_chunks WHERE chunk_index % 4 = 1)"
+EXPAND_SQL = f"{LINES_SQL}, {HIT_LINES}, secs AS (SELECT query_id, page_id, section_index, min(rank) AS sr FROM hitl JOIN line_chunks USING (chunk_id) WHERE rank < 3 GROUP BY ALL), exp AS (SELECT query_id, chunk_id, page_title, page_url, body_text, row_number() OVER (PARTITION BY query_id ORDER BY sr, chunk_index, chunk_id) - 1 AS pos FROM secs JOIN line_chunks USING (page_id, section_index))"
+
+
+def _expanded(spark, d):
+    c = line_chunks(spark, d)
+    order = Window.partitionBy("page_id").orderBy(F.desc("chunk_index"))
+    hits = c.filter("chunk_index % 4 = 1").select(F.col("page_id").alias("query_id"), "chunk_id", (F.row_number().over(order) - 1).alias("rank")).filter("rank < 3")
+    return fusion.expand(hits, c)
+
+
+@query(f"WITH {EXPAND_SQL} SELECT query_id, chunk_id, pos::INTEGER AS pos FROM exp")
+def section_expand(spark, d):
+    return _expanded(spark, d).select("query_id", "chunk_id", F.col("pos").cast("int").alias("pos"))
+
+
+@query(
+    f"WITH {EXPAND_SQL}, b AS (SELECT query_id, pos, '[' || (pos + 1) || '] ' || page_title || ' — ' || page_title || chr(10) || '    source: ' || page_url || chr(10) || '    type: other' || chr(10) || chr(10) || body_text || chr(10) AS block FROM exp), u AS (SELECT *, sum(length(block)) OVER (PARTITION BY query_id ORDER BY pos) AS used FROM b) SELECT query_id, string_agg(block, chr(10) || '---' || chr(10) ORDER BY pos) AS context FROM u WHERE used <= 2000 GROUP BY 1"
+)
+def context_render(spark, d):
+    return fusion.render(_expanded(spark, d), 2000)
+
+
+# -- evaluation ------------------------------------------------------------------------
+
+EVAL_SQL = f"""{POSTINGS_SQL}, {ASKED_SQL}, {bm25_sql('asked', 10)}, j AS (SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS place FROM lexical JOIN chunks USING (chunk_id) JOIN asked USING (query_id) WHERE contains(body_text, asked.text)),
+ a AS (SELECT query_id, min(rank) AS first, sum(1 / log2(rank + 2.0)) AS dcg, sum(1 / log2(place + 2.0)) AS ideal FROM j GROUP BY 1), res AS (SELECT query_id, first IS NOT NULL AS hit, coalesce(1.0::DOUBLE / (first + 1), 0) AS rr, coalesce(dcg / ideal, 0) AS ndcg FROM asked LEFT JOIN a USING (query_id))"""
+
+
+def _results(spark, d):
+    c, p, n = _index(spark, d)
+    q = questions(spark, d)
+    hits = lexical.bm25_topk(q, p, n, 10).join(c.select("chunk_id", "body_text"), "chunk_id").join(q, "query_id")
+    return evaluate.case_results(q, hits.withColumn("relevant", F.contains("body_text", "text")), 10)
+
+
+@query(f"WITH {EVAL_SQL} SELECT count(*) AS cases, round(avg(hit::INTEGER), 6) AS recall, round(avg(rr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM res")
+def eval_metrics(spark, d):
+    r = evaluate.report(_results(spark, d))
+    return r.select("cases", *[F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg")])
+
+
+@query(f"WITH {EVAL_SQL} SELECT query_id FROM res WHERE NOT hit")
+def eval_misses(spark, d):
+    return evaluate.misses(_results(spark, d))
+
+
+@query("SELECT count(*) AS seen, count(*) FILTER (trim(coalesce(text, '')) <> '' AND doc_id % 3 <> 0) AS changed, count(*) FILTER (trim(coalesce(text, '')) = '' OR doc_id % 3 = 0) AS skipped FROM documents")
+def ingest_report(spark, d):
+    return incremental_diff(spark, d).agg(F.count(F.lit(1)).alias("seen"), F.count_if(F.col("action") == "ingest").alias("changed"), F.count_if(F.col("action") != "ingest").alias("skipped"))
+
+
+# -- Python operators: tested against plain models -------------------------------------
+
+
+@query()
+def normalize_pages(spark, d):
+    return normalize.normalize_pages(read(spark, d, "pages"), "html")
+
+
+@query()
+def chunk_documents(spark, d):
+    return chunking.chunk_documents(documents(spark, d))
+
+
+@query()
+def oversize_report(spark, d):
+    return chunking.oversize(chunk_documents(spark, d)).select("chunk_id", "token_count")
