@@ -3,20 +3,22 @@
 Both tokenizers' pre-tokenizers end a token where a non-space is followed by white
 space, and look no further than the white space before a word. So a text's ids
 are the ids of its chunks (white space, then a word) one after the other, and
-a chunk that was met before needs no second encoding. The cache is dropped when it
-holds ``CACHE`` chunks, which bounds its memory; results do not depend on it.
+a chunk that was met before needs no second encoding. The cache has two generations of
+about ``CACHE`` chunks, which bounds its memory; results do not depend on it.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
-CACHE = 400_000
+CACHE = 500_000
 LONGEST = 200
+_MARKS = frozenset(".,")
 #: Unicode's White_Space, as the tokenizers' patterns have it.
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
@@ -25,30 +27,57 @@ _ODD = re.compile("[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f
 
 
 class _Chunks(dict):
-    """Chunk -> its ids as little-endian bytes."""
+    """Chunk -> its ids as little-endian bytes. What was met lately is young; ``old`` is the generation before."""
 
-    def __init__(self, tokenizer, prefix: str, dtype: str) -> None:
+    def __init__(self, tokenizer, prefix: str, code: str) -> None:
         super().__init__()
-        self.tokenizer, self.prefix, self.dtype = tokenizer, prefix, dtype
+        self.tokenizer, self.prefix, self.code, self.old = tokenizer, prefix, code, {}
+        self.marks = {m: self._pack(tokenizer.encode(m, add_special_tokens=False).ids) for m in _MARKS}
 
-    def encode(self, chunk: str) -> bytes:
-        return np.array(self.tokenizer.encode(self.prefix + chunk, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+    def _pack(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.encode(chunk)
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self._pack(self.tokenizer.encode(self.prefix + chunk, add_special_tokens=False).ids)
         if len(chunk) <= LONGEST:
             self[chunk] = ids
         return ids
 
     def learn(self, chunks: set[str]) -> None:
-        """Encode what is new in one call, which costs less than a call for each."""
+        """Encode what is new in one call, which costs less than a call for each.
+
+        Between a letter and a mark a token always ends, so a word with a mark is the word's ids and the mark's
+        (but for letters that are a letter and an accent in lower case).
+        """
         if len(self) > CACHE:
+            self.old = dict(self)
             self.clear()
-        new = [c for c in chunks if c not in self and len(c) <= LONGEST]
+        old, marked, plain = self.old, [], set()
+        for c in chunks:
+            if c in self or len(c) > LONGEST:
+                continue
+            if (ids := old.get(c)) is not None:
+                self[c] = ids
+            elif c[-1:] in _MARKS and c[-2:-1].isalpha() and len(c[-2].lower()) == 1:
+                marked.append(c)
+                plain.add(c[:-1])
+            else:
+                plain.add(c)
+        new = []
+        for c in plain:
+            if c not in self:
+                if (ids := old.get(c)) is not None:
+                    self[c] = ids
+                else:
+                    new.append(c)
         if new:
-            p = self.prefix
+            p, pack = self.prefix, self._pack
             for c, e in zip(new, self.tokenizer.encode_batch_fast([p + c for c in new] if p else new, add_special_tokens=False)):
-                self[c] = np.array(e.ids, dtype=self.dtype).tobytes()
+                self[c] = pack(e.ids)
+        for c in marked:
+            self[c] = self[c[:-1]] + self.marks[c[-1]]
 
 
 class Encoder:
@@ -61,8 +90,9 @@ class Encoder:
         tokenizer = Tokenizer.from_file(path)
         if tokenizer.get_vocab_size() > 1 << (8 * np.dtype(dtype).itemsize):
             raise ValueError(f"{dtype} can't hold this vocabulary's ids")
-        self.first = _Chunks(tokenizer, "", dtype)
-        self.spaced = _Chunks(tokenizer, " ", dtype)
+        code = {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
+        self.first = _Chunks(tokenizer, "", code)
+        self.spaced = _Chunks(tokenizer, " ", code)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         split = [self._split(t) for t in texts]
