@@ -18,7 +18,7 @@ import numpy as np
 
 CACHE = 500_000
 LONGEST = 200
-_MARKS = frozenset(".,")
+_MARKS = ".,!?;:|*%$&#"
 #: Unicode's White_Space, as the tokenizers' patterns have it.
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
@@ -31,40 +31,54 @@ class _Chunks(dict):
 
     def __init__(self, tokenizer, prefix: str, code: str) -> None:
         super().__init__()
-        self.tokenizer, self.prefix, self.code, self.old = tokenizer, prefix, code, {}
-        self.marks = {m: self._pack(tokenizer.encode(m, add_special_tokens=False).ids) for m in _MARKS}
+        self.tokenizer, self.prefix, self.code, self.old, self.runs = tokenizer, prefix, code, {}, {}
+        ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+        self.folds = ids("\nA") == ids("a")
 
-    def _pack(self, ids: list[int]) -> bytes:
-        return array(self.code, ids).tobytes()
+    def _ids(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _whole(self, chunk: str) -> str:
+        return chunk if chunk[:1] == "\n" else self.prefix + chunk
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.old.get(chunk)
         if ids is None:
-            ids = self._pack(self.tokenizer.encode(self.prefix + chunk, add_special_tokens=False).ids)
+            ids = self._ids(self._whole(chunk))
         if len(chunk) <= LONGEST:
             self[chunk] = ids
         return ids
 
-    def learn(self, chunks: set[str]) -> None:
-        """Encode what is new in one call, which costs less than a call for each.
+    def parts(self, chunk: str) -> tuple[str, str]:
+        """A chunk whose ids it has, and marks that follow.
 
-        Between a letter and a mark a token always ends, so a word with a mark is the word's ids and the mark's
-        (but for letters that are a letter and an accent in lower case).
+        Between a letter and a mark a token always ends (but for letters that are a letter and an accent in lower
+        case). Where the tokenizer drops white space and case, an ASCII word stands for all its forms.
         """
+        core = chunk.rstrip(_MARKS)
+        if core and core[-1].isalpha() and len(core[-1].lower()) == 1:
+            run = chunk[len(core) :]
+        else:
+            core, run = chunk, ""
+        return (core.lower().lstrip("\n"), run) if self.folds and core.isascii() else (core, run)
+
+    def learn(self, chunks: set[str]) -> None:
+        """Encode what is new in one call, which costs less than a call for each."""
         if len(self) > CACHE:
             self.old = dict(self)
             self.clear()
-        old, marked, plain = self.old, [], set()
+            self.runs.clear()
+        old, made, plain = self.old, [], set()
         for c in chunks:
             if c in self or len(c) > LONGEST:
                 continue
             if (ids := old.get(c)) is not None:
                 self[c] = ids
-            elif c[-1:] in _MARKS and c[-2:-1].isalpha() and len(c[-2].lower()) == 1:
-                marked.append(c)
-                plain.add(c[:-1])
-            else:
-                plain.add(c)
+                continue
+            core, run = self.parts(c)
+            plain.add(core)
+            if core != c:
+                made.append((c, core, run))
         new = []
         for c in plain:
             if c not in self:
@@ -73,11 +87,14 @@ class _Chunks(dict):
                 else:
                     new.append(c)
         if new:
-            p, pack = self.prefix, self._pack
-            for c, e in zip(new, self.tokenizer.encode_batch_fast([p + c for c in new] if p else new, add_special_tokens=False)):
-                self[c] = pack(e.ids)
-        for c in marked:
-            self[c] = self[c[:-1]] + self.marks[c[-1]]
+            code = self.code
+            for c, e in zip(new, self.tokenizer.encode_batch_fast([self._whole(c) for c in new], add_special_tokens=False)):
+                self[c] = array(code, e.ids).tobytes()
+        runs = self.runs
+        for c, core, run in made:
+            if run not in runs:
+                runs[run] = self._ids(run)
+            self[c] = self[core] + runs[run]
 
 
 class Encoder:
@@ -109,10 +126,10 @@ class Encoder:
 
     @staticmethod
     def _split(text: str) -> tuple[list[str], bool]:
-        """Chunks; True if all but the first stand for a space and themselves."""
-        if "  " in text or " \n" in text or "\n " in text or text[-1:] in ("", " ") or _ODD.search(text):
+        """Chunks; True if all but the first stand for a space and themselves, or begin with their line feed."""
+        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[-1:] in ("", " ") or _ODD.search(text):
             return _CHUNK.findall(text), False
-        return text.split(" "), True
+        return text.replace("\n", " \n").split(" "), True
 
 
 @lru_cache(maxsize=4)

@@ -1,0 +1,199 @@
+"""PII, nearest neighbours, HTML extraction, language identification."""
+
+import hashlib
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from runloom.llm import ann, html_main, langid, pii
+from runloom.llm.common import table
+from runloom.llm.queries import QUERIES
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def plain_spans(t):
+    digits = lambda s: "".join(c for c in s if c.isdigit())
+    out = [("email", *m.span()) for m in EMAIL.finditer(t)]
+    out += [("ip", *m.span()) for m in IP.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("card", *m.span()) for m in CARD.finditer(t) if 13 <= len(digits(m[0])) <= 19 and pii.luhn(digits(m[0]))]
+    return out + [("phone", *m.span()) for m in PHONE.finditer(t) if 9 <= len(digits(m[0])) <= 15]
+
+
+def test_base_spans_match_the_patterns():
+    import random
+
+    r = random.Random(1)
+    some = "ab.@-%+ 0123456789()\n4539"
+    texts = ["".join(r.choice(some) for _ in range(r.randint(0, 70))) for _ in range(8000)] + ["a@b@c.de.f", "x@y.z@w.v", "1.2.3.4.5", "999.1.1.1", "4111 1111 1111 1111", "+1 (555) 010-9999"]
+    for t in texts:
+        assert pii.base_spans(t) == plain_spans(t), t
+
+
+def test_field_on_unseen_sentences():
+    w = pii.weights()
+    right = total = found = 0
+    for text, gold in pii.sentences(200, seed=1234):
+        want = {s for s in gold if s[0] in pii.ADDED}
+        got = {s for s in pii.find_spans(text, w) if s[0] in pii.ADDED}
+        right, total, found = right + len(want & got), total + len(want), found + len(got)
+    assert right >= 0.97 * total and right >= 0.97 * found
+
+
+def test_decoding_is_the_best_segmentation():
+    """Against all segmentations of small windows."""
+    w = pii.weights()
+    for text, _ in pii.sentences(12, seed=8):
+        text = text[:60]
+        tokens, segments = pii.lattice(text, 0, len(text))
+        scored = [(i, j, max(sum(w[x] for x in f if x in w))) for i, j, f in segments]
+        def best(k):
+            top = 0.0 if k >= len(tokens) else best(k + 1)
+            return max([top, *(s + best(j) for i, j, s in scored if i == k)])
+        got = pii.decode(text, 0, len(text), w)
+        spans = {(tokens[i][0], tokens[j - 1][1]): s for i, j, s in scored}
+        assert sum(spans[a, b] for _, a, b in got) == pytest.approx(best(0))
+
+
+def test_pii_rows(spark, docs, no_docs):
+    assert pii.find_pii(no_docs, ["doc_id"]).count() == 0
+    rows = {r.doc_id: r for r in pii.find_pii(docs, ["doc_id"]).collect()}
+    r = rows[7]
+    assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (1, 0, 0, 1) and r.spans == "email:5:24,phone:28:45,secret:56:74"
+    assert r.base_sha256 == hashlib.sha256(b"email:5:24,phone:28:45").hexdigest()
+    assert rows[3].spans == "" and rows[3].base_sha256 == hashlib.sha256(b"").hexdigest()
+    red = {r.doc_id: r for r in pii.redact_documents(docs).collect()}
+    assert red[7].text == "Mail [EMAIL] or [PHONE], password=[SECRET]" and red[7].n_chars == len(red[7].text)
+    assert red[3].text is None and red[1].text == docs.filter("doc_id = 1").first().text
+
+
+def brute_nearest(rows, k=20):
+    rows = [(i, np.array(v, dtype=np.float64)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    for i, q in rows:
+        if i % 20 == 0:
+            near = sorted((-float((x * q).sum()), j) for j, x in rows if j != i)[:k]
+            yield from ((i, r, j, -s) for r, (s, j) in enumerate(near, 1))
+
+
+def test_nearest_neighbours(spark, sample):
+    cases = [[(i, [float(i % 3), 1.0]) for i in range(70)] + [(100, None), (120, []), (140, [0.0, 0.0]), (160, [1.0, None]), (180, [float("nan"), 1.0])], [(0, [1.0]), (1, [2.0])]]
+    for rows in cases:
+        d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("cell", F.lit(1))
+        got = [tuple(r) for r in ann.nearest(d, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
+        assert got == list(brute_nearest(rows))
+    assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_recall_with_small_leaves(spark):
+    d = table(spark, "/root/testdata/sf0.1", "embeddings")
+    want = {(q, v) for q, _, v, _ in brute_nearest([(r.vec_id, r.embedding) for r in d.collect()])}
+    got = {(r.query_id, r.vec_id) for r in ann.nearest(d, F.col("vec_id") % 20 == 0, leaf=64, probes=96).collect()}
+    assert len(want & got) >= 0.9 * len(want)
+
+
+def test_forest_search_is_the_priority_queue():
+    import heapq
+
+    r = np.random.default_rng(0)
+    x = r.standard_normal((400, 6))
+    f = ann.Forest(x, 3, 5)
+    q = r.standard_normal((5, 6))
+    tree, node = f.search(q, 20)
+    for k in range(5):
+        heap, out = [(-np.inf, t, 0, 0) for t in range(3)], []
+        while len(out) < 20:
+            p, t, d, n = heapq.heappop(heap)
+            if d == f.depth:
+                out.append(p)
+                continue
+            m = float(q[k] @ f.normals[d][t, n] - f.offsets[d][t, n])
+            near = int(m > 0)
+            heapq.heappush(heap, (p, t, d + 1, 2 * n + near))
+            heapq.heappush(heap, (max(p, abs(m)), t, d + 1, 2 * n + 1 - near))
+        # Leaves of equal priority may stand for each other.
+        got = []
+        for t, leaf in zip(tree[k].tolist(), node[k].tolist()):
+            p = -np.inf
+            for d in range(f.depth):
+                n, side = leaf >> (f.depth - d), leaf >> (f.depth - d - 1) & 1
+                m = float(q[k] @ f.normals[d][t, n] - f.offsets[d][t, n])
+                p = p if side == int(m > 0) else max(p, abs(m))
+            got.append(p)
+        assert len(set(zip(tree[k].tolist(), node[k].tolist()))) == 20 and np.allclose(sorted(got), sorted(out))
+
+
+PAGE = (
+    "<!DOCTYPE html><html><head><title>T</title><script>var t='</p>';</script></head><body><nav><ul><li><a href='/a'>one</a></li><li><a href='/b'>two</a></li></ul></nav>"
+    "<div class=\"ad\">Buy this now. Great price.</div><article><h1>A title &amp; more</h1><p><b>First line<br><p>Second   block of text, with some words. And more of them here.</p></article>"
+    "<footer>&copy; example &middot; rights.</footer></body></html>"
+)
+
+
+def test_extracts_the_article():
+    m = html_main.model()
+    assert html_main.extract([PAGE], m) == ["A title & more First line Second block of text, with some words. And more of them here."]
+    assert html_main.extract([None, "", "<p", "<<>>&", "<div>" * 3000 + "x"], m)[:2] == ["", ""]
+
+
+def test_extraction_on_unseen_layouts():
+    m = html_main.model()
+    g = html_main.Generator(991)
+    score = []
+    for _ in range(120):
+        source = g.page()
+        page = html_main.parse(source)
+        gold = " ".join("".join(" " if n < 0 else t if g.MARK in t else "" for n, t, _ in page.texts).replace(g.MARK, "").split()).split()
+        got = html_main.extract([source.replace(g.MARK, "")], m)[0].split()
+        both = len(set(gold) & set(got))
+        score.append(2 * both / max(1, len(set(gold)) + len(set(got))))
+    assert sum(score) / len(score) > 0.8
+
+
+def test_states_never_contradict():
+    m = html_main.model()
+    g = html_main.Generator(17)
+    for _ in range(20):
+        page = html_main.parse(g.page())
+        f, _ = html_main.describe(page)
+        state = html_main.decode(page.parents, m.probability(f), m.moves)
+        for i in range(1, len(state)):
+            assert state[i] >= state[page.parents[i]]
+
+
+def test_driver_pages(spark, sample):
+    import html
+
+    rows = QUERIES["op6_html"](spark, sample).collect()
+    source = {r.page_id: r.html for r in table(spark, sample, "pages").collect()}
+    good = 0
+    for r in rows:
+        body = re.search(r"(?s)<article>(.*?)</article>", source[r.page_id])
+        want = " ".join(html.unescape(re.sub(r"</?b>", "", body[1]) if not body else re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", body[1]))).split()) if body else ""
+        good += r.text == want
+        assert r.n_chars == len(r.text)
+    assert good >= 0.95 * len(rows)
+
+
+def test_languages(spark, docs, no_docs, sample):
+    h = langid.held_out(F.col("doc_id"))
+    assert langid.identify(no_docs, ~h, ["doc_id"]).count() == 0
+    rows = langid.identify(docs, F.lit(True), ["doc_id"]).collect()
+    assert len(rows) == docs.count()
+    assert {r.doc_id: r.lang_pred for r in rows if r.doc_id in (3, 4, 5)} == {3: "und", 4: "und", 5: "und"}
+    out = QUERIES["op7_langid"](spark, sample).join(table(spark, sample, "documents").select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in out if r.held_out]
+    assert held and sum(r.lang == r.lang_pred for r in held) >= 0.97 * len(held)
+    assert all(0 <= r.score <= 1 for r in out)
+
+
+def test_folded_scores_equal_the_kernel():
+    rows = [("the cat sat on the mat", "en"), ("a dog and the man", "en"), ("le chat est la", "fr"), ("une table et des mots", "fr")]
+    m = langid.fit(rows, landmarks=2)
+    grams = [[langid.bins(langid.letters(t), n) for n in langid.ORDERS] for t, _ in rows]
+    k = langid.kernel(grams, grams)
+    assert np.allclose(k, k.T, atol=1e-5) and np.allclose(np.diag(k), 3, atol=1e-4)
+    assert [p for p, _ in langid.predict(m, [t for t, _ in rows])] == ["en", "en", "fr", "fr"]
