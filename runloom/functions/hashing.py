@@ -35,9 +35,9 @@ def slot(gram: Column) -> Column:
 
 def counts(rows: DataFrame, key: str, text: str) -> DataFrame:
     """key, text -> key, idx, n: the non-zero counts, by DataFrame operations."""
-    g = rows.select(key, F.explode(grams(F.col(text))).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("k"))
-    s = g.select(key, slot(F.col("gram")).alias("s"), "k")
-    return s.groupBy(key, F.col("s.idx").alias("idx")).agg(F.sum(F.col("s.sign") * F.col("k")).alias("n")).filter("n <> 0")
+    g = rows.select(key, F.explode(grams(F.col(text))).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("_times"))
+    s = g.select(key, slot(F.col("gram")).alias("_slot"), "_times")
+    return s.groupBy(key, F.col("_slot.idx").alias("idx")).agg(F.sum(F.col("_slot.sign") * F.col("_times")).alias("n")).filter("n <> 0")
 
 
 def count_vector(text: str | None, cache: dict[str, tuple[int, int]]) -> np.ndarray:
