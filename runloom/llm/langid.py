@@ -156,10 +156,16 @@ def predict(model: Model, texts: list[str | None], batch: int = 64) -> list[tupl
 def learn(docs: DataFrame, may_learn: Column, per_language: int = PER_LANGUAGE) -> Model:
     """Fit on a bounded sample of labelled rows, the same at each run."""
     d = docs.filter(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    h = F.xxhash64("doc_id")
+    # Of a language with many rows, only about twice the rows wanted go on to be ranked: the least hashes.
+    share = F.pmod(h, F.lit(1 << 31)) / float(1 << 31)
+    many = F.broadcast(d.groupBy("lang").agg(F.count(F.lit(1)).alias("many")))  # one row a language
+    some = d.select("doc_id", "lang", share.alias("h")).join(many, "lang").filter(F.col("h") <= 2.0 * per_language / F.col("many"))
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = d.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_language)
-    # per_language rows for each language: bounded, as languages are few.
-    picked = d.select("doc_id", "text", F.col("lang").alias("l")).join(F.broadcast(ids.select("doc_id", "lang", "n")), "doc_id").filter("l = lang")
+    ids = some.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_language)
+    # per_language ids for each language: bounded, as languages are few. Rows that repeat an id count once.
+    ids = F.broadcast(ids.groupBy("doc_id", "lang").agg(F.min("n").alias("n")))
+    picked = d.select("doc_id", "text", "lang").join(ids, ["doc_id", "lang"]).groupBy("doc_id", "lang", "n").agg(F.max("text").alias("text"))
     rows = picked.select("text", "lang", "n", "doc_id").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["lang"], r["n"], r["doc_id"] is None, r["doc_id"], r["text"]))
     return fit([(r["text"], r["lang"]) for r in rows])
