@@ -406,7 +406,7 @@ class Generator:
         if kind < 0.62:
             text = self.words(2 if r.random() < 0.2 else 12, 120, True)
             if r.random() < 0.2:
-                text = text.replace(" ", " <a href='/y'>", 1) + "</a>"
+                text = text.replace(" ", f" <a href='/y'>{self.MARK}", 1) + "</a>" if " " in text else text
             return r.choice([f"<p>{text}</p>", f"<p>{text}</p>", f"<p>{text}", f"<p><b>{text}<br>", f"<div>{text}</div>"])
         if kind < 0.74:
             return f"<h{(k := r.randint(2, 4))}>{self.words(1, 8, True)}</h{k}>"
