@@ -84,7 +84,9 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end: int = END, pa
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    d = d.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # Rows that share an id are told apart by their text, so that no id fills a range of its own.
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    d = d.repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
     fs_, root = _open(path)
     fs_.create_dir(root, recursive=True)
     dtype = id_type(tokenizer)
