@@ -389,6 +389,8 @@ def _rekeyed(keys: list[str], own: pa.Array, fp: np.ndarray, at: np.ndarray, bit
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Edges (a, b) -> (node, root): the least node of each component, by alternating stars."""
     e = checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    sign = lambda d: tuple(d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    old = sign(e)
     for _ in range(rounds):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -398,11 +400,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("x"), "m").union(low.select(F.col("a").alias("x"), "m"))
         new = checkpoint(small.filter("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct())
-        # Stars only: each node has one root, and roots have none.
-        n = new.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("h")).first()
-        old = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("h")).first()
-        e = new
-        if tuple(n) == tuple(old):
+        # A round that changes nothing ends it: then each node has one root, and roots have none.
+        before, old, e = old, sign(new), new
+        if old == before:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     raise RuntimeError("components did not settle")
 
