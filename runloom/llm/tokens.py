@@ -19,6 +19,8 @@ import numpy as np
 CACHE = 500_000
 LONGEST = 200
 _MARKS = ".,!?;:|*%$&#"
+#: How byte-level vocabularies write a space.
+_SPACE = chr(0x120)
 #: Unicode's White_Space, as the tokenizers' patterns have it.
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
@@ -34,6 +36,9 @@ class _Chunks(dict):
         self.tokenizer, self.prefix, self.code, self.old, self.runs = tokenizer, prefix, code, {}, {}
         ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
         self.folds = ids("\nA") == ids("a")
+        tokens = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
+        self.at_end = any(t.endswith("</w>") for t in tokens)
+        self.edges = np.array([t.endswith("</w>") if self.at_end else t.startswith(_SPACE) for t in tokens])
 
     def _ids(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -62,39 +67,64 @@ class _Chunks(dict):
             core, run = chunk, ""
         return (core.lower().lstrip("\n"), run) if self.folds and core.isascii() else (core, run)
 
+    def _encode_words(self, words: list[str]) -> None:
+        """Encode words of letters as one text, and part its ids again where a word begins (or ends).
+
+        Each such word is one pre-token, so its first id is one with a space (or its last one with a word end).
+        Should the count of these differ from that of the words, nothing is kept.
+        """
+        if not (self.prefix and words):
+            return
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids)
+        edge = np.flatnonzero(self.edges[ids]) + self.at_end
+        if len(edge) != len(words):
+            return
+        width = array(self.code).itemsize
+        raw = ids.astype(f"<u{width}").tobytes()
+        cuts = (edge * width).tolist()
+        cuts = [0, *cuts] if self.at_end else [*cuts, len(raw)]
+        for c, a, b in zip(words, cuts, cuts[1:]):
+            self[c] = raw[a:b]
+
     def learn(self, chunks: set[str]) -> None:
         """Encode what is new in one call, which costs less than a call for each."""
         if len(self) > CACHE:
             self.old = dict(self)
             self.clear()
             self.runs.clear()
-        old, made, plain = self.old, [], set()
+        old, made, plain, folds, prefix = self.old, [], {}, self.folds, self.prefix
         for c in chunks:
             if c in self or len(c) > LONGEST:
                 continue
             if (ids := old.get(c)) is not None:
                 self[c] = ids
                 continue
+            # The same as parts(), without its call for the many plain words.
+            if c.isalpha() and not (folds and c.isascii() and not c.islower()):
+                plain[c] = None
+                continue
             core, run = self.parts(c)
-            plain.add(core)
             if core != c:
                 made.append((c, core, run))
-        new = []
-        for c in plain:
-            if c not in self:
-                if (ids := old.get(c)) is not None:
-                    self[c] = ids
-                else:
-                    new.append(c)
-        if new:
+                if core in self:
+                    continue
+                if (ids := old.get(core)) is not None:
+                    self[core] = ids
+                    continue
+            plain[core] = None
+        if plain:
+            self._encode_words([c for c in plain if c.isalpha()])
+            rest = [c for c in plain if c not in self]
             code = self.code
-            for c, e in zip(new, self.tokenizer.encode_batch_fast([self._whole(c) for c in new], add_special_tokens=False)):
+            texts = [c if c[:1] == "\n" else prefix + c for c in rest]
+            for c, e in zip(rest, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
                 self[c] = array(code, e.ids).tobytes()
         runs = self.runs
         for c, core, run in made:
-            if run not in runs:
-                runs[run] = self._ids(run)
-            self[c] = self[core] + runs[run]
+            ids = runs.get(run)
+            if ids is None:
+                ids = runs[run] = self._ids(run)
+            self[c] = self[core] + ids
 
 
 class Encoder:
@@ -146,7 +176,7 @@ def encoder(path: str, dtype: str = "<u4") -> Encoder:
     return Encoder(path, dtype)
 
 
-def slices(sizes: list[int], most: int = 2_000_000) -> list[slice]:
+def slices(sizes: list[int], most: int = 6_000_000) -> list[slice]:
     """Runs of texts of about ``most`` characters, so that a batch of long texts is not held at once."""
     out, first, n = [], 0, 0
     for i, s in enumerate(sizes):
