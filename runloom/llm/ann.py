@@ -11,7 +11,9 @@
 4. Each query searches all trees through one priority queue: a node's priority is the least
    margin on its path by which the query lies on the other side. Since the near child
    keeps its parent's priority, taking the best PROBES nodes of all trees level by
-   level gives exactly the leaves that a heap would pop first.
+   level gives exactly the leaves that a heap would pop first. PROBES is the least
+   number: a pass over the table finds the exact neighbours of TRIALS queries, and the search
+   takes as many leaves as their recall needs to reach HOLD (see ``probes_for``).
 5. Leaf by leaf, queries meet rows in blocks and are scored exactly, in double precision; the
    best of all leaves are merged. A leaf with more than BLOCK rows is
    spread over several tasks, each of which gets the leaf's queries.
@@ -37,6 +39,9 @@ SAMPLE = 20_000
 LEAF = 1024
 LEAST_SAMPLE = 8
 PROBES = 96
+#: Queries (by another hash than the sample's) whose exact neighbours settle the probes, and the recall they are to reach.
+TRIALS = 128
+HOLD = 0.95
 BLOCK = 8192
 K = 20
 
@@ -154,8 +159,54 @@ def valid_vectors(vectors: DataFrame) -> DataFrame:
     return d.mapInArrow(run, "vec_id long, vec binary, norm double, dims int")
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = K, trees: int = TREES, probes: int = PROBES, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
-    """vec_id, embedding -> query_id, rank, vec_id, score."""
+def exact_neighbours(base: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int, dtype: str) -> list[list[bytes]]:
+    """The vectors of each query's k nearest rows, by one pass over all rows; a few queries only."""
+    asked = base.sparkSession.sparkContext.broadcast((q_ids, q))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x = asked.value
+        best: list[list[tuple[float, int, bytes]]] = [[] for _ in ids]
+        for b in batches:
+            for i in range(0, len(b), BLOCK):
+                part = b.slice(i, BLOCK)
+                at = part.column(0).to_numpy()
+                place, rows = dict(zip(at.tolist(), range(len(at)))), _matrix(part.column(1), dtype)
+                for j, found in enumerate(best_of_block(ids, x, at, rows, k)):
+                    best[j] = sorted([*best[j], *((-s, v, part.column(1)[place[v]].as_py()) for s, v in found)])[:k]
+        n = [j for j, found in enumerate(best) for _ in found]
+        flat = [f for found in best for f in found]
+        yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array([f[0] for f in flat], pa.float64()), pa.array([f[1] for f in flat], pa.int64()), pa.array([f[2] for f in flat], pa.binary())], ["n", "s", "v", "vec"])
+
+    found = base.mapInArrow(run, "n int, s double, v long, vec binary")
+    found = found.groupBy("n").agg(F.slice(F.array_sort(F.collect_list(F.struct("s", "v", "vec"))), 1, k).alias("near"))
+    out: list[list[bytes]] = [[] for _ in q_ids]
+    for r in found.collect():
+        out[r["n"]] = [bytes(x["vec"]) for x in r["near"]]
+    return out
+
+
+def probes_for(forest: Forest, q: np.ndarray, near: list[np.ndarray], hold: float) -> int:
+    """The least number of probes with which the queries find the share ``hold`` of their exact neighbours."""
+    total = forest.n_trees << forest.depth
+    needed = []
+    for x, rows in zip(q, near):
+        if not len(rows):
+            continue
+        tree, node = forest.search(x[None], total)
+        place = np.empty((forest.n_trees, 1 << forest.depth), dtype=np.int64)
+        place[tree[0], node[0]] = np.arange(1, total + 1)
+        # A row is found with the first of its leaves. Each query weighs the same.
+        needed += [(int(p), 1 / len(rows)) for p in place[np.arange(forest.n_trees), forest.leaves(rows)].min(axis=1)]
+    if not needed:
+        return 1
+    at, weight = np.array([p for p, _ in needed]), np.array([w for _, w in needed])
+    order = np.argsort(at, kind="stable")
+    share = np.cumsum(weight[order]) / weight.sum()
+    return int(at[order][min(np.searchsorted(share, hold - 1e-12), len(order) - 1)])
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = K, trees: int = TREES, probes: int = PROBES, leaf: int = LEAF, sample: int = SAMPLE, hold: float = HOLD) -> DataFrame:
+    """vec_id, embedding -> query_id, rank, vec_id, score. ``probes`` is the least number of leaves a query visits."""
     spark = vectors.sparkSession
     v, dtype = checkpoint(valid_vectors(vectors)), stored(vectors)
     usual = v.groupBy("dims").count().orderBy(F.desc("count"), "dims").first()
@@ -172,6 +223,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, trees: int = TREES
     forest = Forest(points, trees, depth)
     shared = spark.sparkContext.broadcast(forest)  # SAMPLE / LEAST_SAMPLE planes a tree at most
 
+    base = v.select("vec_id", "vec")
+    if probes < trees << depth:
+        trial = base.filter(is_query).orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(TRIALS).toArrow().combine_chunks()
+        if len(trial):
+            q = _matrix(trial.column(1).combine_chunks(), dtype)
+            found = exact_neighbours(base, trial.column(0).to_numpy(), q, k, dtype)
+            near = [augment(np.frombuffer(b"".join(f), dtype=dtype).reshape(len(f), -1).astype(np.float64), norm_max) if f else np.zeros((0, 0)) for f in found]
+            probes = max(probes, probes_for(forest, augment(q, norm_max, query=True), near, hold))
+
     def file_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not len(b):
@@ -182,14 +242,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, trees: int = TREES
 
     def file_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, len(b), 512):
-                part = b.slice(i, 512)
+            step = max(1, 512 * PROBES // max(probes, PROBES))
+            for i in range(0, len(b), step):
+                part = b.slice(i, step)
                 tree, node = shared.value.search(augment(_matrix(part.column(1), dtype), norm_max, query=True), probes)
                 who = pa.array(np.repeat(np.arange(len(part)), tree.shape[1]))
                 yield pa.RecordBatch.from_arrays([pa.array((node * trees + tree).ravel()), part.column(0).take(who), part.column(1).take(who)], ["cell", "id", "vec"])
 
     schema = "cell long, id long, vec binary"
-    base = v.select("vec_id", "vec")
     filed = base.mapInArrow(file_rows, schema)
     # One count a leaf; leaves are bounded by the sample.
     sizes = filed.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"))

@@ -95,6 +95,19 @@ def test_recall_with_small_leaves(spark):
     assert len(want & got) >= 0.9 * len(want)
 
 
+def test_probes_grow_until_recall_holds(spark):
+    """Vectors without much structure in more leaves than the least number of probes can cover."""
+    r = np.random.default_rng(3)
+    x = (0.5 * r.standard_normal((8, 64))[r.integers(0, 8, 12_000)] + r.standard_normal((12_000, 64))).astype(np.float32)
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    some = np.arange(0, 12_000, 240)
+    s = x[some].astype(float) @ x.T.astype(float)
+    s[np.arange(len(some)), some] = -np.inf
+    want = {(int(q), int(v)) for q, near in zip(some, np.argsort(-s, axis=1)[:, :20]) for v in near}
+    got = {(r.query_id, r.vec_id) for r in ann.nearest(d, F.col("vec_id") % 240 == 0, leaf=16).collect()}
+    assert len(want & got) >= 0.9 * len(want)
+
+
 def test_forest_search_is_the_priority_queue():
     import heapq
 
