@@ -1,11 +1,12 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
-Sources' word streams are cut into equal-token blocks. The mix has as many seats
-as blocks fit into it; Sainte-Laguë gives them to the sources by highest
+The mix has one seat a word; Sainte-Laguë gives the seats to the sources by highest
 quotients target / (2 * seats + 1). As the method is house-monotone, quotas of
 consecutive output shards are differences of apportionments of growing houses.
-A seeded permutation of a source's blocks then selects the blocks: a quota of
-q seats over n blocks takes each block q div n times and q mod n of them once more.
+Each source's word stream is cut into blocks of BLOCK words, whatever the other sources
+hold. A seeded permutation of the blocks then selects them: a quota of q words over a
+source of n takes each block q div n times, and the first blocks in permuted order once
+more, until q mod n words are taken; only the last of these is cut.
 
 Everything is a DataFrame or SQL function. The quotients' threshold is found by
 bisection over one row per source (source counts are metadata: one row each).
@@ -27,8 +28,8 @@ CELLS = 4096
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 CAP = 2.0
-#: Blocks in the smallest source that has words.
-LEAST_BLOCKS = 512
+#: Words in a block, of any source. The last block of a source may be shorter.
+BLOCK = 1024
 #: Steps of the permutation: primes, so that one of them has no divisor in common with any block count.
 STEPS = (536870909, 536870879)
 
@@ -76,14 +77,12 @@ def apportion(targets: Column, seats: Column) -> Column:
 
 
 def quotas(targets: DataFrame, seed: int, n_shards: int = 1) -> DataFrame:
-    """One row a source: block size, blocks, seats, its permutation, and quotas by shard."""
+    """One row a source: block size, blocks, seats (words), its permutation, and quotas by shard."""
     row = targets.agg(
         F.sort_array(F.collect_list(F.struct("rank", "target", "skey", "source", "source_size"))).alias("s"),
         F.max("mix").alias("mix"),
-        F.min(F.when(F.col("source_size") > 0, F.col("source_size"))).alias("least"),
     ).filter(F.size("s") > 0)
-    row = row.withColumn("block", F.greatest(F.lit(1), F.floor(F.coalesce("least", F.lit(1)) / LEAST_BLOCKS)).cast("long"))
-    row = row.withColumn("house", F.round(F.col("mix") / F.col("block")).cast("long")).withColumn("t", F.transform("s", lambda x: x["target"]))
+    row = row.withColumn("block", F.lit(BLOCK).cast("long")).withColumn("house", F.round("mix").cast("long")).withColumn("t", F.transform("s", lambda x: x["target"]))
     houses = row.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_shards))).alias("k")).withColumn("seats", F.floor(F.col("house") * F.col("k") / n_shards).cast("long"))
     given = houses.select("block", "k", "s", F.explode(apportion(F.col("t"), F.col("seats"))).alias("g"))
     given = given.select("block", "k", F.element_at("s", (F.col("g.i") + 1).cast("int")).alias("x"), F.col("g.seats").alias("seats"))
@@ -96,24 +95,34 @@ def quotas(targets: DataFrame, seed: int, n_shards: int = 1) -> DataFrame:
         F.col("x.target").alias("target"),
         "block",
         blocks.alias("blocks"),
-        F.least(F.element_at("by_house", -1)["seats"], (2 * blocks).cast("long")).alias("seats"),
+        F.least(F.element_at("by_house", -1)["seats"], (2 * F.col("x.source_size")).cast("long")).alias("seats"),
         F.transform("by_house", lambda y, i: y["seats"] - F.when(i > 0, F.get("by_house", i - 1)["seats"]).otherwise(0)).alias("shard_quotas"),
         F.when(blocks % STEPS[0] != 0, F.lit(STEPS[0])).otherwise(F.lit(STEPS[1])).cast("long").alias("step"),
         F.pmod(F.xxhash64(F.col("x.skey"), F.lit(seed)), blocks).alias("shift"),
     )
 
 
-def times(block: Column) -> Column:
-    """How often the mix takes a block."""
-    drawn = F.pmod(F.col("step") * block + F.col("shift"), F.col("blocks"))
-    return F.floor(F.col("seats") / F.col("blocks")).cast("long") + F.when(drawn < F.col("seats") % F.col("blocks"), 1).otherwise(0)
+def rounds() -> Column:
+    """How often the mix takes every block of a source."""
+    return F.floor(F.col("seats") / F.greatest("source_size", F.lit(1))).cast("long")
+
+
+def once_more(block: Column) -> Column:
+    """How many words at a block's start the mix takes once more: all, none, or part of the last one drawn."""
+    drawn = lambda b: F.pmod(F.col("step") * b + F.col("shift"), F.col("blocks"))
+    last = F.col("blocks") - 1
+    short = F.col("blocks") * F.col("block") - F.col("source_size")
+    before = drawn(block) * F.col("block") - F.when(drawn(block) > drawn(last), short).otherwise(0)
+    size = F.col("block") - F.when(block == last, short).otherwise(0)
+    left = F.col("seats") - rounds() * F.col("source_size") - before
+    return F.least(size, F.greatest(left, F.lit(0))).cast("long")
 
 
 def mix(docs: DataFrame, seed: int = 17, n_shards: int = 1, keep: list[str] | None = None) -> DataFrame:
     """doc_id, source, text -> doc_id, size, source, source_size, target, taken, pieces.
 
-    ``pieces``: (first word, end, times) inside the document, for each block that
-    it lies in and that is taken. ``keep``: further columns to carry along.
+    ``pieces``: (first word, end, times) inside the document, for each part of a block
+    that it lies in and that is taken. ``keep``: further columns to carry along.
     """
     keep = keep or []
     d = docs.select(
@@ -138,12 +147,16 @@ def mix(docs: DataFrame, seed: int = 17, n_shards: int = 1, keep: list[str] | No
         F.col("size") > 0,
         F.sequence(F.floor(F.col("start") / F.col("block")), F.floor((F.col("start") + F.col("size") - 1) / F.col("block"))),
     ).otherwise(F.array().cast("array<bigint>"))
-    piece = lambda b: F.struct(
-        (F.greatest(b * F.col("block"), "start") - F.col("start")).alias("first"),
-        (F.least((b + 1) * F.col("block"), F.col("start") + F.col("size")) - F.col("start")).alias("end"),
-        times(b).alias("times"),
-    )
-    d = d.withColumn("pieces", F.transform(blocks, piece))
+    inside_doc = lambda at: F.least(F.greatest(at, "start"), F.col("start") + F.col("size")) - F.col("start")
+
+    def pieces(b: Column) -> Column:
+        first, cut, end = (inside_doc(b * F.col("block") + x) for x in (F.lit(0), once_more(b), F.col("block")))
+        return F.array(
+            F.struct(first.alias("first"), cut.alias("end"), (F.col("rounds") + 1).alias("times")),
+            F.struct(cut.alias("first"), end.alias("end"), F.col("rounds").alias("times")),
+        )
+
+    d = d.withColumn("rounds", rounds()).withColumn("pieces", F.filter(F.flatten(F.transform(blocks, pieces)), lambda p: p["end"] > p["first"]))
     taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + (p["end"] - p["first"]) * p["times"])
     return d.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), F.filter("pieces", lambda p: p["times"] > 0).alias("pieces"), *keep)
 

@@ -124,3 +124,20 @@ def test_mixed_documents_hold_the_words_taken(spark, docs):
         got[r.doc_id] += len(r.text.split())
         assert r.n_chars == len(r.text)
     assert got == want
+
+
+def test_a_tiny_source_leaves_the_others_whole(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(300)), "en", f"s{i % 4}", 0) for i in range(80)]
+    rows.append((100, " ".join(f"n{j}" for j in range(60)), "en", None, 0))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    taken, target = defaultdict(int), {}
+    for r in mix(d).collect():
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(abs(taken[s] - target[s]) <= 1 for s in target)
+    # Texts are only cut where a block of a thousand words ends or the quota does.
+    texts = {r[0]: r[1] for r in rows}
+    out = mix_documents(d).collect()
+    assert all(r.text in texts[r.doc_id] for r in out)
+    assert sum(r.text != texts[r.doc_id] for r in out) <= 2 * sum(300 * 20 // 1024 + 2 for _ in range(5))
+    assert len(out) <= 2 * len(rows)
