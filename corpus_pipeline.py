@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays (operator 5)."""
+    """One document of each group of near copies stays: five-word shingles, Jaccard similarity 0.8 or more."""
     return keep_one(docs)
 
 

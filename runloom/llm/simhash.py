@@ -40,8 +40,14 @@ PARTS = 4
 WIDTH = 3
 HOT = 4096
 LEVELS = 3
+#: Near copies of the pipeline: words of a shingle, least Jaccard similarity, bands of four min-hashes each.
+COPY_WIDTH = 5
+SIMILARITY = 0.8
+BANDS = 16
 #: For each byte value, its bits in the eight byte lanes of a word.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view(np.uint64).ravel()
+_ODD, _MASK = np.random.default_rng(29).integers(0, 1 << 63, (2, 4 * BANDS), dtype=np.uint64)
+_ODD = _ODD * np.uint64(2) + np.uint64(1)
 
 
 def hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -424,14 +430,101 @@ def fingerprint_hex(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group stays: the least doc_id (nulls last), then the least text hash."""
-    d = docs.withColumn("_h", F.xxhash64(F.col("text").cast("string")))
-    groups = near_duplicates(d, ["doc_id", "_h"])
-    one = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("f")).agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")).alias("k")
-    )
-    one = one.select(F.col("k.doc_id").alias("_id"), F.col("k._h").alias("_k"))
+# -- the pipeline's near copies: five-word shingles, exact Jaccard ----------------------
+
+
+def bands(text: str | None) -> tuple[bytes, list[int]]:
+    """A digest of the text's set of shingles, and one key for each band of min-hashes."""
+    import xxhash
+
+    h = np.unique(hashes(text, COPY_WIDTH))
+    digest = xxhash.xxh3_128_digest(h.tobytes())
+    if not len(h):
+        return digest, []
+    least = np.full(len(_ODD), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for i in range(0, len(h), 2048):
+        least = np.minimum(least, ((h[None, i : i + 2048] ^ _MASK[:, None]) * _ODD[:, None]).min(axis=1))
+    rows = np.ascontiguousarray(least.reshape(BANDS, -1))
+    return digest, [xxhash.xxh64_intdigest(r.tobytes(), seed=k) - (1 << 63) for k, r in enumerate(rows)]
+
+
+def jaccard(a: str | None, b: str | None, width: int) -> float:
+    x, y = np.unique(hashes(a, width)), np.unique(hashes(b, width))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+
+def shingle_bands(docs: DataFrame) -> DataFrame:
+    """_key, text -> _key, digest, bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [bands(x.as_py()) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.list_(pa.int64()))], ["_key", "digest", "bands"])
+
+    return docs.select("_key", "text").mapInArrow(run, "_key long, digest binary, bands array<long>")
+
+
+def similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) -> those whose sets of shingles have the Jaccard similarity or more."""
+    t = texts.select(F.col("_key").alias("a"), F.col("text").alias("text_a"))
+    p = pairs.join(t.hint("merge"), "a").join(t.toDF("b", "text_b").hint("merge"), "b").select("a", "b", "text_a", "text_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = [jaccard(x.as_py(), y.as_py(), COPY_WIDTH) >= similarity for x, y in zip(b.column(2), b.column(3))]
+            kept = b.filter(pa.array(near, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
+
+    return p.mapInArrow(run, "a long, b long")
+
+
+def copy_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """_key (equal for equal texts), text -> _key (once each), root: components of texts with similar sets of five-word shingles.
+
+    Texts of one set are one. Two texts meet where a band of their min-hashes agrees: at 0.8, a
+    pair is missed with a probability of 0.0002. First each member of a bucket is compared with the bucket's least
+    one, in two orders; then, in buckets that still hold several components, all pairs across them.
+    """
+    # Two steps, so that copies that hold a third of all rows are counted where they lie.
+    d = checkpoint(shingle_bands(docs).groupBy("_key").agg(F.first("digest").alias("digest"), F.first("bands").alias("bands")))
+    sets = checkpoint(d.groupBy("digest").agg(F.min("_key").alias("node"), F.first("bands").alias("bands")))
+    filed = sets.select("node", F.explode("bands").alias("band"))
+    filed = checkpoint(filed.join(filed.groupBy("band").count().filter("count > 1").select("band"), "band").select("band", "node"))
+    texts = docs.select("_key", "text").join(filed.select(F.col("node").alias("_key")).distinct(), "_key", "left_semi")
+    texts = checkpoint(texts.groupBy("_key").agg(F.first("text").alias("text")))
+    links, roots, tried = None, None, None
+    for turn in range(3):
+        if roots is not None:
+            filed = filed.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+            open_ = filed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
+            filed = checkpoint(filed.join(open_, "band"))
+        if turn < 2:
+            first = filed.groupBy("band").agg(F.min_by("node", F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("b"))
+            pairs = filed.join(first, "band").select(F.col("node").alias("a"), "b").filter("a <> b")
+        else:
+            other = filed.select("band", F.col("node").alias("b"), F.col("root").alias("root_b"))
+            pairs = filed.join(other, "band").filter("root < root_b").select(F.col("node").alias("a"), "b")
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        pairs = checkpoint(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        if turn and pairs.isEmpty():
+            break
+        tried = pairs if tried is None else tried.union(pairs)
+        found = checkpoint(similar(pairs, texts, similarity))
+        links = found if links is None else links.union(found)
+        roots = checkpoint(components(links))
+    sets = sets.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
+    return d.select("_key", "digest").join(sets, "digest").select("_key", "root")
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each group of near copies stays: the least doc_id (nulls last), then the least text hash."""
+    text = F.col("text").cast("string")
+    d = docs.withColumn("_h", F.xxhash64(text))
+    least = d.groupBy("_h").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("k"))
+    groups = copy_groups(d.select(F.col("_h").alias("_key"), text.alias("text")), similarity).withColumnRenamed("_key", "_h")
+    one = groups.join(least, "_h").groupBy("root").agg(F.min(F.struct("k", "_h")).alias("x"))
+    one = one.select(F.col("x.k.doc_id").alias("_id"), F.col("x._h").alias("_k"))
     kept = d.join(one, d["doc_id"].eqNullSafe(one["_id"]) & (d["_h"] == one["_k"]), "left_semi")
     first = Window.partitionBy("doc_id", "_h").orderBy("_h")
     return kept.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

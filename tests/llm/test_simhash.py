@@ -80,3 +80,26 @@ def test_keep_one(spark, docs, no_docs):
     # 1 stands for 2 and its copy; 3 for the other texts without words.
     assert sorted(r.doc_id for r in rows if r.doc_id is not None) == [1, 3, 6, 7, 8, 9]
     assert sum(r.doc_id is None for r in rows) == 1
+
+
+def test_keep_one_goes_by_similarity(spark):
+    """Pairs with known Jaccard similarity of five-word shingles, on both sides of 0.8."""
+    r = np.random.default_rng(8)
+    rows, want = [], set()
+    for k in range(40):
+        words = [f"t{k}w{x}" for x in r.integers(0, 10_000, 200)]
+        changed = words[:]
+        for at in (20, 60, 100, 140, 180)[: 1 + k % 5]:
+            changed[at] = "other"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(changed))]
+        sets = [{tuple(w[i : i + 5]) for i in range(196)} for w in (words, changed)]
+        near = len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1])
+        want |= {2 * k} if near else {2 * k, 2 * k + 1}
+    assert 40 < len(want) < 80
+    # A chain: each is near the next, the first and the last are not.
+    chain = [f"c{x}" for x in range(300)]
+    for j in range(4):
+        chain[60 * j + 30 : 60 * j + 40] = [f"d{j}x{i}" for i in range(10)]
+        rows.append((1000 + j, " ".join(chain)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in S.keep_one(d).collect()} == want | {1000}
