@@ -3,17 +3,19 @@
 1. Texts become token ids; from these, hashed counts, which a fixed random projection
    takes to DIMS dimensions. Normalised coordinates are cut into 2^BITS steps and give
    a Hilbert key: documents of similar content lie near each other on the curve.
-2. Ids and keys are checkpointed, so that sampling the ranges encodes nothing twice,
-   then dealt and sorted by ranges of (key, id hash, id).
+2. Ids and keys are checkpointed, so that nothing is encoded twice. Tokens are counted by
+   CELLS cells of the curve; the cells in order are cut into ranges of equal tokens, a cell at
+   a cut by its documents' hashes. Rows are sorted along the curve inside a range.
 3. Each range is one stream of documents, cut into sequences of LENGTH tokens. What
    is left at its end is cut into sequences whose lengths are powers of two, which need no padding.
    So a document is only cut where a sequence ends, and no token is padding.
 
-A range's sequence ids begin at range << 40. Copies share a key; the hash of the
-id spreads them over ranges, however many there are.
+A range's sequence ids begin at range << 40. Copies share a key, and so a cell; the hash of
+id and tokens spreads them over ranges, however many there are.
 
 Cases: a null text is an empty one: its end id alone. Null ids sort first. Repeated
-rows are packed each. An empty table gives no pieces. Other columns are ignored.
+rows are packed each; ties in key and hash go by the id, then by the token ids. A very long text is cut
+where sequences end, like any other. An empty table gives no pieces. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,9 +26,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import checkpoint
+from .common import checkpoint, release, small_batches
 from .tokens import encoder, slices
 
 LENGTH = 2048
@@ -35,6 +37,10 @@ DIMS = 4
 BITS = 8
 #: Token ids are hashed into so many counts before the projection.
 BINS = 1 << 12
+#: Cells of the curve, by the key's first bits, and about how many tokens a range has where they are many.
+CELL_BITS, RANGE = 12, 1 << 26
+#: Pieces that leave together, 4 MB of ids.
+PIECES = 500
 
 
 @lru_cache(maxsize=2)
@@ -88,6 +94,7 @@ def keys(vectors: np.ndarray) -> np.ndarray:
 def encoded(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     """doc_id, text -> doc_id, key, ids (u16, the end id included; the encoder refuses a vocabulary that they can't hold)."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, "<u2")
@@ -98,6 +105,8 @@ def encoded(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
                 ids = enc.ids(text[s.start : s.stop].to_pylist())
                 at = keys(np.array([project(np.frombuffer(i, dtype="<u2")) for i in ids]))
                 yield pa.RecordBatch.from_arrays([b.column(0)[s.start : s.stop], pa.array(at, pa.int64()), pa.array([i + last for i in ids], pa.binary())], ["doc_id", "key", "ids"])
+        enc.clear()
+        release()
 
     return d.mapInArrow(run, "doc_id long, key long, ids binary")
 
@@ -108,12 +117,24 @@ def cuts(total: int, length: int = LENGTH) -> list[int]:
     return [length] * (total // length) + [1 << k for k in range(length.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
+def ranged(d: DataFrame, parts: int | None = None) -> DataFrame:
+    """key, ids, ... -> the same, one partition for each range of the curve, about equal in tokens, in the curve's order."""
+    share = F.xxhash64("doc_id", "ids")
+    d = d.withColumn("cell", F.shiftright("key", DIMS * BITS - CELL_BITS).cast("int"))
+    # 2^CELL_BITS rows at most.
+    cells = checkpoint(d.groupBy("cell").agg(F.sum(F.octet_length("ids")).alias("size")))
+    total = cells.agg(F.sum("size")).first()[0] or 1
+    n = parts or max(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (2 * RANGE)))
+    before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("cell", "size", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("first"))
+    at = F.col("first") + F.col("size") * F.pmod(share, F.lit(1 << 30)) / float(1 << 30)
+    d = d.join(F.broadcast(cells), "cell").withColumn("range", F.least(F.floor(at * n / total), F.lit(n - 1)).cast("int"))
+    return d.select("doc_id", "key", "ids", "range").repartitionById(n, "range").sortWithinPartitions("key", share, F.col("doc_id").asc_nulls_first(), "ids")
+
+
 def pack(docs: DataFrame, tokenizer: str, end: int = END, length: int = LENGTH, partitions: int | None = None) -> DataFrame:
     """doc_id, text -> pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids."""
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = checkpoint(encoded(docs, tokenizer, end))
-    order = ["key", F.xxhash64("doc_id"), F.col("doc_id").asc_nulls_first(), "ids"]
-    d = d.repartitionByRange(n, *order[:3]).sortWithinPartitions(*order)
+    d = ranged(checkpoint(encoded(docs, tokenizer, end)), partitions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -134,7 +155,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = END, length: int = LENGTH,
                     if fill == length:
                         rows += held
                         held, seq, fill = [], seq + 1, 0
-                if len(rows) > 5_000:
+                if len(rows) > PIECES:
                     yield _pieces(rows)
                     rows = []
             yield _pieces(rows)

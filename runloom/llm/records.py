@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import scratch
+from .common import partitions as partitions_of, release, scratch, small_batches
 from .tokens import encoder, id_type, slices
 
 END = 0
@@ -82,7 +82,8 @@ def _open(path: str):
 def write_records(docs: DataFrame, path: str, tokenizer: str, end: int = END, partitions: int | None = None) -> DataFrame:
     """Encode doc_id, text and write them below ``path``; returns the manifest (file, part, n, n_tokens)."""
     spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or partitions_of(docs)
+    small_batches(spark)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # Rows that share an id are told apart by their text, so that no id fills a range of its own.
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
@@ -115,6 +116,8 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end: int = END, pa
                         at += len(f)
                         count += 1
                         tokens += len(e) // width + 1
+        enc.clear()
+        release()
         with store.open_output_stream(f"{top}/{name}.idx") as out:
             out.write(np.array(offsets, dtype="<u8").tobytes())
         if count:

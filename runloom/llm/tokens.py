@@ -3,8 +3,8 @@
 Both tokenizers' pre-tokenizers end a token where a non-space is followed by white
 space, and look no further than the white space before a word. So a text's ids
 are the ids of its chunks (white space, then a word) one after the other, and
-a chunk that was met before needs no second encoding. The cache has two generations of
-about ``CACHE`` chunks, which bounds its memory; results do not depend on it.
+a chunk that was met before needs no second encoding. The cache has two generations, whose
+memory is bounded by ``CACHE`` bytes together; results do not depend on it.
 """
 
 from __future__ import annotations
@@ -16,8 +16,10 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE = 500_000
-LONGEST = 200
+CACHE = 128 << 20
+#: Longer chunks are not kept. A kept one takes so many bytes: its text (two bytes a character), its ids, and its place in the table.
+LONGEST = 64
+ENTRY = 240
 _MARKS = ".,!?;:|*%$&#"
 #: How byte-level vocabularies write a space.
 _SPACE = chr(0x120)
@@ -28,31 +30,39 @@ _CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
 _ODD = re.compile("[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
-class _Chunks(dict):
-    """Chunk -> its ids as little-endian bytes. What was met lately is young; ``old`` is the generation before."""
+class _Young(dict):
+    """Chunk -> its ids as little-endian bytes. One that is too long to be kept is encoded anew."""
 
-    def __init__(self, tokenizer, prefix: str, code: str) -> None:
+    __slots__ = ("encode",)
+
+    def __init__(self, encode) -> None:
         super().__init__()
-        self.tokenizer, self.prefix, self.code, self.old, self.runs = tokenizer, prefix, code, {}, {}
+        self.encode = encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self.encode(chunk)
+
+
+class _Chunks:
+    """``young``: chunks that were met lately; ``old``: the generation before."""
+
+    def __init__(self, tokenizer, prefix: str, code: str) -> None:
+        self.tokenizer, self.prefix, self.code = tokenizer, prefix, code
+        self.clear()
         ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
         self.folds = ids("\nA") == ids("a")
         tokens = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
         self.at_end = any(t.endswith("</w>") for t in tokens)
         self.edges = np.array([t.endswith("</w>") if self.at_end else t.startswith(_SPACE) for t in tokens])
 
+    def clear(self) -> None:
+        self.young, self.old, self.runs = _Young(self._encode), {}, {}
+
     def _ids(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _whole(self, chunk: str) -> str:
-        return chunk if chunk[:1] == "\n" else self.prefix + chunk
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.old.get(chunk)
-        if ids is None:
-            ids = self._ids(self._whole(chunk))
-        if len(chunk) <= LONGEST:
-            self[chunk] = ids
-        return ids
+    def _encode(self, chunk: str) -> bytes:
+        return self._ids(chunk if chunk[:1] == "\n" else self.prefix + chunk)
 
     def parts(self, chunk: str) -> tuple[str, str]:
         """A chunk whose ids it has, and marks that follow.
@@ -83,21 +93,23 @@ class _Chunks(dict):
         raw = ids.astype(f"<u{width}").tobytes()
         cuts = (edge * width).tolist()
         cuts = [0, *cuts] if self.at_end else [*cuts, len(raw)]
+        young = self.young
         for c, a, b in zip(words, cuts, cuts[1:]):
-            self[c] = raw[a:b]
+            young[c] = raw[a:b]
 
     def learn(self, chunks: set[str]) -> None:
         """Encode what is new in one call, which costs less than a call for each."""
-        if len(self) > CACHE:
-            self.old = dict(self)
-            self.clear()
+        # Both sets of chunks of an encoder share the bound, and each has two generations.
+        if len(self.young) * ENTRY > CACHE // 4:
+            self.old, self.young = self.young, _Young(self._encode)
             self.runs.clear()
-        old, made, plain, folds, prefix = self.old, [], {}, self.folds, self.prefix
+        young, old, made, plain, folds, prefix = self.young, self.old, [], {}, self.folds, self.prefix
+        known = old.get
         for c in chunks:
-            if c in self or len(c) > LONGEST:
+            if c in young or len(c) > LONGEST:
                 continue
-            if (ids := old.get(c)) is not None:
-                self[c] = ids
+            if (ids := known(c)) is not None:
+                young[c] = ids
                 continue
             # The same as parts(), without its call for the many plain words.
             if c.isalpha() and not (folds and c.isascii() and not c.islower()):
@@ -106,25 +118,25 @@ class _Chunks(dict):
             core, run = self.parts(c)
             if core != c:
                 made.append((c, core, run))
-                if core in self:
+                if core in young:
                     continue
-                if (ids := old.get(core)) is not None:
-                    self[core] = ids
+                if (ids := known(core)) is not None:
+                    young[core] = ids
                     continue
             plain[core] = None
         if plain:
             self._encode_words([c for c in plain if c.isalpha()])
-            rest = [c for c in plain if c not in self]
+            rest = [c for c in plain if c not in young]
             code = self.code
             texts = [c if c[:1] == "\n" else prefix + c for c in rest]
             for c, e in zip(rest, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                self[c] = array(code, e.ids).tobytes()
+                young[c] = array(code, e.ids).tobytes()
         runs = self.runs
         for c, core, run in made:
             ids = runs.get(run)
             if ids is None:
                 ids = runs[run] = self._ids(run)
-            self[c] = self[core] + ids
+            young[c] = young[core] + ids
 
 
 class Encoder:
@@ -145,15 +157,19 @@ class Encoder:
         split = [self._split(t) for t in texts]
         self.spaced.learn(set().union(*(s for s, plain in split if plain)))
         self.first.learn(set().union(*(s for s, plain in split if not plain)))
-        out = []
+        first, spaced, out = self.first.young.__getitem__, self.spaced.young.__getitem__, []
         for s, plain in split:
             if plain:
-                head = self.first[s[0]] if s[0] else b""
-                out.append(head + b"".join(map(self.spaced.__getitem__, s[1:])))
+                out.append((first(s[0]) if s[0] else b"") + b"".join(map(spaced, s[1:])))
             else:
-                out.append(b"".join(map(self.first.__getitem__, s)))
+                out.append(b"".join(map(first, s)))
         return out
 
+    def clear(self) -> None:
+        """Forget all chunks, as at a task's end: the worker lives on and idles beside other stages."""
+        self.first.clear()
+        self.spaced.clear()
+
     @staticmethod
     def _split(text: str) -> tuple[list[str], bool]:
         """Chunks; True if all but the first stand for a space and themselves, or begin with their line feed."""
@@ -170,13 +186,13 @@ def id_type(path: str) -> str:
     return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def encoder(path: str, dtype: str = "<u4") -> Encoder:
     """One for each Python worker."""
     return Encoder(path, dtype)
 
 
-def slices(sizes: list[int], most: int = 6_000_000) -> list[slice]:
+def slices(sizes: list[int], most: int = 3_000_000) -> list[slice]:
     """Runs of texts of about ``most`` characters, so that a batch of long texts is not held at once."""
     out, first, n = [], 0, 0
     for i, s in enumerate(sizes):
