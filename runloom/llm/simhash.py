@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import checkpoint
+from .common import checkpoint, release, shuffle_partitions, small_batches
 
 LIMIT = 3
 PARTS = 4
@@ -87,6 +87,7 @@ def fingerprints(docs: DataFrame, keys: list[str]) -> DataFrame:
     """keys, text -> keys, fp (the bits as a long)."""
     from pyspark.sql.types import LongType, StructType
 
+    small_batches(docs.sparkSession)
     d = docs.select(*keys, F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,8 +286,7 @@ def compare_bucket(fp: np.ndarray, own: np.ndarray, forest: Forest, block: int =
 
 def verified(filed: DataFrame) -> DataFrame:
     """(key, own, fp) -> spanning forest (a, b) of the links of each partition's buckets."""
-    n = int(filed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = filed.repartition(n, "key").sortWithinPartitions("key").select("key", "own", "fp")
+    rows = filed.repartition(shuffle_partitions(filed.sparkSession), "key").sortWithinPartitions("key").select("key", "own", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, held = Forest(), None
@@ -432,99 +432,234 @@ def fingerprint_hex(fp):
 
 # -- the pipeline's near copies: five-word shingles, exact Jaccard ----------------------
 
+#: Members of a bucket that are held at once, by rows and by bytes of their shingles.
+HOME, HOME_BYTES = 1024, 16 << 20
 
-def bands(text: str | None) -> tuple[bytes, list[int]]:
-    """A digest of the text's set of shingles, and one key for each band of min-hashes."""
+
+def sketch(text: str | None) -> tuple[bytes, np.ndarray, list[int]]:
+    """A digest of the text's set of shingles, its hashes for the fingerprint, and one key for each band of min-hashes."""
     import xxhash
 
-    h = np.unique(hashes(text, COPY_WIDTH))
+    every = hashes(text, COPY_WIDTH)
+    h = np.unique(every)
     digest = xxhash.xxh3_128_digest(h.tobytes())
     if not len(h):
-        return digest, []
+        return digest, every, []
     least = np.full(len(_ODD), np.iinfo(np.uint64).max, dtype=np.uint64)
     for i in range(0, len(h), 2048):
         least = np.minimum(least, ((h[None, i : i + 2048] ^ _MASK[:, None]) * _ODD[:, None]).min(axis=1))
     rows = np.ascontiguousarray(least.reshape(BANDS, -1))
-    return digest, [xxhash.xxh64_intdigest(r.tobytes(), seed=k) - (1 << 63) for k, r in enumerate(rows)]
+    return digest, every, [xxhash.xxh64_intdigest(r.tobytes(), seed=k) - (1 << 63) for k, r in enumerate(rows)]
 
 
-def jaccard(a: str | None, b: str | None, width: int) -> float:
-    x, y = np.unique(hashes(a, width)), np.unique(hashes(b, width))
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+def sketches(docs: DataFrame) -> DataFrame:
+    """_key, text -> _key, digest, fp, bands."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            digests, fps, bands, held, n = [], [], [], [], 0
+            for x in b.column(1):
+                digest, every, keys = sketch(x.as_py())
+                digests.append(digest)
+                bands.append(keys)
+                held.append(every)
+                n += len(every)
+                if n > 200_000:
+                    fps.append(fold(held))
+                    held, n = [], 0
+            fps.append(fold(held))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(np.concatenate(fps).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], ["_key", "digest", "fp", "bands"])
+        release()
 
+    return docs.select("_key", "text").mapInArrow(run, "_key long, digest binary, fp long, bands array<long>")
 
-def shingle_bands(docs: DataFrame) -> DataFrame:
-    """_key, text -> _key, digest, bands."""
+
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """node, text -> node, shingles: the sorted distinct hashes, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [bands(x.as_py()) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.list_(pa.int64()))], ["_key", "digest", "bands"])
+            made = [np.unique(hashes(x.as_py(), COPY_WIDTH)).tobytes() for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["node", "shingles"])
 
-    return docs.select("_key", "text").mapInArrow(run, "_key long, digest binary, bands array<long>")
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles binary")
 
 
-def similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Of two sorted sets of hashes."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b) -> those whose sets of shingles have the Jaccard similarity or more."""
-    t = texts.select(F.col("_key").alias("a"), F.col("text").alias("text_a"))
-    p = pairs.join(t.hint("merge"), "a").join(t.toDF("b", "text_b").hint("merge"), "b").select("a", "b", "text_a", "text_b")
+    p = pairs.join(sets.toDF("a", "x").hint("merge"), "a").join(sets.toDF("b", "y").hint("merge"), "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near = [jaccard(x.as_py(), y.as_py(), COPY_WIDTH) >= similarity for x, y in zip(b.column(2), b.column(3))]
+            read = lambda v: np.frombuffer(v.as_buffer(), dtype=np.uint64)
+            near = [jaccard(read(x), read(y)) >= similarity for x, y in zip(b.column(2), b.column(3))]
             kept = b.filter(pa.array(near, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
 
     return p.mapInArrow(run, "a long, b long")
 
 
+class Home:
+    """Sets of shingles, indexed for counting what each shares with others."""
+
+    RARE, COLUMNS = 16, 4096
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.size = np.array([len(x) for x in sets], dtype=np.int64)
+        flat, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.size)
+        order = np.argsort(flat, kind="stable")
+        self.who = who[order]
+        self.value, self.first, self.times = np.unique(flat[order], return_index=True, return_counts=True)
+
+    def shared(self, sets: list[np.ndarray]) -> np.ndarray:
+        """How many shingles each of ``sets`` shares with each set at home: frequent ones by products, the others by their lists."""
+        n = len(self.size)
+        flat = np.concatenate(sets)
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(self.value, flat), len(self.value) - 1)
+        hit = self.value[at] == flat
+        at, row = at[hit], row[hit]
+        few = self.times[at] <= self.RARE
+        times = self.times[at[few]]
+        place = np.repeat(self.first[at[few]], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        out = np.bincount(np.repeat(row[few], times) * n + self.who[place], minlength=len(sets) * n).reshape(len(sets), n)
+        at, row = at[~few], row[~few]
+        used, column = np.unique(at, return_inverse=True)
+        for lo in range(0, len(used), self.COLUMNS):
+            part = used[lo : lo + self.COLUMNS]
+            times = self.times[part]
+            place = np.repeat(self.first[part], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            home, guest = np.zeros((n, len(part)), dtype=np.float32), np.zeros((len(sets), len(part)), dtype=np.float32)
+            home[self.who[place], np.repeat(np.arange(len(part)), times)] = 1
+            here = (column >= lo) & (column < lo + len(part))
+            guest[row[here], column[here] - lo] = 1
+            out = out + (guest @ home.T).astype(np.int64)
+        return out
+
+
+def across(filed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(band, node, root) -> a forest of the links between members of a bucket that have different roots.
+
+    Members of a bucket's most frequent root are at home in one block each; the others are also
+    guests of every block. A task holds one block and lets its guests pass by: no pairs are made but in
+    its memory.
+    """
+    sized = filed.join(sets.select("node", F.octet_length("shingles").alias("size")), "node")
+    by_root = sized.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    plan = by_root.groupBy("band").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"), F.greatest(F.ceil(F.sum("n") / HOME), F.ceil(F.sum("size") / HOME_BYTES)).cast("int").alias("blocks")
+    )
+    rows = filed.join(plan, "band")
+    home = rows.select("band", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.lit(0).alias("side"), "node", "root")
+    guests = rows.filter("root <> main").select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "node", "root")
+    met = home.union(guests).join(sets, "node").select("band", "block", "side", "node", "root", "shingles")
+    met = met.repartition(shuffle_partitions(filed.sparkSession), "band", "block").sortWithinPartitions("band", "block", "side", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, now, nodes, roots, held, index = Forest(), None, [], [], [], None
+        for b in batches:
+            key = np.stack([b.column(i).to_numpy() for i in range(3)])
+            edges = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(b)]):
+                if hi <= lo:
+                    continue
+                if tuple(key[:2, lo]) != now:
+                    now, nodes, roots, held, index = tuple(key[:2, lo]), [], [], [], None
+                node, root = b.column(3).to_numpy()[lo:hi], b.column(4).to_numpy()[lo:hi]
+                own = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in b.column(5)[lo:hi]]
+                if key[2, lo] == 0:
+                    nodes.append(node)
+                    roots.append(root)
+                    held += [x.copy() for x in own]
+                    continue
+                if not held:
+                    continue
+                if index is None:
+                    index, at, of = Home(held), np.concatenate(nodes), np.concatenate(roots)
+                for i in range(0, len(own), 256):
+                    both = index.shared(own[i : i + 256])
+                    size = np.array([len(x) for x in own[i : i + 256]])[:, None] + index.size[None, :] - both
+                    r, c = np.nonzero((both / np.maximum(size, 1) >= similarity) & (root[i : i + 256, None] != of[None, :]))
+                    for p, q in zip(node[i + r].tolist(), at[c].tolist()):
+                        forest.link(p, q)
+        e = forest.edges()
+        for i in range(0, len(e), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in e[i : i + 50_000]], pa.int64()), pa.array([q for _, q in e[i : i + 50_000]], pa.int64())], ["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long")
+
+
+def close_pairs(sets: DataFrame) -> DataFrame:
+    """node, fp -> candidate pairs (a, b) by the fingerprints: equal ones, and those that the pigeonhole links."""
+    fps = checkpoint(sets.groupBy("fp").agg(F.min("node").alias("node")))
+    equal = sets.join(fps.toDF("fp", "b"), "fp").select(F.col("node").alias("a"), "b")
+    linked = links(fps).toDF("x", "y").join(fps.toDF("x", "a"), "x").join(fps.toDF("y", "b"), "y").select("a", "b")
+    return equal.union(linked).filter("a <> b")
+
+
 def copy_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """_key (equal for equal texts), text -> _key (once each), root: components of texts with similar sets of five-word shingles.
 
-    Texts of one set are one. Two texts meet where a band of their min-hashes agrees: at 0.8, a
-    pair is missed with a probability of 0.0002. First each member of a bucket is compared with the bucket's least
-    one, in two orders; then, in buckets that still hold several components, all pairs across them.
+    Texts of one set are one. Candidates are those that the pigeonhole over fingerprints links, and, as three of 64 bits
+    are a far closer likeness than 0.8, texts that agree in a band of their min-hashes (at 0.8, a pair is missed with a
+    probability of 0.0002). In a bucket, each member is first compared with its least one, in two orders; then, in buckets that still
+    hold several components, all across these. A link is only what has the similarity, counted over all shingles.
     """
     # Two steps, so that copies that hold a third of all rows are counted where they lie.
-    d = checkpoint(shingle_bands(docs).groupBy("_key").agg(F.first("digest").alias("digest"), F.first("bands").alias("bands")))
-    sets = checkpoint(d.groupBy("digest").agg(F.min("_key").alias("node"), F.first("bands").alias("bands")))
+    d = checkpoint(sketches(docs).groupBy("_key").agg(*[F.first(c).alias(c) for c in ("digest", "fp", "bands")]))
+    sets = checkpoint(d.groupBy("digest").agg(F.min("_key").alias("node"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    close = checkpoint(close_pairs(sets.select("node", "fp")))
     filed = sets.select("node", F.explode("bands").alias("band"))
     filed = checkpoint(filed.join(filed.groupBy("band").count().filter("count > 1").select("band"), "band").select("band", "node"))
-    texts = docs.select("_key", "text").join(filed.select(F.col("node").alias("_key")).distinct(), "_key", "left_semi")
-    texts = checkpoint(texts.groupBy("_key").agg(F.first("text").alias("text")))
-    links, roots, tried = None, None, None
-    for turn in range(3):
+    needed = filed.select("node").union(close.select("a")).union(close.select("b")).distinct()
+    texts = docs.select(F.col("_key").alias("node"), "text").join(needed, "node", "left_semi")
+    shingles = checkpoint(shingle_sets(texts.groupBy("node").agg(F.first("text").alias("text"))))
+    links_, roots, tried = None, None, None
+    for turn in range(2):
         if roots is not None:
-            filed = filed.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-            open_ = filed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
-            filed = checkpoint(filed.join(open_, "band"))
-        if turn < 2:
-            first = filed.groupBy("band").agg(F.min_by("node", F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("b"))
-            pairs = filed.join(first, "band").select(F.col("node").alias("a"), "b").filter("a <> b")
-        else:
-            other = filed.select("band", F.col("node").alias("b"), F.col("root").alias("root_b"))
-            pairs = filed.join(other, "band").filter("root < root_b").select(F.col("node").alias("a"), "b")
+            filed = _open(filed, roots)
+        first = filed.groupBy("band").agg(F.min_by("node", F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("b"))
+        pairs = filed.join(first, "band").select(F.col("node").alias("a"), "b").filter("a <> b")
+        pairs = pairs if turn else pairs.union(close)
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         pairs = checkpoint(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        if turn and pairs.isEmpty():
-            break
         tried = pairs if tried is None else tried.union(pairs)
-        found = checkpoint(similar(pairs, texts, similarity))
-        links = found if links is None else links.union(found)
-        roots = checkpoint(components(links))
+        found = checkpoint(similar(pairs, shingles, similarity))
+        links_ = found if links_ is None else links_.union(found)
+        roots = checkpoint(components(links_))
+    filed = _open(filed, roots)
+    if not filed.isEmpty():
+        roots = checkpoint(components(links_.union(across(filed, shingles, similarity))))
     sets = sets.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     return d.select("_key", "digest").join(sets, "digest").select("_key", "root")
 
 
+def _open(filed: DataFrame, roots: DataFrame) -> DataFrame:
+    """(band, node) -> (band, node, root) of buckets that hold several components."""
+    filed = filed.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    several = filed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
+    return checkpoint(filed.join(several, "band"))
+
+
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each group of near copies stays: the least doc_id (nulls last), then the least text hash."""
+    """One document of each group of near copies stays: the least doc_id (nulls last), then the least text hash.
+
+    Of rows that repeat an id and a text, the one with the least hash of its columns stays. Texts of fewer than five words are one
+    shingle; null and empty texts are copies of each other. Columns keep their names, types and values.
+    """
     text = F.col("text").cast("string")
-    d = docs.withColumn("_h", F.xxhash64(text))
-    least = d.groupBy("_h").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("k"))
-    groups = copy_groups(d.select(F.col("_h").alias("_key"), text.alias("text")), similarity).withColumnRenamed("_key", "_h")
-    one = groups.join(least, "_h").groupBy("root").agg(F.min(F.struct("k", "_h")).alias("x"))
-    one = one.select(F.col("x.k.doc_id").alias("_id"), F.col("x._h").alias("_k"))
-    kept = d.join(one, d["doc_id"].eqNullSafe(one["_id"]) & (d["_h"] == one["_k"]), "left_semi")
-    first = Window.partitionBy("doc_id", "_h").orderBy("_h")
-    return kept.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    id_ = F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.lit("n"))
+    d = docs.select("doc_id", id_.alias("_i"), F.xxhash64(text).alias("_h"), text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    least = d.groupBy("_h").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_i")).alias("k"))
+    groups = copy_groups(d.select(F.col("_h").alias("_key"), "text"), similarity).withColumnRenamed("_key", "_h")
+    one = groups.join(least, "_h").groupBy("root").agg(F.min(F.struct("k", "_h")).alias("x")).select(F.col("x.k._i").alias("_i"), F.col("x._h").alias("_h"))
+    kept = d.select("_i", "_h", "_row").join(one, ["_i", "_h"], "left_semi")
+    first = Window.partitionBy("_i", "_h").orderBy(F.xxhash64("_row"))
+    return kept.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("_row.*")
