@@ -4,9 +4,10 @@ The mix has one seat a word; Sainte-Laguë gives the seats to the sources by hig
 quotients target / (2 * seats + 1). As the method is house-monotone, quotas of
 consecutive output shards are differences of apportionments of growing houses.
 Each source's word stream is cut into blocks of BLOCK words, whatever the other sources
-hold. A seeded permutation of the blocks then selects them: a quota of q words over a
-source of n takes each block q div n times, and the first blocks in permuted order once
-more, until q mod n words are taken; only the last of these is cut.
+hold. A seeded permutation puts the blocks in a row, and the row is gone through again and
+again: each of SHARDS output shards in turn takes as many words of it as its quota says. So a
+quota of q words over a source of n takes each block q div n times, and the first blocks once more;
+only blocks where a shard's quota ends are cut.
 
 Everything is a DataFrame or SQL function. The quotients' threshold is found by
 bisection over one row per source (source counts are metadata: one row each).
@@ -15,14 +16,15 @@ The permutation is arithmetic, so selecting needs no ranks over blocks.
 
 Cases: a null source is a source of its own, last in order. A null or empty text
 has size 0 and takes 0. Repeated rows count each. Sources of size 0 have the
-target 0. Empty tables give empty results. Further input columns are ignored.
+target 0. Empty tables give empty results. Further input columns are ignored. A very long text is many
+blocks; the work is linear in it. Ties between quotients go to the first source.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import checkpoint, n_words, words
+from .common import WORD, checkpoint, n_words, words
 
 CELLS = 4096
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -30,6 +32,7 @@ SHARE = 1.5
 CAP = 2.0
 #: Words in a block, of any source. The last block of a source may be shorter.
 BLOCK = 1024
+SHARDS = 8
 #: Steps of the permutation: primes, so that one of them has no divisor in common with any block count.
 STEPS = (536870909, 536870879)
 
@@ -76,8 +79,8 @@ def apportion(targets: Column, seats: Column) -> Column:
     return F.transform(F.sort_array(quotients), lambda x, i: F.struct(x["i"].alias("i"), (x["n"] + F.when(i < left, 1).otherwise(0)).alias("seats")))
 
 
-def quotas(targets: DataFrame, seed: int, n_shards: int = 1) -> DataFrame:
-    """One row a source: block size, blocks, seats (words), its permutation, and quotas by shard."""
+def quotas(targets: DataFrame, seed: int, n_shards: int = SHARDS) -> DataFrame:
+    """One row a source: block size, blocks, seats (words), its permutation, and ``until``: the seats of the first k shards together."""
     row = targets.agg(
         F.sort_array(F.collect_list(F.struct("rank", "target", "skey", "source", "source_size"))).alias("s"),
         F.max("mix").alias("mix"),
@@ -88,6 +91,7 @@ def quotas(targets: DataFrame, seed: int, n_shards: int = 1) -> DataFrame:
     given = given.select("block", "k", F.element_at("s", (F.col("g.i") + 1).cast("int")).alias("x"), F.col("g.seats").alias("seats"))
     given = given.groupBy("x", "block").agg(F.sort_array(F.collect_list(F.struct("k", "seats"))).alias("by_house"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("x.source_size") / F.col("block"))).cast("long")
+    most = (2 * F.col("x.source_size")).cast("long")
     return given.select(
         F.col("x.skey").alias("skey"),
         F.col("x.source").alias("source"),
@@ -95,34 +99,26 @@ def quotas(targets: DataFrame, seed: int, n_shards: int = 1) -> DataFrame:
         F.col("x.target").alias("target"),
         "block",
         blocks.alias("blocks"),
-        F.least(F.element_at("by_house", -1)["seats"], (2 * F.col("x.source_size")).cast("long")).alias("seats"),
-        F.transform("by_house", lambda y, i: y["seats"] - F.when(i > 0, F.get("by_house", i - 1)["seats"]).otherwise(0)).alias("shard_quotas"),
+        F.least(F.element_at("by_house", -1)["seats"], most).alias("seats"),
+        F.transform("by_house", lambda y: F.least(y["seats"], most)).alias("until"),
         F.when(blocks % STEPS[0] != 0, F.lit(STEPS[0])).otherwise(F.lit(STEPS[1])).cast("long").alias("step"),
         F.pmod(F.xxhash64(F.col("x.skey"), F.lit(seed)), blocks).alias("shift"),
     )
 
 
-def rounds() -> Column:
-    """How often the mix takes every block of a source."""
-    return F.floor(F.col("seats") / F.greatest("source_size", F.lit(1))).cast("long")
-
-
-def once_more(block: Column) -> Column:
-    """How many words at a block's start the mix takes once more: all, none, or part of the last one drawn."""
+def before(block: Column) -> Column:
+    """The words of the blocks that come before one in the permuted row."""
     drawn = lambda b: F.pmod(F.col("step") * b + F.col("shift"), F.col("blocks"))
     last = F.col("blocks") - 1
     short = F.col("blocks") * F.col("block") - F.col("source_size")
-    before = drawn(block) * F.col("block") - F.when(drawn(block) > drawn(last), short).otherwise(0)
-    size = F.col("block") - F.when(block == last, short).otherwise(0)
-    left = F.col("seats") - rounds() * F.col("source_size") - before
-    return F.least(size, F.greatest(left, F.lit(0))).cast("long")
+    return drawn(block) * F.col("block") - F.when(drawn(block) > drawn(last), short).otherwise(0)
 
 
-def mix(docs: DataFrame, seed: int = 17, n_shards: int = 1, keep: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 17, n_shards: int = SHARDS, keep: list[str] | None = None) -> DataFrame:
     """doc_id, source, text -> doc_id, size, source, source_size, target, taken, pieces.
 
-    ``pieces``: (first word, end, times) inside the document, for each part of a block
-    that it lies in and that is taken. ``keep``: further columns to carry along.
+    ``pieces``: (shard, turn, first word, end) inside the document, for each part of a block that
+    lies in it and that a shard takes, by turn and first word. ``keep``: further columns to carry along.
     """
     keep = keep or []
     d = docs.select(
@@ -135,49 +131,60 @@ def mix(docs: DataFrame, seed: int = 17, n_shards: int = 1, keep: list[str] | No
     )
     d = checkpoint(d)
     by_cell = d.groupBy("skey", "source", "cell").agg(F.sum("size").alias("n"))
-    before = Window.partitionBy("skey").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = by_cell.select("skey", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    earlier = Window.partitionBy("skey").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = by_cell.select("skey", "cell", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
     sizes = by_cell.groupBy("skey", "source").agg(F.sum("n").alias("source_size"))
     plan = quotas(source_targets(sizes), seed, n_shards).drop("source")
     inside = Window.partitionBy("skey", "cell").orderBy(F.xxhash64("doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("end", F.sum("size").over(inside)).join(cells, ["skey", "cell"])
-    # One row a source.
-    d = d.join(F.broadcast(plan), "skey").withColumn("start", F.col("first") + F.col("end") - F.col("size"))
+    d = d.withColumn("stop", F.sum("size").over(inside)).join(cells, ["skey", "cell"])
+    # One row a source; left to the planner, as nothing bounds how many sources there are.
+    d = d.join(plan, "skey").withColumn("start", F.col("first") + F.col("stop") - F.col("size"))
     blocks = F.when(
         F.col("size") > 0,
         F.sequence(F.floor(F.col("start") / F.col("block")), F.floor((F.col("start") + F.col("size") - 1) / F.col("block"))),
     ).otherwise(F.array().cast("array<bigint>"))
-    inside_doc = lambda at: F.least(F.greatest(at, "start"), F.col("start") + F.col("size")) - F.col("start")
-
-    def pieces(b: Column) -> Column:
-        first, cut, end = (inside_doc(b * F.col("block") + x) for x in (F.lit(0), once_more(b), F.col("block")))
-        return F.array(
-            F.struct(first.alias("first"), cut.alias("end"), (F.col("rounds") + 1).alias("times")),
-            F.struct(cut.alias("first"), end.alias("end"), F.col("rounds").alias("times")),
-        )
-
-    d = d.withColumn("rounds", rounds()).withColumn("pieces", F.filter(F.flatten(F.transform(blocks, pieces)), lambda p: p["end"] > p["first"]))
-    taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + (p["end"] - p["first"]) * p["times"])
-    return d.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), F.filter("pieces", lambda p: p["times"] > 0).alias("pieces"), *keep)
 
-
-def mix_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """The documents that the mix consists of, with their own columns.
-
-    A block that is taken several times gives rows of its own. Runs of a document's blocks that
-    are taken together stay together: a row holds the words of one run, and the
-    whole text, unchanged, if the run covers the document. So with ``times`` 2 for all blocks, the document comes
-    twice. Documents without words have nothing to take and take no part.
+    def pieces(turn: int) -> Column:
+        """Of each block, the document's part, by the shards in whose stretch of the row it falls."""
+
+        def of(b: Column) -> Column:
+            lo = F.greatest(b * F.col("block"), "start")
+            hi = F.least((b + 1) * F.col("block"), F.col("start") + F.col("size"))
+            # Word w of the stream (from 0) stands at w + away in the row.
+            away = F.lit(turn) * F.col("source_size") + before(b) - b * F.col("block")
+            cut = lambda u, k: F.struct(
+                k.cast("int").alias("shard"), F.lit(turn).alias("turn"),
+                (F.greatest(lo, F.when(k > 0, F.get("until", k - 1)).otherwise(0) - away) - F.col("start")).alias("first"),
+                (F.least(hi, u - away) - F.col("start")).alias("end"),
+            )
+            return F.when(lo + away < F.col("seats"), F.filter(F.transform("until", cut), lambda p: p["end"] > p["first"])).otherwise(
+                F.array().cast("array<struct<shard:int,turn:int,first:bigint,end:bigint>>")
+            )
+
+        return F.flatten(F.transform(blocks, of))
+
+    d = d.withColumn("pieces", F.concat(pieces(0), pieces(1)))
+    taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["end"] - p["first"])
+    return d.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), "pieces", *keep)
+
+
+def mix_documents(docs: DataFrame, seed: int = 17, n_shards: int = SHARDS) -> DataFrame:
+    """The documents that the mix consists of, with their own columns, shard by shard where it is written.
+
+    A document that is taken twice gives rows for either time. Parts of a document that a shard takes
+    together and that follow each other stay together: a row holds the text of one such run, white space between its
+    words included, and the whole text, unchanged, if the run covers the document. Documents without words have
+    nothing to take and take no part.
     """
     packed = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    m = mix(packed, seed, keep=["_row"])
-    # The k-th copy holds the blocks that are taken k times or more; a source's blocks differ by one time at most.
-    copies = F.filter(F.transform(F.sequence(F.lit(1), F.lit(2)), lambda k: F.filter("pieces", lambda p: p["times"] >= k)), lambda ps: F.size(ps) > 0)
-    m = m.select("_row", "size", F.explode(copies).alias("ps"))
-    m = m.select("_row", "size", F.explode(_runs(F.col("ps"))).alias("run"))
+    m = mix(packed, seed, n_shards, keep=["_row"]).select("_row", "size", F.explode(_runs(F.col("pieces"))).alias("run"))
     text = F.col("_row.text").cast("string")
     whole = (F.col("run.first") == 0) & (F.col("run.end") == F.col("size"))
-    part = F.array_join(F.slice(words(text), (F.col("run.first") + 1).cast("int"), (F.col("run.end") - F.col("run.first")).cast("int")), " ")
+    first, n = F.col("run.first").cast("int"), (F.col("run.end") - F.col("run.first")).cast("int")
+    # The first field of this split is what stands before the first word; each later one follows a word.
+    gaps = F.slice(F.split(text, WORD, -1), first + 2, n)
+    both = F.zip_with(F.slice(words(text), first + 1, n), gaps, lambda w, g: F.concat(w, g))
+    part = F.regexp_replace(F.array_join(both, ""), r"[\x20\x09-\x0D]+\z", "")
     text = F.when(whole, text).otherwise(part)
     out = m.select(F.col("_row"), text.alias("_text"))
     made = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
@@ -185,13 +192,8 @@ def mix_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
 
 
 def _runs(pieces: Column) -> Column:
-    """Neighbouring pieces joined: an array of (first, end)."""
-    empty = F.array().cast("array<struct<first:bigint,end:bigint>>")
-
-    def add(runs: Column, p: Column) -> Column:
-        one = F.array(F.struct(p["first"].alias("first"), p["end"].alias("end")))
-        joins = (F.size(runs) > 0) & (F.try_element_at(runs, F.lit(-1))["end"] == p["first"])
-        longer = F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(F.struct(F.try_element_at(runs, F.lit(-1))["first"].alias("first"), p["end"].alias("end"))))
-        return F.when(joins, longer).otherwise(F.concat(runs, one))
-
-    return F.aggregate(pieces, empty, add)
+    """Neighbouring pieces of a shard and turn joined: an array of (shard, first, end). ``pieces`` has to be a plain column."""
+    joins = lambda a, b: F.coalesce((a["shard"] == b["shard"]) & (a["turn"] == b["turn"]) & (a["end"] == b["first"]), F.lit(False))
+    begins = F.filter(pieces, lambda p, i: (i == 0) | ~joins(F.get(pieces, i - 1), p))
+    ends = F.filter(pieces, lambda p, i: (i == F.size(pieces) - 1) | ~joins(p, F.get(pieces, i + 1)))
+    return F.zip_with(begins, ends, lambda a, b: F.struct(a["shard"].alias("shard"), a["first"].alias("first"), b["end"].alias("end")))

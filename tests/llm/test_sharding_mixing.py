@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 from runloom.llm.common import table
-from runloom.llm.mixing import apportion, mix, mix_documents, quotas, source_targets
+from runloom.llm.mixing import SHARDS, apportion, mix, mix_documents, quotas, source_targets
 from runloom.llm.sharding import greedy_cuts, minimax_capacity, shard_documents
 
 
@@ -111,21 +111,54 @@ def test_mix(spark, docs, no_docs, sample):
 def test_shard_quotas_sum_up(spark):
     rows = spark.createDataFrame([("sa", "a", 900), ("sb", "b", 400), ("n", None, 77)], "skey string, source string, source_size long")
     for r in quotas(source_targets(rows), 1, n_shards=5).collect():
-        assert len(r.shard_quotas) == 5 and min(r.shard_quotas) >= 0 and sum(r.shard_quotas) >= r.seats
+        assert len(r.until) == 5 and r.until[-1] == r.seats and r.until == sorted(r.until)
+
+
+def test_each_shard_takes_its_quota(spark):
+    """Against the quotas by highest quotients: shard by shard, each word of the row in its turn."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(37 + 211 * i % 1500)), f"s{i % 3}") for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = [sum(len(t.split()) for _, t, s in rows if s == f"s{k}") for k in range(3)]
+    target = plain_targets(sizes)
+    house = round(1.5 * sum(sizes))
+    got = defaultdict(int)
+    for r in mix(d, n_shards=4).collect():
+        turns = defaultdict(list)
+        for p in r.pieces:
+            got[r.source, p.shard] += p.end - p.first
+            turns[p.turn].append((p.first, p.end))
+        for t in turns.values():  # no word twice in a turn
+            t.sort()
+            assert all(a[1] <= b[0] for a, b in zip(t, t[1:])) and t[-1][1] <= r.size
+    before = [0, 0, 0]
+    for k in range(4):
+        now = plain_sainte_lague(target, house * (k + 1) // 4)
+        now = [min(x, 2 * s) for x, s in zip(now, sizes)]
+        assert [got[f"s{i}", k] for i in range(3)] == [a - b for a, b in zip(now, before)]
+        before = now
 
 
 def test_mixed_documents_hold_the_words_taken(spark, docs):
     d = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
     want = {r.doc_id: r.taken for r in mix(d).collect() if r.taken}
     got = defaultdict(int)
+    texts = {r.doc_id: r.text for r in d.collect()}
     out = mix_documents(d)
     assert out.columns == d.columns
     for r in out.collect():
         got[r.doc_id] += len(r.text.split())
-        assert r.n_chars == len(r.text)
+        assert r.n_chars == len(r.text) and r.text in texts[r.doc_id]
     assert got == want
 
 
+def test_white_space_within_a_run_stays(spark):
+    rows = [(i, "\n\n".join(f"a{i}b{j}\t c{j}" for j in range(900)) + " \n", "s") for i in range(5)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    texts = {r[0]: r[1] for r in rows}
+    out = mix_documents(d).collect()
+    assert any(r.text != texts[r.doc_id] for r in out) and all(r.text in texts[r.doc_id] for r in out)
+
+
 def test_a_tiny_source_leaves_the_others_whole(spark):
     rows = [(i, " ".join(f"w{i}x{j}" for j in range(300)), "en", f"s{i % 4}", 0) for i in range(80)]
     rows.append((100, " ".join(f"n{j}" for j in range(60)), "en", None, 0))
@@ -135,9 +168,9 @@ def test_a_tiny_source_leaves_the_others_whole(spark):
         taken[r.source] += r.taken
         target[r.source] = r.target
     assert all(abs(taken[s] - target[s]) <= 1 for s in target)
-    # Texts are only cut where a block of a thousand words ends or the quota does.
+    # Texts are only cut where a block of a thousand words ends or a shard's quota does.
     texts = {r[0]: r[1] for r in rows}
     out = mix_documents(d).collect()
     assert all(r.text in texts[r.doc_id] for r in out)
-    assert sum(r.text != texts[r.doc_id] for r in out) <= 2 * sum(300 * 20 // 1024 + 2 for _ in range(5))
+    assert sum(r.text != texts[r.doc_id] for r in out) <= 2 * sum(300 * 20 // 1024 + 2 + SHARDS for _ in range(5))
     assert len(out) <= 2 * len(rows)
