@@ -4,14 +4,16 @@ The patterns find e-mail addresses, IPv4 addresses, payment cards and phone numb
 The field adds what has no fixed form: secrets, SSNs and IBANs. It scores whole
 candidate segments (their shape, entropy, checksums, and the words before
 them) and picks boundaries and types together by dynamic programming over segments
-of MOST_TOKENS tokens at most. It also knows the four pattern kinds, so that it doesn't
-take their parts for something else; of what it finds, kinds without a pattern are added
-where no pattern span lies.
+of MOST_TOKENS tokens at most, of any length; what follows an assignment (``password = ...``, in four
+languages) is a candidate up to the next white space, however many tokens it has. Segments of fewer than LEAST characters are
+none. It also knows the four pattern kinds, so that it doesn't
+take their parts for something else; of what it finds, kinds without a pattern are added,
+but for what cuts a pattern's span or lies in one (a long key may hold digits that pass for a card).
 
 Weights are trained here, by gradient ascent on the conditional likelihood of
 TRAINING generated sentences (forward-backward over segments). The segmentation is
-only computed near characters that any entity has (digits, @): elsewhere
-no candidate passes the field's hard filter, so leaving it out changes nothing.
+only computed near what any candidate has (digits, @, an assignment): elsewhere
+none passes the field's hard filter, so leaving it out changes nothing.
 
 Cases: a null or empty text has no spans. Texts of any length are searched whole; the work
 is linear in it. Repeated rows get the same spans. An empty table gives an empty
@@ -24,6 +26,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,12 +35,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import small_batches
+
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "ssn", "iban")
 KINDS = BASE + ADDED
 MOST_TOKENS = 16
-TRAINING = 420
+TRAINING = 560
 REACH = 64
+LEAST = 6
 
 Span = tuple[str, int, int]
 
@@ -99,6 +105,12 @@ _CUES = {
     "email": "email mail contact",
 }
 _CUE_OF = {w: k for k, ws in _CUES.items() for w in ws.split()}
+#: Words to which a secret is assigned, in English, German, French and Spanish, and what stands between them and it.
+_ASSIGNED = re.compile(
+    r"(?i)(?<![^\W_])(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer"
+    r"|pass ?wort|kennwort|geheimnis|schl\u00fcssel|mot de passe|jeton|cl\u00e9|secr\u00e8te?|contrase\u00f1a|clave|secreto)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"'`]?(?=[A-Za-z0-9+/_$])"
+)
+_RUN = re.compile(r"[^\s\"'`,;<>()\[\]{}|]+")
 _SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")
 _KEY_START = re.compile(r"AKIA|ASIA|ghp_|sk_|xox|AIza")
@@ -114,20 +126,20 @@ def entropy(s: str) -> float:
     return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
 
 
-def plausible(s: str, n_tokens: int) -> bool:
+def plausible(s: str, n_tokens: int, anchored: bool) -> bool:
     """The hard filter on candidates: an anchor inside, edges that an entity can have, no line end."""
     return (
-        6 <= len(s) <= 128
+        len(s) >= LEAST
         and (s[0].isalnum() or s[0] in _EDGE)
         and s[-1].isalnum()
         and "\n" not in s
-        and bool(_ANCHOR.search(s))
+        and anchored
         and (n_tokens == 1 or bool(re.search(r"[@+()./-]|\d \d|[0-9] [A-Z0-9]", s)))
     )
 
 
-def span_features(text: str, a: int, b: int, cue: str | None) -> list[str]:
-    """Features of a whole segment; the weights are by kind and feature."""
+def span_features(text: str, a: int, b: int, cue: str | None, assigned: bool = False, whole: bool = False) -> list[str]:
+    """Features of a whole segment; the weights are by kind and feature. ``assigned``: it follows an assignment; ``whole``: up to the next white space or quote."""
     s = text[a:b]
     digits = sum(c.isdigit() for c in s)
     letters = sum(c.isalpha() for c in s)
@@ -137,6 +149,11 @@ def span_features(text: str, a: int, b: int, cue: str | None) -> list[str]:
     f.append(f"cue-{cue}" if cue else "no-cue")
     if cue and solid:
         f.append(f"cue-solid-{cue}")
+    if assigned:
+        f.append("assigned" + ("-run" if whole else "-part"))
+        if not digits:
+            plain = s.isalpha() and (s.islower() or s.istitle())
+            f.append(f"letters-{'plain' if plain else 'odd'}{min(len(s) // 4, 5)}")
     if (a and (text[a - 1].isalnum() or text[a - 1] in "_-.@+")) or (b < len(text) and (text[b].isalnum() or text[b] in "_@")):
         f.append("cut-word")
     if b + 1 < len(text) and text[b] in ".-" and text[b + 1].isalnum():
@@ -169,21 +186,32 @@ def lattice(text: str, lo: int, hi: int) -> tuple[list[tuple[int, int]], list[tu
     tokens = [m.span() for m in _TOKEN.finditer(text, lo, hi)]
     word = [text[a:b] for a, b in tokens]
     anchor = [bool(_ANCHOR.search(w)) for w in word]
+    run_of = {}
+    for m in _ASSIGNED.finditer(text, lo, hi):
+        r = _RUN.match(text, m.end())
+        if r:
+            end = m.end() + len(r[0].rstrip(".:!?"))
+            run_of[m.end()] = end
+    place = {b: j for j, (_, b) in enumerate(tokens, 1)} if run_of else {}
     out = []
     for i in range(len(tokens)):
-        if not (word[i][0].isalnum() or word[i] in _EDGE):
+        a, run = tokens[i][0], run_of.get(tokens[i][0])
+        if not (word[i][0].isalnum() or word[i] in _EDGE or run):
             continue
         cue = next((c for w in reversed(word[max(0, i - 3) : i]) if (c := _CUE_OF.get(w.lower()))), None)
-        seen = False
+        if run:
+            cue = "secret"
+        seen = bool(run)
         for j in range(i + 1, min(len(tokens), i + MOST_TOKENS) + 1):
             seen = seen or anchor[j - 1]
-            a, b = tokens[i][0], tokens[j - 1][1]
-            if b - a > 128:
-                break
+            b = tokens[j - 1][1]
             if j > i + 1 and tokens[j - 1][0] - tokens[j - 2][1] > 1:
                 break  # entities have single spaces at most
-            if seen and plausible(text[a:b], j - i):
-                out.append((i, j, span_features(text, a, b, cue)))
+            if b != run and seen and plausible(text[a:b], j - i, seen):
+                out.append((i, j, span_features(text, a, b, cue, bool(run))))
+        # The whole of what is assigned, of however many tokens.
+        if run and run - a >= LEAST and run in place:
+            out.append((i, place[run], span_features(text, a, run, cue, True, True)))
     return tokens, out
 
 
@@ -225,7 +253,14 @@ def sentences(n: int, seed: int = 3) -> list[tuple[str, list[Span]]]:
         value = r.choice([pick(hexa, r.choice([18, 24, 32, 40])), "AKIA" + pick(up, 16), "ghp_" + pick(low + up, 36), pick(low + up, r.randint(20, 40))])
         if value.startswith(("AKIA", "ghp_")) and r.random() < 0.7:
             return "", value, ""
-        key, quote = r.choice(["password", "token", "secret", "api_key", "pwd"]), r.choice(["", '"', "'"])
+        key, quote = r.choice(["password", "token", "secret", "api_key", "pwd", "passwort", "mot de passe", "contrase\u00f1a", "clave"]), r.choice(["", '"', "'"])
+        if r.random() < 0.5:
+            mixed = low + up.lower().upper() + low.upper()
+            value = r.choice([
+                "".join(word().title() for _ in range(r.randint(3, 5))), pick(mixed, r.choice([60, 160, 400])), pick(hexa, r.choice([64, 128, 160])),
+                pick(mixed, r.randint(10, 16)) + r.choice("+/-.") + pick(mixed, r.randint(8, 30)), ".".join(pick(mixed, r.randint(20, 60)) for _ in range(3)),
+                "-".join(pick(mixed, 4) for _ in range(r.randint(4, 24))), pick(mixed, r.randint(7, 12)) + number(2), pick(up[:26], 1) + pick(low, r.randint(3, 7)) + number(r.randint(2, 6)) + pick(low, r.randint(0, 4)), pick(low, 6) + "_" + pick(mixed, 8) + number(2),
+            ])
         return f"{key}{r.choice(['=', ' = ', ': '])}{quote}", value, quote
 
     makers = {
@@ -241,7 +276,7 @@ def sentences(n: int, seed: int = 3) -> list[tuple[str, list[Span]]]:
         lambda: number(r.randint(1, 12)), lambda: card(False), lambda: f"{number(4)}-{number(2)}-{number(2)}", lambda: f"{word()}{number(2)}",
         lambda: f"v{number(1)}.{number(1)}.{number(2)}", lambda: f"{number(3)}.{number(3)}.{r.randint(256, 999)}.{number(3)}", lambda: f"{word()}{word()}{number(1)}",
         lambda: f"https://{word()}.example.org/{word()}/{number(4)}", lambda: f"the key {word()} token {number(3)}", lambda: f"{number(2)}:{number(2)}", lambda: f"${number(3)}.{number(2)}",
-        lambda: f"{word().upper()}{number(2)}", lambda: f"password {word()} {number(2)}", lambda: f"{word()}-{number(3)}-{word()}", lambda: f"ISBN {number(3)}-{number(1)}-{number(5)}-{number(3)}-{number(1)}",
+        lambda: f"{word().upper()}{number(2)}", lambda: f"password {word()} {number(2)}", lambda: f"{word()}-{number(3)}-{word()}", lambda: f"{r.choice(['password', 'token', 'clave', 'secret'])}: {pick(low, r.randint(2, 9))}", lambda: f"{r.choice(['token', 'passwort'])}: {pick(low, r.randint(2, 9)).title()}", lambda: f"ISBN {number(3)}-{number(1)}-{number(5)}-{number(3)}-{number(1)}",
     ]
     out = []
     for k in range(n):
@@ -321,37 +356,53 @@ def decode(text: str, lo: int, hi: int, w: dict[str, np.ndarray]) -> list[Span]:
 
 
 def windows(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches around anchors, wide enough for any segment and its cues, that cut no token."""
+    """Stretches around anchors and assignments, wide enough for any segment and its cues, in order and apart, that cut no token."""
+    at = [m.span() for m in _ANCHOR.finditer(text)]
+    if ":" in text or "=" in text:
+        assigned = [(m.end(), r.end()) for m in _ASSIGNED.finditer(text) if (r := _RUN.match(text, m.end()))]
+        at = sorted([*at, *assigned]) if assigned else at
     lo = hi = -1
-    for m in _ANCHOR.finditer(text):
-        if m.start() - REACH * 2 > hi:
-            if hi >= 0:
-                yield _whole(text, lo, hi)
-            lo = m.start()
-        hi = m.end()
+    for a, b in at:
+        if hi >= 0 and a - REACH * 2 <= hi:
+            hi = max(hi, _right(text, b)) if b > hi - REACH * 2 else hi
+            continue
+        if hi >= 0:
+            yield lo, hi
+        lo, hi = _left(text, a, hi), _right(text, b)
     if hi >= 0:
-        yield _whole(text, lo, hi)
+        yield lo, hi
+
+
+def _inside(text: str, k: int) -> bool:
+    return 0 < k < len(text) and (text[k].isalnum() or text[k] == "_") and (text[k - 1].isalnum() or text[k - 1] == "_")
+
+
+def _left(text: str, at: int, least: int) -> int:
+    at = max(0, least, at - REACH * 2)
+    while at > least and _inside(text, at):
+        at -= 1
+    return at
 
 
-def _whole(text: str, lo: int, hi: int) -> tuple[int, int]:
-    lo, hi = max(0, lo - REACH * 2), min(len(text), hi + REACH * 2)
-    for _ in range(256):
-        if lo and (text[lo - 1].isalnum() or text[lo - 1] == "_"):
-            lo -= 1
-        if hi < len(text) and (text[hi].isalnum() or text[hi] == "_"):
-            hi += 1
-    return lo, hi
+def _right(text: str, at: int) -> int:
+    at = min(len(text), at + REACH * 2)
+    while _inside(text, at):
+        at += 1
+    return at
 
 
 def find_spans(text: str | None, w: dict[str, np.ndarray]) -> list[Span]:
     """All spans by kind, then start."""
     text = text or ""
-    base = base_spans(text)
-    taken = sorted((a, b) for _, a, b in base)
-    found = base
+    found = base_spans(text)
+    taken = sorted((a, b) for _, a, b in found)
+    k = 0
     for lo, hi in windows(text):
-        near = [t for t in taken if t[1] > lo and t[0] < hi]
-        found = found + [s for s in decode(text, lo, hi, w) if s[0] in ADDED and not any(a < s[2] and s[1] < b for a, b in near)]
+        # Windows come in order, so base spans before one are before all that follow.
+        while k < len(taken) and taken[k][1] <= lo:
+            k += 1
+        near = taken[k : bisect_left(taken, (hi, 0))]
+        found += [s for s in decode(text, lo, hi, w) if s[0] in ADDED and all(b <= s[1] or s[2] <= a or s[1] <= a and b <= s[2] and b - a < s[2] - s[1] for a, b in near)]
     return sorted(found, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
@@ -369,7 +420,7 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-SCHEMA = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string"
+SCHEMA = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, redacted string"
 
 
 def find_pii(docs: DataFrame, keep: list[str], with_text: bool = False) -> DataFrame:
@@ -377,6 +428,7 @@ def find_pii(docs: DataFrame, keep: list[str], with_text: bool = False) -> DataF
     from pyspark.sql.types import StructType
 
     w = weights()
+    small_batches(docs.sparkSession)
     d = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("_text"))
     schema = StructType([*docs.select(*[F.col(f"`{c}`") for c in keep]).schema.fields, *StructType.fromDDL(SCHEMA).fields])
 
@@ -389,9 +441,9 @@ def find_pii(docs: DataFrame, keep: list[str], with_text: bool = False) -> DataF
                 base = [s for s in spans if s[0] in BASE]
                 n = Counter(s[0] for s in base)
                 changed = None if text is None or not with_text else redact(text, spans)
-                rows.append((*(n[k] for k in BASE), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), changed))
-            made = list(zip(*rows)) or [[]] * 7
-            types = [pa.int64()] * 4 + [pa.string()] * 3
+                rows.append((*(n[k] for k in BASE), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans), changed))
+            made = list(zip(*rows)) or [[]] * 8
+            types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array(c, t) for c, t in zip(made, types))], schema.fieldNames())
 
     return d.mapInArrow(run, schema)
@@ -399,7 +451,9 @@ def find_pii(docs: DataFrame, keep: list[str], with_text: bool = False) -> DataF
 
 def redact_documents(docs: DataFrame) -> DataFrame:
     """The documents with their spans replaced in ``text``; a null text stays null."""
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
+    # The text goes to Python once, so it is left out of the row that is carried along.
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    d = docs.select(F.struct(F.lit(0).alias("_"), *rest).alias("_row"), "text")
     out = find_pii(d, ["_row"], with_text=True)
     made = {"text": F.col("redacted"), "n_chars": F.coalesce(F.length("redacted").cast("long"), F.col("_row.n_chars") if "n_chars" in docs.columns else F.lit(None))}
     return out.select(*[made[c].alias(c) if c in made else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
