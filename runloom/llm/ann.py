@@ -1,27 +1,32 @@
 """Nearest neighbours by inner product: a forest of random-projection trees.
 
-1. All vectors are counted and the largest norm found; a further component
+1. All vectors are counted and the largest component and norm found; a further component
    sqrt(norm_max^2 - norm^2) turns inner products into angles, so that trees, which split
-   by direction, serve unnormalised vectors too.
+   by direction, serve unnormalised vectors too. Trees see vectors divided by the largest component, so that no norm overflows.
 2. TREES trees are fitted on a sample of SAMPLE vectors at most (the least hashes of
    vec_id): each node splits at the median projection on the difference of two sample points.
-   The depth follows the row count, LEAF rows a leaf, as far as the sample has
-   LEAST_SAMPLE points for each leaf.
+   The greatest depth follows the row count, LEAF rows a leaf, as far as the sample has
+   LEAST_SAMPLE points for each leaf: 2^14 leaves a tree, after which leaves grow. A tree cut at a lesser depth is a
+   tree as well; which depth is used, is measured too (see 4).
 3. Every row is filed in its leaf of each tree.
 4. Each query searches all trees through one priority queue: a node's priority is the least
    margin on its path by which the query lies on the other side. Since the near child
-   keeps its parent's priority, taking the best PROBES nodes of all trees level by
-   level gives exactly the leaves that a heap would pop first. PROBES is the least
-   number: a pass over the table finds the exact neighbours of TRIALS queries, and the search
-   takes as many leaves as their recall needs to reach HOLD (see ``probes_for``).
+   keeps its parent's priority, taking the best nodes of all trees level by
+   level gives exactly the leaves that a heap would pop first. How many leaves is measured: a pass over the
+   table finds the exact neighbours of TRIALS queries, and the search takes as many
+   leaves as their recall needs to reach HOLD (see ``probes_for``), TREES at least. Of several depths, the one of least
+   work is used: vectors in clusters call for many small leaves, vectors without structure for few large
+   ones. ``probes`` of all leaves makes the search exact.
 5. Leaf by leaf, queries meet rows in blocks and are scored exactly, in double precision; the
    best of all leaves are merged. A leaf with more than BLOCK rows is
    spread over several tasks, each of which gets the leaf's queries.
+6. Queries whose leaves held fewer than k rows (while there are more) are answered by a pass over all rows.
 
-Cases: vectors that are null, zero, or hold null or non-finite components take no
-part, nor do those whose length is not the table's most frequent. Repeated ids are
-rows of their own, but a query's own id is never its candidate. Ties go to the
-smaller id. An empty table gives an empty result. Other columns are ignored.
+Cases: vectors that are null, empty, zero, or hold null or non-finite components take no
+part, nor do rows without an id. Vectors of each length are a table of their own. Rows are told apart
+by a number, not by their ids: repeated ids and repeated rows each have a list of their own, and each other
+as candidates; only a query's own row is left out. Ties go to the smaller id. Products beyond the doubles are infinite.
+An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,18 +37,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import checkpoint
+from .common import checkpoint, shuffle_partitions
 
 TREES = 8
-SAMPLE = 20_000
-LEAF = 1024
-LEAST_SAMPLE = 8
-PROBES = 96
+SAMPLE = 65_536
+LEAF = 128
+LEAST_SAMPLE = 4
+#: Visiting a leaf costs as much as scoring so many rows.
+VISIT = 400
 #: Queries (by another hash than the sample's) whose exact neighbours settle the probes, and the recall they are to reach.
 TRIALS = 128
 HOLD = 0.95
 BLOCK = 8192
 K = 20
+#: Places beyond k that a block's fast path looks at, for rows whose scores are ties but for rounding.
+MARGIN = 12
 
 
 class Forest:
@@ -76,6 +84,12 @@ class Forest:
                     below += [g[p <= offset], g[p > offset]]
                 groups = below
 
+    def cut(self, depth: int) -> Forest:
+        """The same trees without the levels below ``depth``."""
+        out = object.__new__(Forest)
+        out.depth, out.n_trees, out.normals, out.offsets = depth, self.n_trees, self.normals[:depth], self.offsets[:depth]
+        return out
+
     def leaves(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each row in each tree: (rows, trees)."""
         out = np.zeros((len(x), self.n_trees), dtype=np.int64)
@@ -110,19 +124,43 @@ def augment(x: np.ndarray, norm_max: float, query: bool = False) -> np.ndarray:
     return np.concatenate([x, more[:, None]], axis=1)
 
 
-def best_of_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
-    """The k nearest rows of each query, by exact scores that don't depend on a row's place."""
-    out = []
+def best_of_block(q_rows: np.ndarray, q: np.ndarray, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest rows of each query by exact scores, which don't depend on a row's place: (query's place, score, row's place), flat."""
+    who, score, place = [], [], []
+    wide = k + MARGIN
     for i in range(0, len(q), 256):
-        s = q[i : i + 256] @ x.T
-        s[q_ids[i : i + 256, None] == ids[None, :]] = -np.inf
-        least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
-        for r in range(len(s)):
-            near = np.flatnonzero((s[r] >= least[r] - 1e-9 * (1 + abs(least[r]))) & (s[r] > -np.inf) if least[r] > -np.inf else s[r] > -np.inf)
-            exact = (x[near] * q[i + r]).sum(axis=1)
-            order = np.lexsort((ids[near], -exact))[:k]
-            out.append([(float(exact[j]), int(ids[near[j]])) for j in order])
-    return out
+        part, own = q[i : i + 256], q_rows[i : i + 256]
+        with np.errstate(over="ignore", invalid="ignore"):
+            s = np.nan_to_num(part @ x.T, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+        s[own[:, None] == rows[None, :]] = -np.inf
+        if s.shape[1] > wide:
+            near = np.argpartition(s, -wide, axis=1)[:, -wide:]
+            least = np.partition(np.take_along_axis(s, near, axis=1), -k, axis=1)[:, -k]
+            # Where more rows than these come near the k-th score, all that do are looked at.
+            with np.errstate(invalid="ignore"):
+                floor = least - 1e-9 * (1 + np.abs(least))
+            crowded = (s >= floor[:, None]).sum(axis=1) > wide
+        else:
+            near, crowded = np.tile(np.arange(s.shape[1]), (len(s), 1)), np.zeros(len(s), dtype=bool)
+        with np.errstate(over="ignore", invalid="ignore"):
+            exact = (x[near] * part[:, None, :]).sum(axis=2)
+        exact[rows[near] == own[:, None]] = -np.inf
+        order = np.lexsort((rows[near], ids[near], -exact), axis=-1)[:, :k]
+        exact, near = np.take_along_axis(exact, order, axis=1), np.take_along_axis(near, order, axis=1)
+        good = (rows[near] != own[:, None]) & ~crowded[:, None]
+        r = np.nonzero(good)[0]
+        who.append(r + i)
+        score.append(exact[good])
+        place.append(near[good])
+        for r in np.flatnonzero(crowded).tolist():
+            at = np.flatnonzero((s[r] >= floor[r]) & (rows != own[r]))
+            with np.errstate(over="ignore", invalid="ignore"):
+                exact_r = (x[at] * part[r]).sum(axis=1)
+            best = np.lexsort((rows[at], ids[at], -exact_r))[:k]
+            who.append(np.full(len(best), i + r))
+            score.append(exact_r[best])
+            place.append(at[best])
+    return np.concatenate(who), np.concatenate(score), np.concatenate(place)
 
 
 def _matrix(col: pa.Array, dtype: str) -> np.ndarray:
@@ -135,51 +173,54 @@ def stored(vectors: DataFrame) -> str:
     return "<f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
 
 
-def valid_vectors(vectors: DataFrame) -> DataFrame:
-    """vec_id, embedding -> vec_id, vec (bytes), norm, dims."""
+def valid_vectors(vectors: DataFrame, is_query: Column) -> DataFrame:
+    """vec_id, embedding -> row (a number of its own), vec_id, asked, vec (bytes), most (largest component), dims."""
     dtype = stored(vectors)
-    d = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter("vec_id is not null")
+    asked = F.coalesce(is_query, F.lit(False))
+    d = vectors.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), asked.alias("asked"), F.col("embedding").cast("array<double>").alias("embedding"))
+    d = d.filter("vec_id is not null and size(embedding) > 0")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, vecs, norms, dims = [], [], [], []
-            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if not v or None in v:
-                    continue
-                x = np.array(v)
-                with np.errstate(over="ignore"):
-                    n = float(np.sqrt((x * x).sum()))
-                if np.isfinite(x).all() and x.any() and np.isfinite(n):
-                    ids.append(i)
+            col = b.column(3)
+            flat, at = col.values, col.offsets.to_numpy()
+            value = flat.to_numpy(zero_copy_only=False)  # nulls become NaN
+            keep, vecs, most, dims = [], [], [], []
+            for i in range(len(b)):
+                x = value[at[i] : at[i + 1]]
+                if np.isfinite(x).all() and x.any():
+                    keep.append(i)
                     vecs.append(x.astype(dtype).tobytes())
-                    norms.append(n)
-                    dims.append(len(v))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vecs, pa.binary()), pa.array(norms, pa.float64()), pa.array(dims, pa.int32())], ["vec_id", "vec", "norm", "dims"])
+                    most.append(float(np.abs(x).max()))
+                    dims.append(len(x))
+            kept = b.select(["row", "vec_id", "asked"]).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(vecs, pa.binary()), pa.array(most, pa.float64()), pa.array(dims, pa.int32())], ["row", "vec_id", "asked", "vec", "most", "dims"])
 
-    return d.mapInArrow(run, "vec_id long, vec binary, norm double, dims int")
+    return d.mapInArrow(run, "row long, vec_id long, asked boolean, vec binary, most double, dims int")
 
 
-def exact_neighbours(base: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int, dtype: str) -> list[list[bytes]]:
+def exact_neighbours(base: DataFrame, q_rows: np.ndarray, q: np.ndarray, k: int, dtype: str) -> list[list[bytes]]:
     """The vectors of each query's k nearest rows, by one pass over all rows; a few queries only."""
-    asked = base.sparkSession.sparkContext.broadcast((q_ids, q))
+    asked = base.sparkSession.sparkContext.broadcast((q_rows, q))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, x = asked.value
-        best: list[list[tuple[float, int, bytes]]] = [[] for _ in ids]
+        rows_q, x = asked.value
+        best: list[list[tuple[float, int, int, bytes]]] = [[] for _ in rows_q]
         for b in batches:
             for i in range(0, len(b), BLOCK):
                 part = b.slice(i, BLOCK)
-                at = part.column(0).to_numpy()
-                place, rows = dict(zip(at.tolist(), range(len(at)))), _matrix(part.column(1), dtype)
-                for j, found in enumerate(best_of_block(ids, x, at, rows, k)):
-                    best[j] = sorted([*best[j], *((-s, v, part.column(1)[place[v]].as_py()) for s, v in found)])[:k]
+                rows, ids = part.column(0).to_numpy(), part.column(1).to_numpy()
+                who, score, place = best_of_block(rows_q, x, rows, ids, _matrix(part.column(2), dtype), k)
+                for j, s, p in zip(who.tolist(), score.tolist(), place.tolist()):
+                    best[j].append((-s, int(ids[p]), int(rows[p]), part.column(2)[p].as_py()))
+                best = [sorted(found)[:k] for found in best]
         n = [j for j, found in enumerate(best) for _ in found]
         flat = [f for found in best for f in found]
-        yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array([f[0] for f in flat], pa.float64()), pa.array([f[1] for f in flat], pa.int64()), pa.array([f[2] for f in flat], pa.binary())], ["n", "s", "v", "vec"])
+        yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array([f[0] for f in flat], pa.float64()), pa.array([f[1] for f in flat], pa.int64()), pa.array([f[2] for f in flat], pa.int64()), pa.array([f[3] for f in flat], pa.binary())], ["n", "s", "v", "r", "vec"])
 
-    found = base.mapInArrow(run, "n int, s double, v long, vec binary")
-    found = found.groupBy("n").agg(F.slice(F.array_sort(F.collect_list(F.struct("s", "v", "vec"))), 1, k).alias("near"))
-    out: list[list[bytes]] = [[] for _ in q_ids]
+    found = base.select("row", "vec_id", "vec").mapInArrow(run, "n int, s double, v long, r long, vec binary")
+    found = found.groupBy("n").agg(F.slice(F.array_sort(F.collect_list(F.struct("s", "v", "r", "vec"))), 1, k).alias("near"))
+    out: list[list[bytes]] = [[] for _ in q_rows]
     for r in found.collect():
         out[r["n"]] = [bytes(x["vec"]) for x in r["near"]]
     return out
@@ -205,87 +246,153 @@ def probes_for(forest: Forest, q: np.ndarray, near: list[np.ndarray], hold: floa
     return int(at[order][min(np.searchsorted(share, hold - 1e-12), len(order) - 1)])
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = K, trees: int = TREES, probes: int = PROBES, leaf: int = LEAF, sample: int = SAMPLE, hold: float = HOLD) -> DataFrame:
-    """vec_id, embedding -> query_id, rank, vec_id, score. ``probes`` is the least number of leaves a query visits."""
-    spark = vectors.sparkSession
-    v, dtype = checkpoint(valid_vectors(vectors)), stored(vectors)
-    usual = v.groupBy("dims").count().orderBy(F.desc("count"), "dims").first()
-    if usual is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    v = v.filter(F.col("dims") == usual["dims"])
-    n, norm_max = usual["count"], v.agg(F.max("norm")).first()[0]
+def fitted(v: DataFrame, dtype: str, k: int, trees: int, probes: int | None, leaf: int, sample: int, hold: float) -> tuple[Forest, float, float, int, int]:
+    """Of vectors of one length: the forest, the largest component and (scaled) norm, the probes, and the number of rows."""
+    n, most = v.agg(F.count(F.lit(1)), F.max("most")).first()
     # A bounded sample, the same at each run.
-    drawn = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec").toArrow().column(0).combine_chunks()
-    points = augment(_matrix(drawn, dtype), norm_max)
+    drawn = v.orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(sample).select("vec").toArrow().column(0).combine_chunks()
+
+    def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _matrix(b.column(0), dtype) / most
+            yield pa.RecordBatch.from_arrays([pa.array([float(np.sqrt((x * x).sum(axis=1)).max(initial=0.0))])], ["norm"])
+
+    norm_max = v.select("vec").mapInArrow(norms, "norm double").agg(F.max("norm")).first()[0]
+    points = augment(_matrix(drawn, dtype) / most, norm_max)
     depth = 0
     while n > leaf << depth and len(points) >= LEAST_SAMPLE << (depth + 1):
         depth += 1
     forest = Forest(points, trees, depth)
-    shared = spark.sparkContext.broadcast(forest)  # SAMPLE / LEAST_SAMPLE planes a tree at most
-
-    base = v.select("vec_id", "vec")
-    if probes < trees << depth:
-        trial = base.filter(is_query).orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(TRIALS).toArrow().combine_chunks()
-        if len(trial):
+    if probes is None:
+        probes = trees
+        trial = v.filter("asked").orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id", "row").limit(TRIALS).select("row", "vec").toArrow().combine_chunks()
+        if len(trial) and probes < trees << depth:
             q = _matrix(trial.column(1).combine_chunks(), dtype)
-            found = exact_neighbours(base, trial.column(0).to_numpy(), q, k, dtype)
-            near = [augment(np.frombuffer(b"".join(f), dtype=dtype).reshape(len(f), -1).astype(np.float64), norm_max) if f else np.zeros((0, 0)) for f in found]
-            probes = max(probes, probes_for(forest, augment(q, norm_max, query=True), near, hold))
+            found = exact_neighbours(v, trial.column(0).to_numpy(), q, k, dtype)
+            near = [augment(np.frombuffer(b"".join(f), dtype=dtype).reshape(len(f), -1).astype(np.float64) / most, norm_max) if f else np.zeros((0, 0)) for f in found]
+            q = augment(q / most, norm_max, query=True)
+            tried = []
+            for d in range(max(0, depth - 5), depth + 1):
+                needed = max(min(trees, trees << d), probes_for(forest.cut(d), q, near, hold))
+                tried.append((needed * (n / (1 << d) + VISIT), d, needed))
+            _, depth, probes = min(tried)
+            forest = forest.cut(depth)
+    return forest, most, norm_max, probes, n
 
-    def file_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not len(b):
-                continue
-            at = shared.value.leaves(augment(_matrix(b.column(1), dtype), norm_max))
-            for t in range(trees):
-                yield pa.RecordBatch.from_arrays([pa.array(at[:, t] * trees + t), b.column(0), b.column(1)], ["cell", "id", "vec"])
 
-    def file_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            step = max(1, 512 * PROBES // max(probes, PROBES))
-            for i in range(0, len(b), step):
-                part = b.slice(i, step)
-                tree, node = shared.value.search(augment(_matrix(part.column(1), dtype), norm_max, query=True), probes)
-                who = pa.array(np.repeat(np.arange(len(part)), tree.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array((node * trees + tree).ravel()), part.column(0).take(who), part.column(1).take(who)], ["cell", "id", "vec"])
+_FILED = "cell long, row long, id long, vec binary"
+
 
-    schema = "cell long, id long, vec binary"
-    filed = base.mapInArrow(file_rows, schema)
+def meet(rows: DataFrame, asked: DataFrame, dtype: str, k: int) -> DataFrame:
+    """Filed rows and queries (cell, row, id, vec) -> query, query_id, s, v, row: the k best of each block for each query."""
+    spark = rows.sparkSession
     # One count a leaf; leaves are bounded by the sample.
-    sizes = filed.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"))
-    blocks = F.broadcast(checkpoint(sizes.select("cell", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))))
-    rows = filed.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(0).alias("side"), "id", "vec")
-    asked = base.filter(is_query).mapInArrow(file_queries, schema).join(blocks, "cell")
-    asked = asked.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "id", "vec")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = rows.unionByName(asked).repartition(parts, "cell", "block").sortWithinPartitions("cell", "block", "side", "id")
+    sizes = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    blocks = F.broadcast(checkpoint(sizes))
+    filed = rows.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("row"), "blocks").cast("int").alias("block"), F.lit(0).alias("side"), "row", "id", "vec")
+    met = asked.join(blocks, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "row", "id", "vec")
+    met = filed.unionByName(met).repartition(shuffle_partitions(spark), "cell", "block").sortWithinPartitions("cell", "block", "side", "row")
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, xs, loaded = None, [], [], None
+        now, held, loaded = None, [], None
         for b in batches:
-            cell, block, side = (b.column(i).to_numpy() for i in range(3))
-            key = np.stack([cell, block, side])
+            key = np.stack([b.column(i).to_numpy() for i in range(3)])
             edges = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(cell)]):
+            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(b)]):
                 if hi <= lo:
                     continue
-                if (cell[lo], block[lo]) != now:
-                    now, ids, xs, loaded = (cell[lo], block[lo]), [], [], None
+                if tuple(key[:2, lo]) != now:
+                    now, held, loaded = tuple(key[:2, lo]), [], None
                 part = b.slice(lo, hi - lo)
-                if side[lo] == 0:
-                    ids.append(part.column(3).to_numpy())
-                    xs.append(_matrix(part.column(4), dtype))
+                own = part.column(3).to_numpy(), part.column(4).to_numpy(), _matrix(part.column(5), dtype)
+                if key[2, lo] == 0:
+                    held.append(own)
                     continue
-                if not ids:
+                if not held:
                     continue
                 if loaded is None:
-                    loaded = np.concatenate(ids), np.concatenate(xs)
-                q_ids = part.column(3).to_numpy()
-                found = best_of_block(q_ids, _matrix(part.column(4), dtype), *loaded, k)
+                    loaded = [np.concatenate(c) for c in zip(*held)]
+                who, score, place = best_of_block(own[0], own[2], *loaded, k)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(q_ids), pa.array([[{"s": -s, "v": i} for s, i in f] for f in found], pa.list_(pa.struct([("s", pa.float64()), ("v", pa.int64())])))], ["query_id", "near"]
+                    [pa.array(own[0][who]), pa.array(own[1][who]), pa.array(score), pa.array(loaded[1][place]), pa.array(loaded[0][place])], ["query", "query_id", "s", "v", "row"]
                 )
 
-    near = met.mapInArrow(rerank, "query_id long, near array<struct<s:double,v:bigint>>")
-    merged = near.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
-    return merged.select("query_id", F.posexplode("near").alias("i", "x")).select("query_id", (F.col("i") + 1).alias("rank"), F.col("x.v").alias("vec_id"), (-F.col("x.s")).alias("score"))
+    return met.mapInArrow(rerank, "query long, query_id long, s double, v long, row long")
+
+
+def merged(found: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query, each row once: query, query_id, rank, vec_id, score."""
+    found = found.repartition(shuffle_partitions(found.sparkSession), "query").sortWithinPartitions("query")
+
+    def top(q: np.ndarray, q_id: np.ndarray, s: np.ndarray, v: np.ndarray, row: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((row, v, -s, q))
+        q, q_id, s, v, row = (x[order] for x in (q, q_id, s, v, row))
+        first = np.ones(len(q), dtype=bool)
+        # A row has the same score in every tree, so its repeats stand side by side.
+        first[1:] = (q[1:] != q[:-1]) | (row[1:] != row[:-1])
+        q, q_id, s, v = (x[first] for x in (q, q_id, s, v))
+        start = np.searchsorted(q, q)
+        rank = np.arange(len(q)) - start + 1
+        near = rank <= k
+        return pa.RecordBatch.from_arrays([pa.array(x[near]) for x in (q, q_id, rank.astype(np.int32), v, s)], ["query", "query_id", "rank", "vec_id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for b in batches:
+            if not len(b):
+                continue
+            now = [c.to_numpy() for c in b.columns]
+            now = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            last = int(np.searchsorted(now[0], now[0][-1]))  # the last query may go on
+            if last:
+                yield top(*(x[:last] for x in now))
+            held = [x[last:] for x in now]
+        if held is not None:
+            yield top(*held)
+
+    return found.mapInArrow(run, "query long, query_id long, rank int, vec_id long, score double")
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = K, trees: int = TREES, probes: int | None = None, leaf: int = LEAF, sample: int = SAMPLE, hold: float = HOLD) -> DataFrame:
+    """vec_id, embedding -> query_id, rank, vec_id, score. ``probes``: leaves a query visits; measured, if none are given."""
+    spark = vectors.sparkSession
+    v, dtype = checkpoint(valid_vectors(vectors, is_query)), stored(vectors)
+    out = None
+    for r in v.groupBy("dims").count().orderBy("dims").collect():
+        one = _nearest(v.filter(F.col("dims") == r["dims"]), dtype, k, trees, probes, leaf, sample, hold)
+        out = one if out is None else out.union(one)
+    return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double") if out is None else out
+
+
+def _nearest(v: DataFrame, dtype: str, k: int, trees: int, probes: int | None, leaf: int, sample: int, hold: float) -> DataFrame:
+    forest, most, norm_max, probes, n = fitted(v, dtype, k, trees, probes, leaf, sample, hold)
+    shared = v.sparkSession.sparkContext.broadcast(forest)  # SAMPLE / LEAST_SAMPLE planes a tree at most
+
+    def file_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            at = shared.value.leaves(augment(_matrix(b.column(2), dtype) / most, norm_max))
+            for t in range(trees):
+                yield pa.RecordBatch.from_arrays([pa.array(at[:, t] * trees + t), *b.columns], ["cell", "row", "id", "vec"])
+
+    def file_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            step = max(1, min(512, 50_000 // probes))
+            for i in range(0, len(b), step):
+                part = b.slice(i, step)
+                tree, node = shared.value.search(augment(_matrix(part.column(2), dtype) / most, norm_max, query=True), probes)
+                who = pa.array(np.repeat(np.arange(len(part)), tree.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array((node * trees + tree).ravel()), *(c.take(who) for c in part.columns)], ["cell", "row", "id", "vec"])
+
+    base = v.select("row", "vec_id", "vec")
+    asked = v.filter("asked").select("row", "vec_id", "vec")
+    found = checkpoint(merged(meet(base.mapInArrow(file_rows, _FILED), asked.mapInArrow(file_queries, _FILED), dtype, k), k))
+    # Where leaves hold few rows, a query can end with fewer than there are.
+    enough = found.filter(F.col("rank") == min(k, n - 1)).select(F.col("query").alias("row"))
+    short = checkpoint(asked.join(enough, "row", "left_anti"))
+    if n > 1 and not short.isEmpty():
+        every = lambda d: d.select(F.lit(0).cast("long").alias("cell"), "row", F.col("vec_id").alias("id"), "vec")
+        whole = merged(meet(every(base), every(short), dtype, k), k)
+        found = found.join(short.select(F.col("row").alias("query")), "query", "left_anti").unionByName(whole)
+    return found.select("query_id", "rank", "vec_id", "score")
