@@ -4,13 +4,18 @@ All but the last return the columns of documents. Decisions take effect: documen
 that the quality model rejects go, one document of each near-duplicate group
 stays, personal data is replaced by its kind in the text, the mix repeats and leaves out
 blocks of its sources, and the last stage returns packed pieces with their token ids.
+
+Cases, in every stage: null and empty texts are documents without words (quality rejects them; the other stages
+would keep one of them, leave them as they are, take nothing of them, and pack their end id). Null ids are
+ids like any other. Repeated rows are judged alike, one of them stays. Texts of any length are handled whole. Empty tables
+give empty results. Further columns, whatever their names, are carried along.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runloom.llm.common import scratch, table, tokenizer_path
+from runloom.llm.common import drop, scratch, table, tokenizer_path
 from runloom.llm.mixing import mix_documents
 from runloom.llm.packing import pack
 from runloom.llm.pii import redact_documents
@@ -50,9 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            drop(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
