@@ -432,36 +432,37 @@ def fingerprint_hex(fp):
 
 # -- the pipeline's near copies: five-word shingles, exact Jaccard ----------------------
 
-#: Members of a bucket that are held at once, by rows and by bytes of their shingles.
-HOME, HOME_BYTES = 1024, 16 << 20
+#: Members of a bucket that are held at once, by rows and by bytes of their texts.
+HOME, HOME_BYTES = 4096, 16 << 20
 
 
-def sketch(text: str | None) -> tuple[bytes, np.ndarray, list[int]]:
-    """A digest of the text's set of shingles, its hashes for the fingerprint, and one key for each band of min-hashes."""
+def sketch(text: str | None) -> tuple[bytes, int, np.ndarray, list[int]]:
+    """A digest of the text's set of shingles and its size, the hashes for the fingerprint, and one key for each band of min-hashes."""
     import xxhash
 
     every = hashes(text, COPY_WIDTH)
     h = np.unique(every)
     digest = xxhash.xxh3_128_digest(h.tobytes())
     if not len(h):
-        return digest, every, []
+        return digest, 0, every, []
     least = np.full(len(_ODD), np.iinfo(np.uint64).max, dtype=np.uint64)
     for i in range(0, len(h), 2048):
         least = np.minimum(least, ((h[None, i : i + 2048] ^ _MASK[:, None]) * _ODD[:, None]).min(axis=1))
     rows = np.ascontiguousarray(least.reshape(BANDS, -1))
-    return digest, every, [xxhash.xxh64_intdigest(r.tobytes(), seed=k) - (1 << 63) for k, r in enumerate(rows)]
+    return digest, len(h), every, [xxhash.xxh64_intdigest(r.tobytes(), seed=k) - (1 << 63) for k, r in enumerate(rows)]
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """_key, text -> _key, digest, fp, bands."""
+    """_key, text -> _key, digest, n, fp, bands."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digests, fps, bands, held, n = [], [], [], [], 0
+            digests, sizes, fps, bands, held, n = [], [], [], [], [], 0
             for x in b.column(1):
-                digest, every, keys = sketch(x.as_py())
+                digest, size, every, keys = sketch(x.as_py())
                 digests.append(digest)
+                sizes.append(size)
                 bands.append(keys)
                 held.append(every)
                 n += len(every)
@@ -469,21 +470,15 @@ def sketches(docs: DataFrame) -> DataFrame:
                     fps.append(fold(held))
                     held, n = [], 0
             fps.append(fold(held))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(np.concatenate(fps).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], ["_key", "digest", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(np.concatenate(fps).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], ["_key", "digest", "n", "fp", "bands"])
         release()
 
-    return docs.select("_key", "text").mapInArrow(run, "_key long, digest binary, fp long, bands array<long>")
+    return docs.select("_key", "text").mapInArrow(run, "_key long, digest binary, n long, fp long, bands array<long>")
 
 
-def shingle_sets(texts: DataFrame) -> DataFrame:
-    """node, text -> node, shingles: the sorted distinct hashes, as bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [np.unique(hashes(x.as_py(), COPY_WIDTH)).tobytes() for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["node", "shingles"])
-
-    return texts.select("node", "text").mapInArrow(run, "node long, shingles binary")
+def shingles(text: str | None) -> np.ndarray:
+    """The sorted distinct hashes of a text. Texts are what is shuffled: they compress, hashes don't."""
+    return np.unique(hashes(text, COPY_WIDTH))
 
 
 def jaccard(x: np.ndarray, y: np.ndarray) -> float:
@@ -492,14 +487,13 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
-def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """(a, b) -> those whose sets of shingles have the Jaccard similarity or more."""
-    p = pairs.join(sets.toDF("a", "x").hint("merge"), "a").join(sets.toDF("b", "y").hint("merge"), "b").select("a", "b", "x", "y")
+    p = pairs.join(texts.toDF("a", "x").hint("merge"), "a").join(texts.toDF("b", "y").hint("merge"), "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            read = lambda v: np.frombuffer(v.as_buffer(), dtype=np.uint64)
-            near = [jaccard(read(x), read(y)) >= similarity for x, y in zip(b.column(2), b.column(3))]
+            near = [jaccard(shingles(x.as_py()), shingles(y.as_py())) >= similarity for x, y in zip(b.column(2), b.column(3))]
             kept = b.filter(pa.array(near, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
 
@@ -509,7 +503,7 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 class Home:
     """Sets of shingles, indexed for counting what each shares with others."""
 
-    RARE, COLUMNS = 16, 4096
+    RARE, COLUMNS = 16, 1024
 
     def __init__(self, sets: list[np.ndarray]) -> None:
         self.size = np.array([len(x) for x in sets], dtype=np.int64)
@@ -544,26 +538,47 @@ class Home:
         return out
 
 
-def across(filed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def across(filed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """(band, node, root) -> a forest of the links between members of a bucket that have different roots.
 
-    Members of a bucket's most frequent root are at home in one block each; the others are also
-    guests of every block. A task holds one block and lets its guests pass by: no pairs are made but in
-    its memory.
+    Each member is at home in one block of its bucket; those that don't have the bucket's most frequent root are
+    guests of all other blocks. A task holds one block, compares its members and lets its guests pass by: no pairs are
+    made but in its memory.
     """
-    sized = filed.join(sets.select("node", F.octet_length("shingles").alias("size")), "node")
+    sized = filed.join(texts.select("node", F.octet_length("text").alias("size")), "node")
     by_root = sized.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     plan = by_root.groupBy("band").agg(
         F.max_by("root", F.struct("n", "root")).alias("main"), F.greatest(F.ceil(F.sum("n") / HOME), F.ceil(F.sum("size") / HOME_BYTES)).cast("int").alias("blocks")
     )
-    rows = filed.join(plan, "band")
-    home = rows.select("band", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.lit(0).alias("side"), "node", "root")
-    guests = rows.filter("root <> main").select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "node", "root")
-    met = home.union(guests).join(sets, "node").select("band", "block", "side", "node", "root", "shingles")
+    rows = filed.join(plan, "band").withColumn("home", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("main", F.col("root") == F.col("main"))
+    home = rows.select("band", F.col("home").alias("block"), F.lit(0).alias("side"), "node", "root", "main")
+    guests = rows.filter("not main and blocks > 1").select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "node", "root", "main", "home")
+    met = home.union(guests.filter("block <> home").drop("home")).join(texts, "node").select("band", "block", "side", "node", "root", "main", "text")
     met = met.repartition(shuffle_partitions(filed.sparkSession), "band", "block").sortWithinPartitions("band", "block", "side", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, now, nodes, roots, held, index = Forest(), None, [], [], [], None
+        forest, now, held, block = Forest(), None, [], None
+
+        def compare(sets: list[np.ndarray], nodes: np.ndarray, roots: np.ndarray) -> None:
+            index, at, of = block
+            for i in range(0, len(sets), 256):
+                both = index.shared(sets[i : i + 256])
+                size = np.array([len(x) for x in sets[i : i + 256]])[:, None] + index.size[None, :] - both
+                r, c = np.nonzero((both / np.maximum(size, 1) >= similarity) & (roots[i : i + 256, None] != of[None, :]))
+                for p, q in zip(nodes[i + r].tolist(), at[c].tolist()):
+                    forest.link(p, q)
+
+        def settle() -> None:
+            """All members of a block are there: compare those of lesser roots with all."""
+            nonlocal block, held
+            if not held:
+                return
+            sets = [x for h in held for x in h[0]]
+            nodes, roots, main = (np.concatenate([h[k] for h in held]) for k in (1, 2, 3))
+            block, held = (Home(sets), nodes, roots), []
+            few = np.flatnonzero(~main)
+            compare([sets[i] for i in few.tolist()], nodes[few], roots[few])
+
         for b in batches:
             key = np.stack([b.column(i).to_numpy() for i in range(3)])
             edges = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
@@ -571,24 +586,17 @@ def across(filed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 if hi <= lo:
                     continue
                 if tuple(key[:2, lo]) != now:
-                    now, nodes, roots, held, index = tuple(key[:2, lo]), [], [], [], None
-                node, root = b.column(3).to_numpy()[lo:hi], b.column(4).to_numpy()[lo:hi]
-                own = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in b.column(5)[lo:hi]]
+                    settle()
+                    now, block = tuple(key[:2, lo]), None
+                part = b.slice(lo, hi - lo)
+                own = [shingles(x.as_py()) for x in part.column(6)], part.column(3).to_numpy(), part.column(4).to_numpy(), part.column(5).to_numpy(zero_copy_only=False)
                 if key[2, lo] == 0:
-                    nodes.append(node)
-                    roots.append(root)
-                    held += [x.copy() for x in own]
-                    continue
-                if not held:
+                    held.append(own)
                     continue
-                if index is None:
-                    index, at, of = Home(held), np.concatenate(nodes), np.concatenate(roots)
-                for i in range(0, len(own), 256):
-                    both = index.shared(own[i : i + 256])
-                    size = np.array([len(x) for x in own[i : i + 256]])[:, None] + index.size[None, :] - both
-                    r, c = np.nonzero((both / np.maximum(size, 1) >= similarity) & (root[i : i + 256, None] != of[None, :]))
-                    for p, q in zip(node[i + r].tolist(), at[c].tolist()):
-                        forest.link(p, q)
+                settle()
+                if block:
+                    compare(own[0], own[1], own[2])
+        settle()
         e = forest.edges()
         for i in range(0, len(e), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in e[i : i + 50_000]], pa.int64()), pa.array([q for _, q in e[i : i + 50_000]], pa.int64())], ["a", "b"])
@@ -613,14 +621,15 @@ def copy_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     hold several components, all across these. A link is only what has the similarity, counted over all shingles.
     """
     # Two steps, so that copies that hold a third of all rows are counted where they lie.
-    d = checkpoint(sketches(docs).groupBy("_key").agg(*[F.first(c).alias(c) for c in ("digest", "fp", "bands")]))
-    sets = checkpoint(d.groupBy("digest").agg(F.min("_key").alias("node"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    d = checkpoint(sketches(docs).groupBy("_key").agg(*[F.first(c).alias(c) for c in ("digest", "n", "fp", "bands")]))
+    sets = checkpoint(d.groupBy("digest").agg(F.min("_key").alias("node"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     close = checkpoint(close_pairs(sets.select("node", "fp")))
     filed = sets.select("node", F.explode("bands").alias("band"))
     filed = checkpoint(filed.join(filed.groupBy("band").count().filter("count > 1").select("band"), "band").select("band", "node"))
     needed = filed.select("node").union(close.select("a")).union(close.select("b")).distinct()
     texts = docs.select(F.col("_key").alias("node"), "text").join(needed, "node", "left_semi")
-    shingles = checkpoint(shingle_sets(texts.groupBy("node").agg(F.first("text").alias("text"))))
+    texts = checkpoint(texts.groupBy("node").agg(F.first("text").alias("text")))
+    counts = sets.select("node", "n")
     links_, roots, tried = None, None, None
     for turn in range(2):
         if roots is not None:
@@ -629,14 +638,16 @@ def copy_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         pairs = filed.join(first, "band").select(F.col("node").alias("a"), "b").filter("a <> b")
         pairs = pairs if turn else pairs.union(close)
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        # Sets of too different sizes can't be that similar, whatever they share.
+        pairs = pairs.join(counts.toDF("a", "n"), "a").join(counts.toDF("b", "m"), "b").filter(F.least("n", "m") >= similarity * F.greatest("n", "m")).select("a", "b")
         pairs = checkpoint(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.union(pairs)
-        found = checkpoint(similar(pairs, shingles, similarity))
+        found = checkpoint(similar(pairs, texts, similarity))
         links_ = found if links_ is None else links_.union(found)
         roots = checkpoint(components(links_))
     filed = _open(filed, roots)
     if not filed.isEmpty():
-        roots = checkpoint(components(links_.union(across(filed, shingles, similarity))))
+        roots = checkpoint(components(links_.union(across(filed, texts, similarity))))
     sets = sets.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     return d.select("_key", "digest").join(sets, "digest").select("_key", "root")
 
