@@ -1,4 +1,4 @@
-"""Command line: ``python -m runloom.cli ingest|search|eval|stats|preview|inspect|reset|config|serve``."""
+"""Command line: ``python -m runloom.cli ingest|search|eval|stats|preview|inspect|reset|config|check|serve``."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .config import Config, load
+from .config import Config, load_files
 from .functions.text import breadcrumb, content_hash
 from .operators import chunking, evaluate, normalize
 from .plans import ingest as ingest_plan
@@ -41,10 +41,25 @@ def evaluate_cases(engine: Engine, cases: DataFrame, k: int) -> DataFrame:
     return evaluate.case_results(cases, hits.withColumn("relevant", relevant), k)
 
 
+def check(config: Config) -> int:
+    """Say what works: the settings, and the wiki's answer to the token; 1 if something doesn't."""
+    print(json.dumps(config.summary(), indent=2))
+    if not config.source.base_url:
+        print("source: no base_url set; local folders only")
+        return 0
+    try:
+        print(f"source: signed in as {content_api.verify(config.source.base_url, config.source.token)}")
+        return 0
+    except (OSError, ValueError) as e:  # refused, unreachable, or no JSON
+        print(f"source: {e}", file=sys.stderr)
+        return 1
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="runloom")
     p.add_argument("--folder", help="where the store is")
     p.add_argument("--profile")
+    p.add_argument("--config", help="a file of settings")
     sub = p.add_subparsers(dest="command", required=True)
     s = sub.add_parser("ingest")
     s.add_argument("source", choices=["local", "wiki", "payloads"])
@@ -62,7 +77,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--k", type=int, default=6)
     s = sub.add_parser("preview")
     s.add_argument("path")
-    for name in ("stats", "inspect", "config"):
+    for name in ("stats", "inspect", "config", "check"):
         sub.add_parser(name)
     s = sub.add_parser("reset")
     s.add_argument("--yes", action="store_true")
@@ -73,10 +88,12 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
-    config = load(profile=args.profile)
+    config = load_files(args.config, args.profile)
     if args.command == "config":
         print(json.dumps(config.summary(), indent=2))
         return 0
+    if args.command == "check":
+        return check(config)
     spark = spark or SparkSession.builder.appName("runloom").getOrCreate()
     store = Store(spark, args.folder or config.folder)
     engine = Engine(store, config.retrieval)

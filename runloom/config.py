@@ -85,6 +85,8 @@ def load(mapping: dict[str, Any] | None = None, profile: str | None = None, env:
     env = dict(os.environ if env is None else env)
     mapping = mapping or {}
     base = Config()
+    if odd := set(mapping) - {f.name for f in fields(Config)}:
+        raise ValueError(f"unknown sections {', '.join(sorted(odd))}")
     made: dict[str, Any] = {"folder": env.get(f"{PREFIX}FOLDER", mapping.get("folder", base.folder))}
     for f in fields(Config):
         if f.name == "folder":
@@ -106,6 +108,44 @@ def load(mapping: dict[str, Any] | None = None, profile: str | None = None, env:
     return Config(**made)
 
 
+def found_above(name: str, start: str = ".") -> str | None:
+    """The path of a file in a folder or in the nearest one above it."""
+    at = os.path.abspath(start)
+    while True:
+        if os.path.isfile(path := os.path.join(at, name)):
+            return path
+        if at == (at := os.path.dirname(at)):
+            return None
+
+
+def load_files(path: str | None = None, profile: str | None = None, env: dict[str, str] | None = None, folder: str = ".") -> Config:
+    """Settings of a YAML (or JSON) file: ``path``, else RUNLOOM_CONFIG, else ``runloom.yaml`` here or above.
+
+    The environment wins over the nearest ``.env``, that over the file, and the file over the defaults. A file that is asked
+    for has to be there. RUNLOOM_PROFILE names a profile where the caller doesn't.
+    """
+    dotenv = found_above(".env", folder)
+    env = (read_dotenv(dotenv) if dotenv else {}) | dict(os.environ if env is None else env)
+    path = path or env.get(f"{PREFIX}CONFIG") or found_above("runloom.yaml", folder)
+    mapping: dict[str, Any] = {}
+    if path:
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
+        if path.endswith(".json"):
+            import json
+
+            mapping = json.loads(text)
+        else:
+            try:
+                import yaml
+            except ImportError as e:
+                raise RuntimeError("settings in YAML need the package pyyaml; JSON works without") from e
+            mapping = yaml.safe_load(text) or {}
+        if not isinstance(mapping, dict):
+            raise ValueError(f"{path}: settings must be a mapping")
+    return load(mapping, profile or env.get(f"{PREFIX}PROFILE"), env)
+
+
 def read_dotenv(path: str) -> dict[str, str]:
     out = {}
     with open(path, encoding="utf-8") as f:

@@ -6,7 +6,12 @@ the same for each of its camel-case parts; each form once per occurrence of the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Words that are not indexed.
 STOP_WORDS = (
@@ -38,3 +43,72 @@ def word_terms(word: Column) -> Column:
 def terms(text: Column) -> Column:
     """All terms of a text, in order, with repeats across words."""
     return F.flatten(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)), word_terms))
+
+
+# -- the same in bulk: each distinct word is taken apart once by a worker -----------------
+
+#: Words that a worker keeps with their terms, and the longest that it keeps.
+KEPT, LONGEST = 200_000, 64
+_FOUND = re.compile(WORD)
+_SPLIT, _HUMP = re.compile(_SEPARATORS), re.compile("|".join(_HUMPS))
+_STOPS = frozenset(STOP_WORDS)
+
+
+def plain_word_terms(word: str) -> tuple[str, ...]:
+    """``word_terms`` of one word."""
+    out: dict[str, None] = {}
+    for form in (word, *_HUMP.split(word)):
+        low = form.lower().strip(_EDGE)
+        for t in (low, *_SPLIT.split(low)):
+            if len(t) > 1 and t not in _STOPS:
+                out[t] = None
+    return tuple(out)
+
+
+def counted(rows: DataFrame, key: str, text: str, by_term: bool = True) -> DataFrame:
+    """key, text -> key, term, tf, dl (``by_term``), or key, dl: the terms of a text, how often, and how many in all.
+
+    One pass over Arrow batches and no shuffle: a text's terms are counted where it lies.
+    """
+    from pyspark.sql.types import StructType
+
+    d = rows.select(key, F.col(text).cast("string").alias("_text"))
+    schema = StructType([d.schema[key], *StructType.fromDDL("term string, tf long, dl long" if by_term else "dl long").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[str, ...]] = {}
+        for b in batches:
+            at, terms_, tf, dl = [], [], [], []
+            for i, x in enumerate(b.column(1)):
+                total: Counter[str] = Counter()
+                for w, n in Counter(_FOUND.findall(x.as_py() or "")).items():
+                    found = known.get(w)
+                    if found is None:
+                        found = plain_word_terms(w)
+                        if len(w) <= LONGEST:
+                            if len(known) >= KEPT:
+                                known.clear()
+                            known[w] = found
+                    for t in found:
+                        total[t] += n
+                size = sum(total.values())
+                if by_term:
+                    at += [i] * len(total)
+                    terms_ += total.keys()
+                    tf += total.values()
+                    dl += [size] * len(total)
+                else:
+                    at.append(i)
+                    dl.append(size)
+                if len(at) > 200_000:
+                    yield _counted(b, at, terms_, tf, dl, by_term, schema)
+                    at, terms_, tf, dl = [], [], [], []
+            yield _counted(b, at, terms_, tf, dl, by_term, schema)
+
+    return d.mapInArrow(run, schema)
+
+
+def _counted(b: pa.RecordBatch, at: list[int], terms_: list[str], tf: list[int], dl: list[int], by_term: bool, schema) -> pa.RecordBatch:
+    key = b.column(0).take(pa.array(at, pa.int64()))
+    columns = [key, pa.array(terms_, pa.string()), pa.array(tf, pa.int64()), pa.array(dl, pa.int64())] if by_term else [key, pa.array(dl, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, schema.fieldNames())

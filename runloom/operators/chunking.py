@@ -94,7 +94,8 @@ def blocks(lines: list[str]) -> list[tuple[str, str]]:
         i += 1
         while i < n and not until(i):
             i += 1
-        if text := "\n".join(lines[first:i]).strip("\n"):
+        text = "\n".join(lines[first:i])
+        if text := text.strip() if kind == "paragraph" else text.rstrip() if kind == "quote" else text:
             out.append((kind, text))
 
     def list_ends(k: int) -> bool:
@@ -103,6 +104,10 @@ def blocks(lines: list[str]) -> list[tuple[str, str]]:
             return not (k + 1 < n and LIST_ITEM.match(lines[k + 1]))
         return not (LIST_ITEM.match(line) or line.startswith(("  ", "\t")))
 
+    def quote_ends(k: int) -> bool:
+        """A blank line inside a quote is part of it if the next line is."""
+        return not (QUOTE.match(lines[k]) or not lines[k].strip() and k + 1 < n and QUOTE.match(lines[k + 1]))
+
     def starts_other(k: int) -> bool:
         x = lines[k]
         return not x.strip() or bool(fence_length(x) or TABLE_ROW.match(x) or LIST_ITEM.match(x) or QUOTE.match(x))
@@ -123,49 +128,47 @@ def blocks(lines: list[str]) -> list[tuple[str, str]]:
         elif LIST_ITEM.match(line):
             take("list", list_ends)
         elif QUOTE.match(line):
-            take("quote", lambda k: not QUOTE.match(lines[k]))
+            take("quote", quote_ends)
         else:
             take("paragraph", starts_other)
     return out
 
 
-def _grouped(parts: list[str], glue: str, fits: Callable[[str], bool]) -> list[str]:
-    """Greedy runs of parts; a part that doesn't fit by itself stays whole."""
-    out: list[str] = []
-    now = ""
+def _grouped(parts: list[str], glue: str, full: Callable[[str, str], bool]) -> list[str]:
+    """Greedy runs of parts; ``full`` says of a run and the next part whether the run ends. A part too large by itself stays whole."""
+    runs: list[list[str]] = []
     for p in parts:
-        if now and not fits(now + glue + p):
-            out.append(now)
-            now = p
+        if runs and not full(glue.join(runs[-1]), p):
+            runs[-1].append(p)
         else:
-            now = now + glue + p if now else p
-    return [*out, now] if now else out
+            runs.append([p])
+    return [glue.join(r) for r in runs]
 
 
 def split_code(text: str, most: int, count: Counter) -> list[str]:
+    """Runs of lines, each in a fence of its own; parts of several are numbered below their fence."""
     lines = text.split("\n")
     if len(lines) < 3:
         return [text]
     closed = fence_length(lines[-1]) > 0 and not lines[-1].strip().strip("`")
     language = lines[0].strip().lstrip("`")
-    body = lines[1:-1] if closed else lines[1:]  # an open fence keeps its last line
-    room = max(most - count(FENCE + language + FENCE) - 12, 1)
-    runs = _grouped(body, "\n", lambda t: count(t) <= room)
-    wrap = lambda t, i: f"{FENCE}{language}\n{t}\n{FENCE}" if len(runs) < 2 else f"<!-- code block part {i}/{len(runs)} -->\n{FENCE}{language}\n{t}\n{FENCE}"
-    return [wrap(t, i) for i, t in enumerate(runs, 1)]
+    body, end = (lines[1:-1], lines[-1]) if closed else (lines[1:], FENCE)  # an open fence keeps its last line
+    room = most - count(f"{lines[0]}\n{end}") - 12
+    runs = _grouped(body, "\n", lambda run, line: count(run) + count(line) > room)
+    label = lambda i: f"\n<!-- code block part {i}/{len(runs)} -->" if len(runs) > 1 else ""
+    return [f"{FENCE}{language}\n{run}\n{FENCE}{label(i)}" for i, run in enumerate(runs, 1)]
 
 
 def split_list(text: str, most: int, count: Counter) -> list[str]:
+    """Runs of top-level items; each part of several says that it is one."""
     items: list[str] = []
     for line in text.split("\n"):
         if LIST_ITEM.match(line) and not line.startswith(("  ", "\t")) or not items:
             items.append(line)
         else:
             items[-1] += "\n" + line
-    runs = _grouped(items, "\n", lambda t: count(t) <= most)
-    if len(runs) < 2:
-        return runs
-    return [t if i == 1 else f"(continued — step list part {i}/{len(runs)})\n{t}" for i, t in enumerate(runs, 1)]
+    runs = _grouped(items, "\n", lambda run, item: count(f"{run}\n{item}") > most)
+    return runs if len(runs) < 2 else [f"{run}\n\n(continued — step list part {i}/{len(runs)})" for i, run in enumerate(runs, 1)]
 
 
 def split_table(text: str, most: int, count: Counter) -> list[str]:
@@ -173,14 +176,24 @@ def split_table(text: str, most: int, count: Counter) -> list[str]:
     head, rows = "\n".join(lines[:2]), lines[2:]
     if not rows:
         return [text]
-    return [f"{head}\n{t}" for t in _grouped(rows, "\n", lambda t: count(f"{head}\n{t}") <= most)]
+    return [f"{head}\n{run}" for run in _grouped(rows, "\n", lambda run, row: count(f"{head}\n{run}\n{row}") > most)]
 
 
 def split_prose(text: str, most: int, count: Counter) -> list[str]:
-    parts: list[str] = []
-    for s in SENTENCE_END.split(text):
-        parts += [s] if count(s) <= most else _grouped(s.split(), " ", lambda t: count(t) <= most)
-    return _grouped(parts, " ", lambda t: count(t) <= most)
+    """Runs of sentences. A sentence above the budget is cut between words, and its rest begins the next run."""
+    out: list[str] = []
+    now: list[str] = []
+    over = lambda run, more: count(f"{run} {more}") > most
+    for sentence in SENTENCE_END.split(text):
+        if now and over(" ".join(now), sentence):
+            out.append(" ".join(now))
+            now = []
+        if count(sentence) <= most:
+            now.append(sentence)
+        elif parts := _grouped(sentence.split(), " ", over):
+            out += parts[:-1]
+            now = parts[-1:]
+    return [t for t in [*out, " ".join(now)] if t.strip()]
 
 
 _SPLITTERS = {"code": split_code, "list": split_list, "table": split_table}
@@ -192,17 +205,16 @@ def pack(section: Section, most: int, least: int, overlap: int, count: Counter)
     for kind, text in blocks(section.lines):
         size = count(text)
         if size > most:
-            if now:
-                out.append(now)
-                now = ""
-            out += _SPLITTERS.get(kind, split_prose)(text, most, count)
+            out += [now.strip()] if now else []
+            now = ""
+            out += [t.strip() for t in _SPLITTERS.get(kind, split_prose)(text, most, count)]
         elif now and count(now) + size > most:
-            out.append(now)
+            out.append(now.strip())
             now = text
         else:
             now = f"{now}\n\n{text}" if now else text
     if now:
-        out.append(now)
+        out.append(now.strip())
     merged: list[str] = []
     for t in out:
         if merged and count(t) < least and count(f"{merged[-1]}\n\n{t}") <= int(most * SLACK):
@@ -215,16 +227,16 @@ def pack(section: Section, most: int, least: int, overlap: int, count: Counter)
 
 
 def _with_tail(before: str, text: str, overlap: int, count: Counter) -> str:
-    """Whole sentences from the end of the chunk before, unless it ends in code."""
-    last = before.rstrip().split("\n\n")[-1]
-    if FENCE in last:
+    """Whole sentences from the end of the chunk before, unless its last paragraph has code in it."""
+    if FENCE in before.rsplit("\n\n", 1)[-1]:
         return text
     tail: list[str] = []
-    for s in reversed(SENTENCE_END.split(" ".join(last.split("\n")))):
+    for s in reversed(SENTENCE_END.split(before.replace("\n", " ").strip())):
         if count(" ".join([s, *tail])) > overlap:
             break
         tail.insert(0, s)
-    return f"{' '.join(tail)}\n\n{text}" if tail else text
+    carried = " ".join(tail).strip()
+    return f"{carried}\n\n{text}" if carried else text
 
 
 def chunk_document(doc: dict, most: int, least: int, overlap: int, count: Counter) -> list[dict]:

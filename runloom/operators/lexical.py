@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.lexemes import terms
+from ..functions.lexemes import counted, terms
 
 K1, B = 1.5, 0.75
 
 
-def postings(chunks: DataFrame, text: str = "embed_text") -> DataFrame:
-    """chunk_id, text -> term, chunk_id, tf. Counts are combined before the shuffle."""
-    return chunks.select("chunk_id", F.explode(terms(F.col(text))).alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+def postings(chunks: DataFrame, text: str = "embed_text", with_lengths: bool = False) -> DataFrame:
+    """chunk_id, text -> chunk_id, term, tf (and the chunk's length, ``dl``)."""
+    out = counted(chunks, "chunk_id", text)
+    return out if with_lengths else out.drop("dl")
 
 
 def lengths(chunks: DataFrame, text: str = "embed_text") -> DataFrame:
-    return chunks.select("chunk_id", F.size(terms(F.col(text))).cast("long").alias("dl"))
+    return counted(chunks, "chunk_id", text, by_term=False)
 
 
 def corpus(doc_lengths: DataFrame) -> DataFrame:
@@ -49,10 +50,12 @@ def bm25_scores(queries: DataFrame, posts: DataFrame, doc_lengths: DataFrame, ma
     """query_id, chunk_id, score.
 
     Only postings of query terms are weighed and moved. Statistics stay global when
-    ``allowed`` (chunk_id) restricts the chunks that may be found.
+    ``allowed`` (chunk_id) restricts the chunks that may be found. Postings may have
+    their chunk's length (``dl``) with them.
     """
     q = query_terms(queries)
-    used = posts.join(q.select("term").distinct(), "term", "left_semi")
+    # Dealt by chunk, so that no frequent term is in one task, and read again from the same shuffle below.
+    used = posts.join(q.select("term").distinct(), "term", "left_semi").repartition("chunk_id")
     stats = corpus(doc_lengths)
     weight = term_weights(used, stats)
     found = used if allowed is None else used.join(allowed, "chunk_id", "left_semi")
@@ -60,7 +63,8 @@ def bm25_scores(queries: DataFrame, posts: DataFrame, doc_lengths: DataFrame, ma
     dl = F.greatest(F.col("dl"), F.lit(1))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * dl / avgdl))
     # A posting's part of the score does not depend on the query, so it is made once, before queries meet it.
-    weighed = found.join(weight, "term").join(doc_lengths, "chunk_id").join(F.broadcast(stats.select("avgdl")), how="cross").select("term", "chunk_id", part.alias("part"))
+    sized = found if "dl" in found.columns else found.join(doc_lengths, "chunk_id")
+    weighed = sized.join(weight, "term").join(F.broadcast(stats.select("avgdl")), how="cross").select("term", "chunk_id", part.alias("part"))
     s = q.join(weighed, "term").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"), F.count(F.lit(1)).alias("hits"))
     if match == "all":
         s = s.join(q.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms")), "query_id").filter("hits = n_terms").drop("n_terms")

@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, functions as F
 # Macros and elements by what becomes of them.
 ADMONITIONS = {"info": "INFO", "note": "NOTE", "tip": "TIP", "warning": "WARNING", "panel": "PANEL", "caution": "CAUTION"}
 SKIPPED_MACROS = "toc children pagetree livesearch recently-updated contributors anchor gallery".split()
-CODE_MACROS = ("code", "noformat")
+CODE_MACROS, ISSUE_MACROS = ("code", "noformat"), ("jira", "jiraissues")
 TRANSPARENT = "ac:layout ac:layout-section ac:layout-cell ac:rich-text-body".split()
-SILENT = "ac:parameter ac:placeholder ac:task-id ac:task-status ri:page ri:attachment ri:url ri:user script style".split()
+SILENT = "ac:parameter ac:placeholder ac:task-status ri:page ri:attachment ri:user script style".split()
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
 BOLD, ITALIC, STRUCK = ("strong", "b"), ("em", "i"), ("del", "s", "strike")
 
@@ -93,22 +93,26 @@ def tree(source: str) -> Node:
 def to_markdown(source: str | None) -> str:
     if not source or not source.strip():
         return ""
-    out = re.sub(r"\n{3,}", "\n\n", render_all(tree(source), 0)).strip()
-    return out + "\n" if out else ""
+    return re.sub(r"\n{3,}", "\n\n", render_all(tree(source), 0)).strip() + "\n"
 
 
 def render_all(n: Node, depth: int) -> str:
     return "".join(render(c, depth) for c in n.children)
 
 
+def spaced(text: str) -> str:
+    """Runs of ASCII blanks become one space; other white space stays."""
+    return _SPACES.sub(" ", text)
+
+
 def flat(n: Node, depth: int = 0) -> str:
     """Children on one line."""
-    return " ".join(render_all(n, depth).split())
+    return spaced(render_all(n, depth).replace("\n", " ")).strip()
 
 
 def render(c: Node | str, depth: int) -> str:
     if isinstance(c, str):
-        return _SPACES.sub(" ", c)
+        return spaced(c)
     rule = _RULES.get(c.name)
     return rule(c, depth) if rule else render_all(c, depth)
 
@@ -126,14 +130,14 @@ def _marked(mark: str) -> Callable[[Node, int], str]:
 
 
 def _inline_code(n: Node, depth: int) -> str:
-    return f"`{t}`" if (t := n.text().strip()) else ""
+    return f"`{t}`" if (t := spaced(n.text()).strip()) else ""
 
 
 def _anchor(n: Node, depth: int) -> str:
-    text, href = flat(n, depth), n.attrs.get("href", "")
-    if not href or href.startswith("#"):
-        return text
-    return f"[{text}]({href})" if text else href
+    text, href = flat(n, depth), n.attrs.get("href", "").strip()
+    if not text or not href or href.startswith("#"):
+        return text or href
+    return f"[{text}]({href})"
 
 
 def fenced(body: str, language: str = "") -> str:
@@ -148,108 +152,110 @@ def fenced(body: str, language: str = "") -> str:
 
 def _pre(n: Node, depth: int) -> str:
     code = n.find("code")
-    names = f"{n.attrs.get('class', '')} {code.attrs.get('class', '') if code else ''}".split()
+    names = code.attrs.get("class", "").split() if code else []
     return fenced(n.text(), next((c[9:] for c in names if c.startswith("language-")), ""))
 
 
 def quoted(body: str) -> str:
-    return "\n" + "\n".join(f"> {x}".rstrip() for x in body.strip().split("\n")) + "\n\n" if body.strip() else ""
+    return "\n".join(f"> {x}" if x else ">" for x in body.split("\n"))
+
+
+def _quote(n: Node, depth: int) -> str:
+    return f"{quoted(t)}\n\n" if (t := render_all(n, depth).strip()) else ""
 
 
 def _list(ordered: bool) -> Callable[[Node, int], str]:
     def rule(n: Node, depth: int) -> str:
-        out, k = [], 0
-        for item in (c for c in n.children if isinstance(c, Node) and c.name == "li"):
-            k += 1
-            mark = f"{k}." if ordered else "-"
-            own = "".join(render(c, depth) for c in item.children if not (isinstance(c, Node) and c.name in ("ul", "ol")))
-            nested = "".join(render(c, depth + 1) for c in item.children if isinstance(c, Node) and c.name in ("ul", "ol"))
-            pad = "    " * depth
-            lines = re.sub(r"\n{3,}", "\n\n", own).strip().split("\n")
-            hang = pad + " " * (len(mark) + 1)
-            out.append(f"{pad}{mark} {lines[0]}".rstrip() + "".join(f"\n{hang}{x}".rstrip() if x.strip() else "\n" for x in lines[1:]))
-            if nested.strip():
-                out.append(nested.strip("\n"))
-        body = "\n".join(out)
-        return body + "\n" if depth and body else f"\n{body}\n\n" if body else ""
+        out: list[str] = []
+        for k, item in enumerate((c for c in n.children if isinstance(c, Node) and c.name == "li"), 1):
+            mark = "    " * depth + (f"{k}. " if ordered else "- ")
+            inner = [isinstance(c, Node) and c.name in ("ul", "ol") for c in item.children]
+            first, *more = "".join(render(c, depth + 1) for c, nested in zip(item.children, inner) if not nested).strip().split("\n")
+            out.append(mark + first.strip())
+            out += [" " * len(mark) + x if x.strip() else "" for x in more]  # hanging indent: still the same item
+            for c, nested in zip(item.children, inner):
+                if nested:
+                    out += render(c, depth + 1).rstrip("\n").split("\n")
+        return "\n".join(out) + "\n\n" if out else ""
 
     return rule
 
 
 def _table(n: Node, depth: int) -> str:
+    """The first row of header cells only is the header, wherever it stands; without one, a blank header keeps the table one."""
     head: list[str] | None = None
     rows: list[list[str]] = []
-    for i, row in enumerate(r for r in n.walk() if r.name == "tr"):
-        cells = [c for c in row.children if isinstance(c, Node) and c.name in ("td", "th")]
-        text = [flat(c).replace("|", "\\|") for c in cells]
-        if head is None and not rows and cells and all(c.name == "th" for c in cells):
+    for row in (r for r in n.walk() if r.name == "tr"):
+        cells = [c for c in row.children if isinstance(c, Node) and c.name in ("td", "th")] or [c for c in row.walk() if c.name in ("td", "th")]
+        text = [flat(c, depth).replace("|", "\\|") for c in cells]
+        if not any(text):
+            continue
+        if head is None and all(c.name == "th" for c in cells):
             head = text
-        elif any(text):
+        else:
             rows.append(text)
-    if not rows and not head:
+    if not rows and head is None:
         return ""
     width = max(len(r) for r in [*rows, head or []])
     line = lambda r: "| " + " | ".join([*r, *[""] * (width - len(r))]) + " |"
-    return "\n" + "\n".join([line(head or []), "|" + "|".join([" --- "] * width) + "|", *map(line, rows)]) + "\n\n"
-
-
-def _own(n: Node, name: str) -> Node | None:
-    return next((c for c in n.children if isinstance(c, Node) and c.name == name), None)
+    return "\n".join([line(head or []), "|" + "|".join([" --- "] * width) + "|", *map(line, rows)]) + "\n\n"
 
 
 def _parameter(n: Node, key: str) -> str:
-    return next((c.text().strip() for c in n.children if isinstance(c, Node) and c.name == "ac:parameter" and c.attrs.get("ac:name") == key), "")
+    return next((c.text().strip() for c in n.walk() if c.name == "ac:parameter" and c.attrs.get("ac:name") == key), "")
 
 
 def _macro(n: Node, depth: int) -> str:
     name = n.attrs.get("ac:name", "").lower()
-    rich, plain = _own(n, "ac:rich-text-body"), _own(n, "ac:plain-text-body")
+    rich, plain = n.find("ac:rich-text-body"), n.find("ac:plain-text-body")
     if name in SKIPPED_MACROS:
         return ""
     if name in CODE_MACROS:
-        return fenced((plain or rich or Node("")).text(), _parameter(n, "language") if name == "code" else "")
-    body = render_all(rich, depth) if rich else plain.text() if plain else ""
+        return fenced((plain or n).text(), _parameter(n, "language") if name == "code" else "")
     if name in ADMONITIONS:
         title = _parameter(n, "title")
-        return quoted(f"**{ADMONITIONS[name]}{': ' + title if title else ''}**\n{body.strip()}")
+        body = render_all(rich, depth).strip() if rich else spaced(n.text()).strip()
+        return f"\n{quoted(f'**{ADMONITIONS[name]}{": " + title if title else ""}**\n\n{body}')}\n\n" if body else ""
     if name == "expand":
-        return f"\n**{_parameter(n, 'title') or 'Details'}**\n\n{body}"
+        body = render_all(rich, depth).strip() if rich else ""
+        return f"\n**{_parameter(n, 'title') or 'Details'}**\n\n{body}\n\n" if body else ""
     if name == "status":
         return f"`{t}`" if (t := _parameter(n, "title")) else ""
-    if name == "jira":
+    if name in ISSUE_MACROS:
         return f"[Jira {k}]" if (k := _parameter(n, "key")) else "[Jira issue]"
-    return body
+    return render_all(rich, depth) if rich else plain.text() if plain else ""
 
 
-def _target(n: Node) -> str:
-    page, file = n.find("ri:page"), n.find("ri:attachment")
-    return (file.attrs.get("ri:filename", "") if file else "") or (page.attrs.get("ri:content-title", "") if page else "")
+def _attribute(n: Node, tag: str, name: str) -> str:
+    found = n.find(tag)
+    return found.attrs.get(name, "").strip() if found else ""
 
 
 def _link(n: Node, depth: int) -> str:
-    body = n.find("ac:link-body", "ac:plain-text-link-body")
-    text, target = flat(body) if body else "", _target(n)
+    body = n.find("ac:link-body") or n.find("ac:plain-text-link-body")
+    text = spaced(body.text()).strip() if body else ""
+    target = _attribute(n, "ri:attachment", "ri:filename") if n.find("ri:attachment") else _attribute(n, "ri:page", "ri:content-title")
     return f"{text} (see: {target})" if text and target and text != target else text or target
 
 
 def _image(n: Node, depth: int) -> str:
-    file, url = n.find("ri:attachment"), n.find("ri:url")
-    name = (file.attrs.get("ri:filename", "") if file else "") or (url.attrs.get("ri:value", "") if url else "")
+    name = _attribute(n, "ri:attachment", "ri:filename") or _attribute(n, "ri:url", "ri:value")
     return f"[image: {name}]" if name else ""
 
 
 def _tasks(n: Node, depth: int) -> str:
     out = []
     for t in (c for c in n.children if isinstance(c, Node) and c.name == "ac:task"):
-        status, body = _own(t, "ac:task-status"), _own(t, "ac:task-body")
-        done = "x" if status and status.text().strip() == "complete" else " "
-        out.append(f"- [{done}] {flat(body) if body else ''}".rstrip())
-    return "\n" + "\n".join(out) + "\n\n" if out else ""
+        status, body = t.find("ac:task-status"), t.find("ac:task-body")
+        if text := flat(body, depth) if body else "":
+            done = "x" if status and status.text().strip().lower() == "complete" else " "
+            out.append(f"- [{done}] {text}")
+    return "\n".join(out) + "\n\n" if out else ""
 
 
 _RULES: dict[str, Callable[[Node, int], str]] = {
     "p": _paragraph, "br": lambda n, d: "\n", "hr": lambda n, d: "\n---\n\n", "code": _inline_code, "a": _anchor, "pre": _pre,
-    "blockquote": lambda n, d: quoted(render_all(n, d)), "ul": _list(False), "ol": _list(True), "table": _table, "ac:structured-macro": _macro, "ac:macro": _macro,
+    "blockquote": _quote, "ul": _list(False), "ol": _list(True), "table": _table, "ac:structured-macro": _macro,
     "ac:link": _link, "ac:image": _image, "ac:task-list": _tasks, "ac:plain-text-body": lambda n, d: n.text(),
     **{f"h{k}": _heading(k) for k in range(1, 7)}, **{t: _marked("**") for t in BOLD}, **{t: _marked("*") for t in ITALIC}, **{t: _marked("~~") for t in STRUCK},
     **{t: (lambda n, d: "") for t in SILENT},

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import hashing, lexemes, signals, text as T
 from ..operators import chunking, dense, evaluate, filters, fusion, lexical, normalize
-from . import ingest as ingest_plan, search, store
+from . import fixtures, ingest as ingest_plan, search, store
 
 STOP = ", ".join(f"'{w}'" for w in lexemes.STOP_WORDS)
 
@@ -183,10 +183,12 @@ def last_wins(spark, d):
     return read(spark, d, "events").withColumn("n", F.row_number().over(order)).filter("n = 1").select("user_id", "event_id", "event_type")
 
 
-@query(f"WITH {CHUNKS_SQL} SELECT chunk_id, (99 - doc_id)::INTEGER AS pos FROM chunks JOIN docs USING (page_id) WHERE doc_id < 100")
+@query(f"WITH {CHUNKS_SQL} SELECT chunk_id, (row_number() OVER (ORDER BY doc_id DESC) - 1)::INTEGER AS pos FROM chunks JOIN docs USING (page_id)")
 def batch_get_ordered(spark, d):
-    ids = [r[0] for r in spark.range(100).select(T.chunk_id((99 - F.col("id")).cast("string"), F.lit(0), F.lit(0))).collect()]
-    return store.by_ids(chunks(spark, d), [*ids, "unknown"]).select("chunk_id", "pos")
+    c = chunks(spark, d)
+    place = Window.orderBy(F.col("page_id").cast("long").desc())
+    wanted = c.select("chunk_id", (F.row_number().over(place) - 1).cast("int").alias("pos")).union(spark.sql("SELECT 'unknown', -1"))
+    return store.by_ordinal(c, wanted).select("chunk_id", "pos")
 
 
 @query(f"WITH {CHUNKS_SQL} SELECT chunk_id, page_title AS section_path, lang AS labels FROM chunks JOIN docs USING (page_id)")
@@ -204,12 +206,12 @@ def top_pages(spark, d):
 
 def _index(spark, d):
     c = chunks(spark, d)
-    return c, lexical.postings(c), lexical.lengths(c)
+    return c, lexical.postings(c, with_lengths=True), lexical.lengths(c)
 
 
 @query(f"WITH {POSTINGS_SQL} SELECT chunk_id, term, tf FROM posts")
 def tokenize_terms(spark, d):
-    return _index(spark, d)[1]
+    return _index(spark, d)[1].drop("dl")
 
 
 @query(f"WITH {POSTINGS_SQL} SELECT term, df, round(idf, 9) AS idf FROM weights")
@@ -267,12 +269,12 @@ def _vectors(spark, d):
     return read(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
 
 
-COS_SQL = "pairs AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, greatest(0, (1 + list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[])) / 2) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0{})"
+COS_SQL = "pairs AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, greatest(0, (1 + list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[])) / 2) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0{})"
 RANK_SQL = "SELECT query_id, chunk_id, round(score, 6) AS score, (rn - 1)::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rn FROM {}) WHERE rn <= {}"
 
 
 def _asked_vectors(v):
-    return v.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    return v.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
 
 
 @query(f"WITH {COS_SQL.format('')} {RANK_SQL.format('pairs', 30)}")
@@ -297,7 +299,7 @@ def dense_multi_variant_merge(spark, d):
 @query()
 def dense_ann_lsh(spark, d):
     v = _vectors(spark, d)
-    return dense.lsh_topk(_asked_vectors(v), v, 10, bucket=2.0)
+    return dense.lsh_topk(_asked_vectors(v), v, 10)
 
 
 # -- fusion and search -----------------------------------------------------------------
@@ -313,12 +315,13 @@ def _hits_out(df):
 
 
 @query(
-    f"WITH {COS_SQL.format('')}, r AS ({RANK_SQL.format('pairs', 30)}), dense AS (SELECT query_id, chunk_id, rank FROM r), p2 AS (SELECT query_id, chunk_id, score FROM pairs WHERE chunk_id % 3 = 0), r2 AS ({RANK_SQL.format('p2', 30)}), lexical AS (SELECT query_id, chunk_id, rank FROM r2), {FUSE_SQL} {HITS_OUT} WHERE rank < 20"
+    f"WITH {COS_SQL.format('')}, r AS ({RANK_SQL.format('pairs', 30)}), dense AS (SELECT query_id, chunk_id, rank FROM r), p2 AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, list_dot_product(q.embedding[1:32]::DOUBLE[], v.embedding[1:32]::DOUBLE[]) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0), r2 AS ({RANK_SQL.format('p2', 30)}), lexical AS (SELECT query_id, chunk_id, rank FROM r2), {FUSE_SQL} {HITS_OUT} WHERE rank < 20"
 )
 def rrf_fusion(spark, d):
     v = _vectors(spark, d)
     q = _asked_vectors(v)
-    return _hits_out(fusion.fuse(dense.dense_topk(q, v, 30), dense.dense_topk(q, v.filter("chunk_id % 3 = 0"), 30)))
+    half = lambda x: x.withColumn("embedding", F.slice("embedding", 1, 32))
+    return _hits_out(fusion.fuse(dense.dense_topk(q, v, 30), dense.dense_topk(half(q), half(v), 30, metric="dot")))
 
 
 def _hybrid(spark, d, top_k=0):
@@ -362,10 +365,10 @@ def section_expand(spark, d):
 
 
 @query(
-    f"WITH {EXPAND_SQL}, b AS (SELECT query_id, pos, '[' || (pos + 1) || '] ' || page_title || ' — ' || page_title || chr(10) || '    source: ' || page_url || chr(10) || '    type: other' || chr(10) || chr(10) || body_text || chr(10) AS block FROM exp), u AS (SELECT *, sum(length(block)) OVER (PARTITION BY query_id ORDER BY pos) AS used FROM b) SELECT query_id, string_agg(block, chr(10) || '---' || chr(10) ORDER BY pos) AS context FROM u WHERE used <= 2000 GROUP BY 1"
+    f"WITH {EXPAND_SQL}, b AS (SELECT query_id, pos, '[' || (pos + 1) || '] ' || page_title || ' — ' || page_title || chr(10) || '    source: ' || page_url || chr(10) || '    type: other' || chr(10) || chr(10) || body_text || chr(10) AS block FROM exp), u AS (SELECT *, sum(length(block)) OVER (PARTITION BY query_id ORDER BY pos) AS used FROM b) SELECT query_id, string_agg(block, chr(10) || '---' || chr(10) ORDER BY pos) AS context FROM u WHERE used <= 12000 GROUP BY 1"
 )
 def context_render(spark, d):
-    return fusion.render(_expanded(spark, d), 2000)
+    return fusion.render(_expanded(spark, d))
 
 
 # -- evaluation ------------------------------------------------------------------------
@@ -405,6 +408,22 @@ def normalize_pages(spark, d):
     return normalize.normalize_pages(read(spark, d, "pages"), "html")
 
 
+@query(fixtures.MARKUP_SQL)
+def normalize_fixtures(spark, d):
+    pages = spark.createDataFrame([(n, s) for n, s, _ in fixtures.MARKUP], "name string, storage_html string")
+    return normalize.normalize_pages(pages).select("name", "markdown")
+
+
+@query(fixtures.STRUCTURE_SQL)
+def chunk_fixtures(spark, d):
+    out = None
+    for name, text, most, least, overlap, _ in fixtures.STRUCTURE:
+        one = spark.createDataFrame([(name, "Page", "u", "S", 1, ["l"], text, "h")], "page_id string, title string, url string, space_key string, version int, labels array<string>, markdown string, content_hash string")
+        made = chunking.chunk_documents(one, most, least, overlap).select(F.col("page_id").alias("name"), "section_index", "chunk_index", F.concat_ws(" > ", "section_path").alias("path"), "section_kind", "body_text")
+        out = made if out is None else out.union(made)
+    return out
+
+
 @query()
 def chunk_documents(spark, d):
     return chunking.chunk_documents(documents(spark, d))

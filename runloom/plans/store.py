@@ -36,7 +36,12 @@ def by_ids(chunks: DataFrame, ids: list[str]) -> DataFrame:
     if not ids:
         return chunks.limit(0).withColumn("pos", F.lit(0))
     wanted = chunks.sparkSession.createDataFrame([(i, n) for n, i in enumerate(dict.fromkeys(ids))], "chunk_id string, pos int")
-    return chunks.join(F.broadcast(wanted), "chunk_id").orderBy("pos")
+    return by_ordinal(chunks, wanted).orderBy("pos")
+
+
+def by_ordinal(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The chunks that are wanted (chunk_id, pos), however many; unknown ids are skipped."""
+    return chunks.join(wanted, "chunk_id")
 
 
 def section(chunks: DataFrame, page_id: str, index: int) -> DataFrame:

@@ -54,6 +54,18 @@ def get_json(url: str, headers: dict[str, str], opener: Callable = urllib.reques
     raise failure
 
 
+def verify(base_url: str, token: str, opener: Callable = urllib.request.urlopen, pause: Callable[[float], None] = time.sleep) -> str:
+    """The name of the user that the token belongs to; a token that is refused raises PermissionError."""
+    headers = {"Accept": "application/json"} | ({"Authorization": f"Bearer {token}"} if token else {})
+    try:
+        user = get_json(f"{base_url.rstrip('/')}/rest/api/user/current", headers, opener, pause)
+    except urllib.error.HTTPError as e:
+        if e.code in (401, 403):
+            raise PermissionError(f"{base_url} refuses the token ({e.code})") from e
+        raise
+    return user.get("displayName") or user.get("username") or ""
+
+
 def count_pages(answer: dict) -> int | None:
     """The number of matches that an answer tells, for progress only."""
     return answer.get("totalSize", answer.get("size"))

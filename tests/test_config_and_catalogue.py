@@ -26,6 +26,24 @@ def test_dotenv(tmp_path):
     assert C.read_dotenv(str(f)) == {"A": "1", "B": "two"}
 
 
+def test_settings_from_files(tmp_path, monkeypatch):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "runloom.yaml").write_text("folder: store\nchunking:\n  max_tokens: 300\n  active: small\n  profiles:\n    small: {min_tokens: 10}\n    big: {min_tokens: 50}\n")
+    (tmp_path / "a" / ".env").write_text("RUNLOOM_CHUNKING_MAX_TOKENS=250\nRUNLOOM_SOURCE_TOKEN=t\n")
+    c = C.load_files(env={}, folder=str(tmp_path / "a" / "b"))
+    assert (c.folder, c.chunking.max_tokens, c.chunking.min_tokens, c.source.token) == ("store", 250, 10, "t")
+    c = C.load_files(env={"RUNLOOM_CHUNKING_MAX_TOKENS": "200", "RUNLOOM_PROFILE": "big"}, folder=str(tmp_path / "a"))
+    assert (c.chunking.max_tokens, c.chunking.min_tokens) == (200, 50)
+    (tmp_path / "c.json").write_text('{"chunking": {"max_tokens": 111}}')
+    assert C.load_files(str(tmp_path / "c.json"), env={}, folder=str(tmp_path)).chunking.max_tokens == 111
+    for text in ("- a\n", "nope: {}\n"):
+        (tmp_path / "bad.yaml").write_text(text)
+        with pytest.raises(ValueError):
+            C.load_files(str(tmp_path / "bad.yaml"), env={}, folder=str(tmp_path))
+    with pytest.raises(OSError):
+        C.load_files(str(tmp_path / "none.yaml"), env={}, folder=str(tmp_path))
+
+
 def value(v):
     return round(v, 8) if isinstance(v, float) and math.isfinite(v) else v
 

@@ -60,7 +60,7 @@ def test_oversized_parts():
     steps = "## Steps\n\n" + "\n".join(f"{i}. Step number {i} is done like this." for i in range(39))
     out = cut(steps, 100, 20)
     assert len(out) > 1 and all(any(f"{i}. Step number {i} is done like this." in c["body_text"] for c in out) for i in range(39))
-    assert "(continued — step list part 2/" in out[1]["body_text"]
+    assert all(f"\n\n(continued — step list part {i}/{len(out)})" in c["body_text"] for i, c in enumerate(out, 1))
     code = "```sh\n" + "\n".join(f"echo line {i}" for i in range(80)) + "\n```"
     out = cut(code, 100, 20)
     assert len(out) > 1 and all(c["body_text"].count("```") == 2 for c in out) and all(any(f"echo line {i}\n" in c["body_text"] for c in out) for i in range(80))
@@ -74,6 +74,10 @@ def test_oversized_parts():
     assert len(out) > 1 and " ".join(c["body_text"] for c in out) == prose
 
 
+def test_a_quote_holds_its_blank_lines():
+    assert C.blocks(["> a", "", "> b", "", "text"]) == [("quote", "> a\n\n> b"), ("paragraph", "text")]
+
+
 def test_blocks_merge_overlap():
     kinds = [k for k, _ in C.blocks("para\n\n```\nx\n```\n\n| a |\n| - |\n\n- one\n- two\n\n- three\n> quote".split("\n"))]
     assert kinds == ["paragraph", "code", "table", "list", "quote"]
@@ -101,8 +105,8 @@ def test_chunk_frames(spark):
     ("<h2>Title</h2><p>Some <b>bold</b> text</p>", "## Title\n\nSome **bold** text\n"),
     ('<ac:structured-macro ac:name="code"><ac:parameter ac:name="language">bash</ac:parameter><ac:plain-text-body><![CDATA[a && b > c]]></ac:plain-text-body></ac:structured-macro>', "```bash\na && b > c\n```\n"),
     ('<ac:structured-macro ac:name="noformat"><ac:plain-text-body><![CDATA[raw]]></ac:plain-text-body></ac:structured-macro>', "```\nraw\n```\n"),
-    ('<ac:structured-macro ac:name="warning"><ac:rich-text-body><p>Careful</p></ac:rich-text-body></ac:structured-macro>', "> **WARNING**\n> Careful\n"),
-    ('<ac:structured-macro ac:name="info"><ac:parameter ac:name="title">Read</ac:parameter><ac:rich-text-body><p>This</p></ac:rich-text-body></ac:structured-macro>', "> **INFO: Read**\n> This\n"),
+    ('<ac:structured-macro ac:name="warning"><ac:rich-text-body><p>Careful</p></ac:rich-text-body></ac:structured-macro>', "> **WARNING**\n>\n> Careful\n"),
+    ('<ac:structured-macro ac:name="info"><ac:parameter ac:name="title">Read</ac:parameter><ac:rich-text-body><p>This</p></ac:rich-text-body></ac:structured-macro>', "> **INFO: Read**\n>\n> This\n"),
     ('<ac:structured-macro ac:name="expand"><ac:rich-text-body><p>In</p></ac:rich-text-body></ac:structured-macro>', "**Details**\n\nIn\n"),
     ("<ol><li>a</li><li>b</li></ol>", "1. a\n2. b\n"), ("<ul><li>a<ul><li>b</li></ul></li></ul>", "- a\n    - b\n"),
     ("<table><tr><th>A</th><th>B</th></tr><tr><td>1|2</td><td></td></tr></table>", "| A | B |\n| --- | --- |\n| 1\\|2 |  |\n"),

@@ -146,3 +146,6 @@ def test_page_query_and_retries():
         raise urllib.error.HTTPError(request.full_url, 403, "no", {}, None)
     with pytest.raises(urllib.error.HTTPError):
         content_api.get_json("https://example.test", {}, denied, pauses.append)
+    with pytest.raises(PermissionError):
+        content_api.verify("https://example.test", "t", denied, pauses.append)
+    assert content_api.verify("https://example.test/", "t", lambda r, timeout: io.BytesIO(b'{"displayName": "A B"}')) == "A B"
