@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE = 128 << 20
+CACHE = 160 << 20
 #: Longer chunks are not kept. A kept one takes so many bytes: its text (two bytes a character), its ids, and its place in the table.
 LONGEST = 64
 ENTRY = 240
@@ -99,8 +99,8 @@ class _Chunks:
 
     def learn(self, chunks: set[str]) -> None:
         """Encode what is new in one call, which costs less than a call for each."""
-        # Both sets of chunks of an encoder share the bound, and each has two generations.
-        if len(self.young) * ENTRY > CACHE // 4:
+        # Two generations. An encoder's other set of chunks is for texts with odd white space; it takes a quarter at most.
+        if len(self.young) * ENTRY > (3 * CACHE // 8 if self.prefix else CACHE // 8):
             self.old, self.young = self.young, _Young(self._encode)
             self.runs.clear()
         young, old, made, plain, folds, prefix = self.young, self.old, [], {}, self.folds, self.prefix
@@ -192,7 +192,7 @@ def encoder(path: str, dtype: str = "<u4") -> Encoder:
     return Encoder(path, dtype)
 
 
-def slices(sizes: list[int], most: int = 3_000_000) -> list[slice]:
+def slices(sizes: list[int], most: int = 4_200_000) -> list[slice]:
     """Runs of texts of about ``most`` characters, so that a batch of long texts is not held at once."""
     out, first, n = [], 0, 0
     for i, s in enumerate(sizes):
