@@ -61,7 +61,7 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")).drop("ids")
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), keep_cache=True).drop("ids")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
