@@ -168,8 +168,11 @@ def mix(docs: DataFrame, seed: int = 17, n_shards: int = SHARDS, keep: list[str]
     return d.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), "pieces", *keep)
 
 
-def mix_documents(docs: DataFrame, seed: int = 17, n_shards: int = SHARDS) -> DataFrame:
-    """The documents that the mix consists of, with their own columns, shard by shard where it is written.
+def mix_documents(docs: DataFrame, seed: int = 17, n_shards: int = 1) -> DataFrame:
+    """The documents that the mix consists of, with their own columns.
+
+    With several shards a document is cut where its neighbouring blocks go to different ones. The rows don't say their shard,
+    so there is one unless the caller asks for more.
 
     A document that is taken twice gives rows for either time. Parts of a document that a shard takes
     together and that follow each other stay together: a row holds the text of one such run, white space between its
