@@ -15,6 +15,7 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 CACHE = 160 << 20
 #: Longer chunks are not kept. A kept one takes so many bytes: its text (two bytes a character), its ids, and its place in the table.
@@ -103,18 +104,15 @@ class _Chunks:
         if len(self.young) * ENTRY > (3 * CACHE // 8 if self.prefix else CACHE // 8):
             self.old, self.young = self.young, _Young(self._encode)
             self.runs.clear()
-        young, old, made, plain, folds, prefix = self.young, self.old, [], {}, self.folds, self.prefix
+        young, old, made, folds, prefix = self.young, self.old, [], self.folds, self.prefix
         known = old.get
-        for c in chunks:
-            if c in young or len(c) > LONGEST:
-                continue
-            if (ids := known(c)) is not None:
-                young[c] = ids
-                continue
-            # The same as parts(), without its call for the many plain words.
-            if c.isalpha() and not (folds and c.isascii() and not c.islower()):
-                plain[c] = None
-                continue
+        fresh = chunks.difference(young)
+        again = fresh & old.keys()
+        young.update(zip(again, map(known, again)))
+        fresh = {c for c in fresh - again if len(c) <= LONGEST}
+        # The same as parts(), without its call for the many plain words.
+        plain = dict.fromkeys(c for c in fresh if c.isalpha() and not (folds and c.isascii() and not c.islower()))
+        for c in fresh.difference(plain):
             core, run = self.parts(c)
             if core != c:
                 made.append((c, core, run))
@@ -149,33 +147,58 @@ class Encoder:
         tokenizer = Tokenizer.from_file(path)
         if tokenizer.get_vocab_size() > 1 << (8 * np.dtype(dtype).itemsize):
             raise ValueError(f"{dtype} can't hold this vocabulary's ids")
-        code = {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
+        self.dtype = np.dtype(dtype)
+        code = {2: "H", 4: "I"}[self.dtype.itemsize]
         self.first = _Chunks(tokenizer, "", code)
         self.spaced = _Chunks(tokenizer, " ", code)
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        split = [self._split(t) for t in texts]
-        self.spaced.learn(set().union(*(s for s, plain in split if plain)))
-        self.first.learn(set().union(*(s for s, plain in split if not plain)))
-        first, spaced, out = self.first.young.__getitem__, self.spaced.young.__getitem__, []
-        for s, plain in split:
-            if plain:
-                out.append((first(s[0]) if s[0] else b"") + b"".join(map(spaced, s[1:])))
-            else:
-                out.append(b"".join(map(first, s)))
+        out: list[bytes] = [b""] * len(texts)
+        plain = [i for i, t in enumerate(texts) if self._plain(t)]
+        for i, x in zip(plain, self._plain_ids([texts[i] for i in plain])):
+            out[i] = x
+        done = set(plain)
+        odd = [(i, _CHUNK.findall(t)) for i, t in enumerate(texts) if i not in done]
+        self.first.learn(set().union(*(s for _, s in odd)))
+        first = self.first.young.__getitem__
+        for i, s in odd:
+            out[i] = b"".join(map(first, s))
         return out
 
+    def _plain_ids(self, texts: list[str]) -> list[bytes]:
+        """Words are numbered by Arrow, so that a word is looked up once; its ids are gathered by number wherever it stands."""
+        if not texts:
+            return []
+        lists = pa.compute.split_pattern(pa.array([t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
+        numbered = lists.flatten().dictionary_encode()
+        code = numbered.indices.to_numpy().copy()
+        words = numbered.dictionary.to_pylist()
+        edge = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        # A text's first word has no space before it: it gets a number of its own.
+        heads = [words[k] for k in code[edge[:-1]]]
+        code[edge[:-1]] = len(words) + np.arange(len(texts))
+        self.spaced.learn({w for w in words if w})
+        self.first.learn({w for w in heads if w})
+        spaced, first = self.spaced.young, self.first.young
+        pieces = [spaced[w] if w else b"" for w in words] + [first[w] if w else b"" for w in heads]
+        flat = np.frombuffer(b"".join(pieces), dtype=self.dtype)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.dtype.itemsize
+        n = size[code]
+        end = np.cumsum(n)
+        at = np.repeat((np.cumsum(size) - size)[code] - (end - n), n)
+        at += np.arange(len(at))
+        ids, ends = flat[at], end[edge[1:] - 1].tolist()
+        return [ids[a:b].tobytes() for a, b in zip([0, *ends], ends)]
+
     def clear(self) -> None:
         """Forget all chunks, as at a task's end: the worker lives on and idles beside other stages."""
         self.first.clear()
         self.spaced.clear()
 
     @staticmethod
-    def _split(text: str) -> tuple[list[str], bool]:
-        """Chunks; True if all but the first stand for a space and themselves, or begin with their line feed."""
-        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[-1:] in ("", " ") or _ODD.search(text):
-            return _CHUNK.findall(text), False
-        return text.replace("\n", " \n").split(" "), True
+    def _plain(text: str) -> bool:
+        """True if all words but the first stand for a space and themselves, or begin with their line feed."""
+        return not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[-1:] in ("", " ") or _ODD.search(text))
 
 
 @lru_cache(maxsize=4)
