@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import checkpoint, release, small_batches
-from .tokens import encoder, slices
+from .tokens import CACHE, encoder, slices
 
 LENGTH = 2048
 END = 1
@@ -41,6 +41,8 @@ BINS = 1 << 12
 CELL_BITS, RANGE = 12, 1 << 26
 #: Pieces that leave together, 4 MB of ids.
 PIECES = 500
+#: Bytes of a token cache that a worker keeps between its tasks.
+KEPT = 320 << 20
 
 
 @lru_cache(maxsize=2)
@@ -97,7 +99,7 @@ def encoded(docs: DataFrame, tokenizer: str, end: int = END, keep_cache: bool =
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, "<u2")
+        enc = encoder(tokenizer, "<u2", KEPT if keep_cache else CACHE)
         last = np.array([end], dtype="<u2").tobytes()
         for b in batches:
             text = b.column(1)
@@ -136,7 +138,7 @@ def ranged(d: DataFrame, parts: int | None = None) -> DataFrame:
 def pack(docs: DataFrame, tokenizer: str, end: int = END, length: int = LENGTH, partitions: int | None = None, keep_cache: bool = False) -> DataFrame:
     """doc_id, text -> pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
-    ``keep_cache``: a worker's next task uses the words that its last one met, at 160 MB a worker, which idle beside other work.
+    ``keep_cache``: a worker's next task uses the words that its last one met, at KEPT bytes a worker, which idle beside other work.
     """
     d = ranged(checkpoint(encoded(docs, tokenizer, end, keep_cache)), partitions)
 

@@ -4,7 +4,7 @@ Both tokenizers' pre-tokenizers end a token where a non-space is followed by whi
 space, and look no further than the white space before a word. So a text's ids
 are the ids of its chunks (white space, then a word) one after the other, and
 a chunk that was met before needs no second encoding. The cache has two generations, whose
-memory is bounded by ``CACHE`` bytes together; results do not depend on it.
+memory is bounded by ``CACHE`` bytes together, or what a caller allows; results do not depend on it.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CACHE = 160 << 20
 #: Longer chunks are not kept. A kept one takes so many bytes: its text (two bytes a character), its ids, and its place in the table.
@@ -47,8 +48,8 @@ class _Young(dict):
 class _Chunks:
     """``young``: chunks that were met lately; ``old``: the generation before."""
 
-    def __init__(self, tokenizer, prefix: str, code: str) -> None:
-        self.tokenizer, self.prefix, self.code = tokenizer, prefix, code
+    def __init__(self, tokenizer, prefix: str, code: str, cache: int) -> None:
+        self.tokenizer, self.prefix, self.code, self.cache = tokenizer, prefix, code, cache
         self.clear()
         ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
         self.folds = ids("\nA") == ids("a")
@@ -101,7 +102,7 @@ class _Chunks:
     def learn(self, chunks: set[str]) -> None:
         """Encode what is new in one call, which costs less than a call for each."""
         # Two generations. An encoder's other set of chunks is for texts with odd white space; it takes a quarter at most.
-        if len(self.young) * ENTRY > (3 * CACHE // 8 if self.prefix else CACHE // 8):
+        if len(self.young) * ENTRY > (3 * self.cache // 8 if self.prefix else self.cache // 8):
             self.old, self.young = self.young, _Young(self._encode)
             self.runs.clear()
         young, old, made, folds, prefix = self.young, self.old, [], self.folds, self.prefix
@@ -140,7 +141,7 @@ class _Chunks:
 class Encoder:
     """``ids(texts)``: for each text its ids, as bytes of ``dtype``."""
 
-    def __init__(self, path: str, dtype: str = "<u4") -> None:
+    def __init__(self, path: str, dtype: str = "<u4", cache: int = CACHE) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -149,8 +150,8 @@ class Encoder:
             raise ValueError(f"{dtype} can't hold this vocabulary's ids")
         self.dtype = np.dtype(dtype)
         code = {2: "H", 4: "I"}[self.dtype.itemsize]
-        self.first = _Chunks(tokenizer, "", code)
-        self.spaced = _Chunks(tokenizer, " ", code)
+        self.first = _Chunks(tokenizer, "", code, cache)
+        self.spaced = _Chunks(tokenizer, " ", code, cache)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
@@ -169,7 +170,7 @@ class Encoder:
         """Words are numbered by Arrow, so that a word is looked up once; its ids are gathered by number wherever it stands."""
         if not texts:
             return []
-        lists = pa.compute.split_pattern(pa.array([t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
+        lists = pc.split_pattern(pa.array([t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
         numbered = lists.flatten().dictionary_encode()
         code = numbered.indices.to_numpy().copy()
         words = numbered.dictionary.to_pylist()
@@ -210,9 +211,9 @@ def id_type(path: str) -> str:
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str, dtype: str = "<u4") -> Encoder:
+def encoder(path: str, dtype: str = "<u4", cache: int = CACHE) -> Encoder:
     """One for each Python worker."""
-    return Encoder(path, dtype)
+    return Encoder(path, dtype, cache)
 
 
 def slices(sizes: list[int], most: int = 4_200_000) -> list[slice]:
