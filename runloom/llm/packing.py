@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import checkpoint, release, small_batches
-from .tokens import CACHE, encoder, slices
+from .tokens import CACHE, KEPT, encoder, slices
 
 LENGTH = 2048
 END = 1
@@ -41,8 +41,6 @@ BINS = 1 << 12
 CELL_BITS, RANGE = 12, 1 << 26
 #: Pieces that leave together, 4 MB of ids.
 PIECES = 500
-#: Bytes of a token cache that a worker keeps between its tasks.
-KEPT = 320 << 20
 
 
 @lru_cache(maxsize=2)

@@ -25,7 +25,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_records(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return token_records(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), keep_cache=True)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

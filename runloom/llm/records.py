@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import partitions as partitions_of, release, scratch, small_batches
-from .tokens import encoder, id_type, slices
+from .tokens import CACHE, KEPT, encoder, id_type, slices
 
 END = 0
 
@@ -79,8 +79,11 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
 
 
-def write_records(docs: DataFrame, path: str, tokenizer: str, end: int = END, partitions: int | None = None) -> DataFrame:
-    """Encode doc_id, text and write them below ``path``; returns the manifest (file, part, n, n_tokens)."""
+def write_records(docs: DataFrame, path: str, tokenizer: str, end: int = END, partitions: int | None = None, keep_cache: bool = False) -> DataFrame:
+    """Encode doc_id, text and write them below ``path``; returns the manifest (file, part, n, n_tokens).
+
+    ``keep_cache``: a worker's next task uses the words that its last one met, at KEPT bytes a worker.
+    """
     spark = docs.sparkSession
     n = partitions or partitions_of(docs)
     small_batches(spark)
@@ -101,7 +104,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end: int = END, pa
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
         store, top = _open(path)
         store.create_dir(top, recursive=True)  # a new executor may come before any other
-        enc = encoder(tokenizer, dtype)
+        enc = encoder(tokenizer, dtype, KEPT if keep_cache else CACHE)
         count = tokens = at = 0
         offsets = []
         with store.open_output_stream(f"{top}/{name}.rec") as out:
@@ -116,7 +119,8 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end: int = END, pa
                         at += len(f)
                         count += 1
                         tokens += len(e) // width + 1
-        enc.clear()
+        if not keep_cache:
+            enc.clear()
         release()
         with store.open_output_stream(f"{top}/{name}.idx") as out:
             out.write(np.array(offsets, dtype="<u8").tobytes())
@@ -172,8 +176,8 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def token_records(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
+def token_records(docs: DataFrame, tokenizer: str, end: int = END, keep_cache: bool = False) -> DataFrame:
     """Write to a fresh folder below the shared one, and read back."""
     path = scratch(docs.sparkSession, "records")
-    write_records(docs, path, tokenizer, end)
+    write_records(docs, path, tokenizer, end, keep_cache=keep_cache)
     return read_records(docs.sparkSession, path)

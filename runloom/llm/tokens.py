@@ -19,6 +19,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CACHE = 160 << 20
+#: Where a worker keeps its cache between tasks.
+KEPT = 320 << 20
 #: Longer chunks are not kept. A kept one takes so many bytes: its text (two bytes a character), its ids, and its place in the table.
 LONGEST = 64
 ENTRY = 240
