@@ -175,7 +175,8 @@ class Encoder:
         lists = pc.split_pattern(pa.array([t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
         numbered = lists.flatten().dictionary_encode()
         code = numbered.indices.to_numpy().copy()
-        words = numbered.dictionary.to_pylist()
+        # By way of NumPy, as to_pylist makes an object of Arrow's for each word first.
+        words = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
         edge = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
         # A text's first word has no space before it: it gets a number of its own.
         heads = [words[k] for k in code[edge[:-1]]]
