@@ -77,7 +77,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--k", type=int, default=6)
     s = sub.add_parser("preview")
     s.add_argument("path")
-    for name in ("stats", "inspect", "config", "check"):
+    for name in ("stats", "inspect", "config", "check", "reindex"):
         sub.add_parser(name)
     s = sub.add_parser("reset")
     s.add_argument("--yes", action="store_true")
@@ -127,6 +127,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif args.command == "inspect":
         show(sync_check(store.table("chunks"), store.table("lengths")))
         show(top_pages(store.table("chunks")))
+    elif args.command == "reindex":
+        store.reindex()
     elif args.command == "reset":
         if not args.yes:
             print("reset drops everything; pass --yes", file=sys.stderr)

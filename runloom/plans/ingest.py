@@ -29,21 +29,24 @@ def changes(docs: DataFrame, states: DataFrame | None, force: bool = False) -> D
 
 
 def ingest(store: Store, docs: DataFrame, force: bool = False, prune_missing: bool = False, most: int = 512, least: int = 96, overlap: int = 64, limit: int | None = None) -> DataFrame:
-    """Bring the store up to date; returns a report of one row."""
-    docs = last_of_each(docs if limit is None else docs.limit(limit))
-    old = store.table("chunks")
-    todo = changes(docs, store.table("page_states"), force)
-    fresh = todo.filter("action = 'ingest'")
-    made = chunk_documents(fresh, most, least, overlap)
-    good, failed = made.filter("error is null").drop("error"), made.filter("error is not null")
-    kept = store.spark.createDataFrame([], SCHEMA).drop("error") if old is None else old
-    # Pages that failed keep what they had.
-    replaced = without_pages(kept, fresh.select("page_id").join(failed.select("page_id"), "page_id", "left_anti"))
-    if prune_missing:
-        replaced = replaced.join(docs.select("page_id"), "page_id", "left_semi")
-    report = todo.agg(
-        F.count(F.lit(1)).alias("seen"), F.count_if(F.col("action") == "ingest").alias("changed"), F.count_if(F.col("action") != "ingest").alias("skipped")
-    ).join(failed.agg(F.count_distinct("page_id").alias("failed")), how="cross").join(good.agg(F.count(F.lit(1)).alias("chunks")), how="cross")
-    row = report.collect()  # before the snapshot moves
-    store.commit(upsert(replaced, good))
+    """Bring the store up to date; returns a report of one row. Where no page changed, the snapshot stays."""
+    old, states = store.table("chunks"), store.table("page_states")
+    with store.staging() as stage:
+        # Which documents a limit takes, and what the chunker made of them, is settled once. Texts of other pages are not written.
+        todo = changes(last_of_each(docs if limit is None else docs.limit(limit)), states, force)
+        todo = stage("todo", todo.withColumn("markdown", F.when(F.col("action") == "ingest", F.col("markdown"))))
+        fresh = todo.filter("action = 'ingest'")
+        made = stage("made", chunk_documents(fresh, most, least, overlap))
+        good, failed = made.filter("error is null").drop("error"), made.filter("error is not null")
+        report = todo.agg(
+            F.count(F.lit(1)).alias("seen"), F.count_if(F.col("action") == "ingest").alias("changed"), F.count_if(F.col("action") != "ingest").alias("skipped")
+        ).join(failed.agg(F.count_distinct("page_id").alias("failed")), how="cross").join(good.agg(F.count(F.lit(1)).alias("chunks")), how="cross")
+        row = report.collect()
+        if old is None or prune_missing or row[0]["changed"]:
+            kept = store.spark.createDataFrame([], SCHEMA).drop("error") if old is None else old
+            # Pages that failed keep what they had.
+            kept = without_pages(kept, fresh.select("page_id").join(failed.select("page_id"), "page_id", "left_anti"))
+            if prune_missing:
+                kept = kept.join(todo.select("page_id"), "page_id", "left_semi")
+            store.commit(upsert(kept, good), good)
     return store.spark.createDataFrame(row, report.schema)

@@ -2,12 +2,15 @@
 
 Plain Parquet has no MERGE. A change writes a new snapshot beside the current one,
 and then a new row of the pointer table; readers follow the newest pointer. A
-job that dies leaves the last snapshot as it was.
+job that dies leaves the last snapshot as it was. Vectors, postings and lengths of chunks that
+did not change are copied, not made again. One writer at a time; the last KEEP snapshots stay for readers.
 """
 
 from __future__ import annotations
 
+import contextlib
 import time
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -15,6 +18,7 @@ from ..functions.hashing import NAME, WIDTH, embed
 from ..operators.lexical import lengths, postings
 
 TABLES = ("chunks", "vectors", "postings", "lengths", "page_states")
+KEEP = 2
 
 
 def page_states(chunks: DataFrame) -> DataFrame:
@@ -95,18 +99,82 @@ class Store:
         now = self.current()
         return self.spark.read.parquet(f"{self.folder}/{now}/{name}") if now else None
 
-    def commit(self, chunks: DataFrame) -> None:
-        """Write a whole snapshot of these chunks, then point to it."""
-        made = time.time_ns()
-        name = f"snapshot-{made}"
-        path = f"{self.folder}/{name}"
+    def _hadoop(self, path: str):
+        """Hadoop's path, and the file system that it lies in."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    @contextlib.contextmanager
+    def staging(self) -> Iterator[Callable[[str, DataFrame], DataFrame]]:
+        """A function that writes a frame once and reads it back, so that later uses see the same rows; they go at the end."""
+        top = f"{self.folder}/_staging-{time.time_ns()}"
+
+        def stage(name: str, df: DataFrame) -> DataFrame:
+            df.write.parquet(f"{top}/{name}")
+            return self.spark.read.schema(df.schema).parquet(f"{top}/{name}")
+
+        try:
+            yield stage
+        finally:
+            p, fs = self._hadoop(top)
+            fs.delete(p, True)
+
+    def commit(self, chunks: DataFrame, fresh: DataFrame | None = None) -> None:
+        """Write a snapshot of these chunks, then point to it.
+
+        ``fresh``: the chunks among them that are new or changed. Only these are embedded and tokenized, and the rows of
+        all others come from the current snapshot. Without it, everything is made.
+        """
+        old = {t: self.table(t) for t in ("vectors", "postings", "lengths")} if fresh is not None else {}
+        name, path = self._begin()
         chunks.write.parquet(f"{path}/chunks")
         c = self.spark.read.parquet(f"{path}/chunks")
-        embed(c, "chunk_id", "embed_text").withColumn("embedder", F.lit(NAME)).withColumn("dim", F.lit(WIDTH)).write.parquet(f"{path}/vectors")
+        if old.get("vectors") is not None and not old["vectors"].filter(~(F.col("embedder").eqNullSafe(NAME) & F.col("dim").eqNullSafe(WIDTH))).isEmpty():
+            old["vectors"] = None  # vectors of two models don't compare
+
+        def write(table: str, make: Callable[[DataFrame], DataFrame], sort: str = "chunk_id") -> None:
+            rows = old.get(table)
+            if rows is None:
+                out = make(c)
+            else:
+                ids = fresh.select("chunk_id")
+                same = c.select("chunk_id").join(ids, "chunk_id", "left_anti")
+                out = rows.join(same, "chunk_id", "left_semi").unionByName(make(c.join(ids, "chunk_id", "left_semi")))
+            out.sortWithinPartitions(sort).write.parquet(f"{path}/{table}")
+
+        write("vectors", lambda x: embed(x, "chunk_id", "embed_text").withColumn("embedder", F.lit(NAME)).withColumn("dim", F.lit(WIDTH)))
+        write("postings", postings, "term")
+        write("lengths", lengths)
+        page_states(c).write.parquet(f"{path}/page_states")
+        self._point(name)
+
+    def reindex(self) -> None:
+        """Tokenize all chunks anew, as after a change of the tokenizer; vectors are taken over as they are."""
+        now = {t: self.table(t) for t in ("chunks", "vectors", "page_states")}
+        if now["chunks"] is None:
+            raise ValueError("nothing is stored yet")
+        name, path = self._begin()
+        for table, rows in now.items():
+            rows.write.parquet(f"{path}/{table}")
+        c = self.spark.read.parquet(f"{path}/chunks")
         postings(c).sortWithinPartitions("term").write.parquet(f"{path}/postings")
         lengths(c).write.parquet(f"{path}/lengths")
-        page_states(c).write.parquet(f"{path}/page_states")
+        self._point(name)
+
+    def _begin(self) -> tuple[str, str]:
+        name = f"snapshot-{time.time_ns()}"
+        return name, f"{self.folder}/{name}"
+
+    def _point(self, name: str) -> None:
+        """Make a whole snapshot the current one, and drop those that are older than the last KEEP."""
+        made = int(name.rpartition("-")[2])
         self.spark.createDataFrame([(name, made)], "snapshot string, made long").coalesce(1).write.mode("append").parquet(self._pointers())
+        last = self.spark.read.schema("snapshot string, made long").parquet(self._pointers()).orderBy(F.desc("made")).limit(KEEP).collect()
+        top, fs = self._hadoop(self.folder)
+        for f in fs.listStatus(top):
+            head, _, n = f.getPath().getName().rpartition("-")
+            if head == "snapshot" and n.isdigit() and int(n) < last[-1]["made"]:
+                fs.delete(f.getPath(), True)
 
     def reset(self, confirm: bool = False) -> None:
         """Point to an empty snapshot; asks to be told that this is meant."""

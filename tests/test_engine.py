@@ -95,6 +95,27 @@ def test_ingest_search_and_changes(spark, tmp_path):
     assert store.table("chunks").count() == 0
 
 
+def test_only_changed_pages_are_embedded(spark, tmp_path, monkeypatch):
+    from runloom.plans import store as stores
+
+    embedded, real = [], stores.embed
+    monkeypatch.setattr(stores, "embed", lambda rows, *a: embedded.append({r.page_id for r in rows.select("page_id").collect()}) or real(rows, *a))
+    rows = lambda s, t: sorted(map(tuple, s.table(t).drop("embedder").collect()), key=repr)
+    store, anew = Store(spark, str(tmp_path / "store")), Store(spark, str(tmp_path / "anew"))
+    ingest(store, docs(spark, A, B))
+    edited = (*A[:3], 2, "## Remediation\n\nOnly this is left now.")
+    ingest(store, docs(spark, edited, B))
+    assert embedded == [{"a", "b"}, {"a"}]
+    ingest(anew, docs(spark, edited, B))
+    assert all(rows(store, t) == rows(anew, t) for t in stores.TABLES)
+    now = store.current()
+    assert ingest(store, docs(spark, edited, B)).first().changed == 0 and store.current() == now and len(embedded) == 3
+    store.reindex()
+    assert store.current() != now and len(embedded) == 3 and all(rows(store, t) == rows(anew, t) for t in stores.TABLES)
+    left = [f.name.partition("-")[0] for f in (tmp_path / "store").iterdir()]
+    assert left.count("snapshot") == stores.KEEP and "_staging" not in left
+
+
 def test_stream(spark, tmp_path):
     from runloom.streaming.ingest import ingest_stream
 
