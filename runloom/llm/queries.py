@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .ann import nearest
+from .bestfit import pack_best_fit
 from .common import table, tokenizer_path
+from .hardneg import hard_negatives
 from .html_main import extract_pages
 from .langid import held_out, identify
 from .mixing import mix
@@ -17,6 +19,7 @@ from .quality import score_quality
 from .records import token_records
 from .sharding import shard_documents
 from .simhash import fingerprint_hex, near_duplicates
+from .upsert import new_folder, upsert_clients
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +67,20 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), keep_cache=True).drop("ids")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_best_fit(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), keep_cache=True).drop("ids")
+
+
+def op13_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of floor(clients / 1500) + 1 rows, brought up to ``client_changes``, in a new folder that stays."""
+    return upsert_clients(table(spark, sf_dir, "clients"), table(spark, sf_dir, "client_changes"), new_folder(spark, "clients"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_records": op2_records,
@@ -75,4 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shard": op8_shard,
     "op9_mix": op9_mix,
     "op10_pack": op10_pack,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_best_fit": op12_best_fit,
+    "op13_upsert": op13_upsert,
 }

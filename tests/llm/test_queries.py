@@ -7,7 +7,8 @@ from runloom.llm.queries import QUERIES
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_its_oracle(spark, sample, name):
     c = duckdb.connect()
-    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{sample}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sample}/{t}.parquet'")
     want = c.sql(ORACLES[name])
     df = QUERIES[name](spark, sample)
     names = sorted(df.columns)
@@ -30,6 +31,9 @@ def test_columns_of_the_contracts(spark, sample):
         "op8_shard": "doc_id size text_crc32 law shard slot grown_shard",
         "op9_mix": "doc_id size source_size target taken",
         "op10_pack": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
+        "op11_hard_negatives": "anchor_id positive_id rank negative_id positive_score negative_score",
+        "op12_best_fit": "doc_id piece start length ids_crc32 sequence_id offset",
+        "op13_upsert": "first_id n_rows cents rows_crc ids_sha256 columns path rewritten",
     }
     assert set(want) == set(QUERIES)
     for name, columns in want.items():
