@@ -121,7 +121,7 @@ def stage(base: DataFrame, files: DataFrame, changes: DataFrame, key: str, sets:
     counts, deletes = decide(F.col("_home_first"))
     c = c.select(key, "_home", F.coalesce(deletes, F.lit(False)).alias("_deletes"), F.struct(*sets).alias("_new")).filter(counts)
     old = base.select(key, PATH, INDEX, F.struct(*[x for x in columns if x != key]).alias("_old"))
-    c = c.join(old, key, "left")
+    c = c.hint("merge").join(old.hint("merge"), key, "left")
     found = F.col(INDEX).isNotNull()
     differs = ~F.struct(*[F.col(f"_old.{x}") for x in sets]).eqNullSafe(F.struct(*[F.col(f"_new.{x}").cast(base.schema[x].dataType).alias(x) for x in sets]))
     gone, changed, added = found & F.col("_deletes"), found & ~F.col("_deletes") & differs, ~found & ~F.col("_deletes")
@@ -136,8 +136,11 @@ def stage(base: DataFrame, files: DataFrame, changes: DataFrame, key: str, sets:
 
 
 def merged(base: DataFrame, vectors: DataFrame, deltas: DataFrame) -> DataFrame:
-    """Merge on read: the rows that no vector names, and the deltas."""
-    return base.join(vectors, [PATH, INDEX], "left_anti").select(*base.columns).unionByName(deltas)
+    """Merge on read: the rows that no vector names, and the deltas.
+
+    Vectors are small as files, as paths repeat in them, but not in memory: they are never broadcast.
+    """
+    return base.join(vectors.hint("merge"), [PATH, INDEX], "left_anti").select(*base.columns).unionByName(deltas)
 
 
 def cut_and_join(files: DataFrame, most: int) -> DataFrame:
