@@ -9,14 +9,14 @@ from ..functions.lexemes import counted, terms
 K1, B = 1.5, 0.75
 
 
-def postings(chunks: DataFrame, text: str = "embed_text", with_lengths: bool = False) -> DataFrame:
+def postings(chunks: DataFrame, text: str = "embed_text", with_lengths: bool = False, key: str = "chunk_id") -> DataFrame:
     """chunk_id, text -> chunk_id, term, tf (and the chunk's length, ``dl``)."""
-    out = counted(chunks, "chunk_id", text)
+    out = counted(chunks, key, text)
     return out if with_lengths else out.drop("dl")
 
 
-def lengths(chunks: DataFrame, text: str = "embed_text") -> DataFrame:
-    return counted(chunks, "chunk_id", text, by_term=False)
+def lengths(chunks: DataFrame, text: str = "embed_text", key: str = "chunk_id") -> DataFrame:
+    return counted(chunks, key, text, by_term=False)
 
 
 def corpus(doc_lengths: DataFrame) -> DataFrame:

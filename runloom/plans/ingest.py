@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import strip
-from ..operators.chunking import SCHEMA, chunk_documents
-from .store import Store, upsert, without_pages
+from ..operators.chunking import chunk_documents
+from .store import Store
 
 
 def last_of_each(docs: DataFrame) -> DataFrame:
@@ -28,9 +28,12 @@ def changes(docs: DataFrame, states: DataFrame | None, force: bool = False) -> D
     return docs.withColumn("action", action).drop("_v", "_h")
 
 
-def ingest(store: Store, docs: DataFrame, force: bool = False, prune_missing: bool = False, most: int = 512, least: int = 96, overlap: int = 64, limit: int | None = None) -> DataFrame:
-    """Bring the store up to date; returns a report of one row. Where no page changed, the snapshot stays."""
-    old, states = store.table("chunks"), store.table("page_states")
+def ingest(store: Store, docs: DataFrame, force: bool = False, prune_missing: bool = False, most: int = 512, least: int = 96, overlap: int = 64, limit: int | None = None, batch: tuple[str, int] | None = None) -> DataFrame:
+    """Bring the store up to date; returns a report of one row. Where no page changed, the store stays as it is.
+
+    Only the pages that changed are written. ``batch``: a stream's name and batch number.
+    """
+    states = store.table("page_states")
     with store.staging() as stage:
         # Which documents a limit takes, and what the chunker made of them, is settled once. Texts of other pages are not written.
         todo = changes(last_of_each(docs if limit is None else docs.limit(limit)), states, force)
@@ -42,11 +45,12 @@ def ingest(store: Store, docs: DataFrame, force: bool = False, prune_missing: bo
             F.count(F.lit(1)).alias("seen"), F.count_if(F.col("action") == "ingest").alias("changed"), F.count_if(F.col("action") != "ingest").alias("skipped")
         ).join(failed.agg(F.count_distinct("page_id").alias("failed")), how="cross").join(good.agg(F.count(F.lit(1)).alias("chunks")), how="cross")
         row = report.collect()
-        if old is None or prune_missing or row[0]["changed"]:
-            kept = store.spark.createDataFrame([], SCHEMA).drop("error") if old is None else old
-            # Pages that failed keep what they had.
-            kept = without_pages(kept, fresh.select("page_id").join(failed.select("page_id"), "page_id", "left_anti"))
-            if prune_missing:
-                kept = kept.join(todo.select("page_id"), "page_id", "left_semi")
-            store.commit(upsert(kept, good), good)
+        # Pages that failed keep what they had.
+        touched = fresh.select("page_id").join(failed.select("page_id"), "page_id", "left_anti")
+        gone = 0
+        if prune_missing and states is not None:
+            missing = stage("missing", states.select("page_id").join(todo.select("page_id"), "page_id", "left_anti"))
+            gone, touched = missing.count(), touched.unionByName(missing)
+        if states is None or row[0]["changed"] or gone:
+            store.commit(good, touched, batch)
     return store.spark.createDataFrame(row, report.schema)

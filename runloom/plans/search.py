@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.hashing import NAME, embed
 from ..functions.signals import query_variants
 from ..functions.text import squeeze
+from ..operators import ivf
 from ..operators.dense import dense_topk, merge_variants
 from ..operators.filters import predicate
 from ..operators.fusion import expand, fuse, relink, render, rerank
@@ -31,24 +32,28 @@ class Settings:
     lexical_filters: bool = True
 
 
-def dense_hits(queries: DataFrame, vectors: DataFrame, s: Settings) -> DataFrame:
-    """query_id, text: the first variants of each query, merged by their best score."""
+def dense_hits(queries: DataFrame, vectors: DataFrame, s: Settings, index: ivf.Index | None = None) -> DataFrame:
+    """query_id, text: the first variants of each query, merged by their best score. With an index, by its cells."""
     v = query_variants(queries).filter(F.col("ord") < s.dense_variants)
     keyed = v.select(F.struct("query_id", "ord").alias("v"), "variant").withColumn("query_id", F.to_json("v"))
     q = embed(keyed, "query_id", "variant").withColumnRenamed("counts", "embedding")
-    hits = dense_topk(q, vectors.select("chunk_id", F.col("counts").alias("embedding")), s.dense_k)
+    v = vectors.withColumnRenamed("counts", "embedding")
+    hits = dense_topk(q, v.select("chunk_id", "embedding"), s.dense_k) if index is None else ivf.search(q, v, index, s.dense_k)
     id_type = queries.schema["query_id"].dataType.simpleString()
     back = F.from_json("query_id", f"query_id {id_type}, ord int")["query_id"]
     return merge_variants(hits.select(back.alias("query_id"), "chunk_id", "score"), s.dense_k)
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, posts: DataFrame, doc_lengths: DataFrame, filters: dict[str, Any] | None = None, settings: Settings | None = None, top_k: int = 0) -> DataFrame:
-    """query_id, text -> the best chunks of each query. Blank queries find nothing."""
+def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, posts: DataFrame, doc_lengths: DataFrame, filters: dict[str, Any] | None = None, settings: Settings | None = None, top_k: int = 0, index: ivf.Index | None = None) -> DataFrame:
+    """query_id, text -> the best chunks of each query. Blank queries find nothing.
+
+    With an index, vectors are searched by its cells, unless filters leave some chunks only: these are searched exactly.
+    """
     s = settings or Settings()
     queries = queries.filter(squeeze(F.coalesce("text", F.lit(""))) != "")
     p = predicate(filters)
     allowed = None if p is None else chunks.filter(p).select("chunk_id")
-    d = dense_hits(queries, vectors if allowed is None else vectors.join(allowed, "chunk_id", "left_semi"), s)
+    d = dense_hits(queries, vectors if allowed is None else vectors.join(allowed, "chunk_id", "left_semi"), s, index if allowed is None else None)
     joined = query_variants(queries).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("ord", "variant"))).alias("v"))
     joined = joined.select("query_id", F.array_join(F.transform("v", lambda x: x["variant"]), " ").alias("text"))
     x = bm25_topk(joined, posts, doc_lengths, s.lexical_k, match=s.match, allowed=allowed if s.lexical_filters else None)
@@ -66,7 +71,7 @@ class Engine:
         other = t["vectors"].filter(F.col("embedder") != NAME).limit(1).count()
         if other:
             raise ValueError("the stored vectors come from another embedder; ingest again with force")
-        return hybrid(queries, t["chunks"], t["vectors"], t["postings"], t["lengths"], filters, self.settings, top_k)
+        return hybrid(queries, t["chunks"], t["vectors"], t["postings"], t["lengths"], filters, self.settings, top_k, self.store.index())
 
     def context(self, hits: DataFrame, whole_sections: bool = True, max_chars: int = 12_000) -> DataFrame:
         chunks = self.store.table("chunks")

@@ -10,10 +10,10 @@ from ..plans.store import Store
 
 
 def ingest_stream(store: Store, docs: DataFrame, checkpoint: str, once: bool = True, **options) -> StreamingQuery:
-    """docs: a streaming frame of documents. A batch that is run again changes nothing: its pages are unchanged by then."""
+    """docs: a streaming frame of documents. A batch that is run again changes nothing: the manifest knows its number."""
 
-    def batch(rows: DataFrame, _: int) -> None:
-        ingest(Store(rows.sparkSession, store.folder), rows, **options)
+    def batch(rows: DataFrame, number: int) -> None:
+        ingest(Store(rows.sparkSession, store.folder), rows, batch=(checkpoint, number), **options)
 
     w = docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime="30 seconds")).start()
