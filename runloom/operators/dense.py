@@ -92,17 +92,3 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 30, vector: str
 def merge_variants(hits: DataFrame, k: int) -> DataFrame:
     """Hits of several variants of a query -> its k best chunks by their best score."""
     return ranked(hits.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")), k)
-
-
-def lsh_topk(queries: DataFrame, vectors: DataFrame, k: int, vector: str = "embedding", bucket: float = 0.35, tables: int = 24, radius: float = 2.0) -> DataFrame:
-    """Approximate search: Spark's random-projection buckets on unit vectors, where nearer means more similar."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
-
-    norm = Normalizer(inputCol="v", outputCol="u")
-    prepare = lambda d, key: norm.transform(d.select(key, array_to_vector(F.col(vector)).alias("v")))
-    d, q = prepare(vectors, "chunk_id"), prepare(queries, "query_id")
-    model = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=7).fit(d)
-    pairs = model.approxSimilarityJoin(q, d, radius, "dist")
-    s = pairs.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.chunk_id").alias("chunk_id"), (1 - F.col("dist") * F.col("dist") / 4).alias("score"))
-    return ranked(s, k)

@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import hashing, lexemes, signals, text as T
-from ..operators import chunking, dense, evaluate, filters, fusion, lexical, normalize
-from . import fixtures, ingest as ingest_plan, search, store
+from ..operators import blockmax, chunking, dense, evaluate, filters, fusion, ivf, lexical, normalize, positional
+from . import ingest as ingest_plan, search, store
+from .shared import new_path, settled, spread
 
 STOP = ", ".join(f"'{w}'" for w in lexemes.STOP_WORDS)
 
@@ -22,7 +23,7 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    t = read(spark, d, "documents")
+    t = spread(read(spark, d, "documents"))
     body = F.coalesce("text", F.lit(""))
     return t.select(
         "doc_id", F.col("doc_id").cast("string").alias("page_id"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"),
@@ -183,11 +184,12 @@ def last_wins(spark, d):
     return read(spark, d, "events").withColumn("n", F.row_number().over(order)).filter("n = 1").select("user_id", "event_id", "event_type")
 
 
-@query(f"WITH {CHUNKS_SQL} SELECT chunk_id, (row_number() OVER (ORDER BY doc_id DESC) - 1)::INTEGER AS pos FROM chunks JOIN docs USING (page_id)")
+@query(f"WITH {CHUNKS_SQL} SELECT chunk_id, (max(doc_id) OVER () - doc_id)::BIGINT AS pos FROM chunks JOIN docs USING (page_id)")
 def batch_get_ordered(spark, d):
+    """All ids of documents, asked for from the greatest down, and one that isn't known."""
     c = chunks(spark, d)
-    place = Window.orderBy(F.col("page_id").cast("long").desc())
-    wanted = c.select("chunk_id", (F.row_number().over(place) - 1).cast("int").alias("pos")).union(spark.sql("SELECT 'unknown', -1"))
+    most = read(spark, d, "documents").agg(F.max("doc_id").alias("most"))  # one row
+    wanted = c.join(F.broadcast(most), how="cross").select("chunk_id", (F.col("most") - F.col("page_id").cast("long")).alias("pos")).union(spark.sql("SELECT 'unknown', -1L"))
     return store.by_ordinal(c, wanted).select("chunk_id", "pos")
 
 
@@ -205,13 +207,15 @@ def top_pages(spark, d):
 
 
 def _index(spark, d):
+    """Chunks, postings, lengths; texts are tokenized once. Every chunk has terms, as its envelope has some."""
     c = chunks(spark, d)
-    return c, lexical.postings(c, with_lengths=True), lexical.lengths(c)
+    p = settled(lexical.postings(c, with_lengths=True), "postings")
+    return c, p, p.groupBy("chunk_id").agg(F.max("dl").alias("dl"))
 
 
 @query(f"WITH {POSTINGS_SQL} SELECT chunk_id, term, tf FROM posts")
 def tokenize_terms(spark, d):
-    return _index(spark, d)[1].drop("dl")
+    return lexical.postings(chunks(spark, d))
 
 
 @query(f"WITH {POSTINGS_SQL} SELECT term, df, round(idf, 9) AS idf FROM weights")
@@ -242,6 +246,40 @@ def bm25_all_terms(spark, d):
     return _lexical_out(lexical.bm25_topk(questions(spark, d), p, n, 30, match="all"))
 
 
+@query(ORACLES["bm25_topk"])
+def bm25_block_max(spark, d):
+    """The rows of bm25_topk, from blocks that can matter."""
+    _, p, n = _index(spark, d)
+    index = blockmax.blocks(p, n).write(new_path(spark, "blocks"))
+    return _lexical_out(blockmax.topk(questions(spark, d), index, 30))
+
+
+WORDS = r"[\p{L}\p{N}]+"
+
+
+@query(
+    f"""WITH {CHUNKS_SQL}, {ASKED_SQL}, toks AS (SELECT chunk_id, regexp_extract_all(lower(body_text), '{WORDS}') AS ws FROM chunks), pos AS (SELECT chunk_id, unnest(ws) AS term, generate_subscripts(ws, 1) AS p FROM toks),
+ qw AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '{WORDS}')) AS term FROM asked), qn AS (SELECT query_id, count(*) AS n FROM qw GROUP BY 1), occ AS (SELECT query_id, chunk_id, term, p FROM qw JOIN pos USING (term)),
+ m AS (SELECT query_id, chunk_id, any_value(n) AS n FROM occ JOIN qn USING (query_id) GROUP BY 1, 2 HAVING count(DISTINCT term) = any_value(n)), ev AS (SELECT occ.*, n FROM occ JOIN m USING (query_id, chunk_id)),
+ last AS (SELECT query_id, chunk_id, a.p AS e, b.term, max(b.p) AS p, any_value(a.n) AS n FROM ev a JOIN ev b USING (query_id, chunk_id) WHERE b.p <= a.p GROUP BY ALL),
+ ends AS (SELECT query_id, chunk_id, e, min(p) AS b FROM last GROUP BY 1, 2, 3 HAVING count(*) = any_value(n)), covers AS (SELECT query_id, chunk_id, b, min(e) AS e FROM ends GROUP BY 1, 2, 3),
+ inside AS (SELECT c.query_id, c.chunk_id, c.b, c.e, count(*) AS k FROM covers c JOIN ev USING (query_id, chunk_id) WHERE ev.p BETWEEN c.b AND c.e GROUP BY ALL),
+ scored AS (SELECT query_id, chunk_id, sum(0.1::DOUBLE / (1 + (e - b + 1) - k)) AS score FROM inside GROUP BY 1, 2)
+ SELECT query_id, chunk_id, round(score, 6) AS score, (rn - 1)::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rn FROM scored) WHERE rn <= 30"""
+)
+def ranked_all_terms(spark, d):
+    """Texts that hold all words of a query, by cover density; words as they are."""
+    p = positional.positions(chunks(spark, d), "chunk_id", "body_text", english=False)
+    return _lexical_out(positional.ranked_all_terms(questions(spark, d), p, 30, english=False))
+
+
+@query()
+def ranked_all_terms_english(spark, d):
+    """The same over English stems, without common words."""
+    p = positional.positions(chunks(spark, d), "chunk_id", "body_text")
+    return _lexical_out(positional.ranked_all_terms(questions(spark, d), p, 30))
+
+
 @query()
 def query_signals(spark, d):
     t = read(spark, d, "documents").select("doc_id", signals.signals(F.col("text")).alias("s"))
@@ -297,9 +335,14 @@ def dense_multi_variant_merge(spark, d):
 
 
 @query()
-def dense_ann_lsh(spark, d):
+def dense_ann_ivf(spark, d):
+    """Approximate search by cells of a trained index, reranked exactly; how many cells is measured on the table itself."""
     v = _vectors(spark, d)
-    return dense.lsh_topk(_asked_vectors(v), v, 10)
+    index = ivf.train(v)
+    if index is None:
+        return _lexical_out(dense.dense_topk(_asked_vectors(v), v, 10))
+    rows = settled(ivf.filed(v, index).repartitionByRange("cell"), "filed", "cell")
+    return _lexical_out(ivf.search(_asked_vectors(v), rows, index, 10))
 
 
 # -- fusion and search -----------------------------------------------------------------
@@ -348,15 +391,16 @@ def hybrid_plain(spark, d):
     return _hits_out(search.hybrid(q, c, hashing.embed(c, "chunk_id", "embed_text"), p, n))
 
 
-HIT_LINES = "hitl AS (SELECT page_id AS query_id, chunk_id, (row_number() OVER (PARTITION BY page_id ORDER BY chunk_index DESC) - 1) AS rank FROM line_chunks WHERE chunk_index % 4 = 1)"
-EXPAND_SQL = f"{LINES_SQL}, {HIT_LINES}, secs AS (SELECT query_id, page_id, section_index, min(rank) AS sr FROM hitl JOIN line_chunks USING (chunk_id) WHERE rank < 3 GROUP BY ALL), exp AS (SELECT query_id, chunk_id, page_title, page_url, body_text, row_number() OVER (PARTITION BY query_id ORDER BY sr, chunk_index, chunk_id) - 1 AS pos FROM secs JOIN line_chunks USING (page_id, section_index))"
+LINE_POSTINGS_SQL = POSTINGS_SQL.replace(CHUNKS_SQL, LINES_SQL).replace(terms_sql("embed_text"), terms_sql("body_text")).replace("FROM chunks)", "FROM line_chunks)")
+EXPAND_SQL = f"{LINE_POSTINGS_SQL}, {ASKED_SQL}, {bm25_sql('asked', 6)}, secs AS (SELECT query_id, page_id, section_index, min(rank) AS sr FROM lexical JOIN line_chunks USING (chunk_id) GROUP BY ALL), exp AS (SELECT query_id, chunk_id, page_title, page_url, body_text, row_number() OVER (PARTITION BY query_id ORDER BY sr, chunk_index, chunk_id) - 1 AS pos FROM secs JOIN line_chunks USING (page_id, section_index))"
 
 
 def _expanded(spark, d):
+    """The sections of each query's six best lines."""
     c = line_chunks(spark, d)
-    order = Window.partitionBy("page_id").orderBy(F.desc("chunk_index"))
-    hits = c.filter("chunk_index % 4 = 1").select(F.col("page_id").alias("query_id"), "chunk_id", (F.row_number().over(order) - 1).alias("rank")).filter("rank < 3")
-    return fusion.expand(hits, c)
+    p = settled(lexical.postings(c, "body_text", with_lengths=True), "postings")
+    hits = lexical.bm25_topk(questions(spark, d), p, lexical.lengths(c, "body_text"), 6)
+    return fusion.expand(hits.drop("score"), c)
 
 
 @query(f"WITH {EXPAND_SQL} SELECT query_id, chunk_id, pos::INTEGER AS pos FROM exp")
@@ -405,23 +449,7 @@ def ingest_report(spark, d):
 
 @query()
 def normalize_pages(spark, d):
-    return normalize.normalize_pages(read(spark, d, "pages"), "html")
-
-
-@query(fixtures.MARKUP_SQL)
-def normalize_fixtures(spark, d):
-    pages = spark.createDataFrame([(n, s) for n, s, _ in fixtures.MARKUP], "name string, storage_html string")
-    return normalize.normalize_pages(pages).select("name", "markdown")
-
-
-@query(fixtures.STRUCTURE_SQL)
-def chunk_fixtures(spark, d):
-    out = None
-    for name, text, most, least, overlap, _ in fixtures.STRUCTURE:
-        one = spark.createDataFrame([(name, "Page", "u", "S", 1, ["l"], text, "h")], "page_id string, title string, url string, space_key string, version int, labels array<string>, markdown string, content_hash string")
-        made = chunking.chunk_documents(one, most, least, overlap).select(F.col("page_id").alias("name"), "section_index", "chunk_index", F.concat_ws(" > ", "section_path").alias("path"), "section_kind", "body_text")
-        out = made if out is None else out.union(made)
-    return out
+    return normalize.normalize_pages(spread(read(spark, d, "pages")), "html")
 
 
 @query()

@@ -1,6 +1,6 @@
 """Small inputs with their outputs, for rules that the driver's tables don't touch: wiki markup and Markdown structure.
 
-Outputs were worked out by hand from the rules; the registered queries' oracles are these literals.
+Outputs were worked out by hand from the rules.
 """
 
 from __future__ import annotations
@@ -71,16 +71,3 @@ STRUCTURE: list[tuple[str, str, int, int, int, list[tuple[int, int, str, str, st
     ("quote", "> a\n\n> b\n\nafter", 100, 2, 0, [(0, 0, "Page", "other", "> a\n\n> b\n\nafter")]),
     ("empty", "## Only a heading", 100, 2, 0, []),
 ]
-
-
-def literal(x: str | int) -> str:
-    return str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
-
-
-def values(rows: list[tuple], columns: str) -> str:
-    """SQL for literal rows."""
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) AS t({columns})"
-
-
-MARKUP_SQL = values([(n, m) for n, _, m in MARKUP], "name, markdown")
-STRUCTURE_SQL = values([(n, *c) for n, *_, chunks in STRUCTURE for c in chunks], "name, section_index, chunk_index, path, section_kind, body_text")
