@@ -12,6 +12,7 @@ from .config import Config, load_files
 from .functions.text import breadcrumb, content_hash
 from .operators import chunking, evaluate, normalize
 from .plans import ingest as ingest_plan
+from .plans.log import Log
 from .plans.search import Engine
 from .plans.store import Store, sync_check, top_pages
 from .sources import content_api, files
@@ -65,6 +66,8 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("source", choices=["local", "wiki", "payloads"])
     s.add_argument("path", nargs="?")
     s.add_argument("--force", action="store_true")
+    s.add_argument("--prune", action="store_true", help="delete pages that the source has no more")
+    s.add_argument("--no-resume", action="store_true", help="clear the checkpoint log first")
     s.add_argument("--limit", type=int)
     s = sub.add_parser("search")
     s.add_argument("text")
@@ -103,7 +106,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             docs = files.read_markdown(spark, args.path)
         else:
             docs = wiki_documents(spark, config, spark.read.schema(files.PAYLOAD).json(args.path) if args.source == "payloads" else None)
-        show(ingest_plan.ingest(store, docs, args.force, most=c.max_tokens, least=c.min_tokens, overlap=c.overlap_tokens, limit=args.limit))
+        log = Log(spark, f"{store.folder}/log")
+        show(ingest_plan.ingest(store, docs, args.force, args.prune, c.max_tokens, c.min_tokens, c.overlap_tokens, args.limit, log=log, resume=not args.no_resume))
     elif args.command == "search":
         q = spark.createDataFrame([(0, args.text)], "query_id long, text string")
         hits = engine.search(q, {k: v for k, v in (("space_key", args.space), ("section_kind", args.kind)) if v}, args.top_k)
@@ -134,6 +138,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print("reset drops everything; pass --yes", file=sys.stderr)
             return 2
         store.reset(confirm=True)
+        Log(spark, f"{store.folder}/log").clear()
     elif args.command == "serve":
         from .server import serve
 

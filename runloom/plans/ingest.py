@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import strip
 from ..operators.chunking import chunk_documents
+from .log import Log
 from .store import Store
 
 
@@ -28,12 +29,19 @@ def changes(docs: DataFrame, states: DataFrame | None, force: bool = False) -> D
     return docs.withColumn("action", action).drop("_v", "_h")
 
 
-def ingest(store: Store, docs: DataFrame, force: bool = False, prune_missing: bool = False, most: int = 512, least: int = 96, overlap: int = 64, limit: int | None = None, batch: tuple[str, int] | None = None) -> DataFrame:
+def ingest(store: Store, docs: DataFrame, force: bool = False, prune_missing: bool = False, most: int = 512, least: int = 96, overlap: int = 64, limit: int | None = None, batch: tuple[str, int] | None = None, log: Log | None = None, resume: bool = True) -> DataFrame:
     """Bring the store up to date; returns a report of one row. Where no page changed, the store stays as it is.
 
-    Only the pages that changed are written. ``batch``: a stream's name and batch number.
+    Only the pages that changed are written. ``batch``: a stream's name and batch number. ``log``: with ``resume``, what the log has of a page
+    settles whether it changed, without a look at the store; else the log is cleared and the store settles it. Pages of the commit are appended.
     """
     states = store.table("page_states")
+    if log is not None and resume:
+        log.catch_up(store)
+        states = log.states() if log.exists() else states
+    elif log is not None:
+        log.clear()
+        log.catch_up(store)
     with store.staging() as stage:
         # Which documents a limit takes, and what the chunker made of them, is settled once. Texts of other pages are not written.
         todo = changes(last_of_each(docs if limit is None else docs.limit(limit)), states, force)
@@ -53,4 +61,6 @@ def ingest(store: Store, docs: DataFrame, force: bool = False, prune_missing: bo
             gone, touched = missing.count(), touched.unionByName(missing)
         if states is None or row[0]["changed"] or gone:
             store.commit(good, touched, batch)
+            if log is not None:
+                log.catch_up(store)
     return store.spark.createDataFrame(row, report.schema)

@@ -95,7 +95,7 @@ def bucket_of(page_id: Column | str, buckets: int) -> Column:
 
 class Store:
     def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS) -> None:
-        self.spark, self.folder, self._buckets = spark, folder.rstrip("/"), buckets
+        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
 
     # -- the manifest ----------------------------------------------------------------
 
@@ -154,6 +154,16 @@ class Store:
             rows = self.spark.createDataFrame([], now[0]["schemas"][name])
         return rows.drop("gen", "bucket")
 
+    def states_since(self, commit: int) -> DataFrame | None:
+        """State of the pages that commits after this one touched; nulls for those they deleted."""
+        now = self.manifests()
+        touched = self._stored(now[0], "touched") if now else None
+        states = self._live(now[0], "page_states") if now else None
+        if touched is None or states is None:
+            return None
+        pages = touched.filter(F.col("gen") > commit).select("page_id").unionByName(states.filter(F.col("gen") > commit).select("page_id")).distinct()
+        return pages.join(states.drop("gen", "bucket"), "page_id", "left")
+
     def index(self) -> ivf.Index | None:
         now = self.manifests()
         return ivf.load(self.spark, f"{self.folder}/{now[0]['index']}") if now and now[0]["index"] else None
@@ -197,7 +207,7 @@ class Store:
         ``batch``: a stream's name and batch number, so that a batch that is run again is known.
         """
         now = self.manifests()
-        m = now[0] if now else {"made": 0, "buckets": self._buckets, "files": {}, "schemas": {}, "index": None, "trained": 0, "batches": {}}
+        m = now[0] if now else {"made": 0, "buckets": self.buckets, "files": {}, "schemas": {}, "index": None, "trained": 0, "batches": {}}
         if batch and m["batches"].get(batch[0], -1) >= batch[1]:
             return
         gen = self._number(m)

@@ -170,15 +170,52 @@ def test_index_follows_the_store(spark, tmp_path):
     assert store.table("chunks").count() == 3 and store.index().rows == 3
 
 
-def test_stream(spark, tmp_path):
+def test_stream_of_versions_out_of_order(spark, tmp_path):
     from runloom.streaming.ingest import ingest_stream
 
+    body = lambda n: f"## Part\n\nText of version {n}."
+    at = lambda p, v: (p, f"Page {p}", "OPS", v, body(v))
+    batches = [[at("a", 2), at("b", 1), at("a", 1)], [at("a", 1), at("b", 3), at("b", 2), at("c", 5)], [at("b", 1), at("c", 5), at("a", 4), at("c", 4)]]
     src = tmp_path / "in"
-    docs(spark, A, B).write.parquet(str(src))
-    store = Store(spark, str(tmp_path / "store"))
-    rows = spark.readStream.schema(DOC).parquet(str(src))
-    ingest_stream(store, rows, str(tmp_path / "ck")).awaitTermination(120)
-    assert store.table("page_states").count() == 2
+    store = Store(spark, str(tmp_path / "store"), buckets=4)
+    for i, rows in enumerate(batches):
+        docs(spark, *rows).coalesce(1).write.mode("append").parquet(str(src))
+        stream = spark.readStream.schema(DOC).option("maxFilesPerTrigger", 1).parquet(str(src))
+        q = ingest_stream(store, stream, str(tmp_path / "ck"))
+        q.awaitTermination(180)
+        assert q.exception() is None and store.manifests()[0]["batches"][str(tmp_path / "ck")] == i
+    whole = Store(spark, str(tmp_path / "whole"), buckets=4)
+    ingest(whole, docs(spark, *[r for rows in batches for r in rows]))
+    rows = lambda s: sorted(map(str, s.table("chunks").collect()))
+    assert rows(store) == rows(whole) and {r.page_id: r.page_version for r in store.table("page_states").collect()} == {"a": 4, "b": 3, "c": 5}
+
+
+def test_checkpoint_log(spark, tmp_path):
+    from runloom.plans.log import Log
+
+    store, log = Store(spark, str(tmp_path / "store"), buckets=4), Log(spark, str(tmp_path / "log"))
+    run = lambda *a, **k: ingest(store, docs(spark, *a), log=log, **k).first()
+    assert run(A, B).changed == 2
+    line = next(json.loads(x) for f in (tmp_path / "log").glob("part-*") for x in f.read_text().splitlines() if '"a"' in x)
+    assert line["page_id"] == "a" and line["chunks"] == 2 and line["hash"] and line["version"] == 1
+    # The log alone settles what is done: pages of an emptied store count as done.
+    store_now, store.table = store.table, lambda t: None
+    assert run(A, B).skipped == 2
+    store.table = store_now
+    # Without it, the store does; force asks neither.
+    assert run(A, resume=False).skipped == 1 and log.exists() and run(A, force=True).changed == 1
+    with open(next((tmp_path / "log").glob("part-*")), "a") as f:
+        f.write('{"page_id": "trunc')
+    next((tmp_path / "log").glob(".part-*.crc")).unlink(missing_ok=True)
+    for crc in (tmp_path / "log").glob(".part-*.crc"):
+        crc.unlink()
+    assert run(A, B).skipped == 2 and {r.page_id for r in log.states().collect()} == {"a", "b"}
+    # A commit whose lines were never written is caught up with.
+    edited = (*A[:3], 2, "## Remediation\n\nOnly this is left now.")
+    ingest(store, docs(spark, edited))
+    assert run(edited).skipped == 1 and {r.page_version for r in log.states().filter("page_id = 'a'").collect()} == {2}
+    assert run(B, prune_missing=True).skipped == 1 and {r.page_id for r in log.states().collect()} == {"b"}
+    assert run(edited, B).changed == 1
 
 
 def test_readers(spark, tmp_path):
