@@ -18,7 +18,7 @@ def fuse(dense: DataFrame, lexical: DataFrame, limit: int = 20, k: int = 60, den
     source = F.when(F.col("lexical_rank").isNull(), "dense").when(F.col("dense_rank").isNull(), "lexical").otherwise("hybrid")
     s = both.withColumn("score", part("dense_rank", dense_weight) + part("lexical_rank", lexical_weight)).withColumn("source", source)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("dense_rank").asc_nulls_last(), F.col("lexical_rank").asc_nulls_last(), "chunk_id")
-    return s.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < max(1, limit))
+    return s.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= max(1, limit)).withColumn("rank", F.col("_n") - 1).drop("_n")
 
 
 def relink(lexical: DataFrame, chunks: DataFrame) -> DataFrame:

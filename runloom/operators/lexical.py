@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.lexemes import counted, terms
 
 K1, B = 1.5, 0.75
+#: So many rows of query terms are broadcast at most, some 20 MB.
+TERMS = 200_000
 
 
 def postings(chunks: DataFrame, text: str = "embed_text", with_lengths: bool = False, key: str = "chunk_id") -> DataFrame:
@@ -43,7 +45,8 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def ranked(scores: DataFrame, k: int, score: str = "score") -> DataFrame:
     """The k best of each query, rank from 0; near-equal scores go by chunk_id."""
     order = Window.partitionBy("query_id").orderBy(F.round(score, 9).desc(), "chunk_id")
-    return scores.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < max(1, k))
+    # Filtered by the window's own column, which lets each task drop all but its k best before the shuffle.
+    return scores.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= max(1, k)).withColumn("rank", F.col("_n") - 1).drop("_n")
 
 
 def bm25_scores(queries: DataFrame, posts: DataFrame, doc_lengths: DataFrame, match: str = "any", k1: float = K1, b: float = B, allowed: DataFrame | None = None) -> DataFrame:
@@ -57,15 +60,18 @@ def bm25_scores(queries: DataFrame, posts: DataFrame, doc_lengths: DataFrame, ma
     # Dealt by chunk, so that no frequent term is in one task, and read again from the same shuffle below.
     used = posts.join(q.select("term").distinct(), "term", "left_semi").repartition("chunk_id")
     stats = corpus(doc_lengths)
-    weight = term_weights(used, stats)
+    asked = q.join(term_weights(used, stats).select("term", "idf"), "term")
+    # Queries' terms go to where the postings are, as long as there are few: then a chunk's scores are summed where it lies.
+    if q.count() <= TERMS:
+        asked = F.broadcast(asked)
     found = used if allowed is None else used.join(allowed, "chunk_id", "left_semi")
     avgdl = F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(F.lit(1.0))
     dl = F.greatest(F.col("dl"), F.lit(1))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * dl / avgdl))
-    # A posting's part of the score does not depend on the query, so it is made once, before queries meet it.
+    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * dl / avgdl))
+    # Made once for each posting, before queries meet it.
     sized = found if "dl" in found.columns else found.join(doc_lengths, "chunk_id")
-    weighed = sized.join(weight, "term").join(F.broadcast(stats.select("avgdl")), how="cross").select("term", "chunk_id", part.alias("part"))
-    s = q.join(weighed, "term").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"), F.count(F.lit(1)).alias("hits"))
+    weighed = sized.join(F.broadcast(stats.select("avgdl")), how="cross").select("term", "chunk_id", part.alias("part"))
+    s = weighed.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("idf") * F.col("part")).alias("score"), F.count(F.lit(1)).alias("hits"))
     if match == "all":
         s = s.join(q.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms")), "query_id").filter("hits = n_terms").drop("n_terms")
     elif match != "any":
