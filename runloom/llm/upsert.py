@@ -34,8 +34,8 @@ from pyspark.sql.types import StructType
 
 from .common import _hadoop, checkpoint, drop, scratch, shared_dir, shuffle_partitions
 
-#: Columns of a file's place, beside those of the table.
-PATH, INDEX = "_path", "_index"
+#: Columns of a file's place, beside those of the table. Names that begin with __u_ are taken: a table's columns may have all others.
+PATH, INDEX = "__u_path", "__u_index"
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -49,17 +49,17 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def placed(df: DataFrame, order: list[Column]) -> DataFrame:
     """The rows dealt out by ranges and sorted, with their partition (_part) and place in it (_at); checkpointed, as ranges are sampled."""
     d = df.repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order)
-    d = d.withColumn("_id", F.monotonically_increasing_id())
-    return checkpoint(d.select(*df.columns, F.shiftright("_id", 33).cast("int").alias("_part"), (F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).alias("_at")))
+    d = d.withColumn("__u_id", F.monotonically_increasing_id())
+    return checkpoint(d.select(*df.columns, F.shiftright("__u_id", 33).cast("int").alias("__u_part"), (F.col("__u_id").bitwiseAND(F.lit((1 << 33) - 1))).alias("__u_at")))
 
 
 def ranked(df: DataFrame, order: list[Column]) -> DataFrame:
     """The rows with their rank from 0 over all rows."""
     d = placed(df, order)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("__u_part").rowsBetween(Window.unboundedPreceding, -1)
     # One row a partition.
-    starts = d.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return d.join(F.broadcast(starts), "_part").select(*df.columns, (F.col("_start") + F.col("_at")).alias("_rank"))
+    starts = d.groupBy("__u_part").agg(F.count(F.lit(1)).alias("__u_n")).select("__u_part", F.coalesce(F.sum("__u_n").over(before), F.lit(0)).alias("__u_start"))
+    return d.join(F.broadcast(starts), "__u_part").select(*df.columns, (F.col("__u_start") + F.col("__u_at")).alias("__u_rank"))
 
 
 def write_files(rows: DataFrame, number: str, files: int, order: list[str], folder: str) -> None:
@@ -84,54 +84,54 @@ def _is_empty(spark: SparkSession, folder: str) -> bool:
 def write_table(rows: DataFrame, key: str, folder: str, most: int) -> None:
     """Lay the rows out in files of ``most`` rows (the last: the rest), by key."""
     order = [F.col(key), F.xxhash64(*[c for c in rows.columns if c != key])] if len(rows.columns) > 1 else [F.col(key)]
-    r = ranked(rows.filter(F.col(key).isNotNull()), order).withColumn("_file", F.floor(F.col("_rank") / most))
-    files = r.agg(F.max("_file")).first()[0]
-    write_files(r, "_file", 0 if files is None else files + 1, ["_rank"], folder)
+    r = ranked(rows.filter(F.col(key).isNotNull()), order).withColumn("__u_file", F.floor(F.col("__u_rank") / most))
+    files = r.agg(F.max("__u_file")).first()[0]
+    write_files(r, "__u_file", 0 if files is None else files + 1, ["__u_rank"], folder)
 
 
 def files_of(rows: DataFrame, key: str) -> DataFrame:
-    """One row a file, in the key's order: _path, _file (from 0), _first, _n."""
-    f = rows.groupBy(PATH).agg(F.min(key).alias("_first"), F.max(key).alias("_last"), F.count(F.lit(1)).alias("_n"))
-    return f.select(PATH, "_first", "_n", (F.row_number().over(Window.orderBy("_first", "_last", PATH)) - 1).alias("_file"))
+    """One row a file, in the key's order: its path, number (from 0), first key and rows."""
+    f = rows.groupBy(PATH).agg(F.min(key).alias("__u_first"), F.max(key).alias("__u_last"), F.count(F.lit(1)).alias("__u_n"))
+    return f.select(PATH, "__u_first", "__u_n", (F.row_number().over(Window.orderBy("__u_first", "__u_last", PATH)) - 1).alias("__u_file"))
 
 
 def latest(changes: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The change of each key that has the greatest ``order``; reduced before it is shuffled, so that no key is hot."""
     rest = [c for c in changes.columns if c != key and c not in order]
-    d = changes.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*order, *rest)).alias("_w"))
-    return d.select(key, "_w.*")
+    d = changes.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*order, *rest)).alias("__u_w"))
+    return d.select(key, "__u_w.*")
 
 
 def with_home(changes: DataFrame, files: DataFrame, key: str) -> DataFrame:
     """Changes with the file (_file) that their key belongs to: the last one that begins at or below it, or else the first."""
-    marks = files.select(F.col("_first").alias(key), F.col("_file").alias("_mark"), *[F.lit(None).cast(changes.schema[c].dataType).alias(c) for c in changes.columns if c != key])
-    d = placed(changes.withColumn("_mark", F.lit(None).cast("int")).unionByName(marks), [F.col(key), F.col("_mark").asc_nulls_last()])
+    marks = files.select(F.col("__u_first").alias(key), F.col("__u_file").alias("__u_mark"), *[F.lit(None).cast(changes.schema[c].dataType).alias(c) for c in changes.columns if c != key])
+    d = placed(changes.withColumn("__u_mark", F.lit(None).cast("int")).unionByName(marks), [F.col(key), F.col("__u_mark").asc_nulls_last()])
     # Files are numbered in the key's order, so that the last one is the greatest number so far.
-    last = d.groupBy("_part").agg(F.max("_mark").alias("_last"))
-    carried = last.select("_part", F.max("_last").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
-    here = F.max("_mark").over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    d = d.withColumn("_here", here).filter("_mark is null").join(F.broadcast(carried), "_part")
-    return d.select(*changes.columns, F.coalesce("_here", "_carried", F.lit(0)).alias("_file"))
+    last = d.groupBy("__u_part").agg(F.max("__u_mark").alias("__u_last"))
+    carried = last.select("__u_part", F.max("__u_last").over(Window.orderBy("__u_part").rowsBetween(Window.unboundedPreceding, -1)).alias("__u_carried"))
+    here = F.max("__u_mark").over(Window.partitionBy("__u_part").orderBy("__u_at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    d = d.withColumn("__u_here", here).filter("__u_mark is null").join(F.broadcast(carried), "__u_part")
+    return d.select(*changes.columns, F.coalesce("__u_here", "__u_carried", F.lit(0)).alias("__u_file"))
 
 
 def stage(base: DataFrame, files: DataFrame, changes: DataFrame, key: str, sets: list[str], decide: Callable[[Column], tuple[Column, Column]], staging: str) -> tuple[DataFrame, DataFrame]:
     """Write deletion vectors and deltas. ``decide``: the first key of a change's home -> whether it counts, and whether it deletes."""
     spark, columns = base.sparkSession, [c for c in base.columns if c not in (PATH, INDEX)]
-    c = with_home(changes, files, key).join(files.select("_file", F.col("_first").alias("_home_first"), F.col(PATH).alias("_home")), "_file").drop("_file")
-    counts, deletes = decide(F.col("_home_first"))
-    c = c.select(key, "_home", F.coalesce(deletes, F.lit(False)).alias("_deletes"), F.struct(*sets).alias("_new")).filter(counts)
-    old = base.select(key, PATH, INDEX, F.struct(*[x for x in columns if x != key]).alias("_old"))
+    c = with_home(changes, files, key).join(files.select("__u_file", F.col("__u_first").alias("__u_home_first"), F.col(PATH).alias("__u_home")), "__u_file").drop("__u_file")
+    counts, deletes = decide(F.col("__u_home_first"))
+    c = c.select(key, "__u_home", F.coalesce(deletes, F.lit(False)).alias("__u_deletes"), F.struct(*sets).alias("__u_new")).filter(counts)
+    old = base.select(key, PATH, INDEX, F.struct(*[x for x in columns if x != key]).alias("__u_old"))
     c = c.hint("merge").join(old.hint("merge"), key, "left")
     found = F.col(INDEX).isNotNull()
-    differs = ~F.struct(*[F.col(f"_old.{x}") for x in sets]).eqNullSafe(F.struct(*[F.col(f"_new.{x}").cast(base.schema[x].dataType).alias(x) for x in sets]))
-    gone, changed, added = found & F.col("_deletes"), found & ~F.col("_deletes") & differs, ~found & ~F.col("_deletes")
-    value = lambda x: F.col(key) if x == key else F.col(f"_new.{x}").cast(base.schema[x].dataType) if x in sets else F.col(f"_old.{x}")
+    differs = ~F.struct(*[F.col(f"__u_old.{x}") for x in sets]).eqNullSafe(F.struct(*[F.col(f"__u_new.{x}").cast(base.schema[x].dataType).alias(x) for x in sets]))
+    gone, changed, added = found & F.col("__u_deletes"), found & ~F.col("__u_deletes") & differs, ~found & ~F.col("__u_deletes")
+    value = lambda x: F.col(key) if x == key else F.col(f"__u_new.{x}").cast(base.schema[x].dataType) if x in sets else F.col(f"__u_old.{x}")
     c.filter(gone | changed | added).select(
-        *[value(x).alias(x) for x in columns], F.coalesce(PATH, "_home").alias(PATH), F.col(INDEX), gone.alias("_gone")
+        *[value(x).alias(x) for x in columns], F.coalesce(PATH, "__u_home").alias(PATH), F.col(INDEX), gone.alias("__u_gone")
     ).write.parquet(f"{staging}/effects")  # settled once, then parted in two
     effects = spark.read.parquet(f"{staging}/effects")
     effects.filter(F.col(INDEX).isNotNull()).select(PATH, INDEX).write.parquet(f"{staging}/vectors")
-    effects.filter(~F.col("_gone")).drop("_gone").write.parquet(f"{staging}/deltas")
+    effects.filter(~F.col("__u_gone")).drop("__u_gone").write.parquet(f"{staging}/deltas")
     return spark.read.parquet(f"{staging}/vectors"), spark.read.schema(base.schema).parquet(f"{staging}/deltas")
 
 
@@ -149,50 +149,50 @@ def cut_and_join(files: DataFrame, most: int) -> DataFrame:
 
     A file that isn't rewritten ends a chain, so chains are folded apart from each other.
     """
-    up_to = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    f = files.withColumn("_chain", F.sum(F.when(F.col("_marked"), 0).otherwise(1)).over(up_to)).filter("_marked and _rows > 0")
-    n = F.ceil(F.col("_rows") / most)
-    p = f.withColumn("_pieces", n).select("_file", "_chain", "_rows", "_pieces", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_pieces") - 1)).alias("_piece"))
-    p = p.withColumn("_size", F.floor(F.col("_rows") / F.col("_pieces")) + F.when(F.col("_piece") < F.col("_rows") % F.col("_pieces"), 1).otherwise(0))
+    up_to = Window.orderBy("__u_file").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    f = files.withColumn("__u_chain", F.sum(F.when(F.col("__u_marked"), 0).otherwise(1)).over(up_to)).filter("__u_marked and __u_rows > 0")
+    n = F.ceil(F.col("__u_rows") / most)
+    p = f.withColumn("__u_pieces", n).select("__u_file", "__u_chain", "__u_rows", "__u_pieces", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__u_pieces") - 1)).alias("__u_piece"))
+    p = p.withColumn("__u_size", F.floor(F.col("__u_rows") / F.col("__u_pieces")) + F.when(F.col("__u_piece") < F.col("__u_rows") % F.col("__u_pieces"), 1).otherwise(0))
 
     def fold(rows):
-        rows = rows.sort_values(["_file", "_piece"])
+        rows = rows.sort_values(["__u_file", "__u_piece"])
         group, total, out = -1, most, []
-        for size in rows["_size"].tolist():
+        for size in rows["__u_size"].tolist():
             if group >= 0 and total + size <= most:
                 total += size
             else:
                 group, total = group + 1, size
             out.append(group)
-        return rows.assign(_group=out)[["_file", "_piece", "_chain", "_group"]]
+        return rows.assign(__u_group=out)[["__u_file", "__u_piece", "__u_chain", "__u_group"]]
 
-    return p.groupBy("_chain").applyInPandas(fold, "_file int, _piece long, _chain long, _group int")
+    return p.groupBy("__u_chain").applyInPandas(fold, "__u_file int, __u_piece long, __u_chain long, __u_group int")
 
 
 def compact(spark: SparkSession, schema: StructType, folder: str, files: DataFrame, vectors: DataFrame, deltas: DataFrame, key: str, most: int) -> None:
     """Rewrite the files that have a vector or delta, and no others."""
-    less = vectors.groupBy(PATH).agg(F.count(F.lit(1)).alias("_less"))
-    more = deltas.groupBy(PATH).agg(F.count(F.lit(1)).alias("_more"))
+    less = vectors.groupBy(PATH).agg(F.count(F.lit(1)).alias("__u_less"))
+    more = deltas.groupBy(PATH).agg(F.count(F.lit(1)).alias("__u_more"))
     f = files.join(less, PATH, "left").join(more, PATH, "left")
-    marked = F.col("_less").isNotNull() | F.col("_more").isNotNull()
-    f = checkpoint(f.select("_file", PATH, marked.alias("_marked"), (F.col("_n") - F.coalesce("_less", F.lit(0)) + F.coalesce("_more", F.lit(0))).alias("_rows")))
-    old = [r[PATH] for r in f.filter("_marked").select(PATH).collect()]  # a path for each file
+    marked = F.col("__u_less").isNotNull() | F.col("__u_more").isNotNull()
+    f = checkpoint(f.select("__u_file", PATH, marked.alias("__u_marked"), (F.col("__u_n") - F.coalesce("__u_less", F.lit(0)) + F.coalesce("__u_more", F.lit(0))).alias("__u_rows")))
+    old = [r[PATH] for r in f.filter("__u_marked").select(PATH).collect()]  # a path for each file
     if not old:
         return
-    rows = merged(read_files(spark, schema, folder, old), vectors, deltas).join(f.select(PATH, "_file"), PATH)
-    r = ranked(rows.select(*schema.names, "_file", INDEX), [F.col("_file"), F.col(key), F.col(INDEX).asc_nulls_last()])
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = f.filter("_marked").select("_file", "_rows", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    pieces = F.ceil(F.col("_rows") / most)
-    small, large = F.floor(F.col("_rows") / F.col("_pieces")), F.col("_rows") % F.col("_pieces")
-    edge, at = F.col("_large") * (F.col("_small") + 1), F.col("_rank") - F.col("_start")
-    r = r.join(starts, "_file").withColumn("_pieces", pieces).withColumn("_small", small).withColumn("_large", large)
-    r = r.withColumn("_piece", F.when(at < edge, F.floor(at / (F.col("_small") + 1))).otherwise(F.col("_large") + F.floor((at - edge) / F.col("_small"))))
-    target = (F.dense_rank().over(Window.orderBy("_chain", "_group")) - 1).alias("_target")
-    targets = checkpoint(cut_and_join(f, most).select("_file", "_piece", target))
-    n = targets.agg(F.max("_target")).first()[0]
-    out = r.join(targets, ["_file", "_piece"]).select(*schema.names, "_rank", "_target")
-    write_files(out, "_target", 0 if n is None else n + 1, ["_rank"], folder)
+    rows = merged(read_files(spark, schema, folder, old), vectors, deltas).join(f.select(PATH, "__u_file"), PATH)
+    r = ranked(rows.select(*schema.names, "__u_file", INDEX), [F.col("__u_file"), F.col(key), F.col(INDEX).asc_nulls_last()])
+    before = Window.orderBy("__u_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = f.filter("__u_marked").select("__u_file", "__u_rows", F.coalesce(F.sum("__u_rows").over(before), F.lit(0)).alias("__u_start"))
+    pieces = F.ceil(F.col("__u_rows") / most)
+    small, large = F.floor(F.col("__u_rows") / F.col("__u_pieces")), F.col("__u_rows") % F.col("__u_pieces")
+    edge, at = F.col("__u_large") * (F.col("__u_small") + 1), F.col("__u_rank") - F.col("__u_start")
+    r = r.join(starts, "__u_file").withColumn("__u_pieces", pieces).withColumn("__u_small", small).withColumn("__u_large", large)
+    r = r.withColumn("__u_piece", F.when(at < edge, F.floor(at / (F.col("__u_small") + 1))).otherwise(F.col("__u_large") + F.floor((at - edge) / F.col("__u_small"))))
+    target = (F.dense_rank().over(Window.orderBy("__u_chain", "__u_group")) - 1).alias("__u_target")
+    targets = checkpoint(cut_and_join(f, most).select("__u_file", "__u_piece", target))
+    n = targets.agg(F.max("__u_target")).first()[0]
+    out = r.join(targets, ["__u_file", "__u_piece"]).select(*schema.names, "__u_rank", "__u_target")
+    write_files(out, "__u_target", 0 if n is None else n + 1, ["__u_rank"], folder)
     for path in old:
         drop(spark, path)
 
@@ -210,7 +210,7 @@ def upsert(spark: SparkSession, schema: StructType, folder: str, changes: DataFr
 
 def digests(rows: DataFrame, key: str, sums: dict[str, Column]) -> DataFrame:
     """A row for each file: path, first_id, n_rows, ids_sha256, and sums; a file's rows stream by in their order."""
-    d = rows.select(PATH, INDEX, F.col(key).cast("long").alias("_key"), *[F.coalesce(c, F.lit(0)).cast("long").alias(n) for n, c in sums.items()])
+    d = rows.select(PATH, INDEX, F.col(key).cast("long").alias("__u_key"), *[F.coalesce(c, F.lit(0)).cast("long").alias(n) for n, c in sums.items()])
     d = d.repartition(shuffle_partitions(rows.sparkSession), PATH).sortWithinPartitions(PATH, INDEX)
     out = ["path", "first_id", "n_rows", "ids_sha256", *sums]
     n_sums = len(sums)
@@ -248,7 +248,7 @@ def upsert_clients(clients: DataFrame, changes: DataFrame, folder: str) -> DataF
     spark, schema = clients.sparkSession, StructType([clients.schema[c] for c in clients.columns])
     most = 1 + clients.count() // 1500
     write_table(clients.filter(crc(F.col("client_id")) % 7 > 3), "client_id", folder, most)
-    bucket = crc(F.col("_home_first")) % 10
+    bucket = crc(F.col("__u_home_first")) % 10
 
     def decide(home: Column) -> tuple[Column, Column]:
         deletes = F.coalesce(F.col("op") == "D", F.lit(False)) | F.coalesce(crc(F.col("change_id")) % 8 < bucket, F.lit(False))

@@ -92,7 +92,7 @@ def test_tables(spark, size):
 
 
 def small(spark, n, step=1):
-    return spark.range(0, n * step, step).select(F.col("id").alias("client_id"), F.lit("a").alias("source"), F.when(F.col("id") % 5 > 0, F.col("id").cast("string")).alias("name"), F.lit(None).cast("string").alias("city"), F.lit("s").alias("segment"), (F.col("id") / 7).alias("balance"), F.lit(1).alias("_size"))
+    return spark.range(0, n * step, step).select(F.col("id").alias("client_id"), F.lit("a").alias("source"), F.when(F.col("id") % 5 > 0, F.col("id").cast("string")).alias("name"), F.lit(None).cast("string").alias("city"), F.lit("s").alias("segment"), (F.col("id") / 7).alias("balance"), F.lit(1).alias("_size"), *[F.col("id").alias(c) for c in ("_rank", "_path", "_file", "_index", "rank", "path", "n_rows", "op", "seq", "first_id")])
 
 
 CHANGES = "client_id long, change_id long, seq long, op string, source string, segment string, city string, balance double, name string"
