@@ -66,12 +66,13 @@ GOLDEN = "query string, relevant_pages array<string>, relevant_sections array<st
 
 
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
-    """Cases of a JSONL file; blank lines and # comments are skipped, a bad line is an error that names its file."""
-    lines = spark.read.text(path).select(F.trim("value").alias("value"), F.col("_metadata.file_path").alias("file"))
+    """Cases of a JSONL file; blank lines and # comments are skipped, a bad line is an error that names its file and line."""
+    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    lines = whole.select("file", F.posexplode(F.split("value", "\r?\n", -1)).alias("n", "value")).select("file", (F.col("n") + 1).alias("n"), F.trim("value").alias("value"))
     lines = lines.filter("value <> '' and not startswith(value, '#')")
     case = F.from_json("value", GOLDEN, {"mode": "PERMISSIVE"})
     lines = lines.withColumn("case", case)
-    bad = F.raise_error(F.concat(F.lit("bad case in "), F.col("file"), F.lit(": "), F.col("value")))
+    bad = F.raise_error(F.concat(F.lit("bad case in "), F.col("file"), F.lit(":"), F.col("n").cast("string"), F.lit(": "), F.col("value")))
     return lines.select(F.when(F.col("case.query").isNull(), bad.cast("string")).otherwise(F.col("case.query")).alias("query"), "case.relevant_pages", "case.relevant_sections", "case.notes")
 
 

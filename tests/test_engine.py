@@ -229,8 +229,8 @@ def test_readers(spark, tmp_path):
     g = tmp_path / "g.jsonl"
     g.write_text('# c\n\n{"query": "q", "relevant_pages": ["P"]}\n')
     assert [tuple(r) for r in files.read_golden(spark, str(g)).collect()] == [("q", ["P"], None, None)]
-    g.write_text("{broken\n")
-    with pytest.raises(Exception, match="g.jsonl"):
+    g.write_text("# c\n\n{broken\n")
+    with pytest.raises(Exception, match="g.jsonl:3"):
         files.read_golden(spark, str(g)).collect()
     k = tmp_path / "k.jsonl"
     k.write_text('{"page_id":"a","version":1,"hash":"x","chunks":2}\n{"page_id":"a","version":2,"hash":"y","chunks":3}\n{"page_id":"b","ver')
