@@ -24,14 +24,14 @@ def show(df: DataFrame, out=None) -> None:
 
 
 def wiki_documents(spark: SparkSession, config: Config, raw: DataFrame | None = None) -> DataFrame:
-    """Pages of the content API (or of recorded payloads) as documents."""
+    """Pages of the content API (or of recorded payloads) as documents; those that can't be normalized keep their error, for the report."""
     s = config.source
     if raw is None:
         spark.dataSource.register(content_api.ContentApi)
         options = {"base_url": s.base_url, "spaces": ",".join(s.spaces), "labels": ",".join(s.labels), "cql": s.query, "token": s.token}
         raw = spark.read.format("content_api").options(**options).load().select(F.from_json("value", files.PAYLOAD).alias("p")).select("p.*")
     pages = normalize.normalize_pages(files.pages_from_payloads(raw, s.base_url))
-    return pages.filter("error is null").select("page_id", "title", "url", "space_key", "version", "labels", "markdown", content_hash(F.col("markdown")).alias("content_hash"))
+    return pages.select("page_id", "title", "url", "space_key", "version", "labels", "markdown", content_hash(F.coalesce("markdown", F.lit(""))).alias("content_hash"), "error")
 
 
 def evaluate_cases(engine: Engine, cases: DataFrame, k: int) -> DataFrame:

@@ -17,7 +17,7 @@ def last_of_each(docs: DataFrame) -> DataFrame:
 
 
 def changes(docs: DataFrame, states: DataFrame | None, force: bool = False) -> DataFrame:
-    """The documents with ``action``: ingest, unchanged or blank."""
+    """The documents with ``action``: ingest, unchanged, blank, or failed (those with an ``error`` of their source)."""
     blank = F.coalesce(strip(F.col("markdown")) == "", F.lit(True))
     if states is None:
         same = F.lit(False)
@@ -25,7 +25,8 @@ def changes(docs: DataFrame, states: DataFrame | None, force: bool = False) -> D
         s = states.select("page_id", F.col("page_version").alias("_v"), F.col("content_hash").alias("_h"))
         docs = docs.join(s, "page_id", "left")
         same = F.col("version").eqNullSafe(F.col("_v")) & F.col("content_hash").eqNullSafe(F.col("_h"))
-    action = F.when(blank, "blank").when(same & ~F.lit(force), "unchanged").otherwise("ingest")
+    broken = F.col("error").isNotNull() if "error" in docs.columns else F.lit(False)
+    action = F.when(broken, "failed").when(blank, "blank").when(same & ~F.lit(force), "unchanged").otherwise("ingest")
     return docs.withColumn("action", action).drop("_v", "_h")
 
 
@@ -46,12 +47,12 @@ def ingest(store: Store, docs: DataFrame, force: bool = False, prune_missing: bo
         # Which documents a limit takes, and what the chunker made of them, is settled once. Texts of other pages are not written.
         todo = changes(last_of_each(docs if limit is None else docs.limit(limit)), states, force)
         todo = stage("todo", todo.withColumn("markdown", F.when(F.col("action") == "ingest", F.col("markdown"))))
-        fresh = todo.filter("action = 'ingest'")
+        fresh = todo.filter("action = 'ingest'").drop("error")
         made = stage("made", chunk_documents(fresh, most, least, overlap))
         good, failed = made.filter("error is null").drop("error"), made.filter("error is not null")
         report = todo.agg(
-            F.count(F.lit(1)).alias("seen"), F.count_if(F.col("action") == "ingest").alias("changed"), F.count_if(F.col("action") != "ingest").alias("skipped")
-        ).join(failed.agg(F.count_distinct("page_id").alias("failed")), how="cross").join(good.agg(F.count(F.lit(1)).alias("chunks")), how="cross")
+            F.count(F.lit(1)).alias("seen"), F.count_if(F.col("action") == "ingest").alias("changed"), F.count_if(~F.col("action").isin("ingest", "failed")).alias("skipped")
+        ).join(failed.select("page_id").unionByName(todo.filter("action = 'failed'").select("page_id")).agg(F.count_distinct("page_id").alias("failed")), how="cross").join(good.agg(F.count(F.lit(1)).alias("chunks")), how="cross")
         row = report.collect()
         # Pages that failed keep what they had.
         touched = fresh.select("page_id").join(failed.select("page_id"), "page_id", "left_anti")

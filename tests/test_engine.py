@@ -190,6 +190,16 @@ def test_stream_of_versions_out_of_order(spark, tmp_path):
     assert rows(store) == rows(whole) and {r.page_id: r.page_version for r in store.table("page_states").collect()} == {"a": 4, "b": 3, "c": 5}
 
 
+def test_pages_that_their_source_could_not_give(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), buckets=4)
+    ingest(store, docs(spark, A, B))
+    d = docs(spark, (*A[:3], 2, ""), B).withColumn("error", F.when(F.col("page_id") == "a", "ValueError: bad markup"))
+    r = ingest(store, d, prune_missing=True).first()
+    assert (r.seen, r.changed, r.skipped, r.failed) == (2, 0, 1, 1)
+    # It keeps what it had.
+    assert {x.page_id: x.page_version for x in store.table("page_states").collect()} == {"a": 1, "b": 1}
+
+
 def test_checkpoint_log(spark, tmp_path):
     from runloom.plans.log import Log
 
