@@ -13,6 +13,10 @@
 
 Text: references decoded, white space runs become one space, blocks are joined by one space.
 
+Scripts, styles, titles, text areas, templates, drawings, frames and lists of choices are left out whole. ``<x />`` is empty. A script,
+style or text area without an end tag reaches to the end of the page; of the others, only the start tag (and a list's options) is left out then.
+What is in ``noscript``, ``object`` or ``canvas`` is judged by the trees like any other element.
+
 Cases: a null or empty page has the empty text, and so has one without an
 article. Unclosed or stray tags are repaired. Pages of any length are read whole.
 Repeated rows get the same text. An empty table gives an empty result. Other columns
@@ -39,9 +43,13 @@ _TOKEN = re.compile(r"<!--|<!\[CDATA\[|<[!?][^>]*>|</[a-zA-Z][^>]*>|<[a-zA-Z](?:
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _ATTRIBUTE = re.compile(r"(?i)\b(?:class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)")
 _PIECES = re.compile(r"[a-z]+|[A-Z][a-z]*")
-_SILENT = "script style noscript template svg iframe object canvas title head textarea select".split()
-_SILENT_SET = frozenset(_SILENT)
-_RAW = frozenset("script style title textarea noscript template svg iframe select".split())
+#: Left out with all that is in them: up to the first end tag (in these, tags are text), or up to their own end tag.
+_RAW_TEXT = frozenset("script style title textarea".split())
+_UNSHOWN = frozenset("template svg iframe select".split())
+#: Without an end tag, these reach to the end of the page; the others of both lists are empty.
+_TO_THE_END = frozenset("script style textarea".split())
+_SELF_CLOSED = re.compile(r"(?:[\s\"']|<[a-zA-Z0-9:-]+)/>$")
+_OPTIONS = re.compile(r"(?i)(?:\s*</?(?:option|optgroup)\b[^>]*>[^<]*)*")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
     "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img input button ruby rt rp".split()
@@ -90,11 +98,48 @@ def hint_bits(tag_text: str) -> int:
     return bits
 
 
+class _LeftOut:
+    """Where elements that are left out end. Each name is looked up in the source once, however often it occurs."""
+
+    def __init__(self, source: str) -> None:
+        self.source = source
+        self.ends: dict[str, dict[int, int]] = {}
+        self.none_after: set[str] = set()
+
+    def end(self, name: str, start: int, inside: int, closed: bool) -> int:
+        if closed:
+            return inside
+        if name in _UNSHOWN:
+            if name not in self.ends:
+                self.ends[name] = self._pairs(name)
+            found = self.ends[name].get(start)
+            if found is None and name == "select":
+                return _OPTIONS.match(self.source, inside).end()
+            return inside if found is None else found
+        m = None if name in self.none_after else re.compile(rf"(?i)</{name}(?=[\s/>])[^>]*>").search(self.source, inside)
+        if m:
+            return m.end()
+        self.none_after.add(name)
+        return len(self.source) if name in _TO_THE_END else inside
+
+    def _pairs(self, name: str) -> dict[int, int]:
+        """Start of a start tag -> end of its end tag, for those that have one."""
+        opened, out = [], {}
+        for m in re.finditer(rf"(?i)<(/?){name}(?=[\s/>])[^>]*>", self.source):
+            if not m[1]:
+                if not _SELF_CLOSED.search(m[0]):
+                    opened.append(m.start())
+            elif opened:
+                out[opened.pop()] = m.end()
+        return out
+
+
 def parse(source: str) -> Page:
     page = Page()
     stack: list[tuple[str, int]] = []  # (name, node that text in it belongs to)
     count: dict[str, int] = {}
     links = 0
+    left_out = _LeftOut(source)
 
     def push(name: str, node: int) -> None:
         stack.append((name, node))
@@ -146,10 +191,9 @@ def parse(source: str) -> Page:
         n += 1
         node = here()
         page.n_tags[node] += 1
-        if name in _RAW:
-            closing = re.compile(f"(?i)</{re.escape(name)}[^>]*>").search(source, at)
-            at = closing.end() if closing else size
+        if name in _RAW_TEXT or name in _UNSHOWN:
             page.controls[node] += name in ("textarea", "select")
+            at = left_out.end(name, m.start(), at, bool(_SELF_CLOSED.search(t)))
             continue
         if name in ("input", "button"):
             page.controls[node] += 1

@@ -230,6 +230,71 @@ def test_states_never_contradict():
             assert state[i] >= state[page.parents[i]]
 
 
+def around(middle: str) -> str:
+    first = "The harbour was rebuilt after the storm, and the new quay took four years to finish, said the engineer."
+    second = "Ships of every size now call twice a week, which the town had not seen for decades, and trade has grown."
+    return f"<html><body><nav><a href='/a'>Home</a> <a href='/b'>News</a></nav><article><h1>The harbour</h1><p>{first}</p>{middle}<p>{second}</p></article><footer>Copyright</footer></body></html>"
+
+
+@pytest.mark.parametrize(
+    "middle",
+    [
+        '<svg viewBox="0 0 1 1" />', "<svg/>", "<svg><svg><text>inner</text></svg><text>outer</text></svg>", "<svg width='3'>", "<select><option>one<option>two", "<select>",
+        "<iframe src='x'/>", "<iframe src=http://a.test/></iframe>", "<iframe>", "<template>", "<template><template><p>x</p></template><p>y</p></template>", "<script src='x' />",
+        "<script>if (a < b) { document.write('<p>x</p>') }</script>", "<style>p { color: red }</style >", "<textarea>typed <p> text</textarea>", "<title>t</title>", "<SVG><path d='m'/></SVG>",
+        "<svgfoo></svgfoo>", "</svg>", "<svg/><svg><text>label</text></svg>", "<script/>" * 3,
+    ],
+)
+def test_elements_left_out_take_no_article_text_along(middle):
+    plain = html_main.extract([around("")], html_main.model())[0]
+    assert "engineer." in plain and plain.endswith("trade has grown.")
+    assert html_main.extract([around(middle)], html_main.model())[0] == plain
+
+
+def test_noscript_is_judged_like_others():
+    inside = around("<noscript><p>A picture of the quay, taken from the hill above the town in the early morning, shows the cranes at work.</p></noscript>")
+    assert "cranes at work." in html_main.extract([inside], html_main.model())[0]
+
+
+def test_many_unclosed_elements_take_linear_time():
+    import time
+
+    start = time.time()
+    page = html_main.parse("<svg><title><select>" * 30_000 + "<p>end</p>")
+    assert time.time() - start < 10
+    assert [t for _, t, _ in page.texts if t.strip()] == ["end"]
+
+
+def test_decoding_is_the_best_labelling():
+    """All allowed labellings of random trees of up to seven nodes, by their joint score."""
+    from itertools import product
+
+    moves = html_main.model().moves
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        n = int(rng.integers(1, 8))
+        parents = [-1, *(int(rng.integers(0, i)) for i in range(1, n))]
+        p = rng.uniform(0.02, 0.98, n)
+
+        def score(s):
+            return sum(np.log(p[i] if s[i] == 1 else 1 - p[i]) + moves[s[parents[i]], s[i]] for i in range(1, n))
+
+        best = max(score((0, *s)) for s in product(range(3), repeat=n - 1))
+        got = html_main.decode(parents, p, moves)
+        assert got[0] == 0 and score(got) == pytest.approx(best)
+
+
+def test_extract_rows(spark):
+    page = around("")
+    rows = [(1, page, "u", "t"), (1, page, "u", "t"), (2, None, "u", None), (3, "", None, None), (4, "<p>", "u", "x"), (5, around("<p>More of it, and more, as the story goes on and on.</p>" * 4000), "u", "t")]
+    d = spark.createDataFrame(rows, "page_id long, html string, url string, text string")
+    got = sorted((r.page_id, r.text, r.n_chars) for r in html_main.extract_pages(d.drop("text"), ["page_id", "url"]).collect())
+    assert len(got) == 6 and got[0] == got[1] and got[0][1].endswith("trade has grown.")
+    assert [g[1] for g in got[2:4]] == ["", ""] and all(g[2] == len(g[1]) for g in got)
+    assert got[5][1].count("as the story goes on") == 4000
+    assert html_main.extract_pages(d.limit(0), ["page_id", "url"]).count() == 0
+
+
 def test_driver_pages(spark, sample):
     import html
 
