@@ -27,7 +27,7 @@ def wiki_documents(spark: SparkSession, config: Config, raw: DataFrame | None =
     """Pages of the content API (or of recorded payloads) as documents; those that can't be normalized keep their error, for the report."""
     s = config.source
     if raw is None:
-        spark.dataSource.register(content_api.ContentApi)
+        content_api.register(spark)
         options = {"base_url": s.base_url, "spaces": ",".join(s.spaces), "labels": ",".join(s.labels), "cql": s.query, "token": s.token}
         raw = spark.read.format("content_api").options(**options).load().select(F.from_json("value", files.PAYLOAD).alias("p")).select("p.*")
     pages = normalize.normalize_pages(files.pages_from_payloads(raw, s.base_url))

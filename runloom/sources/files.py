@@ -42,19 +42,19 @@ def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pages_from_payloads(raw: DataFrame, base_url: str = "") -> DataFrame:
-    """Rows of the PAYLOAD schema -> pages; without an id or a body there is no page."""
+    """Rows of the PAYLOAD schema -> pages; without an id or a body there is no page. A page without a version has version 0."""
     names = lambda xs, f: F.filter(F.transform(F.coalesce(xs, F.array()), f), lambda n: n.isNotNull() & (n != ""))
     base = F.coalesce(F.col("_links.base"), F.lit(base_url))
-    return raw.filter("id is not null and id <> '' and body.storage.value is not null").select(
+    return raw.filter("id is not null and id <> '' and body.storage.value <> ''").select(
         F.col("id").alias("page_id"),
-        F.coalesce("title", F.concat(F.lit("Page "), F.col("id"))).alias("title"),
+        F.coalesce(F.nullif("title", F.lit("")), F.concat(F.lit("Page "), F.col("id"))).alias("title"),
         F.coalesce("space.key", F.lit("")).alias("space_key"),
-        F.coalesce("version.number", F.lit(1)).alias("version"),
+        F.coalesce("version.number", F.lit(0)).alias("version"),
         F.col("body.storage.value").alias("storage_html"),
         F.concat(base, F.coalesce("_links.webui", F.lit(""))).alias("url"),
         names(F.col("metadata.labels.results"), lambda x: x["name"]).alias("labels"),
         names(F.col("ancestors"), lambda x: x["title"]).alias("ancestors"),
-        F.coalesce("version.when", "history.lastUpdated.when").alias("updated_at"),
+        F.coalesce("history.lastUpdated.when", "version.when").alias("updated_at"),
     )
 
 
