@@ -9,6 +9,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .config import Config, load_files
+from .functions.providers import embedder_of, reranker_of
 from .functions.text import breadcrumb, content_hash
 from .operators import chunking, evaluate, normalize
 from .plans import ingest as ingest_plan
@@ -80,8 +81,10 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--k", type=int, default=6)
     s = sub.add_parser("preview")
     s.add_argument("path")
-    for name in ("stats", "inspect", "config", "check", "reindex"):
+    for name in ("stats", "inspect", "config", "check"):
         sub.add_parser(name)
+    s = sub.add_parser("reindex")
+    s.add_argument("--embed", action="store_true", help="make all vectors anew, as after a change of the embedder")
     s = sub.add_parser("reset")
     s.add_argument("--yes", action="store_true")
     s = sub.add_parser("serve")
@@ -99,7 +102,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return check(config)
     spark = spark or SparkSession.builder.appName("runloom").getOrCreate()
     store = Store(spark, args.folder or config.folder)
-    engine = Engine(store, config.retrieval)
+    if args.command in ("ingest", "search", "eval", "serve", "reindex"):  # the others work without the providers
+        store.embedder = embedder_of(config.embedding)
+    engine = Engine(store, config.retrieval, reranker_of(config.reranking) if args.command in ("search", "eval", "serve") else None)
     c = config.chunking
     if args.command == "ingest":
         if args.source == "local":
@@ -132,7 +137,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         show(sync_check(store.table("chunks"), store.table("lengths")))
         show(top_pages(store.table("chunks")))
     elif args.command == "reindex":
-        store.reindex()
+        store.embed_again() if args.embed else store.reindex()
     elif args.command == "reset":
         if not args.yes:
             print("reset drops everything; pass --yes", file=sys.stderr)

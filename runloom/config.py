@@ -39,6 +39,12 @@ class Source:
 @dataclass
 class Embedding:
     provider: str = "hashing"
+    #: A service's address; a model's name, or the folder that it is in.
+    url: str = ""
+    model: str = ""
+    token: str = ""
+    #: Texts in a request; 0 is the provider's own.
+    batch: int = 0
     dimensions: int = 0
 
     def __post_init__(self) -> None:
@@ -46,12 +52,21 @@ class Embedding:
             raise ValueError(f"dimensions must be one of {DIMENSIONS}")
 
 
+@dataclass
+class Reranking:
+    provider: str = "none"
+    url: str = ""
+    model: str = ""
+    token: str = ""
+
+
 @dataclass
 class Config:
     folder: str = "warehouse"
     source: Source = field(default_factory=Source)
     chunking: Chunking = field(default_factory=Chunking)
     embedding: Embedding = field(default_factory=Embedding)
+    reranking: Reranking = field(default_factory=Reranking)
     retrieval: SearchSettings = field(default_factory=SearchSettings)
 
     def summary(self) -> dict[str, Any]:

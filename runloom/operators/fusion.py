@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.providers import Scorer
 from ..functions.text import breadcrumb
 
+log = logging.getLogger(__name__)
+
 
 def fuse(dense: DataFrame, lexical: DataFrame, limit: int = 20, k: int = 60, dense_weight: float = 1.0, lexical_weight: float = 1.0) -> DataFrame:
     """Two ranked lists (query_id, chunk_id, rank) -> one, with the ranks it came from."""
@@ -27,38 +31,48 @@ def relink(lexical: DataFrame, chunks: DataFrame) -> DataFrame:
     return lexical.join(chunks.select("chunk_id"), "chunk_id", "left_semi").withColumn("rank", F.row_number().over(order) - 1)
 
 
-Scorer = Callable[[list[str], list[str]], list[float]]
-
-
 def rerank(hits: DataFrame, top_k: int, scorer: Callable[[], Scorer] | None = None, texts: DataFrame | None = None) -> DataFrame:
     """The best top_k hits. Without a scorer, in the order that they have.
 
-    ``scorer`` makes a function of (queries, bodies) once in each worker; ``texts`` gives
-    query_id, chunk_id, query, body of the hits. A scorer that fails leaves the order as it is.
+    ``scorer`` makes a function of (query, bodies) once in each task; ``texts`` gives query_id, chunk_id, query, body of the hits, of which
+    a query has a few. Hits without a score keep their order after the others; a query whose scorer fails keeps the order it has.
     """
     if scorer is None:
         return hits.filter(F.col("rank") < max(1, top_k)).withColumn("rerank_score", F.lit(None).cast("double"))
-    scored = hits.join(texts, ["query_id", "chunk_id"]).withColumn("rerank_score", score_iter(scorer)(F.col("query"), F.col("body")))
+    names = hits.columns
+    told = hits.join(texts, ["query_id", "chunk_id"], "left")
+    one = F.struct("rank", "chunk_id", F.struct(*names).alias("hit"), F.coalesce("body", F.lit("")).alias("body"))
+    asked = told.groupBy("query_id").agg(F.max("query").alias("query"), F.sort_array(F.collect_list(one)).alias("hits"))
+    scores = score_queries(scorer)(F.coalesce("query", F.lit("")), F.transform("hits", lambda h: h["body"]))
+    each = asked.select(F.explode(F.arrays_zip("hits", scores.alias("score"))).alias("x")).select("x.hits.hit.*", F.col("x.score").alias("rerank_score"))
     order = Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc_nulls_last(), "rank")
-    return scored.withColumn("new", F.row_number().over(order) - 1).filter(F.col("new") < max(1, top_k)).drop("rank", "query", "body").withColumnRenamed("new", "rank")
+    return each.withColumn("new", F.row_number().over(order) - 1).filter(F.col("new") < max(1, top_k)).drop("rank").withColumnRenamed("new", "rank")
 
 
-def score_iter(scorer: Callable[[], Scorer]):
-    """A pandas UDF over batches; the model is made once for each of its iterators."""
+def score_queries(scorer: Callable[[], Scorer]):
+    """A pandas UDF (query, bodies) -> scores; what fails is one query, not those that share its batch."""
     from collections.abc import Iterator
 
     import pandas as pd
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        pairs = scorer()
-        for query, body in batches:
-            try:
-                yield pd.Series(pairs(query.tolist(), body.tolist()), dtype="float64")
-            except Exception:  # the provider's failure: fusion order stands
-                yield pd.Series([None] * len(query), dtype="float64")
+        score = None
+        for queries, bodies in batches:
+            out = []
+            for q, b in zip(queries, bodies):
+                try:
+                    score = score or scorer()
+                    s = list(score(q, list(b)))
+                    if len(s) != len(b):
+                        raise ValueError(f"{len(b)} texts have {len(s)} scores")
+                except Exception as e:  # the provider's failure: the order of this query stands
+                    log.warning("reranking failed, the order stays: %s", e)
+                    s = [None] * len(b)
+                out.append(s)
+            yield pd.Series(out, dtype=object)
 
     run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "double")
+    return F.pandas_udf(run, "array<double>")
 
 
 def expand(hits: DataFrame, chunks: DataFrame) -> DataFrame:

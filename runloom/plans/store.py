@@ -20,7 +20,8 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.hashing import NAME, WIDTH, embed
+from ..functions.hashing import NAME
+from ..functions.providers import HASHING, Embedder
 from ..operators import ivf
 from ..operators.lexical import lengths, postings
 
@@ -94,8 +95,8 @@ def bucket_of(page_id: Column | str, buckets: int) -> Column:
 
 
 class Store:
-    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS) -> None:
-        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS, embedder: Embedder = HASHING) -> None:
+        self.spark, self.folder, self.buckets, self.embedder = spark, folder.rstrip("/"), buckets, embedder
 
     # -- the manifest ----------------------------------------------------------------
 
@@ -164,6 +165,12 @@ class Store:
         pages = touched.filter(F.col("gen") > commit).select("page_id").unionByName(states.filter(F.col("gen") > commit).select("page_id")).distinct()
         return pages.join(states.drop("gen", "bucket"), "page_id", "left")
 
+    def check_embedder(self, m: dict) -> None:
+        """Vectors of two embedders can't be compared, so a store has those of one."""
+        stored = m.get("embedder", NAME)
+        if m["files"].get("vectors") and stored != self.embedder.name:
+            raise ValueError(f"the stored vectors come from {stored}, not from {self.embedder.name}; embed the store again with it")
+
     def index(self) -> ivf.Index | None:
         now = self.manifests()
         return ivf.load(self.spark, f"{self.folder}/{now[0]['index']}") if now and now[0]["index"] else None
@@ -210,6 +217,8 @@ class Store:
         m = now[0] if now else {"made": 0, "buckets": self.buckets, "files": {}, "schemas": {}, "index": None, "trained": 0, "batches": {}}
         if batch and m["batches"].get(batch[0], -1) >= batch[1]:
             return
+        self.check_embedder(m)
+        m["embedder"] = self.embedder.name
         gen = self._number(m)
         b = bucket_of("page_id", m["buckets"])
         pages = (chunks if touched is None else touched).select("page_id").distinct()
@@ -238,8 +247,8 @@ class Store:
         return max(time.time_ns(), m.get("last", 0) + 1)
 
     def _embedded(self, c: DataFrame) -> DataFrame:
-        d = embed(c.withColumn("_k", F.struct("page_id", "chunk_id")), "_k", "embed_text")
-        return d.select("_k.*", "counts", F.lit(NAME).alias("embedder"), F.lit(WIDTH).alias("dim"))
+        d = self.embedder.documents(c.withColumn("_k", F.struct("page_id", "chunk_id")), "_k", "embed_text")
+        return d.select("_k.*", "counts", F.lit(self.embedder.name).alias("embedder"), F.lit(self.embedder.width).alias("dim"))
 
     def _lexical(self, c: DataFrame) -> dict[str, DataFrame]:
         """What else is derived from chunks; all have their page."""
@@ -337,6 +346,19 @@ class Store:
                 self._write(m, gen, t, made[t].withColumn("bucket", b))
         self._point(m)
 
+    def embed_again(self) -> None:
+        """Replace all vectors by those of this store's embedder, and train the vector index on them."""
+        now = self.manifests()
+        if not now:
+            raise ValueError("nothing is stored yet")
+        m, b = now[0], bucket_of("page_id", now[0]["buckets"])
+        m["files"]["vectors"], m["embedder"] = {}, self.embedder.name
+        with self.staging() as stage:
+            vectors = stage("vectors", self._embedded(self.table("chunks")))
+            if (index := self._train(m, vectors)) is not None:
+                self._write(m, self._number(m), "vectors", ivf.filed(vectors, index, "counts").withColumn("bucket", b))
+        self._point(m)
+
     def _point(self, m: dict) -> None:
         """Make a manifest the current one, and drop what none of the last KEEP lists."""
         m["made"] = self._number({"last": m["made"]})

@@ -26,8 +26,9 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition
 
-PAGE_SIZE, TIMEOUT, TRIES = 50, 45, 5
-LONGEST_PAUSE = 30.0
+from ..functions.http import get_json
+
+PAGE_SIZE = 50
 #: Pages of a partition, more where there would be over MOST_PARTITIONS of them in a space.
 PER_PARTITION, MOST_PARTITIONS = 1000, 200
 #: The server reads times in its user's zone, so a filter by time is sent with this to spare.
@@ -50,23 +51,6 @@ def page_query(spaces: list[str] | None = None, labels: list[str] | None = None,
     return " and ".join(parts)
 
 
-def get_json(url: str, headers: dict[str, str], opener: Callable = urllib.request.urlopen, pause: Callable[[float], None] = time.sleep) -> dict:
-    for attempt in range(1, TRIES + 1):
-        try:
-            with opener(urllib.request.Request(url, headers=headers), timeout=TIMEOUT) as r:
-                return json.loads(r.read())
-        except urllib.error.HTTPError as e:
-            if e.code != 429 and e.code < 500:
-                raise
-            failure: Exception = e
-            asked = (e.headers or {}).get("Retry-After") or ""
-        except (urllib.error.URLError, TimeoutError, ConnectionError) as e:
-            failure, asked = e, ""
-        if attempt < TRIES:
-            pause(min(max(2.0 ** (attempt - 1), float(asked) if asked.isdigit() else 0.0), LONGEST_PAUSE))
-    raise failure
-
-
 def verify(base_url: str, token: str, opener: Callable = urllib.request.urlopen, pause: Callable[[float], None] = time.sleep) -> str:
     """The name of the user that the token belongs to; a token that is refused raises PermissionError."""
     headers = {"Accept": "application/json"} | ({"Authorization": f"Bearer {token}"} if token else {})

@@ -27,7 +27,7 @@ def ingest_stream(store: Store, docs: DataFrame, checkpoint: str, once: bool = T
     """
 
     def batch(rows: DataFrame, number: int) -> None:
-        now = Store(rows.sparkSession, store.folder, store.buckets)
+        now = Store(rows.sparkSession, store.folder, store.buckets, store.embedder)
         ingest(now, not_older(rows, now), batch=(checkpoint, number), **options)
 
     w = newest_versions(docs, ttl_ms).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
