@@ -95,13 +95,15 @@ def test_ingest_search_and_changes(spark, tmp_path):
     assert store.table("chunks").count() == 0
 
 
-def test_only_changed_pages_are_embedded(spark, tmp_path, monkeypatch):
+def test_only_changed_pages_are_embedded(spark, tmp_path):
+    from dataclasses import replace
+
     from runloom.plans import store as stores
 
-    embedded, real = [], stores.embed
-    monkeypatch.setattr(stores, "embed", lambda rows, *a: embedded.append({r.page_id for r in rows.select("page_id").collect()}) or real(rows, *a))
+    embedded, real = [], stores.HASHING
+    told = replace(real, documents=lambda rows, *a: embedded.append({r.page_id for r in rows.select("page_id").collect()}) or real.documents(rows, *a))
     rows = lambda s, t: sorted(map(tuple, s.table(t).drop("embedder", "cell", "code", "scale").collect()), key=repr)
-    store, anew = Store(spark, str(tmp_path / "store")), Store(spark, str(tmp_path / "anew"))
+    store, anew = (Store(spark, str(tmp_path / name), embedder=told) for name in ("store", "anew"))
     ingest(store, docs(spark, A, B))
     edited = (*A[:3], 2, "## Remediation\n\nOnly this is left now.")
     ingest(store, docs(spark, edited, B))
