@@ -8,12 +8,14 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import logs
 from .config import Config, load_files
 from .functions.providers import embedder_of, reranker_of
 from .functions.text import breadcrumb, content_hash
 from .operators import chunking, evaluate, normalize
 from .plans import ingest as ingest_plan
 from .plans.log import Log
+from .plans.progress import Progress
 from .plans.search import Engine
 from .plans.store import Store, sync_check, top_pages
 from .sources import content_api, files
@@ -95,6 +97,7 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     config = load_files(args.config, args.profile)
+    logs.setup(config.logging.level, config.logging.form)
     if args.command == "config":
         print(json.dumps(config.summary(), indent=2))
         return 0
@@ -112,7 +115,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         else:
             docs = wiki_documents(spark, config, spark.read.schema(files.PAYLOAD).json(args.path) if args.source == "payloads" else None)
         log = Log(spark, f"{store.folder}/log")
-        show(ingest_plan.ingest(store, docs, args.force, args.prune, c.max_tokens, c.min_tokens, c.overlap_tokens, args.limit, log=log, resume=not args.no_resume))
+        every = config.logging.progress_seconds
+        progress = Progress(spark, every) if every > 0 else None
+        show(ingest_plan.ingest(store, docs, args.force, args.prune, c.max_tokens, c.min_tokens, c.overlap_tokens, args.limit, log=log, resume=not args.no_resume, progress=progress))
     elif args.command == "search":
         q = spark.createDataFrame([(0, args.text)], "query_id long, text string")
         hits = engine.search(q, {k: v for k, v in (("space_key", args.space), ("section_kind", args.kind)) if v}, args.top_k)

@@ -60,6 +60,14 @@ class Reranking:
     token: str = ""
 
 
+@dataclass
+class Logging:
+    level: str = "info"
+    form: str = "console"
+    #: Seconds between reports of progress; 0 for none.
+    progress_seconds: float = 10.0
+
+
 @dataclass
 class Config:
     folder: str = "warehouse"
@@ -67,6 +75,7 @@ class Config:
     chunking: Chunking = field(default_factory=Chunking)
     embedding: Embedding = field(default_factory=Embedding)
     reranking: Reranking = field(default_factory=Reranking)
+    logging: Logging = field(default_factory=Logging)
     retrieval: SearchSettings = field(default_factory=SearchSettings)
 
     def summary(self) -> dict[str, Any]:

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import KIND_PATTERNS, OTHER
@@ -270,8 +271,8 @@ _ARROW = pa.schema([
 ])
 
 
-def chunk_documents(docs: DataFrame, most: int = 512, least: int = 96, overlap: int = 64, counter: str = "fallback") -> DataFrame:
-    """page_id, title, url, space_key, version, labels, markdown, content_hash -> chunks."""
+def chunk_documents(docs: DataFrame, most: int = 512, least: int = 96, overlap: int = 64, counter: str = "fallback", done: Accumulator | None = None) -> DataFrame:
+    """page_id, title, url, space_key, version, labels, markdown, content_hash -> chunks. ``done`` counts documents as tasks end."""
     if least >= most:
         raise ValueError("the least chunk size must be below the largest")
     names = ["page_id", "title", "url", "space_key", "version", "labels", "markdown", "content_hash"]
@@ -286,6 +287,8 @@ def chunk_documents(docs: DataFrame, most: int = 512, least: int = 96, overlap:
                 except Exception as e:  # one document's failure is a row, not the end of the job
                     rows.append({"page_id": doc["page_id"], "error": f"{type(e).__name__}: {e}"})
             yield from pa.Table.from_pylist(rows, schema=_ARROW).to_batches()
+            if done is not None:
+                done.add(len(b))
 
     return docs.select(*names).mapInArrow(run, SCHEMA)
 

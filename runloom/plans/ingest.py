@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import strip
 from ..operators.chunking import chunk_documents
 from .log import Log
+from .progress import Progress
 from .store import Store
 
 
@@ -30,11 +33,12 @@ def changes(docs: DataFrame, states: DataFrame | None, force: bool = False) -> D
     return docs.withColumn("action", action).drop("_v", "_h")
 
 
-def ingest(store: Store, docs: DataFrame, force: bool = False, prune_missing: bool = False, most: int = 512, least: int = 96, overlap: int = 64, limit: int | None = None, batch: tuple[str, int] | None = None, log: Log | None = None, resume: bool = True) -> DataFrame:
+def ingest(store: Store, docs: DataFrame, force: bool = False, prune_missing: bool = False, most: int = 512, least: int = 96, overlap: int = 64, limit: int | None = None, batch: tuple[str, int] | None = None, log: Log | None = None, resume: bool = True, progress: Progress | None = None) -> DataFrame:
     """Bring the store up to date; returns a report of one row. Where no page changed, the store stays as it is.
 
     Only the pages that changed are written. ``batch``: a stream's name and batch number. ``log``: with ``resume``, what the log has of a page
     settles whether it changed, without a look at the store; else the log is cleared and the store settles it. Pages of the commit are appended.
+    ``progress`` reports while pages are chunked.
     """
     states = store.table("page_states")
     if log is not None and resume:
@@ -48,7 +52,8 @@ def ingest(store: Store, docs: DataFrame, force: bool = False, prune_missing: bo
         todo = changes(last_of_each(docs if limit is None else docs.limit(limit)), states, force)
         todo = stage("todo", todo.withColumn("markdown", F.when(F.col("action") == "ingest", F.col("markdown"))))
         fresh = todo.filter("action = 'ingest'").drop("error")
-        made = stage("made", chunk_documents(fresh, most, least, overlap))
+        with progress.over(fresh.count()) if progress is not None else contextlib.nullcontext():
+            made = stage("made", chunk_documents(fresh, most, least, overlap, done=progress.done if progress is not None else None))
         good, failed = made.filter("error is null").drop("error"), made.filter("error is not null")
         report = todo.agg(
             F.count(F.lit(1)).alias("seen"), F.count_if(F.col("action") == "ingest").alias("changed"), F.count_if(~F.col("action").isin("ingest", "failed")).alias("skipped")
