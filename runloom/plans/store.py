@@ -7,7 +7,7 @@ commit that brought it there, so a commit writes its own pages, and a bucket now
 manifest as it was, and files that no manifest lists go with the next commit. One writer at a time.
 
 Layout: <folder>/data/<table>/gen=<number>/bucket=<b>. Files are sorted: vectors by cell of the vector index, postings by term,
-chunks by page, so that filters on these skip row groups. Vectors are filed in the cells of ``ivf`` as they come; its centroids are trained on the
+chunks by space and page, so that filters on these skip row groups (by their bounds, and by the dictionaries of pages). Vectors are filed in the cells of ``ivf`` as they come; its centroids are trained on the
 first rows and again whenever there are GROWTH times as many. A manifest has a few numbers for each bucket and generation in it.
 """
 
@@ -26,7 +26,7 @@ from ..operators import ivf
 from ..operators.lexical import lengths, postings
 
 TABLES = ("chunks", "vectors", "postings", "lengths", "page_states")
-SORTED = {"chunks": ("page_id", "section_index", "chunk_index"), "vectors": ("cell", "chunk_id"), "postings": ("term", "chunk_id"), "lengths": ("chunk_id",), "page_states": ("page_id",), "touched": ("page_id",)}
+SORTED = {"chunks": ("space_key", "page_id", "section_index", "chunk_index"), "vectors": ("cell", "chunk_id"), "postings": ("term", "chunk_id"), "lengths": ("chunk_id",), "page_states": ("page_id",), "touched": ("page_id",)}
 #: Manifests that stay for readers; generations of a bucket before a commit compacts it; growth after which centroids are trained anew.
 KEEP, MOST, GROWTH = 2, 4, 4
 BUCKETS = 64
