@@ -4,16 +4,18 @@ The patterns find e-mail addresses, IPv4 addresses, payment cards and phone numb
 The field adds what has no fixed form: secrets, SSNs and IBANs. It scores whole
 candidate segments (their shape, entropy, checksums, and the words before
 them) and picks boundaries and types together by dynamic programming over segments
-of MOST_TOKENS tokens at most, of any length; what follows an assignment (``password = ...``, in four
-languages) is a candidate up to the next white space, however many tokens it has. Segments of fewer than LEAST characters are
-none. It also knows the four pattern kinds, so that it doesn't
+of MOST_TOKENS tokens at most, of any length; what follows an assignment (``password = ...``, ``password is ...``, in four
+languages) is a candidate up to the next white space, however many tokens it has. Candidates are segments of LEAST characters or more
+with a digit, an @ or the start of a known kind of key; those of digits and signs alone, and those with a space, only
+where they have the form of a card, phone, address, SSN or IBAN (printed in groups, too). It also knows the four pattern kinds, so that it doesn't
 take their parts for something else; of what it finds, kinds without a pattern are added,
 but for what cuts a pattern's span or lies in one (a long key may hold digits that pass for a card).
 
 Weights are trained here, by gradient ascent on the conditional likelihood of
 TRAINING generated sentences (forward-backward over segments). The segmentation is
-only computed near what any candidate has (digits, @, an assignment): elsewhere
-none passes the field's hard filter, so leaving it out changes nothing.
+only computed near what any candidate has (digits, @, key starts, an assignment): elsewhere
+none passes the field's hard filter, so leaving it out changes nothing. Candidates are scored as they come and
+not held: a window costs some 40 bytes a token, however long it is.
 
 Cases: a null or empty text has no spans. Texts of any length are searched whole; the work
 is linear in it. Repeated rows get the same spans. An empty table gives an empty
@@ -26,10 +28,12 @@ import hashlib
 import math
 import random
 import re
-from bisect import bisect_left
+from array import array
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import merge
 
 import numpy as np
 import pyarrow as pa
@@ -51,17 +55,17 @@ _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A number's first digit has no digit before it: a later start of the same run matches only if the first does.
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
-_CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
+_CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
 
+#: A digit doubled, and the digits of that summed.
+_DOUBLED = str.maketrans("0123456789", "0246813579")
+
+
 def luhn(digits: str) -> bool:
-    total = 0
-    for i, c in enumerate(reversed(digits)):
-        d = int(c) * (2 if i % 2 else 1)
-        total += d - 9 if d > 9 else d
-    return total % 10 == 0
+    return (sum(map(int, digits[::-2])) + sum(map(int, digits[-2::-2].translate(_DOUBLED)))) % 10 == 0
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -94,7 +98,7 @@ def base_spans(text: str) -> list[Span]:
 # -- the field -------------------------------------------------------------------------
 
 _TOKEN = re.compile(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]")
-_ANCHOR = re.compile(r"[0-9@]+")
+_ANCHOR = re.compile(r"[0-9@]+|(?<![A-Za-z0-9_])(?:AKIA|ASIA|ghp_|sk_|xox|AIza)")
 #: Words before a segment, by what they announce.
 _CUES = {
     "secret": "password passwd pwd secret token api_key apikey key auth credential access bearer",
@@ -108,13 +112,17 @@ _CUE_OF = {w: k for k, ws in _CUES.items() for w in ws.split()}
 #: Words to which a secret is assigned, in English, German, French and Spanish, and what stands between them and it.
 _ASSIGNED = re.compile(
     r"(?i)(?<![^\W_])(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer"
-    r"|pass ?wort|kennwort|geheimnis|schl\u00fcssel|mot de passe|jeton|cl\u00e9|secr\u00e8te?|contrase\u00f1a|clave|secreto)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"'`]?(?=[A-Za-z0-9+/_$])"
+    r"|pass ?wort|kennwort|geheimnis|schl\u00fcssel|mot de passe|jeton|cl\u00e9|secr\u00e8te?|contrase\u00f1a|clave|secreto)[\"']?(?:[ \t]{0,3}[:=][ \t]{0,3}|[ \t]{1,3}(?:is|ist|est|es)[ \t]{1,3})[\"'`]?(?=[A-Za-z0-9+/_$])"
 )
 _RUN = re.compile(r"[^\s\"'`,;<>()\[\]{}|]+")
 _SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")
 _KEY_START = re.compile(r"AKIA|ASIA|ghp_|sk_|xox|AIza")
+_IBAN_START = re.compile(r"[A-Z]{2}[0-9]{2}")
 _EDGE = "([+"
+_JOINS = "@+()./-"
+#: Kinds of tokens.
+_SIGN, _DIGITS, _ANCHORED, _WORD, _AT = range(5)
 
 
 def iban_valid(s: str) -> bool:
@@ -126,18 +134,6 @@ def entropy(s: str) -> float:
     return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
 
 
-def plausible(s: str, n_tokens: int, anchored: bool) -> bool:
-    """The hard filter on candidates: an anchor inside, edges that an entity can have, no line end."""
-    return (
-        len(s) >= LEAST
-        and (s[0].isalnum() or s[0] in _EDGE)
-        and s[-1].isalnum()
-        and "\n" not in s
-        and anchored
-        and (n_tokens == 1 or bool(re.search(r"[@+()./-]|\d \d|[0-9] [A-Z0-9]", s)))
-    )
-
-
 def span_features(text: str, a: int, b: int, cue: str | None, assigned: bool = False, whole: bool = False) -> list[str]:
     """Features of a whole segment; the weights are by kind and feature. ``assigned``: it follows an assignment; ``whole``: up to the next white space or quote."""
     s = text[a:b]
@@ -170,6 +166,8 @@ def span_features(text: str, a: int, b: int, cue: str | None, assigned: bool = F
         f.append("is-ip" if all(len(p) <= 3 and int(p) <= 255 for p in s.split(".")) else "odd-ip")
     if d.isdigit():
         f.append("is-card" if 13 <= len(d) <= 19 and luhn(d) else "number")
+        if (a > 1 and text[a - 1] == " " and text[a - 2].isdigit()) or (b + 1 < len(text) and text[b] == " " and text[b + 1].isdigit()):
+            f.append("cut-number")
     if _PHONE.fullmatch(s):
         f.append("is-phone" if 9 <= digits <= 15 else "odd-phone")
     if _SSN.fullmatch(s):
@@ -181,38 +179,100 @@ def span_features(text: str, a: int, b: int, cue: str | None, assigned: bool = F
     return f
 
 
+def runs_in(text: str, lo: int = 0, hi: int | None = None) -> Iterator[tuple[int, int]]:
+    """Starts and ends of what is assigned, up to white space or a quote and without closing marks."""
+    for m in _ASSIGNED.finditer(text, lo, len(text) if hi is None else hi):
+        if r := _RUN.match(text, m.end()):
+            yield m.end(), m.end() + len(r[0].rstrip(".:!?"))
+
+
+def tokenize(text: str, lo: int, hi: int) -> tuple[array, array, bytearray]:
+    """Starts, ends and kinds of a window's tokens."""
+    first, end, kinds = array("q"), array("q"), bytearray()
+    for m in _TOKEN.finditer(text, lo, hi):
+        w = m[0]
+        first.append(m.start())
+        end.append(m.end())
+        if w.isascii() and w.isdigit():
+            kinds.append(_DIGITS)
+        elif _ANCHOR.search(w):
+            kinds.append(_AT if w == "@" else _ANCHORED)
+        else:
+            kinds.append(_WORD if w[0].isalnum() or w[0] == "_" else _SIGN)
+    return first, end, kinds
+
+
+def fixed_form(text: str, a: int, b: int, n_tokens: int, digits: int) -> bool:
+    """Whether digits and signs are an SSN, an address, a phone number or a card that passes its check."""
+    if n_tokens == 5 and b - a == 11 and _SSN.fullmatch(text, a, b):
+        return True
+    if n_tokens == 7 and b - a <= 15 and _IP.fullmatch(text, a, b):
+        return True
+    if text[a] == "+":
+        return 9 <= digits <= 15 and bool(_PHONE.fullmatch(text, a, b))
+    if not 13 <= digits <= 19:
+        return False
+    d = text[a:b].replace(" ", "").replace("-", "")
+    return d.isdigit() and luhn(d) and bool(_CARD.fullmatch(text, a, b))
+
+
+def candidates(text: str, tokens: tuple[array, array, bytearray], runs: dict[int, int]) -> Iterator[tuple[int, int, list[str]]]:
+    """Candidate segments (first token, end token, features), by first token. ``runs``: start and end of what is assigned."""
+    first, end, kinds = tokens
+    n = len(first)
+    for i in range(n):
+        a, kind = first[i], kinds[i]
+        run = runs.get(a) if runs else None
+        if kind == _AT or (kind == _SIGN and text[a] not in _EDGE) or text[a] == "_":
+            if run is None:
+                continue
+        cue = None
+        iban = kind == _ANCHORED and bool(_IBAN_START.match(text, a))
+        seen, plain, spaced, joined, digits = run is not None, True, False, False, 0
+        for j in range(i, min(n, i + MOST_TOKENS)):
+            k, b = kinds[j], end[j]
+            if j > i and first[j] > end[j - 1]:
+                if first[j] - end[j - 1] > 1 or text[first[j] - 1] != " ":
+                    break  # entities have single spaces at most
+                spaced = True
+            if k == _DIGITS:
+                digits += b - first[j]
+                seen = True
+            elif k == _SIGN:
+                joined = joined or text[b - 1] in _JOINS
+                continue
+            else:
+                plain = False
+                seen = seen or k != _WORD
+                joined = joined or k == _AT
+            if spaced and (digits > 19 if plain else not iban):
+                break
+            if b - a < LEAST or not seen or b == run or k == _AT or text[b - 1] == "_":
+                continue
+            if plain and (spaced or run is None):
+                if (digits < 13 and b - a > 15 and kind != _SIGN) or not fixed_form(text, a, b, j + 1 - i, digits):
+                    continue
+            elif spaced:
+                if not _IBAN.fullmatch(text, a, b):
+                    continue
+            elif j > i and not joined:
+                continue
+            cue = cue or ("secret" if run is not None else _cue(text, first, end, i))
+            yield i, j + 1, span_features(text, a, b, cue or None, run is not None)
+        # The whole of what is assigned, of however many tokens.
+        if run is not None and run - a >= LEAST and (j := bisect_left(end, run, i)) < n and end[j] == run:
+            yield i, j + 1, span_features(text, a, run, "secret", True, True)
+
+
+def _cue(text: str, first: array, end: array, i: int) -> str:
+    """What the nearest of the three tokens before announces, if any does."""
+    return next((c for k in range(i - 1, max(-1, i - 4), -1) if (c := _CUE_OF.get(text[first[k] : end[k]].lower()))), "")
+
+
 def lattice(text: str, lo: int, hi: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, list[str]]]]:
     """Tokens of a window, and its candidate segments (first token, end token, features)."""
-    tokens = [m.span() for m in _TOKEN.finditer(text, lo, hi)]
-    word = [text[a:b] for a, b in tokens]
-    anchor = [bool(_ANCHOR.search(w)) for w in word]
-    run_of = {}
-    for m in _ASSIGNED.finditer(text, lo, hi):
-        r = _RUN.match(text, m.end())
-        if r:
-            end = m.end() + len(r[0].rstrip(".:!?"))
-            run_of[m.end()] = end
-    place = {b: j for j, (_, b) in enumerate(tokens, 1)} if run_of else {}
-    out = []
-    for i in range(len(tokens)):
-        a, run = tokens[i][0], run_of.get(tokens[i][0])
-        if not (word[i][0].isalnum() or word[i] in _EDGE or run):
-            continue
-        cue = next((c for w in reversed(word[max(0, i - 3) : i]) if (c := _CUE_OF.get(w.lower()))), None)
-        if run:
-            cue = "secret"
-        seen = bool(run)
-        for j in range(i + 1, min(len(tokens), i + MOST_TOKENS) + 1):
-            seen = seen or anchor[j - 1]
-            b = tokens[j - 1][1]
-            if j > i + 1 and tokens[j - 1][0] - tokens[j - 2][1] > 1:
-                break  # entities have single spaces at most
-            if b != run and seen and plausible(text[a:b], j - i, seen):
-                out.append((i, j, span_features(text, a, b, cue, bool(run))))
-        # The whole of what is assigned, of however many tokens.
-        if run and run - a >= LEAST and run in place:
-            out.append((i, place[run], span_features(text, a, run, cue, True, True)))
-    return tokens, out
+    tokens = tokenize(text, lo, hi)
+    return list(zip(tokens[0], tokens[1])), list(candidates(text, tokens, dict(runs_in(text, lo, hi))))
 
 
 def _paths(n: int, segments: list[tuple[int, int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -244,13 +304,15 @@ def sentences(n: int, seed: int = 3) -> list[tuple[str, list[Span]]]:
             if luhn(d) == valid:
                 return d if r.random() < 0.6 else " ".join(d[i : i + 4] for i in range(0, 16, 4))
 
-    def iban() -> str:
-        tail = number(18)
-        check = 98 - int("".join(str(int(c, 36)) for c in tail + "DE00")) % 97
-        return f"DE{check:02d}{tail}"
+    def iban(valid: bool) -> str:
+        land = r.choice(["DE", "GB", "FR", "NO", "ES", "NL", "IT", "PL"])
+        tail = (pick(up[:26], 4) if r.random() < 0.3 else "") + pick(up if r.random() < 0.2 else "0123456789", r.randint(11, 24))
+        right = 98 - int("".join(str(int(c, 36)) for c in f"{tail}{land}00")) % 97
+        made = f"{land}{right if valid else (right + r.randint(1, 90)) % 97:02d}{tail}"
+        return made if r.random() < 0.5 else " ".join(made[i : i + 4] for i in range(0, len(made), 4))
 
     def secret() -> tuple[str, str, str]:
-        value = r.choice([pick(hexa, r.choice([18, 24, 32, 40])), "AKIA" + pick(up, 16), "ghp_" + pick(low + up, 36), pick(low + up, r.randint(20, 40))])
+        value = r.choice([pick(hexa, r.choice([18, 24, 32, 40])), "AKIA" + pick(up, 16), "ghp_" + pick(r.choice([low + up, low + up[:26]]), 36), pick(low + up, r.randint(20, 40))])
         if value.startswith(("AKIA", "ghp_")) and r.random() < 0.7:
             return "", value, ""
         key, quote = r.choice(["password", "token", "secret", "api_key", "pwd", "passwort", "mot de passe", "contrase\u00f1a", "clave"]), r.choice(["", '"', "'"])
@@ -261,7 +323,7 @@ def sentences(n: int, seed: int = 3) -> list[tuple[str, list[Span]]]:
                 pick(mixed, r.randint(10, 16)) + r.choice("+/-.") + pick(mixed, r.randint(8, 30)), ".".join(pick(mixed, r.randint(20, 60)) for _ in range(3)),
                 "-".join(pick(mixed, 4) for _ in range(r.randint(4, 24))), pick(mixed, r.randint(7, 12)) + number(2), pick(up[:26], 1) + pick(low, r.randint(3, 7)) + number(r.randint(2, 6)) + pick(low, r.randint(0, 4)), pick(low, 6) + "_" + pick(mixed, 8) + number(2),
             ])
-        return f"{key}{r.choice(['=', ' = ', ': '])}{quote}", value, quote
+        return f"{key}{r.choice(['=', ' = ', ': ', ' is '])}{quote}", value, quote
 
     makers = {
         "email": lambda: ("", f"{word()}.{number(2)}@{word()}.example.com", ""),
@@ -270,13 +332,14 @@ def sentences(n: int, seed: int = 3) -> list[tuple[str, list[Span]]]:
         "phone": lambda: ("", r.choice([f"+1 ({number(3)}) {number(3)}-{number(4)}", f"+{r.randint(20, 99)} {number(3)} {number(3)} {number(4)}"]), ""),
         "secret": secret,
         "ssn": lambda: (r.choice(["", "ssn ", "SSN: "]), f"{number(3)}-{number(2)}-{number(4)}", ""),
-        "iban": lambda: (r.choice(["", "IBAN "]), iban(), ""),
+        "iban": lambda: (r.choice(["", "IBAN ", "account "]), iban(True), ""),
     }
     others = [
         lambda: number(r.randint(1, 12)), lambda: card(False), lambda: f"{number(4)}-{number(2)}-{number(2)}", lambda: f"{word()}{number(2)}",
         lambda: f"v{number(1)}.{number(1)}.{number(2)}", lambda: f"{number(3)}.{number(3)}.{r.randint(256, 999)}.{number(3)}", lambda: f"{word()}{word()}{number(1)}",
         lambda: f"https://{word()}.example.org/{word()}/{number(4)}", lambda: f"the key {word()} token {number(3)}", lambda: f"{number(2)}:{number(2)}", lambda: f"${number(3)}.{number(2)}",
-        lambda: f"{word().upper()}{number(2)}", lambda: f"password {word()} {number(2)}", lambda: f"{word()}-{number(3)}-{word()}", lambda: f"{r.choice(['password', 'token', 'clave', 'secret'])}: {pick(low, r.randint(2, 9))}", lambda: f"{r.choice(['token', 'passwort'])}: {pick(low, r.randint(2, 9)).title()}", lambda: f"ISBN {number(3)}-{number(1)}-{number(5)}-{number(3)}-{number(1)}",
+        lambda: f"{word().upper()}{number(2)}", lambda: f"password {word()} {number(2)}", lambda: f"{word()}-{number(3)}-{word()}", lambda: iban(False), lambda: f"the {r.choice(['password', 'token', 'secret'])} is {r.choice([str, str.title])(pick(low, r.randint(2, 11)))}",
+        lambda: f"{r.choice(['password', 'token', 'clave', 'secret'])}: {pick(low, r.randint(2, 9))}", lambda: f"{r.choice(['token', 'passwort'])}: {pick(low, r.randint(2, 9)).title()}", lambda: f"ISBN {number(3)}-{number(1)}-{number(5)}-{number(3)}-{number(1)}",
     ]
     out = []
     for k in range(n):
@@ -330,39 +393,43 @@ def weights(n: int = TRAINING, rounds: int = 14, rate: float = 0.5) -> dict[str,
 
 def decode(text: str, lo: int, hi: int, w: dict[str, np.ndarray]) -> list[Span]:
     """The best segmentation of a window."""
-    tokens, segments = lattice(text, lo, hi)
-    if not segments:
-        return []
-    by_end: dict[int, list[tuple[int, float, int]]] = {}
-    for i, j, f in segments:
-        s = sum(w[x] for x in f if x in w)
-        if (k := int(np.argmax(s))) >= 0 and s[k] > 0:  # one below 0 never beats leaving its tokens outside
-            by_end.setdefault(j, []).append((i, float(s[k]), k))
-    best, back = [0.0], [(-1, 0)]
-    for k in range(1, len(tokens) + 1):
-        top, come = best[k - 1], (-1, 0)
-        for i, s, kind in by_end.get(k, ()):
-            if best[i] + s > top:
-                top, come = best[i] + s, (i, kind)
-        best.append(top)
-        back.append(come)
-    out, k = [], len(tokens)
+    tokens = tokenize(text, lo, hi)
+    first, end, _ = tokens
+    n, at = len(first), 0
+    # The best score of the first k tokens, and the segment that ends there (its first token, its kind), if one does.
+    best, come, kinds = array("d", [0.0]) * (n + 1), array("q", [-1]) * (n + 1), bytearray(n + 1)
+
+    def settle(to: int) -> None:
+        nonlocal at
+        while at < to:
+            at += 1
+            if best[at - 1] >= best[at]:
+                best[at], come[at] = best[at - 1], -1
+
+    scores: dict[tuple[str, ...], tuple[float, int]] = {}
+    for i, j, f in candidates(text, tokens, dict(runs_in(text, lo, hi))):
+        settle(i)
+        if (known := scores.get(key := tuple(f))) is None:
+            s = sum(w[x] for x in f if x in w)
+            k = int(np.argmax(s))
+            known = scores[key] = float(s[k]), k
+        score, k = known
+        if score > 0 and best[i] + score > best[j]:  # one below 0 never beats leaving its tokens outside
+            best[j], come[j], kinds[j] = best[i] + score, i, k
+    settle(n)
+    out, k = [], n
     while k > 0:
-        i, kind = back[k]
+        i = come[k]
         if i >= 0:
-            out.append((KINDS[kind], tokens[i][0], tokens[k - 1][1]))
+            out.append((KINDS[kinds[k]], first[i], end[k - 1]))
         k = i if i >= 0 else k - 1
     return out[::-1]
 
 
 def windows(text: str) -> Iterator[tuple[int, int]]:
     """Stretches around anchors and assignments, wide enough for any segment and its cues, in order and apart, that cut no token."""
-    at = [m.span() for m in _ANCHOR.finditer(text)]
-    if ":" in text or "=" in text:
-        assigned = [(m.end(), r.end()) for m in _ASSIGNED.finditer(text) if (r := _RUN.match(text, m.end()))]
-        at = sorted([*at, *assigned]) if assigned else at
     lo = hi = -1
-    for a, b in at:
+    for a, b in merge((m.span() for m in _ANCHOR.finditer(text)), runs_in(text)):
         if hi >= 0 and a - REACH * 2 <= hi:
             hi = max(hi, _right(text, b)) if b > hi - REACH * 2 else hi
             continue
@@ -395,14 +462,19 @@ def find_spans(text: str | None, w: dict[str, np.ndarray]) -> list[Span]:
     """All spans by kind, then start."""
     text = text or ""
     found = base_spans(text)
-    taken = sorted((a, b) for _, a, b in found)
-    k = 0
+    # Spans of one kind are in order and apart.
+    taken = [([a for k, a, _ in found if k == kind], [b for k, _, b in found if k == kind]) for kind in BASE]
+
+    def fits(lo: int, hi: int) -> bool:
+        """No pattern's span is cut, equal or around."""
+        return all(
+            lo <= a and b <= hi and b - a < hi - lo
+            for starts, ends in taken
+            for a, b in zip(*(x[bisect_right(ends, lo) : bisect_left(starts, hi)] for x in (starts, ends)))
+        )
+
     for lo, hi in windows(text):
-        # Windows come in order, so base spans before one are before all that follow.
-        while k < len(taken) and taken[k][1] <= lo:
-            k += 1
-        near = taken[k : bisect_left(taken, (hi, 0))]
-        found += [s for s in decode(text, lo, hi, w) if s[0] in ADDED and all(b <= s[1] or s[2] <= a or s[1] <= a and b <= s[2] and b - a < s[2] - s[1] for a, b in near)]
+        found += [s for s in decode(text, lo, hi, w) if s[0] in ADDED and fits(s[1], s[2])]
     return sorted(found, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
