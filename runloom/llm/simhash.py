@@ -473,7 +473,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(np.concatenate(fps).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], ["_key", "digest", "n", "fp", "bands"])
         release()
 
-    return docs.select("_key", "text").mapInArrow(run, "_key long, digest binary, n long, fp long, bands array<long>")
+    return docs.select("_key", "text").mapInArrow(run, "_key binary, digest binary, n long, fp long, bands array<long>")
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -613,21 +613,21 @@ def close_pairs(sets: DataFrame) -> DataFrame:
 
 
 def copy_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """_key (equal for equal texts), text -> _key (once each), root: components of texts with similar sets of five-word shingles.
+    """_key (binary, equal for equal texts only), text -> _key (once each), root: components of texts with similar sets of five-word shingles.
 
-    Texts of one set are one. Candidates are those that the pigeonhole over fingerprints links, and, as three of 64 bits
+    Texts of one set are one: a node, whose number is given once and written. Candidates are those that the pigeonhole over fingerprints links, and, as three of 64 bits
     are a far closer likeness than 0.8, texts that agree in a band of their min-hashes (at 0.8, a pair is missed with a
     probability of 0.0002). In a bucket, each member is first compared with its least one, in two orders; then, in buckets that still
     hold several components, all across these. A link is only what has the similarity, counted over all shingles.
     """
     # Two steps, so that copies that hold a third of all rows are counted where they lie.
     d = checkpoint(sketches(docs).groupBy("_key").agg(*[F.first(c).alias(c) for c in ("digest", "n", "fp", "bands")]))
-    sets = checkpoint(d.groupBy("digest").agg(F.min("_key").alias("node"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    sets = checkpoint(d.groupBy("digest").agg(F.min("_key").alias("_key"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
     close = checkpoint(close_pairs(sets.select("node", "fp")))
     filed = sets.select("node", F.explode("bands").alias("band"))
     filed = checkpoint(filed.join(filed.groupBy("band").count().filter("count > 1").select("band"), "band").select("band", "node"))
     needed = filed.select("node").union(close.select("a")).union(close.select("b")).distinct()
-    texts = docs.select(F.col("_key").alias("node"), "text").join(needed, "node", "left_semi")
+    texts = docs.select("_key", "text").join(sets.select("_key", "node").join(needed, "node"), "_key")
     texts = checkpoint(texts.groupBy("node").agg(F.first("text").alias("text")))
     counts = sets.select("node", "n")
     links_, roots, tried = None, None, None
@@ -660,14 +660,14 @@ def _open(filed: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each group of near copies stays: the least doc_id (nulls last), then the least text hash.
+    """One document of each group of near copies stays: the least doc_id (nulls last), then the least text digest.
 
-    Of rows that repeat an id and a text, the one with the least hash of its columns stays. Texts of fewer than five words are one
+    Texts are told apart by digests of 128 bits. Of rows that repeat an id and a text, the one with the least hash of its columns stays. Texts of fewer than five words are one
     shingle; null and empty texts are copies of each other. Columns keep their names, types and values.
     """
     text = F.col("text").cast("string")
     id_ = F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.lit("n"))
-    d = docs.select("doc_id", id_.alias("_i"), F.xxhash64(text).alias("_h"), text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    d = docs.select("doc_id", id_.alias("_i"), F.coalesce(F.unhex(F.md5(text)), F.unhex(F.lit(""))).alias("_h"), text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     least = d.groupBy("_h").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_i")).alias("k"))
     groups = copy_groups(d.select(F.col("_h").alias("_key"), "text"), similarity).withColumnRenamed("_key", "_h")
     one = groups.join(least, "_h").groupBy("root").agg(F.min(F.struct("k", "_h")).alias("x")).select(F.col("x.k._i").alias("_i"), F.col("x._h").alias("_h"))

@@ -103,3 +103,11 @@ def test_keep_one_goes_by_similarity(spark):
         rows.append((1000 + j, " ".join(chain)))
     d = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in S.keep_one(d).collect()} == want | {1000}
+
+
+def test_texts_go_by_their_whole_keys(spark):
+    """Keys that agree in all but their last byte are different texts."""
+    words = [[f"{c}{i}" for i in range(40)] for c in "abc"]
+    rows = [(bytes(15) + bytes([k]), " ".join(w)) for k, w in enumerate(words)] + [(bytes(15) + bytes([9]), " ".join([*words[0][:39], "z"]))]
+    got = {bytes(r["_key"]): r.root for r in S.copy_groups(spark.createDataFrame(rows * 2, "_key binary, text string")).collect()}
+    assert len(got) == 4 and len(set(got.values())) == 3 and got[bytes(16)] == got[bytes(15) + bytes([9])]
