@@ -7,8 +7,9 @@ part of any score in the block. So for a query, a block's bound is a sum over th
 1. The k blocks of the greatest bounds (FIRST at least) are read and scored: their k-th score is the query's threshold.
 2. Of all other blocks only those whose bound reaches the threshold are read.
 
-Postings are only ever met by (term, block), so a term of all documents is as many keys as there are blocks. Rows
-equal those of ``bm25_topk``: a block that is left out holds no score as good as the threshold.
+A row of the index is a term's list in one block, with its bounds beside it. Rows are dealt by block, once when the index is made and once when it is searched, so a term of
+all documents is as many rows as there are blocks, and a document's parts are summed where its block lies: no row is moved for a
+document and a query. Rows equal those of ``bm25_topk``: a block that is left out holds no score as good as the threshold.
 """
 
 from __future__ import annotations
@@ -17,32 +18,42 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .lexical import B, K1, corpus, idf, query_terms, ranked
+from .lexical import B, K1, TERMS, corpus, idf, query_terms, ranked
 
 BLOCK, FIRST = 128, 4
 #: Documents within a sixteenth of a doubling in length are of one level; there are a few hundred levels at most.
 STEPS = 16
 #: What rounding may add to a sum, so that a tie with the threshold is not left out.
 SLACK = 1e-8
+#: Scores of documents and queries that a task sums at most, unless a block by itself has more.
+SCORES = 1 << 20
 
 
 @dataclass
 class Blocks:
-    """``postings``: term, block, chunk_id, tf, dl; ``maxima``: term, block, tf, dl, n; ``stats``: one row, n and avgdl."""
+    """``lists``: term, block, tf, dl, n and docs (chunk_id, tf, dl of each document); ``stats``: one row, n and avgdl."""
 
-    postings: DataFrame
-    maxima: DataFrame
+    lists: DataFrame
     stats: DataFrame
 
+    @property
+    def maxima(self) -> DataFrame:
+        """term, block, tf, dl, n."""
+        return self.lists.drop("docs")
+
+    @property
+    def postings(self) -> DataFrame:
+        """term, block, chunk_id, tf, dl."""
+        return self.lists.select("term", "block", F.inline("docs"))
+
     def write(self, path: str) -> Blocks:
-        for name, order in (("postings", ("term", "block")), ("maxima", ("term", "block")), ("stats", ())):
-            d = getattr(self, name)
-            (d.repartition("term", "block").sortWithinPartitions(*order) if order else d.coalesce(1)).write.parquet(f"{path}/{name}")
-        return load(self.postings.sparkSession, path)
+        self.lists.sortWithinPartitions("term", "block").write.parquet(f"{path}/lists")
+        self.stats.coalesce(1).write.parquet(f"{path}/stats")
+        return load(self.lists.sparkSession, path)
 
 
 def load(spark: SparkSession, path: str) -> Blocks:
-    return Blocks(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "maxima", "stats")))
+    return Blocks(*(spark.read.parquet(f"{path}/{n}") for n in ("lists", "stats")))
 
 
 def blocks(posts: DataFrame, doc_lengths: DataFrame, size: int = BLOCK) -> Blocks:
@@ -52,9 +63,11 @@ def blocks(posts: DataFrame, doc_lengths: DataFrame, size: int = BLOCK) -> Block
     salts = doc_lengths.groupBy(level(F.col("dl")).alias("level")).agg(F.ceil(F.count(F.lit(1)) / size).alias("salts"))
     p = posts.withColumn("level", level(F.col("dl"))).join(F.broadcast(salts), "level")
     block = F.shiftleft("level", 40) + F.pmod(F.xxhash64("chunk_id"), F.col("salts"))
-    p = p.select("term", block.alias("block"), "chunk_id", "tf", "dl")
-    maxima = p.groupBy("term", "block").agg(F.max("tf").alias("tf"), F.min("dl").alias("dl"), F.count(F.lit(1)).alias("n"))
-    return Blocks(p, maxima, corpus(doc_lengths))
+    # A document's postings stay together, which also lets them compress. By block, so lists need no other exchange.
+    p = p.select("term", block.alias("block"), "chunk_id", "tf", "dl").repartition("block")
+    docs = F.collect_list(F.struct("chunk_id", "tf", "dl")).alias("docs")
+    lists = p.groupBy("term", "block").agg(F.max("tf").alias("tf"), F.min("dl").alias("dl"), F.count(F.lit(1)).alias("n"), docs)
+    return Blocks(lists, corpus(doc_lengths))
 
 
 def part(tf: Column, dl: Column, avgdl: Column, k1: float = K1, b: float = B) -> Column:
@@ -78,13 +91,17 @@ def bounds(terms: DataFrame, index: Blocks) -> DataFrame:
     return b.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")))
 
 
-def scored(pairs: DataFrame, terms: DataFrame, index: Blocks) -> DataFrame:
-    """Scores of all documents with a query's term in the blocks it reads (query_id, block)."""
-    wanted = pairs.select("query_id", "block").join(terms, "query_id")
-    # The blocks that any query reads; by term and block, of which none is hot.
-    m = wanted.join(index.maxima.select("term", "block"), ["term", "block"], "left_semi")
-    s = m.join(index.postings, ["term", "block"])
-    return s.groupBy("query_id", "chunk_id").agg(F.sum(F.col("idf") * part(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("score"))
+def scored(pairs: DataFrame, terms: DataFrame, index: Blocks, parts: int, few: bool = False) -> DataFrame:
+    """Scores of all documents with a query's term in the blocks it reads (query_id, block). ``few``: there are so few pairs that they are broadcast."""
+    readers = pairs.groupBy("block").agg(F.collect_set("query_id").alias("readers"))
+    lists = index.lists.select("term", "block", "docs").join(terms.select("term").distinct(), "term", "left_semi")
+    if few:
+        lists = lists.join(F.broadcast(readers.select("block")), "block", "left_semi")
+    lists = lists.repartition(parts, "block")
+    read = lists.join(readers, "block").join(terms, "term").filter(F.array_contains("readers", F.col("query_id")))
+    p = read.select("query_id", "block", "idf", "avgdl", F.inline("docs"))
+    s = p.groupBy("query_id", "block", "chunk_id").agg(F.sum(F.col("idf") * part(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("score"))
+    return s.select("query_id", "chunk_id", "score")
 
 
 @dataclass
@@ -100,12 +117,18 @@ class Passes:
 def passes(queries: DataFrame, index: Blocks, k: int, first: int | None = None) -> Passes:
     first = max(FIRST, k) if first is None else first
     terms = weighed_terms(queries, index)
+    asked, n = queries.count(), index.stats.agg(F.max("n")).first()[0] or 0
+    # Queries' terms go to where the lists are, as long as there are few.
+    if terms.count() <= TERMS:
+        terms = F.broadcast(terms)
+    # Scores that a task holds at once.
+    parts = max(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-asked * n // SCORES))
     b = bounds(terms, index)
     one = b.filter(F.col("place") <= first)
-    near = scored(one, terms, index)
+    near = scored(one, terms, index, parts, asked * first <= TERMS)
     threshold = ranked(near, k).filter(F.col("rank") == max(1, k) - 1).select("query_id", F.col("score").alias("least"))
     two = b.filter(F.col("place") > first).join(threshold, "query_id", "left").filter(F.col("least").isNull() | (F.col("bound") >= F.col("least") - SLACK))
-    return Passes(one, two, terms, near.unionByName(scored(two, terms, index)))
+    return Passes(one, two, terms, near.unionByName(scored(two, terms, index, parts)))
 
 
 def topk(queries: DataFrame, index: Blocks, k: int = 30) -> DataFrame:

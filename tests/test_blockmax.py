@@ -55,3 +55,17 @@ def test_empty_tables(spark):
     posts = spark.createDataFrame([], "chunk_id string, term string, tf long, dl long")
     lens = spark.createDataFrame([], "chunk_id string, dl long")
     assert blockmax.topk(queries(spark), blockmax.blocks(posts, lens)).count() == 0
+
+
+def test_no_row_is_moved_for_a_document_and_a_query(spark, corpus, tmp_path):
+    posts, lens = corpus
+    index = blockmax.blocks(posts, lens, 64).write(str(tmp_path / "blocks"))
+    # One row a term and block, stored once; a document's rows are in one file.
+    assert sorted(f.name for f in (tmp_path / "blocks").iterdir()) == ["lists", "stats"]
+    stored = spark.read.parquet(str(tmp_path / "blocks" / "lists"))
+    assert stored.count() == index.postings.select("term", "block").distinct().count()
+    files = stored.select(F.input_file_name().alias("f"), F.explode("docs.chunk_id").alias("c")).groupBy("c").agg(F.count_distinct("f").alias("n"))
+    assert files.agg(F.max("n")).first()[0] == 1
+    plan = blockmax.topk(queries(spark), index, 5)._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
+    assert moved and not any("chunk_id" in x for x in moved)
