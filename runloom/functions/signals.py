@@ -44,9 +44,14 @@ def signal_terms(s: Column) -> Column:
 def variants(text: Column, limit: int = MOST_CHARS) -> Column:
     """The text cut to ``limit``; its identifiers; the head of a text that was cut."""
     clean = squeeze(F.coalesce(text, F.lit("")))
+    return _variants(clean, F.array_join(signal_terms(signals(clean)), " "), limit)
+
+
+def _variants(clean: Column, found: Column, limit: int = MOST_CHARS) -> Column:
+    """Of a squeezed text and its identifiers."""
     main = F.substring(clean, 1, limit)
-    found = F.array_join(signal_terms(signals(clean)), " ")
-    head = F.substring(F.array_join(F.slice(F.split(clean, r"\. "), 1, 2), " "), 1, limit)
+    # No more than three parts: what follows the second sentence is not looked at.
+    head = F.substring(F.array_join(F.slice(F.split(clean, r"\. ", 3), 1, 2), " "), 1, limit)
     second = F.when(found != "", found)
     third = F.when((F.length(clean) > limit) & (head != "") & (head != main) & (head != found), head)
     return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.array_compact(F.array(main, second, third)))
@@ -54,4 +59,8 @@ def variants(text: Column, limit: int = MOST_CHARS) -> Column:
 
 def query_variants(queries: DataFrame) -> DataFrame:
     """query_id, text -> query_id, ord, variant."""
-    return queries.select("query_id", F.posexplode(variants(F.col("text"))).alias("ord", "variant"))
+    # Steps of their own, as each of these columns is used several times and costs a pass of patterns over the text.
+    q = queries.select("query_id", squeeze(F.coalesce("text", F.lit(""))).alias("clean"))
+    q = q.select("query_id", "clean", signals(F.col("clean")).alias("signals"))
+    q = q.select("query_id", "clean", F.array_join(signal_terms(F.col("signals")), " ").alias("found"))
+    return q.select("query_id", F.posexplode(_variants(F.col("clean"), F.col("found"))).alias("ord", "variant"))

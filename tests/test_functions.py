@@ -80,6 +80,19 @@ def test_variants(spark):
     assert v(long)[-1] == "First part Second part" and len(v(long)[0]) == 600
 
 
+def test_each_pattern_is_looked_for_once(spark, tmp_path):
+    texts = ["", None, "got PSQLException here", "First part. Second part. third. " + "more words " * 80, "status 503 a.b.c my-svc-7d9f8b /var/log/x.log ABC_DEF"]
+    path = str(tmp_path / "texts")
+    spark.createDataFrame(list(enumerate(texts)), "query_id long, text string").write.parquet(path)
+    q = spark.read.parquet(path)
+    found = signals.query_variants(q)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    for pattern in ("Exception|Error|Failure", "[1-5]", "[A-Z0-9]{2,}", r"(?:\.\w+){2,}", "(?:-[a-z0-9]+){2,}", "(/(?:"):
+        assert plan.count(pattern) == 1
+    want = q.select("query_id", F.posexplode(signals.variants(F.col("text"))).alias("ord", "variant"))
+    assert sorted(found.collect()) == sorted(want.collect())
+
+
 def test_hashing_forms_agree(spark):
     d = spark.createDataFrame([("a", "Kafka lag kafka lag"), ("b", ""), ("c", None), ("d", "one")], "k string, t string")
     bulk = {r.k: {i: n for i, n in enumerate(r.counts) if n} for r in hashing.embed(d, "k", "t").collect()}
