@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .memory import ROWS, release, small_batches
+
 # Words that are not indexed.
 STOP_WORDS = (
     "a an the and or but if then else of to in on at for from by with as is are "
@@ -48,7 +50,7 @@ def terms(text: Column) -> Column:
 # -- the same in bulk: each distinct word is taken apart once by a worker -----------------
 
 #: Words that a worker keeps with their terms, and the longest that it keeps.
-KEPT, LONGEST = 200_000, 64
+KEPT, LONGEST = 50_000, 64
 _FOUND = re.compile(WORD)
 _SPLIT, _HUMP = re.compile(_SEPARATORS), re.compile("|".join(_HUMPS))
 _STOPS = frozenset(STOP_WORDS)
@@ -72,6 +74,7 @@ def counted(rows: DataFrame, key: str, text: str, by_term: bool = True) -> DataF
     """
     from pyspark.sql.types import StructType
 
+    small_batches(rows.sparkSession)
     d = rows.select(key, F.col(text).cast("string").alias("_text"))
     schema = StructType([d.schema[key], *StructType.fromDDL("term string, tf long, dl long" if by_term else "dl long").fields])
 
@@ -100,10 +103,12 @@ def counted(rows: DataFrame, key: str, text: str, by_term: bool = True) -> DataF
                 else:
                     at.append(i)
                     dl.append(size)
-                if len(at) > 200_000:
+                if len(at) > ROWS:
                     yield _counted(b, at, terms_, tf, dl, by_term, schema)
                     at, terms_, tf, dl = [], [], [], []
             yield _counted(b, at, terms_, tf, dl, by_term, schema)
+        known.clear()
+        release()
 
     return d.mapInArrow(run, schema)
 
