@@ -14,7 +14,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .memory import release, small_batches
+
 WIDTH = 384
+#: Words and pairs whose places a worker keeps, and texts that are counted at once.
+KEPT, TEXTS = 100_000, 1024
 NAME = "hashing-384"
 _WORD = re.compile(r"[a-z0-9_]+")
 
@@ -48,7 +52,7 @@ def count_vector(text: str | None, cache: dict[str, tuple[int, int]]) -> np.ndar
         if at is None:
             d = hashlib.md5(g.encode()).digest()
             at = cache[g] = (int.from_bytes(d[:4], "little") % WIDTH, 1 if d[4] % 2 == 0 else -1)
-            if len(cache) > 500_000:
+            if len(cache) > KEPT:
                 cache.clear()
         out[at[0]] += at[1]
     return out
@@ -58,15 +62,22 @@ def embed(rows: DataFrame, key: str, text: str) -> DataFrame:
     """key, text -> key, counts (array of int)."""
     from pyspark.sql.types import StructType
 
+    small_batches(rows.sparkSession)
     d = rows.select(key, text)
     schema = StructType([d.schema[key], *StructType.fromDDL("counts array<int>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, tuple[int, int]] = {}
-        for b in batches:
-            flat = np.concatenate([count_vector(t.as_py(), cache) for t in b.column(1)] or [np.zeros(0)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, WIDTH), pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists], [key, "counts"])
+        for whole in batches:
+            for lo in range(0, len(whole), TEXTS):
+                b = whole.slice(lo, TEXTS)
+                flat = np.zeros((len(b), WIDTH), dtype=np.int32)
+                for i, t in enumerate(b.column(1)):
+                    flat[i] = count_vector(t.as_py(), cache)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, WIDTH), pa.int32()), pa.array(flat.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0), lists], [key, "counts"])
+        cache.clear()
+        release()
 
     return d.mapInArrow(run, schema)
 
