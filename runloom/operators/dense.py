@@ -12,11 +12,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.memory import release, small_batches
 from .lexical import ranked
 
 QUERY_BLOCK = 4096
 #: Queries and rows whose products are made at once in a task.
-QUERY_TILE, ROW_TILE = 256, 4096
+QUERY_TILE, ROW_TILE = 256, 1024
 
 
 def cosine_score(cos: np.ndarray) -> np.ndarray:
@@ -38,6 +39,7 @@ def usable(rows: DataFrame, vector: str) -> DataFrame:
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 30, vector: str = "embedding", metric: str = "cosine") -> DataFrame:
     """query_id, vector; chunk_id, vector -> query_id, chunk_id, score, rank. The filter on rows comes before."""
     spark = vectors.sparkSession
+    small_batches(spark)
     q = usable(queries.select("query_id", vector), vector)
     n, width = q.agg(F.count(F.lit(1)), F.mode(F.size(vector), deterministic=True)).first()
     # Vectors of another length than the queries' can't be compared with them.
@@ -63,7 +65,7 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 30, vector: str
                 for lo in range(0, len(b), ROW_TILE):
                     part = b.slice(lo, ROW_TILE)
                     chunk = part.column(0).to_pylist()
-                    x, xn = _unit(np.array(part.column(1).to_pylist(), dtype=np.float64))
+                    x, xn = _unit(part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1))
                     for first in range(0, len(ids), QUERY_TILE):
                         q = slice(first, first + QUERY_TILE)
                         s = qx[q] @ x.T
@@ -81,6 +83,7 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 30, vector: str
             for i in range(0, len(rows), 50_000):
                 part = pa.Table.from_pylist([dict(zip(("query_id", "chunk_id", "score"), r)) for r in rows[i : i + 50_000]])
                 yield from part.to_batches()
+            release()
 
         found = vectors.select("chunk_id", vector).mapInArrow(run, schema)
         out = found if out is None else out.union(found)
