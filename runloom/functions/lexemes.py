@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .memory import ROWS, release, small_batches
@@ -117,3 +119,54 @@ def _counted(b: pa.RecordBatch, at: list[int], terms_: list[str], tf: list[int],
     key = b.column(0).take(pa.array(at, pa.int64()))
     columns = [key, pa.array(terms_, pa.string()), pa.array(tf, pa.int64()), pa.array(dl, pa.int64())] if by_term else [key, pa.array(dl, pa.int64())]
     return pa.RecordBatch.from_arrays(columns, schema.fieldNames())
+
+
+# -- the same by columns: only some terms are looked for, and each distinct word of a batch is taken apart once --
+
+#: Words that a batch's own columns take apart: no separator inside, no hump.
+_PLAIN = r"^(?:[A-Z]?[a-z0-9]+|[A-Z]+)$"
+_BETWEEN = r"[^A-Za-z0-9_./:\-]+"
+
+
+def looker(wanted: list[str]) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """A function of texts: row, term (its number in ``wanted``) and tf of the wanted terms, by row and term; and dl of each text, of all its terms."""
+    number = {t: i for i, t in enumerate(wanted)}
+    looked, stops, width = pa.array(wanted, pa.string()), pa.array(STOP_WORDS, pa.string()), max(1, len(wanted))
+
+    def look(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        words = pc.split_pattern_regex(pc.fill_null(texts, ""), _BETWEEN)
+        row = pc.list_parent_indices(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        told = words.flatten().dictionary_encode()
+        code, known = told.indices.to_numpy(zero_copy_only=False), told.dictionary
+        trimmed = pc.utf8_trim(known, characters=_EDGE)
+        plain = pc.match_substring_regex(trimmed, _PLAIN)
+        low = pc.ascii_lower(trimmed)
+        used = pc.and_(plain, pc.and_(pc.greater(pc.binary_length(low), 1), pc.invert(pc.is_in(low, value_set=stops))))
+        size = used.to_numpy(zero_copy_only=False).astype(np.int64)
+        first = np.where(size > 0, pc.fill_null(pc.index_in(low, value_set=looked), -1).to_numpy(zero_copy_only=False), -1)
+        # Words with parts, which may be several terms.
+        at = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        begin, many, parts = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64), []
+        for i, w in zip(at.tolist(), known.take(pa.array(at)).to_pylist()):
+            found = plain_word_terms(w)
+            size[i], begin[i] = len(found), len(parts)
+            parts += [number[t] for t in found if t in number]
+            many[i] = len(parts) - begin[i]
+        one = first[code]
+        hit = one >= 0
+        rows, terms_ = row[hit], one[hit].astype(np.int64)
+        if parts:
+            n = many[code]
+            some = np.flatnonzero(n)
+            place = spans(begin[code[some]], n[some])
+            rows, terms_ = np.concatenate([rows, np.repeat(row[some], n[some])]), np.concatenate([terms_, np.array(parts, np.int64)[place]])
+        key, tf = np.unique(rows * width + terms_, return_counts=True)
+        return key // width, key % width, tf, np.bincount(row, size[code], len(texts)).astype(np.int64)
+
+    return look
+
+
+def spans(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """begin, begin + 1 and so on, ``length`` of them, one span after the other."""
+    before = np.cumsum(length) - length
+    return np.arange(int(length.sum())) + np.repeat(begin - before, length)

@@ -75,11 +75,16 @@ def score_queries(scorer: Callable[[], Scorer]):
     return F.pandas_udf(run, "array<double>")
 
 
-def expand(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Whole sections of the hits, by their best hit, then chunk by chunk: query_id, pos, chunk columns."""
-    place = chunks.select("chunk_id", "page_id", "section_index")
-    sections = hits.join(place, "chunk_id").groupBy("query_id", "page_id", "section_index").agg(F.min("rank").alias("section_rank"))
-    found = sections.join(chunks, ["page_id", "section_index"])
+def expand(hits: DataFrame, chunks: DataFrame, few: bool = False) -> DataFrame:
+    """Whole sections of the hits, by their best hit, then chunk by chunk: query_id, pos, chunk columns.
+
+    Hits may have page_id and section_index with them. ``few``: there are so few hits that they are broadcast, and chunks stay where they are.
+    """
+    sent = F.broadcast if few else lambda d: d
+    if "section_index" not in hits.columns:
+        hits = chunks.select("chunk_id", "page_id", "section_index").join(sent(hits), "chunk_id")
+    sections = hits.groupBy("query_id", "page_id", "section_index").agg(F.min("rank").alias("section_rank"))
+    found = chunks.join(sent(sections), ["page_id", "section_index"])
     order = Window.partitionBy("query_id").orderBy("section_rank", "chunk_index", "chunk_id")
     return found.withColumn("pos", F.row_number().over(order) - 1)
 
