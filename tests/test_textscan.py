@@ -94,3 +94,9 @@ def test_section_expand_writes_and_moves_hits_alone(spark, monkeypatch):
     rows, plan = written(spark, monkeypatch, "section_expand")
     assert 0 < rows <= 6 * spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").count()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_context_render_writes_and_moves_hits_alone(spark, monkeypatch):
+    rows, plan = written(spark, monkeypatch, "context_render")
+    assert 0 < rows <= 6 * spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").count()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
