@@ -1,7 +1,8 @@
-"""Scalar expressions over document text. All of them stay in Catalyst."""
+"""Scalar expressions over document text. All of them stay in Catalyst; what is named plain does the same to plain values."""
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -47,6 +48,11 @@ def chunk_id(page_id: Column, section_index: Column, chunk_index: Column) -> Col
     return F.substring(F.sha2(key, 256), 1, 24)
 
 
+def plain_chunk_id(page_id: str, section_index: int, chunk_index: int) -> str:
+    """``chunk_id`` of plain values."""
+    return hashlib.sha256(f"{page_id}:{section_index}:{chunk_index}".encode()).hexdigest()[:24]
+
+
 def breadcrumb(path: Column, title: Column) -> Column:
     return F.when(F.size(path) > 0, F.concat_ws(" > ", path)).otherwise(title)
 

@@ -1,7 +1,9 @@
 import random
+import time
 from collections import Counter
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +102,63 @@ def test_context_render_writes_and_moves_hits_alone(spark, monkeypatch):
     rows, plan = written(spark, monkeypatch, "context_render")
     assert 0 < rows <= 6 * spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").count()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_looker_on_words_of_every_width_and_edge():
+    rng = random.Random(11)
+    words = [s + w + e for n in range(1, 20) for w in ("a" * n, "A" * n, "A" + "a" * (n - 1), "7" * n, "a" * n + "B") for s in ("", "-", "..", ":::") for e in ("", ".", "//", "___")]
+    texts = words + ["\n".join(rng.choices(words, k=30)) for _ in range(50)] + ["".join(rng.choices("aZ9.-é \n\x00", k=200)) for _ in range(200)] + ["---", "-", "a" * 16, "a" * 17, None]
+    every = sorted({t for x in texts for t in plain(x)})
+    # The same first and last eight bytes, other words between; stop words are never told.
+    for wanted in (every, every[1::2], ["the", "aaaaaaaaab", "aaaaaaaaaa"]):
+        row, term, tf, dl = lexemes.looker(wanted)(pa.array(texts, pa.string()))
+        sums = [plain(x) for x in texts]
+        order = {t: i for i, t in enumerate(wanted)}
+        assert list(zip(row.tolist(), term.tolist(), tf.tolist())) == [(i, order[t], c[t]) for i, c in enumerate(sums) for t in wanted if c[t]]
+        assert dl.tolist() == [sum(c.values()) for c in sums]
+
+
+def test_looking_takes_less_time_than_splitting_words_and_telling_them_apart():
+    rng = random.Random(3)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 11))) for _ in range(40_000)]
+    texts = pa.array([" ".join(rng.choices(words, k=50)).capitalize() + "." for _ in range(800)])
+    look = lexemes.looker(rng.sample(sorted(set(words)), 3000))
+
+    def least(f):
+        took = []
+        for _ in range(9):
+            began = time.process_time()
+            f()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert least(lambda: look(texts)) < least(lambda: pc.split_pattern_regex(texts, r"[^A-Za-z0-9_./:\-]+").flatten().dictionary_encode())
+
+
+@pytest.mark.parametrize("looked,scores", [(1 << 18, 1 << 18), (9, 7)])
+def test_bm25_of_lines_equals_that_of_one_text_a_line(spark, monkeypatch, looked, scores):
+    monkeypatch.setattr(textscan, "LOOKED", looked)
+    monkeypatch.setattr(textscan, "SCORES", scores)
+    rng = random.Random(4)
+    texts = ["", "\n", "\n\n pool lag\n", None, "pool lag\r\nthe", "é pool\nlag é\n"] + ["\n".join(rng.choice(["", "pool lag", "the", "fooBar zz", "kafka retry pool", "lag lag"]) for _ in range(rng.randint(1, 9))) for _ in range(80)]
+    d = spark.createDataFrame(list(enumerate(texts)), "n int, text string").repartition(3)
+    pages = d.select(F.col("n").cast("string").alias("page_id"), F.lit("t").alias("title"), F.lit("u").alias("url"), F.coalesce("text", F.lit("")).alias("markdown"))
+    c = catalogue.lines_of(pages).persist()
+    q = spark.createDataFrame([(1, "pool lag"), (2, "foo bar"), (3, None), (4, "kafka pool"), (5, "zz")], "query_id int, text string")
+    for k in (1, 6, 1000):
+        want = textscan.bm25_texts(q, c, "body_text", k, keep=("page_id", "section_index"))
+        got = textscan.bm25_lines(q, pages, catalogue.line_chunk, "chunk_id string, page_id string, section_index int", k=k)
+        assert got.columns == want.columns
+        rows = [sorted((*r[:4], round(r.score, 9), r["rank"]) for r in x.collect()) for x in (got, want)]
+        assert rows[0] == rows[1] and rows[0]
+    c.unpersist()
+
+
+@pytest.mark.parametrize("name", ["section_expand", "context_render"])
+def test_lines_are_made_of_pages_with_hits_alone(spark, monkeypatch, name):
+    plans, real = [], catalogue.settled
+    monkeypatch.setattr(catalogue, "settled", lambda df, *a: plans.append(moved(df)) or real(df, *a))
+    plan = moved(catalogue.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert len(plans) == 1 and "Generate" not in plans[0]
+    # Plans are written from the top down.
+    assert "LeftSemi" in plan and plan.index("Generate") < plan.index("LeftSemi")
