@@ -285,8 +285,12 @@ def compare_bucket(fp: np.ndarray, own: np.ndarray, forest: Forest, block: int =
 
 
 def verified(filed: DataFrame) -> DataFrame:
-    """(key, own, fp) -> spanning forest (a, b) of the links of each partition's buckets."""
-    rows = filed.repartition(shuffle_partitions(filed.sparkSession), "key").sortWithinPartitions("key").select("key", "own", "fp")
+    """(key, own, fp) -> spanning forest (a, b) of the links of each partition's buckets.
+
+    Rows are dealt by the key's hash: dealing them by the key itself is left out after a join by it, and that join,
+    broadcast or split at run time, may then leave a bucket's rows in several tasks, which never meet.
+    """
+    rows = filed.repartition(shuffle_partitions(filed.sparkSession), F.xxhash64("key")).sortWithinPartitions("key").select("key", "own", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, held = Forest(), None

@@ -62,6 +62,22 @@ def test_clusters_of_near_fingerprints(spark, hot):
     assert same(got) == same(want)
 
 
+def test_buckets_stay_whole_beside_large_ones(spark):
+    """Where buckets above ``hot`` are joined out, the rows of the others, read by many tasks, still meet."""
+    r = np.random.default_rng(6)
+    flip = lambda x, bits, n: int(x) ^ sum(1 << int(k) for k in r.choice(bits, n, replace=False))
+    group = {flip(1 << 62, 63, int(n)) for n in r.integers(0, 4, 400)}
+    pairs = [(int(x), flip(x, 63, 3)) for x in r.integers(0, 1 << 62, 1000)]
+    d = spark.createDataFrame([(x,) for x in {*group, *(x for p in pairs for x in p)}], "fp long").repartition(16)
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")  # as with large tables, whose partitions aren't put together
+    try:
+        found = {(x.a, x.b) for x in S.links(d, 32).collect()}
+    finally:
+        spark.conf.unset(name)
+    assert {(max(p), min(p)) for p in pairs} <= found
+
+
 def test_allocation_is_least_and_sound():
     costs = [[0, 5, 40, 400], [0, 90, 500, 900], [0, 6, 50, 300], [0, 1000, 2000, 3000]]
     t = S.allocate(costs)
